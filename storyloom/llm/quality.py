@@ -158,7 +158,7 @@ def apply_rules(documents: DataFrame, labels: DataFrame, stratum: str = "lang",
     rows = scratch.write("measured", measured(documents, stratum))
     grades = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.min("quality") > 0).cast("int").alias("good"))
     above = [f"above_{r.name}" for r in RULES]
-    hist = rows.select("doc_id", "stratum", F.posexplode(F.array(*above)).alias("rule", "above")).join(grades, "doc_id").groupBy("stratum", "rule", "above", "good").count()
+    hist = scratch.write("hist", rows.select("doc_id", "stratum", F.posexplode(F.array(*above)).alias("rule", "above")).join(grades, "doc_id").groupBy("stratum", "rule", "above", "good").count())
     enough = math.log(1 / miss) / (risk / len(RULES))
     known = hist.where("rule = 0 AND good = 1").groupBy("stratum").agg(F.sum("count").alias("n")).where(F.col("n") >= enough).select("stratum")
     found = hist.join(known, "stratum", "left_semi").collect()  # strata with enough labels: no more than labels / enough
