@@ -13,8 +13,11 @@ from __future__ import annotations
 
 import json
 import os
+import re
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +30,9 @@ from pyspark.sql import functions as F
 from .common import Scratch, by_value, shared_folder, table, text_of
 
 MAGIC = b"SLTOKID1"
+#: A piece that can stand alone: no blank at its ends but one leading space. One that ends in a letter and a stop.
+SOUND = re.compile(r" ?(?!\s).*\S", re.S).fullmatch
+ENDS = re.compile(r".*[^\W\d_][.,]", re.S).fullmatch
 
 
 def open_folder(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -49,10 +55,10 @@ class ShardWriter:
         self.ids: list[int | None] = []
         self.lengths: list[int] = []
 
-    def add(self, doc_ids: list[int | None], encoded: list[list[int]]) -> None:
-        self.out.write(np.concatenate([np.asarray(x, self.dtype) for x in encoded]).tobytes())
+    def add(self, doc_ids: list[int | None], encoded: list[bytes]) -> None:
+        self.out.write(b"".join(encoded))
         self.ids += doc_ids
-        self.lengths += map(len, encoded)
+        self.lengths += [len(x) // self.dtype.itemsize for x in encoded]
 
     def close(self) -> tuple[int, int, int]:
         self.out.close()
@@ -91,6 +97,74 @@ class Shard:
         return np.frombuffer(self.data.read_at((b - a) * self.dtype.itemsize, a * self.dtype.itemsize), self.dtype)
 
 
+class PieceEncoder:
+    """Encodes texts piece by piece with the tokenizers library, and keeps the ids of the pieces that it has met.
+
+    A byte-level pre-tokenizer never joins characters across a space between two others that are no blanks: the space
+    starts a new pre-token. Texts are cut there (and before a full stop or comma after a letter, where letters end);
+    the ids of a text are those of its pieces. A text with other blanks at a cut, and all texts of other tokenizers, are
+    encoded whole. ``kept`` is emptied when it holds ``most`` pieces: that changes time only.
+    """
+
+    def __init__(self, blob: str, dtype: str, most: int = 400_000):
+        from tokenizers import Tokenizer
+
+        self.model, self.dtype, self.most = Tokenizer.from_str(blob), dtype, most
+        spec = json.loads(blob)
+        pre = spec.get("pre_tokenizer") or {}
+        self.by_piece = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec.get("normalizer") and not any(x["lstrip"] or x["rstrip"] or " " in x["content"] for x in spec.get("added_tokens", []))
+        self.kept: dict[str, bytes] = {}
+
+    def encode_whole(self, texts: list[str]) -> list[bytes]:
+        kind = "H" if self.dtype == "<u2" else "I"
+        packed = [array(kind, x.ids) for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        if sys.byteorder == "big":
+            for x in packed:
+                x.byteswap()
+        return [x.tobytes() for x in packed]
+
+    @staticmethod
+    def cut(text: str) -> list[str]:
+        first, *rest = text.split(" ")
+        return [first, *[" " + x for x in rest]]
+
+    def learn(self, missing: set[str]) -> None:
+        """Fills ``kept``; a piece that can't stand alone gets no entry."""
+        sound = [x for x in missing if SOUND(x) or not x]
+        ends = {x for x in sound if ENDS(x)}
+        new = list({*{x[:-1] for x in ends}, ".", ",", *sound} - ends - self.kept.keys())
+        self.kept.update(zip(new, self.encode_whole(new), strict=True))
+        self.kept.update([(x, self.kept[x[:-1]] + self.kept[x[-1]]) for x in ends])
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.by_piece:
+            return self.encode_whole(texts)
+        pieces = [self.cut(x) for x in texts]
+        if len(self.kept) > self.most:
+            self.kept.clear()
+        if missing := set().union(*pieces) - self.kept.keys():
+            self.learn(missing)
+        out: list[bytes | None] = []
+        for some in pieces:
+            try:
+                out.append(b"".join(map(self.kept.__getitem__, some)))
+            except KeyError:
+                out.append(None)
+        whole = [k for k, x in enumerate(out) if x is None]
+        for k, ids in zip(whole, self.encode_whole([texts[k] for k in whole]), strict=True):
+            out[k] = ids
+        return out
+
+
+def encoder(blob: str, dtype: str) -> PieceEncoder:
+    """One for each Python worker, which serves task after task."""
+    held = sys.__dict__.setdefault("_storyloom_encoders", {})
+    key = hash(blob), dtype
+    if key not in held:
+        held[key] = PieceEncoder(blob, dtype)
+    return held[key]
+
+
 def write_tokens(documents: DataFrame, folder: str, tokenizer: str, end_id: int = 0, partitions: int | None = None) -> DataFrame:
     """Encodes documents(doc_id, text) into shards under ``folder``; returns and writes the manifest's rows.
 
@@ -112,21 +186,20 @@ def write_tokens(documents: DataFrame, folder: str, tokenizer: str, end_id: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         os.environ["RAYON_NUM_THREADS"] = "1"
-        from tokenizers import Tokenizer
-
         writer = model = None
+        end = np.array([end_id], dtype).tobytes()
         for batch in batches:
-            model = model or Tokenizer.from_str(vocabulary.value)
+            model = model or encoder(vocabulary.value, dtype)
             writer = writer or ShardWriter(folder, TaskContext.get().partitionId(), dtype)
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
             first = 0
             while first < len(doc_ids):
                 last, size, some = first, 0, []
-                while last < len(doc_ids) and size < 1 << 21:
+                while last < len(doc_ids) and size < 1 << 22:
                     some.append(texts[last].as_py())
                     size += len(some[-1])
                     last += 1
-                writer.add(doc_ids[first:last], [[*x.ids, end_id] for x in model.encode_batch_fast(some, add_special_tokens=False)])
+                writer.add(doc_ids[first:last], [x + end for x in model.encode(some)])
                 first = last
         if writer:
             done = writer.close()
