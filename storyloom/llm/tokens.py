@@ -11,6 +11,7 @@ attempt that is then moved into place, so that a repeated or speculative task le
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -32,7 +33,10 @@ from .common import Scratch, by_value, shared_folder, table, text_of
 MAGIC = b"SLTOKID1"
 #: A piece that can stand alone: no blank at its ends but one leading space. One that ends in a letter and a stop.
 SOUND = re.compile(r" ?(?!\s).*\S", re.S).fullmatch
-ENDS = re.compile(r".*[^\W\d_][.,]", re.S).fullmatch
+#: One pre-token: letters (of blocks that all Unicode versions agree on) after at most one space.
+LETTERS = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+").fullmatch
+#: What a piece is cut into further: such letters, other signs, a line end between two that are no blanks.
+PARTS = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+| ?[^\w\s']+|\n(?!\n)").findall
 
 
 def open_folder(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -101,9 +105,10 @@ class PieceEncoder:
     """Encodes texts piece by piece with the tokenizers library, and keeps the ids of the pieces that it has met.
 
     A byte-level pre-tokenizer never joins characters across a space between two others that are no blanks: the space
-    starts a new pre-token. Texts are cut there (and before a full stop or comma after a letter, where letters end);
-    the ids of a text are those of its pieces. A text with other blanks at a cut, and all texts of other tokenizers, are
-    encoded whole. ``kept`` is emptied when it holds ``most`` pieces: that changes time only.
+    starts a new pre-token. Texts are cut there, and the pieces where letters meet other signs or a single line end;
+    the ids of a text are those of its pieces. A text with other blanks at a cut, and all texts of other tokenizers,
+    are encoded whole. When ``kept`` holds over ``most`` pieces, those that the present texts don't use go: that
+    changes time only.
     """
 
     def __init__(self, blob: str, dtype: str, most: int = 400_000):
@@ -112,8 +117,12 @@ class PieceEncoder:
         self.model, self.dtype, self.most = Tokenizer.from_str(blob), dtype, most
         spec = json.loads(blob)
         pre = spec.get("pre_tokenizer") or {}
-        self.by_piece = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec.get("normalizer") and not any(x["lstrip"] or x["rstrip"] or " " in x["content"] for x in spec.get("added_tokens", []))
+        self.added = [x["content"] for x in spec.get("added_tokens", [])]
+        self.by_piece = not any(LETTERS(x) for x in self.added) and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec.get("normalizer") and not any(x["lstrip"] or x["rstrip"] or " " in x["content"] for x in spec.get("added_tokens", []))
         self.kept: dict[str, bytes] = {}
+        # The byte-level alphabet: printable Latin-1 stands for itself, each other byte for the next character from 256 on.
+        same = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.bytes = dict(zip([b for b in range(256) if b not in same], range(256, 512), strict=False))
 
     def encode_whole(self, texts: list[str]) -> list[bytes]:
         kind = "H" if self.dtype == "<u2" else "I"
@@ -130,19 +139,37 @@ class PieceEncoder:
 
     def learn(self, missing: set[str]) -> None:
         """Fills ``kept``; a piece that can't stand alone gets no entry."""
-        sound = [x for x in missing if SOUND(x) or not x]
-        ends = {x for x in sound if ENDS(x)}
-        new = list({*{x[:-1] for x in ends}, ".", ",", *sound} - ends - self.kept.keys())
-        self.kept.update(zip(new, self.encode_whole(new), strict=True))
-        self.kept.update([(x, self.kept[x[:-1]] + self.kept[x[-1]]) for x in ends])
+        kept, model, table = self.kept, self.model.model, self.bytes
+        words, rest, made = set(), [], []
+        for x in missing:
+            if LETTERS(x):
+                words.add(x)
+            elif any(y in x for y in self.added):
+                rest += [x] * bool(SOUND(x))
+            elif x and "".join(parts := PARTS(x)) == x:
+                made.append((x, parts))
+                words.update(parts)
+            elif SOUND(x) or not x:
+                rest.append(x)
+        words.difference_update(kept.keys())
+        kind, little = "H" if self.dtype == "<u2" else "I", sys.byteorder == "little"
+        for x in words:
+            if little and LETTERS(x):  # a single pre-token goes to the model at once
+                kept[x] = array(kind, [t.id for t in model.tokenize(x.encode().decode("latin-1").translate(table))]).tobytes()
+            else:
+                rest.append(x)
+        kept.update(zip(rest, self.encode_whole(rest), strict=True))
+        kept.update([(x, b"".join([kept[y] for y in parts])) for x, parts in made])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_piece:
             return self.encode_whole(texts)
         pieces = [self.cut(x) for x in texts]
+        met = set().union(*pieces)
+        missing = met - self.kept.keys()
         if len(self.kept) > self.most:
-            self.kept.clear()
-        if missing := set().union(*pieces) - self.kept.keys():
+            self.kept = {x: self.kept[x] for x in met - missing}
+        if missing:
             self.learn(missing)
         out: list[bytes | None] = []
         for some in pieces:
@@ -186,6 +213,7 @@ def write_tokens(documents: DataFrame, folder: str, tokenizer: str, end_id: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         os.environ["RAYON_NUM_THREADS"] = "1"
+        gc.disable()  # ids come as millions of small lists, none of them in a cycle
         writer = model = None
         end = np.array([end_id], dtype).tobytes()
         for batch in batches:
