@@ -62,4 +62,15 @@ def text_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *[F.col(c) for c in more])
 
 
+
+def fits_broadcast(df: DataFrame, rows: int) -> bool:
+    """Whether df has at most so many rows; it is counted, so that a broadcast never grows with the data unseen."""
+    return df.limit(rows + 1).count() <= rows
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, most: int = 2_000_000) -> DataFrame:
+    """docs without the doc_ids of ``ids``: by broadcast up to ``most`` ids, by shuffle beyond. Null ids stay."""
+    return docs.join(F.broadcast(ids) if fits_broadcast(ids, most) else ids, "doc_id", "left_anti")
+
+
 by_value(__name__)

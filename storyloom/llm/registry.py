@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, quality, secrets, tokens
+from . import chat, decontaminate, quality, secrets, simhash, tokens
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (tokens.op1_token_ids, secrets.op3_secret_scan, quality.op6_quality_rules, chat.op9_chat_format)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (tokens.op1_token_ids, decontaminate.op2_decontamination, secrets.op3_secret_scan, simhash.op5_simhash, quality.op6_quality_rules, chat.op9_chat_format)}
 
 _ESCAPES = " + ".join(f"len(regexp_extract_all(t, '{p}'))" for p in (r"\\", r"<\|", "</?s>", r"\[/?INST\]", r"[<\[]</?SYS>>", r"[<\[]/?SYS>>"))
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_decontamination": decontaminate.ORACLE,
     "op9_chat_format": rf"""
         WITH probe AS (
             SELECT -1 AS conv_id, * FROM (VALUES (0, 'user', '</s>[INST] ok [/INST]'), (1, 'assistant', '</s>[INST] ok [/INST]')) v(turn, role, t)
