@@ -111,70 +111,75 @@ class PieceEncoder:
     changes time only.
     """
 
-    def __init__(self, blob: str, dtype: str, most: int = 400_000):
+    def __init__(self, blob: str, dtype: str, most: int = 800_000):
         from tokenizers import Tokenizer
 
         self.model, self.dtype, self.most = Tokenizer.from_str(blob), dtype, most
         spec = json.loads(blob)
         pre = spec.get("pre_tokenizer") or {}
+        self.kind, self.model_of = "H" if dtype == "<u2" else "I", self.model.model.tokenize
         self.added = [x["content"] for x in spec.get("added_tokens", [])]
-        self.by_piece = not any(LETTERS(x) for x in self.added) and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec.get("normalizer") and not any(x["lstrip"] or x["rstrip"] or " " in x["content"] for x in spec.get("added_tokens", []))
-        self.kept: dict[str, bytes] = {}
+        self.by_piece = sys.byteorder == "little" and not any(LETTERS(x) for x in self.added) and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec.get("normalizer") and not any(x["lstrip"] or x["rstrip"] or " " in x["content"] for x in spec.get("added_tokens", []))
+        self.kept: dict[str, bytes] = {}  # without the leading space
         # The byte-level alphabet: printable Latin-1 stands for itself, each other byte for the next character from 256 on.
         same = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.bytes = dict(zip([b for b in range(256) if b not in same], range(256, 512), strict=False))
 
     def encode_whole(self, texts: list[str]) -> list[bytes]:
-        kind = "H" if self.dtype == "<u2" else "I"
-        packed = [array(kind, x.ids) for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
-        if sys.byteorder == "big":
-            for x in packed:
-                x.byteswap()
-        return [x.tobytes() for x in packed]
-
-    @staticmethod
-    def cut(text: str) -> list[str]:
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
-
-    def learn(self, missing: set[str]) -> None:
-        """Fills ``kept``; a piece that can't stand alone gets no entry."""
-        kept, model, table = self.kept, self.model.model, self.bytes
-        words, rest, made = set(), [], []
+        return [np.array(x.ids, self.dtype).tobytes() for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, missing: set[str], kept: dict[str, bytes], lead: str) -> None:
+        """Fills ``kept`` with the ids of lead + x; what can't stand alone gets no entry."""
+        rest, made, known = set(), [], {}
         for x in missing:
-            if LETTERS(x):
-                words.add(x)
-            elif any(y in x for y in self.added):
-                rest += [x] * bool(SOUND(x))
-            elif x and "".join(parts := PARTS(x)) == x:
+            y = lead + x
+            if LETTERS(y):
+                kept[x] = self.word(y)
+            elif not y or any(z in y for z in self.added):
+                if not y or SOUND(y):
+                    made.append((x, (y,)))
+                    rest.add(y)
+            elif "".join(parts := PARTS(y)) == y:
                 made.append((x, parts))
-                words.update(parts)
-            elif SOUND(x) or not x:
-                rest.append(x)
-        words.difference_update(kept.keys())
-        kind, little = "H" if self.dtype == "<u2" else "I", sys.byteorder == "little"
-        for x in words:
-            if little and LETTERS(x):  # a single pre-token goes to the model at once
-                kept[x] = array(kind, [t.id for t in model.tokenize(x.encode().decode("latin-1").translate(table))]).tobytes()
-            else:
-                rest.append(x)
-        kept.update(zip(rest, self.encode_whole(rest), strict=True))
-        kept.update([(x, b"".join([kept[y] for y in parts])) for x, parts in made])
+                for z in parts:
+                    if z not in known:
+                        if z[0] == " " and (ids := self.kept.get(z[1:])) is not None:
+                            known[z] = ids
+                        elif LETTERS(z):
+                            known[z] = self.word(z)
+                            if z[0] == " ":
+                                self.kept[z[1:]] = known[z]
+                        else:
+                            rest.add(z)
+            elif SOUND(y):
+                made.append((x, (y,)))
+                rest.add(y)
+        listed = list(rest)
+        known.update(zip(listed, self.encode_whole(listed), strict=True))
+        for x, parts in made:
+            kept[x] = known[parts[0]] if len(parts) == 1 else b"".join([known[y] for y in parts])
+
+    def word(self, y: str) -> bytes:
+        """The ids of a single pre-token, which goes to the model at once."""
+        return array(self.kind, [t.id for t in self.model_of(y.encode().decode("latin-1").translate(self.bytes))]).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_piece:
             return self.encode_whole(texts)
-        pieces = [self.cut(x) for x in texts]
+        pieces = [x.split(" ") for x in texts]
+        heads = [x.pop(0) for x in pieces]
+        firsts: dict[str, bytes] = {}
+        self.learn(set(heads), firsts, "")
         met = set().union(*pieces)
         missing = met - self.kept.keys()
         if len(self.kept) > self.most:
             self.kept = {x: self.kept[x] for x in met - missing}
         if missing:
-            self.learn(missing)
+            self.learn(missing, self.kept, " ")
         out: list[bytes | None] = []
-        for some in pieces:
+        for head, some in zip(heads, pieces, strict=True):
             try:
-                out.append(b"".join(map(self.kept.__getitem__, some)))
+                out.append(firsts[head] + b"".join(map(self.kept.__getitem__, some)))
             except KeyError:
                 out.append(None)
         whole = [k for k, x in enumerate(out) if x is None]
