@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, quality, secrets, simhash, tokens
+from . import chat, decontaminate, mixing, quality, secrets, simhash, tokens, toxicity
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (tokens.op1_token_ids, decontaminate.op2_decontamination, secrets.op3_secret_scan, simhash.op5_simhash, quality.op6_quality_rules, chat.op9_chat_format)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (tokens.op1_token_ids, decontaminate.op2_decontamination, secrets.op3_secret_scan, toxicity.op4_toxicity, simhash.op5_simhash, quality.op6_quality_rules, chat.op9_chat_format, mixing.op10_mixing)}
 
 _ESCAPES = " + ".join(f"len(regexp_extract_all(t, '{p}'))" for p in (r"\\", r"<\|", "</?s>", r"\[/?INST\]", r"[<\[]</?SYS>>", r"[<\[]/?SYS>>"))
 
