@@ -107,11 +107,10 @@ class PieceEncoder:
     A byte-level pre-tokenizer never joins characters across a space between two others that are no blanks: the space
     starts a new pre-token. Texts are cut there, and the pieces where letters meet other signs or a single line end;
     the ids of a text are those of its pieces. A text with other blanks at a cut, and all texts of other tokenizers,
-    are encoded whole. When ``kept`` holds over ``most`` pieces, those that the present texts don't use go: that
-    changes time only.
+    are encoded whole. When ``kept`` holds over ``most`` pieces, those met once only go: that changes time only.
     """
 
-    def __init__(self, blob: str, dtype: str, most: int = 800_000):
+    def __init__(self, blob: str, dtype: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
         self.model, self.dtype, self.most = Tokenizer.from_str(blob), dtype, most
@@ -121,6 +120,7 @@ class PieceEncoder:
         self.added = [x["content"] for x in spec.get("added_tokens", [])]
         self.by_piece = sys.byteorder == "little" and not any(LETTERS(x) for x in self.added) and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec.get("normalizer") and not any(x["lstrip"] or x["rstrip"] or " " in x["content"] for x in spec.get("added_tokens", []))
         self.kept: dict[str, bytes] = {}  # without the leading space
+        self.hot: set[str] = set()  # met twice or more
         # The byte-level alphabet: printable Latin-1 stands for itself, each other byte for the next character from 256 on.
         same = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.bytes = dict(zip([b for b in range(256) if b not in same], range(256, 512), strict=False))
@@ -172,8 +172,12 @@ class PieceEncoder:
         self.learn(set(heads), firsts, "")
         met = set().union(*pieces)
         missing = met - self.kept.keys()
+        again = met - missing
+        self.hot |= again
         if len(self.kept) > self.most:
-            self.kept = {x: self.kept[x] for x in met - missing}
+            if len(self.hot) > self.most // 2:
+                self.hot = again
+            self.kept = {x: self.kept[x] for x in self.hot}
         if missing:
             self.learn(missing, self.kept, " ")
         out: list[bytes | None] = []
