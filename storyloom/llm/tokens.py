@@ -161,7 +161,11 @@ class PieceEncoder:
 
     def word(self, y: str) -> bytes:
         """The ids of a single pre-token, which goes to the model at once."""
-        return array(self.kind, [t.id for t in self.model_of(y.encode().decode("latin-1").translate(self.bytes))]).tobytes()
+        if y.isascii():
+            y = "\u0120" + y[1:] if y[0] == " " else y
+        else:
+            y = y.encode().decode("latin-1").translate(self.bytes)
+        return array(self.kind, [t.id for t in self.model_of(y)]).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_piece:
