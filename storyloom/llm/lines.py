@@ -4,9 +4,10 @@ A text is cut into units: lines, and the sentences of a line. Fingerprints are h
 winnowing selects the minimum of every window of two; a unit of ``LONG`` words or more is a fingerprint of its own.
 Runs of three units, and units of ``LONG`` words, can't be repeated without a shared fingerprint: that is guaranteed.
 
-Each later occurrence of a fingerprint is joined with its first one. Both texts are aligned there, matches are extended
-unit by unit both ways, and a run of equal units of ``LEAST`` words or more is deleted from the later place. Joining
-with the first occurrence alone keeps the work linear, however often a line recurs.
+Each later occurrence of a fingerprint is joined with its first one, and the match is extended both ways, unit by unit,
+up to ``REACH`` units; longer runs go on by their next fingerprints. If the equal units have ``LEAST`` words or more,
+they are deleted from the later place. Joining with the first occurrence alone keeps the work linear, however often a
+line recurs.
 """
 
 from __future__ import annotations
@@ -16,13 +17,18 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, fits_broadcast, table, text_of
 
-LONG, LEAST = 20, 20
-CUT = r"(?<=\n)(?!\s)|(?<=[.!?]\x20)(?!\s)"
+LONG, LEAST, REACH = 20, 20, 8
+CUT = r"(?<=\n)|(?<=[.!?]\x20)"
+MARK = "\u0001"
 
 
 def units_of(text: Column) -> Column:
-    """The units of a text; joined they give the text again."""
-    return F.split(text, CUT, -1)
+    """The units of a text, cut after line ends and sentence ends; joined they give the text again."""
+    marked = text
+    for end in ("\n", ". ", "! ", "? "):
+        marked = F.replace(marked, F.lit(end), F.lit(end + MARK))
+    # Splitting at one character needs no regular expression.
+    return F.when(F.contains(text, F.lit(MARK)), F.split(text, CUT, -1)).otherwise(F.split(marked, MARK, -1))
 
 
 def dedup_lines(documents: DataFrame, least: int = LEAST) -> DataFrame:
@@ -35,10 +41,9 @@ def dedup_lines(documents: DataFrame, least: int = LEAST) -> DataFrame:
     """
     spark = documents.sparkSession
     scratch = Scratch(spark, "lines")
-    trimmed = F.transform("units", lambda u: F.btrim(u, F.lit(" \t\n\r\u000b\u000c")))
-    rows = text_of(documents).select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text", units_of(F.col("text")).alias("units")).select("rid", "doc_id", "text", trimmed.alias("units"))
-    words = F.transform("units", lambda u: F.when(u == "", 0).otherwise(F.length(u) - F.length(F.replace(u, F.lit(" "), F.lit(""))) + 1))
-    docs = scratch.write("docs", rows.select("rid", "doc_id", "text", F.transform("units", lambda u: F.xxhash64(u)).alias("hashes"), words.alias("words")))
+    told = F.transform(units_of(F.col("text")), lambda u: F.struct(F.xxhash64(F.btrim(u, F.lit(" \n\r\t"))).alias("h"), (F.octet_length(u) - F.octet_length(F.replace(u, F.lit(" "), F.lit(""))) + 1).alias("w")))
+    rows = text_of(documents).select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text", told.alias("told"))
+    docs = scratch.write("docs", rows.select("rid", "doc_id", "text", F.col("told.h").alias("hashes"), F.col("told.w").alias("words")))
 
     h = lambda k: F.get("hashes", F.col("at") + k)
     gram = lambda k: F.when(h(k).isNotNull() & h(k + 1).isNotNull(), F.xxhash64(h(k), h(k + 1)))
@@ -51,15 +56,18 @@ def dedup_lines(documents: DataFrame, least: int = LEAST) -> DataFrame:
     place = F.struct("doc_id", "rid", "at")
     firsts = scratch.write("firsts", marks.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first"))
     met = marks.join(firsts, "key").where((F.col("rid") != F.col("first.rid")) | (F.col("at") != F.col("first.at")))
-    aligned = scratch.write("aligned", met.select("rid", F.col("first.rid").alias("from"), (F.col("at") - F.col("first.at")).alias("shift")).distinct())
+    seeds = scratch.write("seeds", met.select("rid", "at", F.col("first.rid").alias("from"), F.col("first.at").alias("from_at")))
 
-    later = docs.select("rid", "hashes", "words")
-    earlier = docs.select(F.col("rid").alias("from"), F.col("hashes").alias("others"))
-    both = scratch.write("both", aligned.join(later, "rid")).join(earlier, "from")
-    same = F.filter(F.sequence(F.lit(0), F.size("hashes") - 1), lambda k: (F.get("hashes", k) == F.get("others", k - F.col("shift"))) & (F.get("words", k) > 0))
-    matched = both.select("rid", "from", "shift", "words", F.posexplode(same).alias("nth", "at"))
-    runs = matched.groupBy("rid", "from", "shift", (F.col("at") - F.col("nth")).alias("run")).agg(F.sum(F.get("words", F.col("at"))).alias("n"), F.min("at").alias("a"), F.max("at").alias("b"))
-    gone = runs.where(F.col("n") >= least).groupBy("rid").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_set(F.sequence("a", "b"))))).alias("dropped"))
+    around = F.sequence(F.lit(-REACH), F.lit(REACH))
+    near = lambda array, at: F.transform(around, lambda k: F.get(array, F.col(at) + k))
+    one = seeds.join(docs.select("rid", "hashes", "words"), "rid").select("rid", "at", "from", "from_at", near("hashes", "at").alias("mine"), near("words", "at").alias("words"))
+    two = one.join(docs.select(F.col("rid").alias("from"), F.col("hashes").alias("others")), "from").select("rid", "at", "words", F.zip_with("mine", near("others", "from_at"), lambda x, y: F.coalesce(x == y, F.lit(False))).alias("same"))
+    # How many equal units stand on either side of the fingerprint's first one.
+    run = lambda side: F.coalesce(F.nullif(F.array_position(side, F.lit(False)), F.lit(0)) - 1, F.lit(REACH)).cast("int")
+    two = two.select("rid", "at", "words", run(F.reverse(F.slice("same", 1, REACH))).alias("left"), run(F.slice("same", REACH + 2, REACH)).alias("right"))
+    size = F.aggregate(F.slice("words", REACH + 1 - F.col("left"), F.col("left") + F.col("right") + 1), F.lit(0), lambda n, w: n + w)
+    runs = two.where(size >= least).select("rid", (F.col("at") - F.col("left")).alias("a"), (F.col("at") + F.col("right")).alias("b")).distinct()
+    gone = runs.groupBy("rid").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.sequence("a", "b"))))).alias("dropped"))
     gone = scratch.write("gone", gone)
     out = docs.select("rid", "doc_id", "text", F.size("hashes").alias("n_units")).join(F.broadcast(gone) if fits_broadcast(gone, 500_000) else gone, "rid", "left")
     left = F.array_join(F.filter(units_of(F.col("text")), lambda u, k: ~F.array_contains("dropped", k)), "")
