@@ -58,19 +58,21 @@ def dedup_lines(documents: DataFrame, least: int = LEAST) -> DataFrame:
     met = marks.join(firsts, "key").where((F.col("rid") != F.col("first.rid")) | (F.col("at") != F.col("first.at")))
     seeds = scratch.write("seeds", met.select("rid", "at", F.col("first.rid").alias("from"), F.col("first.at").alias("from_at")))
 
-    around = F.sequence(F.lit(-REACH), F.lit(REACH))
-    near = lambda array, at: F.transform(around, lambda k: F.get(array, F.col(at) + k))
-    one = seeds.join(docs.select("rid", "hashes", "words"), "rid").select("rid", "at", "from", "from_at", near("hashes", "at").alias("mine"), near("words", "at").alias("words"))
-    two = one.join(docs.select(F.col("rid").alias("from"), F.col("hashes").alias("others")), "from").select("rid", "at", "words", F.zip_with("mine", near("others", "from_at"), lambda x, y: F.coalesce(x == y, F.lit(False))).alias("same"))
+    back = F.least(F.lit(REACH), F.col("at"), F.col("from_at"))
+    near = lambda array, at: F.slice(array, F.col(at) - F.col("back") + 1, F.col("back") + REACH + 1)
+    one = seeds.withColumn("back", back).join(docs.select("rid", "hashes", "words"), "rid").select("rid", "at", "from", "from_at", "back", near("hashes", "at").alias("mine"), near("words", "at").alias("words"))
+    two = one.join(docs.select(F.col("rid").alias("from"), F.col("hashes").alias("others")), "from").select("rid", "at", "back", "words", F.zip_with("mine", near("others", "from_at"), lambda x, y: F.coalesce(x == y, F.lit(False))).alias("same"))
     # How many equal units stand on either side of the fingerprint's first one.
-    run = lambda side: F.coalesce(F.nullif(F.array_position(side, F.lit(False)), F.lit(0)) - 1, F.lit(REACH)).cast("int")
-    two = two.select("rid", "at", "words", run(F.reverse(F.slice("same", 1, REACH))).alias("left"), run(F.slice("same", REACH + 2, REACH)).alias("right"))
-    size = F.aggregate(F.slice("words", REACH + 1 - F.col("left"), F.col("left") + F.col("right") + 1), F.lit(0), lambda n, w: n + w)
+    run = lambda side: F.coalesce(F.nullif(F.array_position(side, F.lit(False)).cast("int"), F.lit(0)) - 1, F.size(side))
+    two = two.select("rid", "at", "back", "words", run(F.reverse(F.slice("same", F.lit(1), F.col("back")))).alias("left"), run(F.slice("same", F.col("back") + 2, F.lit(REACH))).alias("right"))
+    size = F.aggregate(F.slice("words", F.col("back") + 1 - F.col("left"), F.col("left") + F.col("right") + 1), F.lit(0), lambda n, w: n + w)
     runs = two.where(size >= least).select("rid", (F.col("at") - F.col("left")).alias("a"), (F.col("at") + F.col("right")).alias("b")).distinct()
     gone = runs.groupBy("rid").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.sequence("a", "b"))))).alias("dropped"))
     gone = scratch.write("gone", gone)
     out = docs.select("rid", "doc_id", "text", F.size("hashes").alias("n_units")).join(F.broadcast(gone) if fits_broadcast(gone, 500_000) else gone, "rid", "left")
-    left = F.array_join(F.filter(units_of(F.col("text")), lambda u, k: ~F.array_contains("dropped", k)), "")
+    out = out.withColumn("units", F.when(F.col("dropped").isNotNull(), units_of(F.col("text"))))
+    stay = F.array_except(F.sequence(F.lit(0), F.col("n_units") - 1), F.col("dropped"))
+    left = F.array_join(F.transform(stay, lambda k: F.get("units", k)), "")
     return out.select("doc_id", "n_units", F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"), F.when(F.col("dropped").isNull(), F.col("text")).otherwise(left).alias("text"))
 
 
