@@ -4,8 +4,9 @@ A text is cut into units: lines, and the sentences of a line. Fingerprints are h
 winnowing selects the minimum of every window of two; a unit of ``LONG`` words or more is a fingerprint of its own.
 Runs of three units, and units of ``LONG`` words, can't be repeated without a shared fingerprint: that is guaranteed.
 
-Each later occurrence of a fingerprint is joined with its first one, and the match is extended both ways, unit by unit,
-up to ``REACH`` units; longer runs go on by their next fingerprints. If the equal units have ``LEAST`` words or more,
+Each later occurrence of a fingerprint is joined with its first one. Fingerprints in a row that point to the same place
+form a chain, whose ends are extended both ways, unit by unit, up to ``REACH`` units (the next fingerprint is nearer
+unless its first occurrence is elsewhere). If the equal units have ``LEAST`` words or more,
 they are deleted from the later place. Joining with the first occurrence alone keeps the work linear, however often a
 line recurs.
 """
@@ -50,27 +51,32 @@ def dedup_lines(documents: DataFrame, least: int = LEAST) -> DataFrame:
     spread = docs.select("rid", "doc_id", "hashes", "words", F.explode(F.sequence(F.lit(0), F.size("hashes") - 1)).alias("at"))
     here = gram(0)
     chosen = here.isNotNull() & (F.coalesce(here <= gram(-1), F.lit(True)) | F.coalesce(here <= gram(1), F.lit(True)))
-    pairs = spread.where(chosen).select("rid", "doc_id", "at", here.alias("key"))
-    alone = spread.where(F.get("words", F.col("at")) >= LONG).select("rid", "doc_id", "at", F.xxhash64(h(0), F.lit("alone")).alias("key"))
+    pairs = spread.where(chosen).select("rid", "doc_id", "at", (F.col("at") + 1).alias("end"), here.alias("key"))
+    alone = spread.where(F.get("words", F.col("at")) >= LONG).select("rid", "doc_id", "at", F.col("at").alias("end"), F.xxhash64(h(0), F.lit("alone")).alias("key"))
     marks = scratch.write("marks", pairs.union(alone))
     place = F.struct("doc_id", "rid", "at")
     firsts = scratch.write("firsts", marks.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first"))
     met = marks.join(firsts, "key").where((F.col("rid") != F.col("first.rid")) | (F.col("at") != F.col("first.at")))
-    seeds = scratch.write("seeds", met.select("rid", "at", F.col("first.rid").alias("from"), F.col("first.at").alias("from_at")))
-
-    back = F.least(F.lit(REACH), F.col("at"), F.col("from_at"))
-    near = lambda array, at: F.slice(array, F.col(at) - F.col("back") + 1, F.col("back") + REACH + 1)
-    one = seeds.withColumn("back", back).join(docs.select("rid", "hashes", "words"), "rid").select("rid", "at", "from", "from_at", "back", near("hashes", "at").alias("mine"), near("words", "at").alias("words"))
-    two = one.join(docs.select(F.col("rid").alias("from"), F.col("hashes").alias("others")), "from").select("rid", "at", "back", "words", F.zip_with("mine", near("others", "from_at"), lambda x, y: F.coalesce(x == y, F.lit(False))).alias("same"))
-    # How many equal units stand on either side of the fingerprint's first one.
+    # Fingerprints in a row that point to the same place are one chain of equal units; only its ends are extended.
+    seeds = met.select("rid", F.col("first.rid").alias("from"), (F.col("at") - F.col("first.at")).alias("shift"), "at", "end")
+    order = Window.partitionBy("rid").orderBy("from", "shift", "at", "end")
+    goes_on = (F.lag("from").over(order) == F.col("from")) & (F.lag("shift").over(order) == F.col("shift")) & (F.col("at") <= F.lag("end").over(order) + 1)
+    linked = seeds.withColumn("new", F.when(goes_on, 0).otherwise(1)).withColumn("chain", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    chains = linked.groupBy("rid", "from", "shift", "chain").agg(F.min("at").alias("a"), F.max("end").alias("b"))
+    chains = chains.withColumn("back", F.least(F.lit(REACH), F.col("a"), F.col("a") - F.col("shift")))
+    first, last = F.col("a") - F.col("back") + 1, F.col("b") + 2
+    one = chains.join(docs.select("rid", "hashes", "words"), "rid").select("rid", "from", "shift", "a", "b", "back", F.slice("hashes", first, F.col("back")).alias("left"), F.slice("hashes", last, F.lit(REACH)).alias("right"), F.slice("words", first, F.col("back") + F.col("b") - F.col("a") + 1 + REACH).alias("words"))
+    same = lambda x, y: F.zip_with(x, y, lambda u, v: F.coalesce(u == v, F.lit(False)))
+    two = one.join(docs.select(F.col("rid").alias("from"), F.col("hashes").alias("others")), "from").select("rid", "a", "b", "back", "words", same(F.reverse("left"), F.reverse(F.slice("others", first - F.col("shift"), F.col("back")))).alias("left"), same("right", F.slice("others", last - F.col("shift"), F.lit(REACH))).alias("right"))
     run = lambda side: F.coalesce(F.nullif(F.array_position(side, F.lit(False)).cast("int"), F.lit(0)) - 1, F.size(side))
-    two = two.select("rid", "at", "back", "words", run(F.reverse(F.slice("same", F.lit(1), F.col("back")))).alias("left"), run(F.slice("same", F.col("back") + 2, F.lit(REACH))).alias("right"))
-    size = F.aggregate(F.slice("words", F.col("back") + 1 - F.col("left"), F.col("left") + F.col("right") + 1), F.lit(0), lambda n, w: n + w)
-    runs = two.where(size >= least).select("rid", (F.col("at") - F.col("left")).alias("a"), (F.col("at") + F.col("right")).alias("b")).distinct()
+    two = two.select("rid", "a", "b", "back", "words", run("left").alias("left"), run("right").alias("right"))
+    size = F.aggregate(F.slice("words", F.col("back") + 1 - F.col("left"), F.col("left") + F.col("b") - F.col("a") + 1 + F.col("right")), F.lit(0), lambda n, w: n + w)
+    runs = two.where(size >= least).select("rid", (F.col("a") - F.col("left")).alias("a"), (F.col("b") + F.col("right")).alias("b")).distinct()
     gone = runs.groupBy("rid").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.sequence("a", "b"))))).alias("dropped"))
     gone = scratch.write("gone", gone)
     out = docs.select("rid", "doc_id", "text", F.size("hashes").alias("n_units")).join(F.broadcast(gone) if fits_broadcast(gone, 500_000) else gone, "rid", "left")
-    out = out.withColumn("units", F.when(F.col("dropped").isNotNull(), units_of(F.col("text"))))
+    # The generator keeps the optimizer from cutting the text anew for every unit.
+    out = out.select("*", F.explode(F.array(F.when(F.col("dropped").isNotNull(), units_of(F.col("text"))))).alias("units"))
     stay = F.array_except(F.sequence(F.lit(0), F.col("n_units") - 1), F.col("dropped"))
     left = F.array_join(F.transform(stay, lambda k: F.get("units", k)), "")
     return out.select("doc_id", "n_units", F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"), F.when(F.col("dropped").isNull(), F.col("text")).otherwise(left).alias("text"))
