@@ -1 +0,0 @@
-
