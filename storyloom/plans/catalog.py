@@ -5,6 +5,228 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..functions.vectors import doubles
+from ..operators import batching, entities, intervals, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str = ""):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", doubles(F.col("embedding")).alias("v"))
+
+
+def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as intervals of a user: half an hour and more by value."""
+    start = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), start.alias("start"), (start + 1800 + F.col("event_id") % 7200).alias("end"), F.col("event_type").alias("label"))
+
+
+def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return rows.select(F.col("conv_id").alias("chapter"), F.col("turn").alias("scene"), F.lower(F.regexp_extract("text", "([A-Za-z]+)", 1)).alias("alias"))
+
+
+HOUR = 3600.0
+E = "WITH e AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS raw FROM embeddings), u AS (SELECT id, label, raw, list_transform(raw, lambda x: x / greatest(sqrt(list_inner_product(raw, raw)), 1e-10)) AS v FROM e)"
+C = E + ", c AS (SELECT label, list(x ORDER BY i) AS centroid FROM (SELECT label, i, avg(v[i]) AS x FROM u, range(1, 65) r(i) GROUP BY label, i) GROUP BY label)"
+I = "WITH t AS (SELECT user_id AS key, event_id AS id, epoch_us(ts) / 1e6 AS s, epoch_us(ts) / 1e6 + 1800 + event_id % 7200 AS e, event_type AS label FROM events)"
+O = "WITH o AS (SELECT conv_id AS chapter, turn AS scene, lower(regexp_extract(text, '([A-Za-z]+)', 1)) AS alias FROM conversations)"
+
+
+@query(E + " SELECT label, i::INT AS i, round(avg(v[i]), 6) AS x FROM u, range(1, 65) r(i) GROUP BY label, i")
+def centroid_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = vectors.centroids(vectors.unit(embeddings(spark, sf_dir)))
+    return rows.select("label", F.posexplode("centroid").alias("i", "x")).select("label", (F.col("i") + 1).alias("i"), F.round("x", 6).alias("x"))
+
+
+@query(C + """, s AS (SELECT u.id, u.label, c.label AS other, round(list_inner_product(u.v, c.centroid) / (greatest(sqrt(list_inner_product(u.v, u.v)), 1e-10) * greatest(sqrt(list_inner_product(c.centroid, c.centroid)), 1e-10)), 9) AS sim FROM u, c),
+    b AS (SELECT id, label, arg_max(other, (sim, -other)) AS speaker, max(sim) AS sim FROM s GROUP BY id, label),
+    g AS (SELECT label AS utterance, speaker, round(sum(sim), 9) AS total, count(*) AS n, min(id) AS first, avg(sim) AS mean FROM b GROUP BY ALL),
+    r AS (SELECT *, sum(n) OVER (PARTITION BY utterance) AS votes, row_number() OVER (PARTITION BY utterance ORDER BY total DESC, first) AS rank FROM g)
+    SELECT utterance, speaker, round(total, 6) AS total, round(mean, 6) AS mean, votes::BIGINT AS votes, votes >= 2 AS enrolled FROM r WHERE rank = 1""")
+def speaker_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = vectors.unit(embeddings(spark, sf_dir))
+    near = vectors.nearest_centroid(rows, vectors.centroids(rows))
+    votes = near.select(F.col("label").alias("utterance"), F.col("id").alias("pos"), F.col("best").alias("speaker"), "sim")
+    return vectors.weighted_vote(votes, "utterance").withColumn("total", F.round("total", 6))
+
+
+@query(E + ", p AS (SELECT a.label, a.id, round(avg(list_inner_product(a.v, b.v)), 9) AS m FROM u a JOIN u b USING (label) GROUP BY a.label, a.id) SELECT label, arg_max(id, (m, -id)) AS medoid FROM p GROUP BY label")
+def medoid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.medoids(embeddings(spark, sf_dir))
+
+
+@query(E + ", p AS (SELECT a.label, a.id, avg(list_inner_product(a.v, b.v)) FILTER (WHERE a.id <> b.id) AS m FROM u a JOIN u b USING (label) GROUP BY a.label, a.id) SELECT label, round(coalesce(max(m), 1.0), 6) AS coherence FROM p GROUP BY label")
+def coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.coherence(embeddings(spark, sf_dir)).withColumn("coherence", F.round("coherence", 6))
+
+
+@query(E + ", n AS (SELECT a.id, a.label, arg_max(b.label, (round(list_inner_product(a.v, b.v), 9), -b.id)) AS other FROM u a JOIN u b ON a.id <> b.id WHERE a.label <> -1 GROUP BY a.id, a.label) SELECT round(avg((label = other)::INT), 6) AS purity FROM n")
+def nn_purity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.neighbour_purity(embeddings(spark, sf_dir))
+
+
+@query(E + """, m AS (SELECT a.id, a.label, b.label AS other, avg(greatest(1 - list_inner_product(a.v, b.v), 0)) AS d FROM u a JOIN u b ON a.id <> b.id GROUP BY ALL),
+    s AS (SELECT id, max(d) FILTER (WHERE label = other) AS a, min(d) FILTER (WHERE label <> other) AS b FROM m GROUP BY id)
+    SELECT round(avg(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM s""")
+def silhouette_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.silhouette(embeddings(spark, sf_dir))
+
+
+@query(C + """, s AS (SELECT label, list_inner_product(v, centroid) / (sqrt(list_inner_product(v, v)) * sqrt(list_inner_product(centroid, centroid))) AS sim FROM u JOIN c USING (label))
+    SELECT label, count(*) AS n, round(avg(sim), 6) AS mean, round(quantile_cont(sim, 0.5), 6) AS median, round(quantile_cont(sim, 0.25), 6) AS p25, round(quantile_cont(sim, 0.75), 6) AS p75, round(min(sim), 6) AS least FROM s GROUP BY label""")
+def cluster_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = vectors.unit(embeddings(spark, sf_dir))
+    return vectors.cluster_quality(rows, vectors.centroids(rows))
+
+
+@query(E + """, n AS (SELECT id, label, sqrt(list_inner_product(raw, raw)) AS norm FROM e), m AS (SELECT *, median(norm) OVER (PARTITION BY label) AS mid, count(*) OVER (PARTITION BY label) AS size FROM n),
+    d AS (SELECT *, median(abs(norm - mid)) OVER (PARTITION BY label) AS mad FROM m)
+    SELECT id, label, round(norm, 6) AS norm, size <= 3 OR mad < 1e-10 OR mid - 1.5 * 1.4826 * mad <= 0 OR norm >= mid - 1.5 * 1.4826 * mad AS keep FROM d""")
+def mad_norm_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.norm_outliers(embeddings(spark, sf_dir), 1.5).select("id", "label", F.round("norm", 6).alias("norm"), "keep")
+
+
+ISLANDS = ", r AS (SELECT *, max(e) OVER (PARTITION BY key ORDER BY s, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM t), g AS (SELECT *, sum((reach IS NULL OR s - reach > {gap})::INT) OVER (PARTITION BY key ORDER BY s, id) AS island FROM r), m AS (SELECT key, island, min(s) AS s, max(e) AS e, count(*) AS n FROM g GROUP BY key, island)"
+
+
+@query(I + ISLANDS.format(gap="21600") + " SELECT key, island::BIGINT AS island, round(s, 3) AS start, round(e, 3) AS \"end\", n FROM m")
+def gap_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = intervals.merge(timeline(spark, sf_dir), 6 * HOUR)
+    return rows.select("key", "island", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), "n")
+
+
+@query(I + """, a AS (SELECT *, sum((lag IS DISTINCT FROM label)::INT) OVER (PARTITION BY key ORDER BY s, id) AS turn FROM (SELECT *, lag(label) OVER (PARTITION BY key ORDER BY s, id) AS lag FROM t)),
+    b AS (SELECT *, max(e) OVER (PARTITION BY key, turn ORDER BY s, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM a),
+    c AS (SELECT *, sum((reach IS NULL OR s - reach > 86400)::INT) OVER (PARTITION BY key, turn ORDER BY s, id) AS part FROM b)
+    SELECT key, any_value(label) AS label, round(min(s), 3) AS start, round(max(e), 3) AS "end", count(*) AS n FROM c GROUP BY key, turn, part""")
+def merge_same_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.merge_same_label(timeline(spark, sf_dir), 24 * HOUR).select("key", "label", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), "n")
+
+
+@query("WITH RECURSIVE " + I[5:] + """, o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY s, id) AS k FROM t),
+    w AS (SELECT key, k, s, e, s AS gs, 1 AS grp FROM o WHERE k = 1
+          UNION ALL SELECT o.key, o.k, o.s, o.e, CASE WHEN o.s - w.e > 21600 OR o.e - w.gs > 172800 THEN o.s ELSE w.gs END, CASE WHEN o.s - w.e > 21600 OR o.e - w.gs > 172800 THEN w.grp + 1 ELSE w.grp END FROM w JOIN o ON o.key = w.key AND o.k = w.k + 1)
+    SELECT key, round(min(s), 3) AS start, round(arg_max(e, k), 3) AS "end", count(*) AS n FROM w GROUP BY key, grp""")
+def speech_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.capped_groups(timeline(spark, sf_dir), 6 * HOUR, 48 * HOUR).select("key", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), "n")
+
+
+PAIR = I + " SELECT a.key, a.id, b.id AS id_b FROM t a JOIN t b ON a.key = b.key WHERE a.label = 'click' AND b.label <> 'click' AND "
+
+
+def _two(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = timeline(spark, sf_dir)
+    return rows.where("label = 'click'"), rows.where("label <> 'click'")
+
+
+@query(PAIR + "a.e > b.s AND a.s < b.e")
+def overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.overlaps(*_two(spark, sf_dir), 3 * HOUR).select("key", "id", "id_b")
+
+
+@query(PAIR + "a.s >= b.s AND a.e <= b.e")
+def containment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.contained_in(*_two(spark, sf_dir), 3 * HOUR).select("key", "id", "id_b")
+
+
+@query(I + ", x AS (SELECT * FROM t WHERE label = 'click'), y AS (SELECT * FROM t WHERE label <> 'click')" + ISLANDS.format(gap="0").replace("FROM t)", "FROM y)") + """
+    SELECT x.key, x.id, round(coalesce(sum(least(x.e, m.e) - greatest(x.s, m.s)), 0) / greatest(any_value(x.e - x.s), 1e-6), 6) AS share FROM x LEFT JOIN m ON x.key = m.key AND x.e > m.s AND x.s < m.e GROUP BY x.key, x.id""")
+def overlap_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.overlap_share(*_two(spark, sf_dir), 3 * HOUR).withColumn("share", F.round("share", 6))
+
+
+@query(I + """, k AS (SELECT * FROM t WHERE label = 'purchase'), b AS (SELECT t.key, t.id, arg_min(k.id, (abs(t.s - k.s), k.s, CASE WHEN k.s <= t.s THEN -k.id ELSE k.id END)) AS nearest FROM t LEFT JOIN k ON k.key = t.key GROUP BY t.key, t.id) SELECT * FROM b""")
+def asof_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.nearest_in_time(timeline(spark, sf_dir), F.col("label") == "purchase", "id").select("key", "id", "nearest")
+
+
+@query(I + """, w AS (SELECT key, id, s, e, unnest(CASE WHEN e - s < 1200 THEN []::DOUBLE[] WHEN e - s < 2700 THEN [s] ELSE list_concat(list_transform(range(0, floor((e - s - 2700) / 1350 + 1e-9)::BIGINT + 1), lambda k: s + k * 1350), CASE WHEN floor((e - s - 2700) / 1350 + 1e-9) * 1350 + 2700 < e - s - 1e-9 THEN [e - 2700] ELSE [] END) END) AS p FROM t)
+    SELECT key, id, round(p, 3) AS start, round(least(p + 2700, e), 3) AS "end" FROM w""")
+def sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.sliding_windows(timeline(spark, sf_dir), 2700.0, 1350.0, 1200.0).select("key", "id", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"))
+
+
+@query("WITH RECURSIVE d AS (SELECT conv_id, turn, ceil(len(text) / 4)::BIGINT AS tokens, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations), w AS (SELECT conv_id, turn, k, 0 AS batch, tokens AS used FROM d WHERE k = 1 UNION ALL SELECT d.conv_id, d.turn, d.k, CASE WHEN w.used > 0 AND w.used + d.tokens > 300 THEN w.batch + 1 ELSE w.batch END, CASE WHEN w.used > 0 AND w.used + d.tokens > 300 THEN d.tokens ELSE w.used + d.tokens END FROM w JOIN d ON d.conv_id = w.conv_id AND d.k = w.k + 1) SELECT conv_id, turn, batch::INT AS batch FROM w")
+def token_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("key"), F.col("turn").alias("pos"), F.ceil(F.length("text") / 4).cast("bigint").alias("tokens"))
+    return batching.token_batches(rows, 300).select(F.col("key").alias("conv_id"), F.col("pos").alias("turn"), "batch")
+
+
+@query(O + ", l AS (SELECT chapter, scene, alias, CASE WHEN scene % 3 = 0 THEN '' ELSE upper(alias) END AS canonical FROM o WHERE scene % 2 = 0 OR scene % 3 = 0) SELECT o.chapter, o.scene, o.alias, coalesce(nullif(l.canonical, ''), o.alias) AS canonical FROM o LEFT JOIN l USING (chapter, scene, alias)")
+def canonical_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = occurrences(spark, sf_dir)
+    lookup = rows.where("scene % 2 = 0 OR scene % 3 = 0").withColumn("canonical", F.when(F.col("scene") % 3 == 0, "").otherwise(F.upper("alias")))
+    return entities.canonical(rows, lookup).select("chapter", "scene", "alias", "canonical")
+
+
+@query(O + " SELECT * FROM o WHERE NOT (scene % 2 = 0) AND NOT (scene % 5 = 0)")
+def missed_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = occurrences(spark, sf_dir)
+    return entities.missed(rows, rows.where("scene % 2 = 0"), rows.where("scene % 5 = 0"))
+
+
+@query(O + ", m AS (SELECT chapter, scene, alias, CASE WHEN alias < 'm' THEN left(alias, 1) ELSE alias END AS canonical FROM o) SELECT canonical, count(*) AS n, count(DISTINCT chapter) AS chapters FROM m GROUP BY canonical")
+def merge_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = occurrences(spark, sf_dir).withColumn("canonical", F.col("alias"))
+    merges = rows.where("alias < 'm'").select(F.col("alias").alias("absorb"), F.substring("alias", 1, 1).alias("keep")).distinct()
+    return entities.merged(rows, merges).groupBy("canonical").agg(F.count("*").alias("n"), F.count_distinct("chapter").alias("chapters"))
+
+
+@query("SELECT doc_id, len(trim(text)) AS n, substr(trim(string_split(trim(text), chr(10))[1]), 1, 80) AS title, replace(replace(source || '/' || lang, '/', '_'), chr(92), '_') AS name FROM documents")
+def text_basics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.length(T.normalize_text(F.col("text"))).cast("bigint").alias("n"), T.infer_title(F.col("text")).alias("title"), T.safe_name(F.concat("source", F.lit("/"), "lang")).alias("name"))
+
+
+@query("SELECT page_id, nullif(trim(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1\\s*>', 1), '<[^>]*>', '', 'g')), '') AS title FROM pages")
+def html_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", T.html_title(F.col("html")).alias("title"))
+
+
+@query()
+def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", T.html_text(F.col("html")).alias("text"))
+
+
+@query("SELECT min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY text")
+def note_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).drop("h")
+
+
+@query("SELECT event_type, user_id, min(epoch_us(ts)) AS first_us, count(*) AS n FROM events GROUP BY ALL")
+def first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").groupBy("event_type", "user_id").agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))).alias("first_us"), F.count("*").alias("n"))
+
+
+@query("WITH s AS (SELECT conv_id AS chapter, coalesce(sum(len(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a, sum(len(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS b, turn FROM conversations) SELECT chapter, bool_and(b > a) AS covered FROM s GROUP BY chapter")
+def coverage_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.sum(F.length("text")).over(w).alias("end"), F.length("text").alias("n"), F.sum(F.length("text")).over(Window.partitionBy("conv_id")).alias("total"))
+    return entities.coverage(rows.select(F.col("conv_id").alias("chapter"), (F.col("end") - F.col("n")).alias("start"), "end", "total"))
+
+
+@query("SELECT vec_id AS id, label, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm FROM embeddings")
+def vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.vectors import norm
+
+    return embeddings(spark, sf_dir).select("id", "label", F.round(norm(F.col("v")), 6).alias("norm"))
