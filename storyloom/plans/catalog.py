@@ -149,7 +149,7 @@ def containment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(I + ", x AS (SELECT * FROM t WHERE label = 'click'), y AS (SELECT * FROM t WHERE label <> 'click')" + ISLANDS.format(gap="0").replace("FROM t)", "FROM y)") + """
-    SELECT x.key, x.id, round(coalesce(sum(least(x.e, m.e) - greatest(x.s, m.s)), 0) / greatest(any_value(x.e - x.s), 1e-6), 6) AS share FROM x LEFT JOIN m ON x.key = m.key AND x.e > m.s AND x.s < m.e GROUP BY x.key, x.id""")
+    SELECT x.key, x.id, round(coalesce(sum(CASE WHEN m.s IS NOT NULL THEN least(x.e, m.e) - greatest(x.s, m.s) END), 0) / greatest(any_value(x.e - x.s), 1e-6), 6) AS share FROM x LEFT JOIN m ON x.key = m.key AND x.e > m.s AND x.s < m.e GROUP BY x.key, x.id""")
 def overlap_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.overlap_share(*_two(spark, sf_dir), 3 * HOUR).withColumn("share", F.round("share", 6))
 
