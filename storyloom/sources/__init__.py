@@ -1 +1 @@
-
+"""Readers of texts and subtitles."""
