@@ -120,13 +120,13 @@ def candidates(n: int, p: np.ndarray, bits: list[int], threshold: int) -> float:
     return n * (n - 1) / 2 * float(chance.sum())
 
 
-def allot(n: int, both: np.ndarray, distance: int) -> list[Part]:
-    """The parts and thresholds of least estimated cost: a unit for each probe sent, a tenth for each pair verified."""
+def allot(n: int, both: np.ndarray, distance: int, pair: float = 0.1) -> list[Part]:
+    """The parts and thresholds of least estimated cost: a unit for each probe sent, ``pair`` for each pair verified."""
     p = np.diag(both) / max(n, 1)
     best: tuple[float, list[Part]] = (math.inf, [])
     for parts in range(2, distance + 2) if distance else [1]:
         groups = group_bits(n, both, parts)
-        cost = lambda g, t: (n * (t > 0) * sum(math.comb(len(g), k) for k in range(t + 1)) + n + candidates(n, p, g, t) / 10) if t >= 0 else 0.0
+        cost = lambda g, t: (n * (t > 0) * sum(math.comb(len(g), k) for k in range(t + 1)) + n + candidates(n, p, g, t) * pair) if t >= 0 else 0.0
         plans: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}  # sum of t_i + 1 so far
         for g in groups:
             after: dict[int, tuple[float, list[int]]] = {}

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from storyloom.llm import chat, decontaminate, lines, lm, mixing, quality, secrets, simhash, tokens, toxicity
+from storyloom.llm import chat, decontaminate, lines, lm, mixing, nearcopies, quality, secrets, simhash, tokens, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, clash string"
 WORDS = [f"w{i}" for i in range(300)]
@@ -204,6 +204,44 @@ def test_simhash_links_with_crowds(spark, monkeypatch):
         assert sorted(map(sorted, groups.values())) == sorted(sorted(g) for g in want.values() if len(g) > 1)
 
 
+def shingles_of(text, k=5):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+@pytest.mark.parametrize("crowd", [32, 1])
+def test_near_copies_against_brute_force(spark, docs, empty, monkeypatch, crowd):
+    monkeypatch.setattr(nearcopies, "CROWD", crowd)
+    rng = random.Random(5)
+    words = [f"word{i}" for i in range(5000)]
+    base = [[rng.choice(words) for _ in range(rng.randint(150, 500))] for _ in range(40)]
+    made = [(i, " ".join(t)) for i, t in enumerate(base)]
+    for i, t in enumerate(base):  # near copies by one changed word, copies by case and blanks, and halves, which stay
+        for k in range(3):
+            near = list(t)
+            near[rng.randrange(len(near))] = "changed"
+            made.append((100 + 10 * i + k, " ".join(near)))
+        made += [(1000 + i, "  ".join(t).upper()), (2000 + i, " ".join(t[: len(t) // 2]))]
+    made += [(3000, ""), (3001, None), (3002, " \n"), (3003, "b a"), (3004, "a b"), (3005, "A b"), (None, made[0][1]), (3006, "x " * 3000)]
+    frame = spark.createDataFrame(made, "doc_id long, text string").withColumn("component_id", F.lit("clash")).repartition(5)
+    got = {r.doc_id: r.component_id for r in nearcopies.near_copies(frame.select("doc_id", "text")).collect()}
+    want = {1000 + i: i for i in range(40)} | {100 + 10 * i + k: i for i in range(40) for k in range(3)} | {3001: 3000, 3002: 3000, 3005: 3004}
+    assert got == want
+    kept = nearcopies.one_of_each_group(frame)
+    assert kept.columns == frame.columns and Counter(r.doc_id for r in kept.collect()) == Counter(d for d, _ in made if d not in want)
+    if crowd == 32:
+        assert nearcopies.one_of_each_group(empty).count() == 0
+        rows = {}
+        for r in docs.collect():
+            rows[r.doc_id] = min(rows.get(r.doc_id, (r.text or "")), r.text or "")
+        sets = {d: shingles_of(t) for d, t in rows.items() if d is not None}
+        exact = {d for d in sets if any(e < d and sets[d] == sets[e] for e in sets)}
+        near = {d for d in sets if any(e < d and 5 * len(sets[d] & sets[e]) >= 4 * len(sets[d] | sets[e]) for e in sets)}
+        left = [r.doc_id for r in nearcopies.one_of_each_group(docs).collect()]
+        gone = set(sets) - set(left)
+        assert len(left) == len(set(left)) and None in left and exact <= gone <= near | exact  # some near copies may be missed
+
+
 def test_components_of_a_long_path(spark):
     from storyloom.llm.common import Scratch
     from storyloom.llm.graph import components
