@@ -226,20 +226,23 @@ def test_near_copies_against_brute_force(spark, docs, empty, monkeypatch, crowd)
     frame = spark.createDataFrame(made, "doc_id long, text string").withColumn("component_id", F.lit("clash")).repartition(5)
     got = {r.doc_id: r.component_id for r in nearcopies.near_copies(frame.select("doc_id", "text")).collect()}
     want = {1000 + i: i for i in range(40)} | {100 + 10 * i + k: i for i in range(40) for k in range(3)} | {3001: 3000, 3002: 3000, 3005: 3004}
+    exact = set(range(1000, 1040)) | {3001, 3002, 3005}
+    if crowd == 1:  # keys of random neighbours count as crowded, where links of over 2 bits may be lost
+        assert exact <= set(got) <= set(want)
+        return
     assert got == want
     kept = nearcopies.one_of_each_group(frame)
     assert kept.columns == frame.columns and Counter(r.doc_id for r in kept.collect()) == Counter(d for d, _ in made if d not in want)
-    if crowd == 32:
-        assert nearcopies.one_of_each_group(empty).count() == 0
-        rows = {}
-        for r in docs.collect():
-            rows[r.doc_id] = min(rows.get(r.doc_id, (r.text or "")), r.text or "")
-        sets = {d: shingles_of(t) for d, t in rows.items() if d is not None}
-        exact = {d for d in sets if any(e < d and sets[d] == sets[e] for e in sets)}
-        near = {d for d in sets if any(e < d and 5 * len(sets[d] & sets[e]) >= 4 * len(sets[d] | sets[e]) for e in sets)}
-        left = [r.doc_id for r in nearcopies.one_of_each_group(docs).collect()]
-        gone = set(sets) - set(left)
-        assert len(left) == len(set(left)) and None in left and exact <= gone <= near | exact  # some near copies may be missed
+    assert nearcopies.one_of_each_group(empty).count() == 0
+    rows = {}
+    for r in docs.collect():
+        rows[r.doc_id] = min(rows.get(r.doc_id, (r.text or "")), r.text or "")
+    sets = {d: shingles_of(t) for d, t in rows.items() if d is not None}
+    exact = {d for d in sets if any(e < d and sets[d] == sets[e] for e in sets)}
+    near = {d for d in sets if any(e < d and 5 * len(sets[d] & sets[e]) >= 4 * len(sets[d] | sets[e]) for e in sets)}
+    left = [r.doc_id for r in nearcopies.one_of_each_group(docs).collect()]
+    gone = set(sets) - set(left)
+    assert len(left) == len(set(left)) and None in left and exact <= gone <= near | exact  # some near copies may be missed
 
 
 def test_components_of_a_long_path(spark):
