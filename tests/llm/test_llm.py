@@ -245,6 +245,41 @@ def test_near_copies_against_brute_force(spark, docs, empty, monkeypatch, crowd)
     assert len(left) == len(set(left)) and None in left and exact <= gone <= near | exact  # some near copies may be missed
 
 
+def brute_near_copies(made):
+    """component_id by id, of all pairs of shingle sets at 0.8 and more."""
+    sets = {i: shingles_of(t) for i, t in made}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if i < j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return {i: find(i) for i in sets if find(i) != i}
+
+
+def test_near_copies_in_crowded_keys(spark, monkeypatch):
+    monkeypatch.setattr(nearcopies, "CROWD", 1)
+    monkeypatch.setattr(nearcopies, "BLOCK", 3, raising=False)
+    rng = random.Random(15)
+    base = [rng.choice(WORDS) for _ in range(120)]
+    made = []
+    for i in range(80):  # a template whose variants drift away from its smallest one
+        t = base if i < 2 else made[rng.randrange(max(0, i - 12), i)][1].split()
+        near = list(t)
+        near[rng.randrange(len(near))] = f"v{i}"
+        near[rng.randrange(len(near))] = f"u{i}"
+        made.append((i, " ".join(near)))
+    want = brute_near_copies(made)
+    frame = spark.createDataFrame(made, "doc_id long, text string")
+    assert len(want) > 40 and {r.doc_id: r.component_id for r in nearcopies.near_copies(frame).collect()} == want
+
+
 def test_components_of_a_long_path(spark):
     from storyloom.llm.common import Scratch
     from storyloom.llm.graph import components
