@@ -280,6 +280,15 @@ def test_near_copies_in_crowded_keys(spark, monkeypatch):
     assert len(want) > 40 and {r.doc_id: r.component_id for r in nearcopies.near_copies(frame).collect()} == want
 
 
+def test_near_copies_of_equal_fingerprints(spark):
+    rng = random.Random(16)
+    list_ = rng.sample(WORDS, 60)
+    other = rng.sample(list_, 60)
+    made = [(0, " ".join(list_)), (1, " ".join([*other, other[30]])), (2, " ".join(other))]
+    frame = spark.createDataFrame(made, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in nearcopies.near_copies(frame).collect()} == brute_near_copies(made) == {2: 1}
+
+
 def test_components_of_a_long_path(spark):
     from storyloom.llm.common import Scratch
     from storyloom.llm.graph import components
