@@ -289,6 +289,17 @@ def test_near_copies_of_equal_fingerprints(spark):
     assert {r.doc_id: r.component_id for r in nearcopies.near_copies(frame).collect()} == brute_near_copies(made) == {2: 1}
 
 
+def test_near_copies_of_short_texts(spark):
+    rng = random.Random(17)
+    made = []
+    for i in range(60):
+        t = [rng.choice(WORDS) for _ in range(rng.randint(4, 40))]
+        made += [(i, " ".join(t)), (100 + i, " ".join([*t, "more"])), (200 + i, " ".join(["so", "much", *t]))]
+    want = brute_near_copies(made)
+    frame = spark.createDataFrame(made, "doc_id long, text string")
+    assert len(want) > 60 and {r.doc_id: r.component_id for r in nearcopies.near_copies(frame).collect()} == want
+
+
 def test_components_of_a_long_path(spark):
     from storyloom.llm.common import Scratch
     from storyloom.llm.graph import components
