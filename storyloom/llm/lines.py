@@ -5,8 +5,8 @@ winnowing selects the minimum of every window of two; a unit of ``LONG`` words o
 Runs of three units, and units of ``LONG`` words, can't be repeated without a shared fingerprint: that is guaranteed.
 
 Each later occurrence of a fingerprint is joined with its first one. Fingerprints in a row that point to the same place
-form a chain, whose ends are extended both ways, unit by unit, up to ``REACH`` units (the next fingerprint is nearer
-unless its first occurrence is elsewhere). If the equal units have ``LEAST`` words or more,
+form a chain, whose ends are extended both ways, unit by unit, to the first difference: ``REACH`` units at
+first, then twice as many for the chains that went so far, and so on. If the equal units have ``LEAST`` words or more,
 they are deleted from the later place. Joining with the first occurrence alone keeps the work linear, however often a
 line recurs.
 """
@@ -32,6 +32,19 @@ def units_of(text: Column) -> Column:
     return F.when(F.contains(text, F.lit(MARK)), F.split(text, CUT, -1)).otherwise(F.split(marked, MARK, -1))
 
 
+def extended(chains: DataFrame, docs: DataFrame, reach: int) -> DataFrame:
+    """The chains(rid, from, shift, a, b) with the equal units of up to ``reach`` at both ends, their size in words, and on: whether an end went so far."""
+    chains = chains.withColumn("back", F.least(F.lit(reach), F.col("a"), F.col("a") - F.col("shift")))
+    first, last = F.col("a") - F.col("back") + 1, F.col("b") + 2
+    one = chains.join(docs.select("rid", "hashes", "words"), "rid").select("rid", "from", "shift", "a", "b", "back", F.slice("hashes", first, F.col("back")).alias("left"), F.slice("hashes", last, F.lit(reach)).alias("right"), F.slice("words", first, F.col("back") + F.col("b") - F.col("a") + 1 + reach).alias("words"))
+    same = lambda x, y: F.zip_with(x, y, lambda u, v: F.coalesce(u == v, F.lit(False)))
+    two = one.join(docs.select(F.col("rid").alias("from"), F.col("hashes").alias("others")), "from").select("rid", "from", "shift", "a", "b", "back", "words", same(F.reverse("left"), F.reverse(F.slice("others", first - F.col("shift"), F.col("back")))).alias("left"), same("right", F.slice("others", last - F.col("shift"), F.lit(reach))).alias("right"))
+    run = lambda side: F.coalesce(F.nullif(F.array_position(side, F.lit(False)).cast("int"), F.lit(0)) - 1, F.size(side))
+    two = two.select("rid", "from", "shift", "a", "b", "back", "words", run("left").alias("left"), run("right").alias("right"))
+    size = F.aggregate(F.slice("words", F.col("back") + 1 - F.col("left"), F.col("left") + F.col("b") - F.col("a") + 1 + F.col("right")), F.lit(0), lambda n, w: n + w)
+    return two.select("rid", "from", "shift", (F.col("a") - F.col("left")).alias("a"), (F.col("b") + F.col("right")).alias("b"), size.alias("size"), ((F.col("left") == reach) | (F.col("right") == reach)).alias("on"))
+
+
 def dedup_lines(documents: DataFrame, least: int = LEAST) -> DataFrame:
     """A row for each row of documents(doc_id, text): doc_id, n_units, dropped (unit numbers from 0, ascending), text.
 
@@ -63,15 +76,15 @@ def dedup_lines(documents: DataFrame, least: int = LEAST) -> DataFrame:
     goes_on = (F.lag("from").over(order) == F.col("from")) & (F.lag("shift").over(order) == F.col("shift")) & (F.col("at") <= F.lag("end").over(order) + 1)
     linked = seeds.withColumn("new", F.when(goes_on, 0).otherwise(1)).withColumn("chain", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     chains = linked.groupBy("rid", "from", "shift", "chain").agg(F.min("at").alias("a"), F.max("end").alias("b"))
-    chains = chains.withColumn("back", F.least(F.lit(REACH), F.col("a"), F.col("a") - F.col("shift")))
-    first, last = F.col("a") - F.col("back") + 1, F.col("b") + 2
-    one = chains.join(docs.select("rid", "hashes", "words"), "rid").select("rid", "from", "shift", "a", "b", "back", F.slice("hashes", first, F.col("back")).alias("left"), F.slice("hashes", last, F.lit(REACH)).alias("right"), F.slice("words", first, F.col("back") + F.col("b") - F.col("a") + 1 + REACH).alias("words"))
-    same = lambda x, y: F.zip_with(x, y, lambda u, v: F.coalesce(u == v, F.lit(False)))
-    two = one.join(docs.select(F.col("rid").alias("from"), F.col("hashes").alias("others")), "from").select("rid", "a", "b", "back", "words", same(F.reverse("left"), F.reverse(F.slice("others", first - F.col("shift"), F.col("back")))).alias("left"), same("right", F.slice("others", last - F.col("shift"), F.lit(REACH))).alias("right"))
-    run = lambda side: F.coalesce(F.nullif(F.array_position(side, F.lit(False)).cast("int"), F.lit(0)) - 1, F.size(side))
-    two = two.select("rid", "a", "b", "back", "words", run("left").alias("left"), run("right").alias("right"))
-    size = F.aggregate(F.slice("words", F.col("back") + 1 - F.col("left"), F.col("left") + F.col("b") - F.col("a") + 1 + F.col("right")), F.lit(0), lambda n, w: n + w)
-    runs = two.where(size >= least).select("rid", (F.col("a") - F.col("left")).alias("a"), (F.col("b") + F.col("right")).alias("b")).distinct()
+    runs, reach, k = None, REACH, 0
+    while True:
+        grown = scratch.write(f"grown-{k}", extended(chains, docs, reach))
+        ended = grown.where(~F.col("on") & (F.col("size") >= least)).select("rid", "a", "b")
+        runs = ended if runs is None else runs.union(ended)
+        chains, reach, k = grown.where("on").select("rid", "from", "shift", "a", "b").distinct(), 2 * reach, k + 1
+        if not chains.limit(1).count():
+            break
+    runs = runs.distinct()
     gone = runs.groupBy("rid").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.sequence("a", "b"))))).alias("dropped"))
     gone = scratch.write("gone", gone)
     out = docs.select("rid", "doc_id", "text", F.size("hashes").alias("n_units")).join(F.broadcast(gone) if fits_broadcast(gone, 500_000) else gone, "rid", "left")

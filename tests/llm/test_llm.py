@@ -371,6 +371,12 @@ def test_line_dedup(spark, docs, empty):
     assert sum(not r.text for r in lines.dedup_lines(spark.createDataFrame([(i, run) for i in range(50)], "doc_id long, text string")).collect()) == 49
 
 
+def test_line_dedup_of_repeated_short_lines(spark):
+    rows = [(1, "x\ny\n" * 100), (2, "p\nq\nr\n" * 60 + "end"), (3, "x\ny\n" * 4)]
+    got = {r.doc_id: r for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].text == "x\ny\n" and got[2].text == "p\nq\nr\nend" and got[3].dropped == []
+
+
 def test_units_join_to_the_text(spark):
     odd = ["a. b\n\nc! d? ", "", "x\u0001y. z\n", "\n\n"]
     frame = spark.createDataFrame([(x,) for x in odd], "text string")
