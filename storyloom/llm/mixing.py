@@ -1,7 +1,7 @@
 """Mixing to target weights: iterative proportional fitting of token weights, then sampling by calibrated chances.
 
-Tokens are summed by cell (source, language, topic); categories beyond the ``named`` largest of a dimension count as
-one rest class, so that the table of cells is bounded by design and small enough for the driver. The weights are raked
+Tokens are summed by cell (source, language, topic). The driver holds the observed cells as a sparse list, not their
+product, so that every category keeps its own share, however many there are. The weights are raked
 in turn to the target shares of each dimension; each document stays with the chance of its cell, decided by a hash of
 its id: a document's fate depends on nothing else, and repeated runs agree.
 """
@@ -9,14 +9,14 @@ its id: a document's fate depends on nothing else, and repeated runs agree.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, table
 
-REST = "(rest)"
 DIMENSIONS = ("source", "lang", "topic")
-NAMED = {"source": 256, "lang": 32, "topic": 16}  #: 131,072 cells at most
+BROADCAST = 500_000  #: cells that are sent to all tasks; more are joined by a shuffle
 TEMPER, BUDGET, SEED = 0.7, 0.6, 20241
 
 
@@ -32,30 +32,35 @@ def token_count(text: Column) -> Column:
 
 
 def rake(tokens: np.ndarray, targets: list[np.ndarray], budget: float, rounds: int = 500) -> tuple[np.ndarray, np.ndarray]:
+    """``rake_cells`` of all cells of a table: tokens has an axis for each dimension."""
+    weights, chance = rake_cells(tokens.ravel(), list(np.indices(tokens.shape).reshape(tokens.ndim, -1)), targets, budget, rounds)
+    return weights.reshape(tokens.shape), chance.reshape(tokens.shape)
+
+
+def rake_cells(tokens: np.ndarray, places: list[np.ndarray], targets: list[np.ndarray], budget: float, rounds: int = 500) -> tuple[np.ndarray, np.ndarray]:
     """Weights of cells and chances of documents.
 
-    tokens: an axis for each dimension; targets: shares of each axis, of which those of empty categories are dealt to
-    the others. The chances are the weights times the largest factor for which budget * sum(tokens) tokens are expected
-    and no chance passes 1; cells that would pass stay at 1 and the others are raked on.
+    tokens: of each cell; places: for each dimension the cells' categories; targets: shares of each dimension's
+    categories, of which those of empty categories are dealt to the others. The chances are the weights times the
+    largest factor for which budget * sum(tokens) tokens are expected and no chance passes 1; cells that would pass
+    stay at 1 and the others are raked on.
     """
     total = tokens.sum()
-    weights = np.ones(tokens.shape)
+    weights = np.ones(len(tokens))
     if total == 0:
         return weights, weights
     full = []
-    for axis, share in enumerate(targets):
-        held = tokens.sum(axis=tuple(k for k in range(tokens.ndim) if k != axis)) > 0
+    for place, share in zip(places, targets, strict=True):
+        held = np.bincount(place, tokens, len(share)) > 0
         share = np.where(held, share, 0)
         full.append(share / share.sum() if share.sum() else held / held.sum())
     want = budget * total
-    chance = np.full(tokens.shape, budget)
+    chance = np.full(len(tokens), budget)
     for _ in range(rounds):
         before = chance
-        for axis, share in enumerate(full):
-            others = tuple(k for k in range(tokens.ndim) if k != axis)
-            have = (tokens * chance).sum(axis=others)
-            factor = np.where(have > 0, share * want / np.where(have > 0, have, 1), 1)
-            chance = chance * factor.reshape([-1 if k == axis else 1 for k in range(tokens.ndim)])
+        for place, share in zip(places, full, strict=True):
+            have = np.bincount(place, tokens * chance, len(share))
+            chance = chance * np.where(have > 0, share * want / np.where(have > 0, have, 1), 1)[place]
         chance = np.minimum(chance, 1)
         if np.abs(chance - before).max() < 1e-9:
             break
@@ -72,32 +77,22 @@ def mixed(documents: DataFrame, targets: dict[str, dict[str, float]] | None = No
     """
     spark = documents.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = documents.select(F.struct("*").alias("doc"), F.col("doc_id"), F.coalesce(F.col("source"), F.lit("")).alias("source"), F.coalesce(F.col("lang"), F.lit("")).alias("lang"), (topic if topic is not None else topic_of(text)).alias("topic"), token_count(text).alias("n_tokens"))
+    rows = documents.select(F.struct("*").alias("doc"), F.col("doc_id"), F.coalesce(F.col("source"), F.lit("")).alias("source"), F.coalesce(F.col("lang"), F.lit("")).alias("lang"), F.coalesce(topic if topic is not None else topic_of(text), F.lit("")).alias("topic"), token_count(text).alias("n_tokens"))
     scratch = Scratch(spark, "mixing")
     sums = scratch.write("cells", rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")))
-    names = {}
+    cells = sums.orderBy(*DIMENSIONS).toArrow()
+    tokens, places, wanted = cells["tokens"].to_numpy().astype(float), [], []
     for d in DIMENSIONS:
-        if targets and d in targets:
-            names[d] = sorted(targets[d])[: NAMED[d]]
-        else:
-            names[d] = [x["name"] for x in sums.groupBy(F.col(d).alias("name")).agg(F.sum("tokens").alias("n")).orderBy(F.desc("n"), "name").limit(NAMED[d]).collect()]
-    classed = lambda d: F.when(F.col(d).isin(names[d]), F.col(d)).otherwise(REST)
-    cells = sums.groupBy(*[classed(d).alias(d) for d in DIMENSIONS]).agg(F.sum("tokens").alias("n")).collect()  # NAMED bounds them
-    axes = {d: [*names[d], REST] for d in DIMENSIONS}
-    place = {d: {x: k for k, x in enumerate(axes[d])} for d in DIMENSIONS}
-    tokens = np.zeros([len(axes[d]) for d in DIMENSIONS])
-    for c in cells:
-        tokens[tuple(place[d][c[d]] for d in DIMENSIONS)] += c["n"]
-    wanted = []
-    for k, d in enumerate(DIMENSIONS):
-        have = tokens.sum(axis=tuple(j for j in range(3) if j != k))
-        wanted.append(np.array([targets[d].get(x, 0.0) for x in axes[d]]) if targets and d in targets else (have / max(have.sum(), 1)) ** temper)
-    weights, chances = rake(tokens, wanted, budget)
-    listed = [(*(c[d] for d in DIMENSIONS), float(weights[at]), float(chances[at])) for c in cells for at in [tuple(place[d][c[d]] for d in DIMENSIONS)]]
-    known = spark.createDataFrame(listed, "class_source string, class_lang string, class_topic string, weight double, chance double")
-    rows = rows.withColumns({f"class_{d}": classed(d) for d in DIMENSIONS}).join(F.broadcast(known), [f"class_{d}" for d in DIMENSIONS], "left")
+        coded = cells[d].combine_chunks().dictionary_encode()
+        names, place = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        have = np.bincount(place, tokens, len(names))
+        places.append(place)
+        wanted.append(np.array([targets[d].get(x, 0.0) for x in names]) if targets and d in targets else (have / max(have.sum(), 1)) ** temper)
+    weights, chances = rake_cells(tokens, places, wanted, budget)
+    known = spark.createDataFrame(pa.table({**{d: cells[d] for d in DIMENSIONS}, "weight": weights, "chance": chances}))
+    rows = rows.join(F.broadcast(known) if len(tokens) <= BROADCAST else known, list(DIMENSIONS), "left").select("doc", "doc_id", *DIMENSIONS, "n_tokens", "weight", "chance")
     draw = F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit(seed)), 11) / F.lit(float(1 << 53))
-    return rows.drop(*[f"class_{d}" for d in DIMENSIONS]).withColumn("kept", draw < F.col("chance"))
+    return rows.withColumn("kept", draw < F.col("chance"))
 
 
 def sample(documents: DataFrame) -> DataFrame:

@@ -420,6 +420,21 @@ def test_raking_meets_targets(docs, empty):
     assert kept.columns == docs.columns and mixing.sample(empty).count() == 0
 
 
+def test_raking_of_many_categories(spark):
+    rows = [(40 * i + j, "w " * (1 + (i * j) % 7 + 20 * (i == j)), f"l{j:02d}", f"s{i:03d}") for i in range(300) for j in range(36)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    wanted = {"source": {f"s{i:03d}": float(1 + i % 3) for i in range(300)}, "lang": {f"l{i:02d}": float(1 + i % 2) for i in range(36)}}
+    for targets in (wanted, None):
+        cells = mixing.mixed(frame, targets, budget=0.05).groupBy("source", "lang").agg(F.sum("n_tokens").alias("have"), F.sum(F.col("n_tokens") * F.col("chance")).alias("n")).collect()
+        for axis in ("source", "lang"):
+            have, n = Counter(), Counter()
+            for r in cells:
+                have[r[axis]] += r["have"]
+                n[r[axis]] += r["n"]
+            share = {x: targets[axis][x] if targets else have[x] ** mixing.TEMPER for x in have}
+            assert all(abs(n[x] / sum(n.values()) * sum(share.values()) / share[x] - 1) < 1e-3 for x in have)
+
+
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
 
