@@ -6,6 +6,7 @@ Narrow: one pass over the texts, no shuffle, memory of one Arrow batch.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -42,7 +43,7 @@ CLASSES = (
     CharClass("base36", "0-9a-z", 20, 3.6, 3),
     CharClass("base64", "0-9A-Za-z+/=_-", 24, 4.0, 2),
 )
-#: Candidates that match are no secrets: identifiers in the form of a UUID, placeholders, ordered runs, paths and host names.
+#: Parts of candidates that match are no secrets: identifiers in the form of a UUID, placeholders, ordered runs, paths and host names.
 ALLOW = (
     r"(?i)^[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}$",
     r"(?i)example|placeholder|changeme|your[_-]|xxxx|0123456789|123456789|abcdefgh",
@@ -94,27 +95,35 @@ class Scanner:
         found += [(m.start(), 2, m.end()) for m in self.hex.finditer(text)]
         base = sorted((a, b) for a, _, b in found)
         hot: list[list[int]] = []
+        at = 0  # base spans from here on may reach into this candidate or later ones
+        ends = list(itertools.accumulate((b for _, b in base), max))
         for m in self.candidate.finditer(text):
             word = m[0]
-            if word.isalpha() or any(x.search(word) for x in self.allow):
+            while at < len(base) and ends[at] <= m.start():
+                at += 1
+            if word.isalpha():
                 continue
-            for cls, run in self.classes:
-                for r in run.finditer(word):
-                    hot += [[m.start() + r.start() + a, m.start() + r.start() + b] for a, b in hot_spans(r[0], cls)]
+            # The base spans stand for what they cover, and what is allowed is silent; the rest is searched piece by piece.
+            taken = [(a - m.start(), b - m.start()) for a, b in itertools.takewhile(lambda x: x[0] < m.end(), itertools.islice(base, at, None))]
+            for x in self.allow:
+                k = 0
+                while (f := x.search(word, k)) is not None:
+                    taken.append(f.span())
+                    k = f.start() + 1
+            first = 0
+            for a, b in [*sorted(taken), (len(word), len(word))]:
+                piece = word[first : max(a, first)]
+                for cls, run in self.classes:
+                    for r in run.finditer(piece):
+                        hot += [[m.start() + first + r.start() + i, m.start() + first + r.start() + j] for i, j in hot_spans(r[0], cls)]
+                first = max(first, b)
         union: list[list[int]] = []
         for a, b in sorted(hot):
             if union and a <= union[-1][1]:
                 union[-1][1] = max(b, union[-1][1])
             else:
                 union.append([a, b])
-        at = 0
-        reach = 0  # the furthest end of the base spans so far
-        for a, b in union:
-            while at < len(base) and base[at][0] < b:
-                reach = max(reach, base[at][1])
-                at += 1
-            if reach <= a:  # the base spans stand for what they cover
-                found.append((a, 3, b))
+        found += [(a, 3, b) for a, b in union]
         return sorted(found)
 
 
@@ -125,7 +134,7 @@ def scan_secrets(documents: DataFrame, classes: tuple[CharClass, ...] = CLASSES,
     """A row for each row of documents(doc_id, text), with the spans as ``kind:start:end`` in code points.
 
     Null and empty texts have no spans; null ids stay null; repeated rows stay repeated; further columns are ignored.
-    Entropy spans that touch no base span are added; the allow-list silences entropy spans only.
+    Hot windows outside base spans are added; a match of the allow-list silences the windows that overlap it, no others.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -98,6 +98,19 @@ def test_secrets(docs, empty, spark):
     assert secrets.scan_secrets(docs).count() == docs.count() and secrets.scan_secrets(empty).count() == 0
 
 
+def test_secrets_beside_base_spans_and_allowed_parts():
+    rng = random.Random(8)
+    some = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+") for _ in range(n))
+    scanner = secrets.Scanner()
+    key = "AKIA" + "Q7ZB" * 4
+    access, beside = scanner.spans(f"{key}/{some(40)}")
+    assert access == (0, 1, 20) and beside[1:] == (3, 61) and 20 <= beside[0] <= 24
+    long = f"{some(300)}/a/b/c/{some(300)}"
+    found = scanner.spans(long)
+    assert sum(b - a for a, k, b in found if k == 3) > 550 and all(b <= 300 or a >= 300 for a, _, b in found)
+    assert scanner.spans("home/user/lib/share/some_name/4-x") == [] and scanner.spans("3f2b8c1d-9a4e-4f6b-8d2c-7e1a5b9c0d3f") == []
+
+
 def test_incremental_entropy_against_plain():
     import math
 
