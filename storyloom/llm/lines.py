@@ -1,98 +1,127 @@
 """Line dedup by winnowing over line hashes. DataFrame functions only.
 
-A text is cut into units: lines, and the sentences of a line. Fingerprints are hashes of two units in a row, of which
-winnowing selects the minimum of every window of two; a unit of ``LONG`` words or more is a fingerprint of its own.
-Runs of three units, and units of ``LONG`` words, can't be repeated without a shared fingerprint: that is guaranteed.
-
-Each later occurrence of a fingerprint is joined with its first one. Fingerprints in a row that point to the same place
-form a chain, whose ends are extended both ways, unit by unit, to the first difference: ``REACH`` units at
-first, then twice as many for the chains that went so far, and so on. If the equal units have ``LEAST`` words or more,
-they are deleted from the later place. Joining with the first occurrence alone keeps the work linear, however often a
-line recurs.
+A text is cut into units: lines, and the sentences of a line. A run of units counts as repeated if it has ``LEAST`` words
+or ``MOST`` units, and an equal run of units occurs earlier, in another text or this one. Every unit of a repeated run is
+deleted from the later place.
+
+Fingerprints are hashes of two units in a row; winnowing selects those that are no larger than a neighbour's, and pairs
+of ``LEAST`` words; a unit of that many words is a fingerprint of its own. Every run that counts holds a selected
+fingerprint, which is selected in the earlier place too: that is guaranteed. Fingerprints that occur once go.
+
+Matches extend both ways around the places of the others: of the runs that just count and hold the fingerprint, those that
+begin at each unit before it and those that end at each unit after it are looked up, and the first place of each wins.
+A repeated run is the union of such shortest runs (one begins at each of its units, or else one ends at its last unit and
+reaches back over it), so that nothing of it is lost wherever its parts occurred first, and however long it is.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, fits_broadcast, table, text_of
+from .common import Scratch, table
 
-LONG, LEAST, REACH = 20, 20, 8
-CUT = r"(?<=\n)|(?<=[.!?]\x20)"
+LEAST, MOST = 20, 8
+CUT = r"(?<=\n|[.!?]\x20)(?!\n)(?!\z)|(?<=\n|[.!?]\x20)(?=\z)"
 MARK = "\u0001"
+BROADCAST = 16 << 20  #: bytes of deleted unit numbers that are sent to all tasks; more are joined by a shuffle
+NONE = -(1 << 63)
 
 
 def units_of(text: Column) -> Column:
-    """The units of a text, cut after line ends and sentence ends; joined they give the text again."""
+    """The units of a text, cut after line ends (the last of several) and sentence ends; joined they give the text again."""
     marked = text
     for end in ("\n", ". ", "! ", "? "):
         marked = F.replace(marked, F.lit(end), F.lit(end + MARK))
+    marked = F.replace(marked, F.lit(MARK + "\n"), F.lit("\n"))
     # Splitting at one character needs no regular expression.
     return F.when(F.contains(text, F.lit(MARK)), F.split(text, CUT, -1)).otherwise(F.split(marked, MARK, -1))
 
 
-def extended(chains: DataFrame, docs: DataFrame, reach: int) -> DataFrame:
-    """The chains(rid, from, shift, a, b) with the equal units of up to ``reach`` at both ends, their size in words, and on: whether an end went so far."""
-    chains = chains.withColumn("back", F.least(F.lit(reach), F.col("a"), F.col("a") - F.col("shift")))
-    first, last = F.col("a") - F.col("back") + 1, F.col("b") + 2
-    one = chains.join(docs.select("rid", "hashes", "words"), "rid").select("rid", "from", "shift", "a", "b", "back", F.slice("hashes", first, F.col("back")).alias("left"), F.slice("hashes", last, F.lit(reach)).alias("right"), F.slice("words", first, F.col("back") + F.col("b") - F.col("a") + 1 + reach).alias("words"))
-    same = lambda x, y: F.zip_with(x, y, lambda u, v: F.coalesce(u == v, F.lit(False)))
-    two = one.join(docs.select(F.col("rid").alias("from"), F.col("hashes").alias("others")), "from").select("rid", "from", "shift", "a", "b", "back", "words", same(F.reverse("left"), F.reverse(F.slice("others", first - F.col("shift"), F.col("back")))).alias("left"), same("right", F.slice("others", last - F.col("shift"), F.lit(reach))).alias("right"))
-    run = lambda side: F.coalesce(F.nullif(F.array_position(side, F.lit(False)).cast("int"), F.lit(0)) - 1, F.size(side))
-    two = two.select("rid", "from", "shift", "a", "b", "back", "words", run("left").alias("left"), run("right").alias("right"))
-    size = F.aggregate(F.slice("words", F.col("back") + 1 - F.col("left"), F.col("left") + F.col("b") - F.col("a") + 1 + F.col("right")), F.lit(0), lambda n, w: n + w)
-    return two.select("rid", "from", "shift", (F.col("a") - F.col("left")).alias("a"), (F.col("b") + F.col("right")).alias("b"), size.alias("size"), ((F.col("left") == reach) | (F.col("right") == reach)).alias("on"))
+def identified(documents: DataFrame) -> DataFrame:
+    """doc_id, text (null: empty), and id and th, which name a row whatever the order in which rows are read."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    return rows.select("doc_id", "text", F.coalesce("doc_id", F.lit(NONE)).alias("id"), F.xxhash64("text", F.col("doc_id").isNull()).alias("th"))
+
+
+def shortest(at: Column, step: int, least: int) -> Column:
+    """How many units from ``at`` on (step 1) or back (step -1) just count; null if the text ends before."""
+    words = [F.get("words", at + step * k) for k in range(MOST)]
+    total, size = words[0], F.when(words[0] >= least, 1)
+    for k in range(1, MOST - 1):
+        total = total + words[k]
+        size = size.when(total >= least, k + 1)
+    return size.when(words[MOST - 1].isNotNull(), MOST)
+
+
+def fingerprints(units: DataFrame, least: int) -> DataFrame:
+    """(id, th, at, key): the selected fingerprints of each text and the units at which they begin."""
+    spread = units.select("id", "th", "hashes", "words", F.explode(F.sequence(F.lit(0), F.size("hashes") - 1)).alias("at"))
+    h, w = (lambda k: F.get("hashes", F.col("at") + k)), (lambda k: F.get("words", F.col("at") + k))
+    pair = lambda k: F.when(h(k).isNotNull() & h(k + 1).isNotNull(), F.xxhash64(h(k), h(k + 1)))
+    here = pair(0)
+    chosen = F.coalesce(here <= pair(-1), F.lit(False)) | F.coalesce(here <= pair(1), F.lit(False)) | (w(0) + w(1) >= least)
+    key = F.when(w(0) >= least, F.xxhash64(h(0), F.lit("alone"))).when((w(1) < least) & chosen, here)
+    return spread.select("id", "th", "at", key.alias("key")).where("key IS NOT NULL")
+
+
+def runs_around(hits: DataFrame, least: int) -> DataFrame:
+    """(id, th, first, size, key): the shortest runs that hold a hit; hits(id, th, hits: sorted places, hashes, words).
+
+    A run that begins at a unit comes with the first hit in it, one that ends at a unit with the last, and so but once.
+    """
+    each = hits.select("id", "th", "hashes", "words", F.posexplode("hits").alias("k", "at"), F.col("hits").alias("all"))
+    low = F.greatest(F.col("at") - (MOST - 1), F.coalesce(F.get("all", F.col("k") - 1) + 1, F.lit(0)), F.lit(0))
+    high = F.least(F.col("at") + (MOST - 1), F.coalesce(F.get("all", F.col("k") + 1) - 1, F.size("words") - 1), F.size("words") - 1)
+    begins = F.transform(F.sequence(low, F.col("at")), lambda i: F.struct(i.alias("unit"), F.lit(True).alias("on")))
+    ends = F.transform(F.sequence(F.col("at"), high), lambda i: F.struct(i.alias("unit"), F.lit(False).alias("on")))
+    each = each.select("id", "th", "hashes", "words", "at", F.explode(F.concat(begins, ends)).alias("u")).select("id", "th", "hashes", "words", "at", F.col("u.unit").alias("unit"), F.col("u.on").alias("on"))
+    sized = each.withColumn("size", F.when(F.col("on"), shortest(F.col("unit"), 1, least)).otherwise(shortest(F.col("unit"), -1, least)))
+    first = F.when(F.col("on"), F.col("unit")).otherwise(F.col("unit") - F.col("size") + 1)
+    placed = sized.where("size IS NOT NULL").withColumn("first", first).where((F.col("first") <= F.col("at")) & (F.col("first") + F.col("size") > F.col("at")))
+    return placed.select("id", "th", "first", "size", F.xxhash64(F.slice("hashes", F.col("first") + 1, F.col("size"))).alias("key"))
+
+
+def repeated_units(documents: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
+    """identified documents, and (id, th, dropped): the unit numbers that go, ascending, of the texts that lose any."""
+    scratch = Scratch(documents.sparkSession, "lines")
+    docs = identified(documents)
+    told = F.transform(units_of(F.col("text")), lambda u: F.struct(F.xxhash64(F.btrim(u, F.lit(" \n\r\t"))).alias("h"), F.regexp_count(u, F.lit(r"[^\x20\x09-\x0D]+")).alias("w")))
+    told = docs.select("id", "th", told.alias("told"))
+    units = scratch.write("units", told.select("id", "th", F.col("told.h").alias("hashes"), F.col("told.w").alias("words")))
+    marks = fingerprints(units, least)
+    often = marks.groupBy("key").count().where("count > 1").select("key")
+    hits = marks.join(often, "key").groupBy("id", "th").agg(F.sort_array(F.collect_set("at")).alias("hits"))
+    runs = scratch.write("runs", runs_around(units.join(hits, ["id", "th"]), least))
+    scratch.drop("units")
+    place = F.struct("id", "th", "first")
+    firsts = runs.groupBy("key").agg(F.min(place).alias("earliest"), F.count("*").alias("n")).where("n > 1").select("key", "earliest")
+    later = runs.join(firsts, "key").where(place > F.col("earliest"))
+    spans = later.groupBy("id", "th").agg(F.collect_set(F.struct("first", "size")).alias("runs"))
+    dropped = F.sort_array(F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["first"], r["first"] + r["size"] - 1)))))
+    gone = scratch.write("gone", spans.select("id", "th", dropped.alias("dropped")))
+    scratch.drop("runs")
+    return docs, gone
 
 
 def dedup_lines(documents: DataFrame, least: int = LEAST) -> DataFrame:
     """A row for each row of documents(doc_id, text): doc_id, n_units, dropped (unit numbers from 0, ascending), text.
 
     Blanks at a unit's ends don't count, all else does. The order of texts is that of doc_id (null first), equal ids in
-    the order they are read: of exact copies the first stays and the others keep no unit of a deleted run. Null and
-    empty texts have one empty unit, which is never deleted. A run repeated within one text is deleted there too.
+    the order of their texts' hashes: of exact copies the first stays, and the others keep no run that counts. The first
+    place of every unit stays. Null and empty texts have one empty unit, which is never deleted. A run repeated within
+    one text is deleted there too. Rows of equal id and text share their result. An empty table gives an empty table.
     Extra columns are ignored.
     """
-    spark = documents.sparkSession
-    scratch = Scratch(spark, "lines")
-    told = F.transform(units_of(F.col("text")), lambda u: F.struct(F.xxhash64(F.btrim(u, F.lit(" \n\r\t"))).alias("h"), (F.octet_length(u) - F.octet_length(F.replace(u, F.lit(" "), F.lit(""))) + 1).alias("w")))
-    rows = text_of(documents).select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text", told.alias("told"))
-    docs = scratch.write("docs", rows.select("rid", "doc_id", "text", F.col("told.h").alias("hashes"), F.col("told.w").alias("words")))
-
-    h = lambda k: F.get("hashes", F.col("at") + k)
-    gram = lambda k: F.when(h(k).isNotNull() & h(k + 1).isNotNull(), F.xxhash64(h(k), h(k + 1)))
-    spread = docs.select("rid", "doc_id", "hashes", "words", F.explode(F.sequence(F.lit(0), F.size("hashes") - 1)).alias("at"))
-    here = gram(0)
-    chosen = here.isNotNull() & (F.coalesce(here <= gram(-1), F.lit(True)) | F.coalesce(here <= gram(1), F.lit(True)))
-    pairs = spread.where(chosen).select("rid", "doc_id", "at", (F.col("at") + 1).alias("end"), here.alias("key"))
-    alone = spread.where(F.get("words", F.col("at")) >= LONG).select("rid", "doc_id", "at", F.col("at").alias("end"), F.xxhash64(h(0), F.lit("alone")).alias("key"))
-    marks = scratch.write("marks", pairs.union(alone))
-    place = F.struct("doc_id", "rid", "at")
-    firsts = scratch.write("firsts", marks.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first"))
-    met = marks.join(firsts, "key").where((F.col("rid") != F.col("first.rid")) | (F.col("at") != F.col("first.at")))
-    # Fingerprints in a row that point to the same place are one chain of equal units; only its ends are extended.
-    seeds = met.select("rid", F.col("first.rid").alias("from"), (F.col("at") - F.col("first.at")).alias("shift"), "at", "end")
-    order = Window.partitionBy("rid").orderBy("from", "shift", "at", "end")
-    goes_on = (F.lag("from").over(order) == F.col("from")) & (F.lag("shift").over(order) == F.col("shift")) & (F.col("at") <= F.lag("end").over(order) + 1)
-    linked = seeds.withColumn("new", F.when(goes_on, 0).otherwise(1)).withColumn("chain", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    chains = linked.groupBy("rid", "from", "shift", "chain").agg(F.min("at").alias("a"), F.max("end").alias("b"))
-    runs, reach, k = None, REACH, 0
-    while True:
-        grown = scratch.write(f"grown-{k}", extended(chains, docs, reach))
-        ended = grown.where(~F.col("on") & (F.col("size") >= least)).select("rid", "a", "b")
-        runs = ended if runs is None else runs.union(ended)
-        chains, reach, k = grown.where("on").select("rid", "from", "shift", "a", "b").distinct(), 2 * reach, k + 1
-        if not chains.limit(1).count():
-            break
-    runs = runs.distinct()
-    gone = runs.groupBy("rid").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.sequence("a", "b"))))).alias("dropped"))
-    gone = scratch.write("gone", gone)
-    out = docs.select("rid", "doc_id", "text", F.size("hashes").alias("n_units")).join(F.broadcast(gone) if fits_broadcast(gone, 500_000) else gone, "rid", "left")
+    docs, gone = repeated_units(documents, least)
+    size = gone.agg(F.coalesce(F.sum(F.size("dropped") * 4 + 48), F.lit(0))).first()[0]
+    out = docs.join(F.broadcast(gone) if size <= BROADCAST else gone, ["id", "th"], "left")
     # The generator keeps the optimizer from cutting the text anew for every unit.
-    out = out.select("*", F.explode(F.array(F.when(F.col("dropped").isNotNull(), units_of(F.col("text"))))).alias("units"))
-    stay = F.array_except(F.sequence(F.lit(0), F.col("n_units") - 1), F.col("dropped"))
+    out = out.select("doc_id", "text", "dropped", F.explode(F.array(units_of(F.col("text")))).alias("units"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("units") - 1), F.col("dropped"))
     left = F.array_join(F.transform(stay, lambda k: F.get("units", k)), "")
-    return out.select("doc_id", "n_units", F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"), F.when(F.col("dropped").isNull(), F.col("text")).otherwise(left).alias("text"))
+    return out.select("doc_id", F.size("units").alias("n_units"), F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"), F.when(F.col("dropped").isNull(), F.col("text")).otherwise(left).alias("text"))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
