@@ -8,8 +8,9 @@ Fingerprints are hashes of two units in a row; winnowing selects those that are
 of ``LEAST`` words; a unit of that many words is a fingerprint of its own. Every run that counts holds a selected
 fingerprint, which is selected in the earlier place too: that is guaranteed. Fingerprints that occur once go.
 
-Matches extend both ways around the places of the others: of the runs that just count and hold the fingerprint, those that
-begin at each unit before it and those that end at each unit after it are looked up, and the first place of each wins.
+Matches extend both ways around the places of the others: of the runs that just count and whose smallest fingerprint it
+is, those that begin at a unit before it and those that end at a unit after it are looked up, and the first place of each
+wins.
 A repeated run is the union of such shortest runs (one begins at each of its units, or else one ends at its last unit and
 reaches back over it), so that nothing of it is lost wherever its parts occurred first, and however long it is.
 """
@@ -24,7 +25,6 @@ from .common import Scratch, table
 LEAST, MOST = 20, 8
 CUT = r"(?<=\n|[.!?]\x20)(?!\n)(?!\z)|(?<=\n|[.!?]\x20)(?=\z)"
 MARK = "\u0001"
-BROADCAST = 16 << 20  #: bytes of deleted unit numbers that are sent to all tasks; more are joined by a shuffle
 NONE = -(1 << 63)
 
 
@@ -45,42 +45,47 @@ def identified(documents: DataFrame) -> DataFrame:
     return rows.select("doc_id", "text", F.coalesce("doc_id", F.lit(NONE)).alias("id"), F.xxhash64("text", F.col("doc_id").isNull()).alias("th"))
 
 
-def shortest(at: Column, step: int, least: int) -> Column:
-    """How many units from ``at`` on (step 1) or back (step -1) just count; null if the text ends before."""
-    words = [F.get("words", at + step * k) for k in range(MOST)]
-    total, size = words[0], F.when(words[0] >= least, 1)
-    for k in range(1, MOST - 1):
-        total = total + words[k]
-        size = size.when(total >= least, k + 1)
-    return size.when(words[MOST - 1].isNotNull(), MOST)
+def shortest(words: Column, at: Column, step: int, least: int) -> Column:
+    """How many units from ``at`` on (step 1) or back (step -1) just count; 0 if the text ends before.
+
+    Back: 0 too if the run is the shortest one that begins at its first unit, which is looked up anyhow.
+    """
+    w = [F.get(words, at + step * k) for k in range(MOST)]
+    size = F.when(w[0] >= least, 1 if step > 0 else 0)
+    total, inner = w[0], None  # inner: without the first unit
+    for k in range(1, MOST):
+        total, inner = total + w[k], w[k] if inner is None else inner + w[k]
+        found = F.lit(k + 1) if step > 0 else F.when(inner >= least, k + 1).otherwise(0)
+        size = size.when((total >= least) if k < MOST - 1 else w[k].isNotNull(), found)
+    return F.coalesce(size, F.lit(0))
 
 
-def fingerprints(units: DataFrame, least: int) -> DataFrame:
+def fingerprints(units: DataFrame) -> DataFrame:
     """(id, th, at, key): the selected fingerprints of each text and the units at which they begin."""
-    spread = units.select("id", "th", "hashes", "words", F.explode(F.sequence(F.lit(0), F.size("hashes") - 1)).alias("at"))
-    h, w = (lambda k: F.get("hashes", F.col("at") + k)), (lambda k: F.get("words", F.col("at") + k))
-    pair = lambda k: F.when(h(k).isNotNull() & h(k + 1).isNotNull(), F.xxhash64(h(k), h(k + 1)))
-    here = pair(0)
-    chosen = F.coalesce(here <= pair(-1), F.lit(False)) | F.coalesce(here <= pair(1), F.lit(False)) | (w(0) + w(1) >= least)
-    key = F.when(w(0) >= least, F.xxhash64(h(0), F.lit("alone"))).when((w(1) < least) & chosen, here)
+    spread = units.select("id", "th", "hashes", "pairs", "ahead", F.explode(F.sequence(F.lit(0), F.size("hashes") - 1)).alias("at"))
+    g = lambda k: F.get("pairs", F.col("at") + k)
+    size = lambda k: F.get("ahead", F.col("at") + k)
+    chosen = F.coalesce(g(0) <= g(-1), F.lit(False)) | F.coalesce(g(0) <= g(1), F.lit(False)) | (size(0) == 2)
+    key = F.when(size(0) == 1, F.xxhash64(F.get("hashes", F.col("at")), F.lit("alone"))).when((size(1) != 1) & chosen, g(0))
     return spread.select("id", "th", "at", key.alias("key")).where("key IS NOT NULL")
 
 
-def runs_around(hits: DataFrame, least: int) -> DataFrame:
-    """(id, th, first, size, key): the shortest runs that hold a hit; hits(id, th, hits: sorted places, hashes, words).
+def runs_around(hits: DataFrame) -> DataFrame:
+    """(id, th, first, size, key): the shortest runs around a hit; hits(id, th, hits, hashes, pairs, ahead, back).
 
-    A run that begins at a unit comes with the first hit in it, one that ends at a unit with the last, and so but once.
+    A run is looked up if its smallest fingerprint is a hit: that one is selected wherever the run occurs.
     """
-    each = hits.select("id", "th", "hashes", "words", F.posexplode("hits").alias("k", "at"), F.col("hits").alias("all"))
-    low = F.greatest(F.col("at") - (MOST - 1), F.coalesce(F.get("all", F.col("k") - 1) + 1, F.lit(0)), F.lit(0))
-    high = F.least(F.col("at") + (MOST - 1), F.coalesce(F.get("all", F.col("k") + 1) - 1, F.size("words") - 1), F.size("words") - 1)
-    begins = F.transform(F.sequence(low, F.col("at")), lambda i: F.struct(i.alias("unit"), F.lit(True).alias("on")))
-    ends = F.transform(F.sequence(F.col("at"), high), lambda i: F.struct(i.alias("unit"), F.lit(False).alias("on")))
-    each = each.select("id", "th", "hashes", "words", "at", F.explode(F.concat(begins, ends)).alias("u")).select("id", "th", "hashes", "words", "at", F.col("u.unit").alias("unit"), F.col("u.on").alias("on"))
-    sized = each.withColumn("size", F.when(F.col("on"), shortest(F.col("unit"), 1, least)).otherwise(shortest(F.col("unit"), -1, least)))
-    first = F.when(F.col("on"), F.col("unit")).otherwise(F.col("unit") - F.col("size") + 1)
-    placed = sized.where("size IS NOT NULL").withColumn("first", first).where((F.col("first") <= F.col("at")) & (F.col("first") + F.col("size") > F.col("at")))
-    return placed.select("id", "th", "first", "size", F.xxhash64(F.slice("hashes", F.col("first") + 1, F.col("size"))).alias("key"))
+    each = hits.select("id", "th", "hashes", "pairs", "ahead", "back", F.explode("hits").alias("at"))
+    one = F.col("at") - (MOST - 1)
+    begins = each.select("*", F.explode(F.sequence(F.greatest(one, F.lit(0)), F.col("at"))).alias("first")).withColumn("size", F.get("ahead", F.col("first")))
+    ends = each.select("*", F.explode(F.sequence(F.col("at"), F.least(F.col("at") + (MOST - 1), F.size("hashes") - 1))).alias("last"))
+    ends = ends.withColumn("size", F.get("back", F.col("last"))).withColumn("first", F.col("last") - F.col("size") + 1).drop("last")
+    both = begins.where((F.col("size") > 0) & (F.col("first") + F.col("size") > F.col("at"))).unionByName(ends.where((F.col("size") > 0) & (F.col("first") <= F.col("at"))))
+    # A long unit, which can only be the first or the last of such a run, marks it; else its smallest pair does (ties: any).
+    last, long_ = F.col("first") + F.col("size") - 1, lambda at: F.get("ahead", at) == 1
+    smallest = F.array_min(F.slice("pairs", F.col("first") + 1, F.col("size") - 1)) == F.get("pairs", F.col("at"))
+    least = F.when(long_(F.col("first")), F.col("at") == F.col("first")).when(long_(last), F.col("at") == last).otherwise((F.col("at") < last) & smallest)
+    return both.where(least).select("id", "th", "first", "size", F.xxhash64(F.slice("hashes", F.col("first") + 1, F.col("size"))).alias("key"))
 
 
 def repeated_units(documents: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
@@ -88,20 +93,24 @@ def repeated_units(documents: DataFrame, least: int = LEAST) -> tuple[DataFrame,
     scratch = Scratch(documents.sparkSession, "lines")
     docs = identified(documents)
     told = F.transform(units_of(F.col("text")), lambda u: F.struct(F.xxhash64(F.btrim(u, F.lit(" \n\r\t"))).alias("h"), F.regexp_count(u, F.lit(r"[^\x20\x09-\x0D]+")).alias("w")))
-    told = docs.select("id", "th", told.alias("told"))
-    units = scratch.write("units", told.select("id", "th", F.col("told.h").alias("hashes"), F.col("told.w").alias("words")))
-    marks = fingerprints(units, least)
+    told = docs.select("id", "th", told.alias("told")).select("id", "th", F.col("told.h").alias("hashes"), F.col("told.w").alias("words"))
+    pairs = F.transform("hashes", lambda h, k: F.xxhash64(h, F.get("hashes", k + 1)))
+    sized = lambda step: F.transform("words", lambda w, k: shortest(F.col("words"), k, step, least))
+    units = scratch.write("units", told.select("id", "th", "hashes", F.slice(pairs, F.lit(1), F.size(pairs) - 1).alias("pairs"), sized(1).alias("ahead"), sized(-1).alias("back")))
+    marks = fingerprints(units)
     often = marks.groupBy("key").count().where("count > 1").select("key")
-    hits = marks.join(often, "key").groupBy("id", "th").agg(F.sort_array(F.collect_set("at")).alias("hits"))
-    runs = scratch.write("runs", runs_around(units.join(hits, ["id", "th"]), least))
+    hits = marks.join(often, "key").groupBy("id", "th").agg(F.collect_set("at").alias("hits"))
+    hits = scratch.write("hits", units.join(hits, ["id", "th"]))
     scratch.drop("units")
+    runs = scratch.write("runs", runs_around(hits))
+    scratch.drop("hits")
     place = F.struct("id", "th", "first")
-    firsts = runs.groupBy("key").agg(F.min(place).alias("earliest"), F.count("*").alias("n")).where("n > 1").select("key", "earliest")
+    firsts = scratch.write("firsts", runs.groupBy("key").agg(F.min(place).alias("earliest"), F.count("*").alias("n")).where("n > 1").select("key", "earliest"))
     later = runs.join(firsts, "key").where(place > F.col("earliest"))
     spans = later.groupBy("id", "th").agg(F.collect_set(F.struct("first", "size")).alias("runs"))
     dropped = F.sort_array(F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["first"], r["first"] + r["size"] - 1)))))
     gone = scratch.write("gone", spans.select("id", "th", dropped.alias("dropped")))
-    scratch.drop("runs")
+    scratch.drop("runs", "firsts")
     return docs, gone
 
 
@@ -115,8 +124,7 @@ def dedup_lines(documents: DataFrame, least: int = LEAST) -> DataFrame:
     Extra columns are ignored.
     """
     docs, gone = repeated_units(documents, least)
-    size = gone.agg(F.coalesce(F.sum(F.size("dropped") * 4 + 48), F.lit(0))).first()[0]
-    out = docs.join(F.broadcast(gone) if size <= BROADCAST else gone, ["id", "th"], "left")
+    out = docs.join(gone, ["id", "th"], "left")
     # The generator keeps the optimizer from cutting the text anew for every unit.
     out = out.select("doc_id", "text", "dropped", F.explode(F.array(units_of(F.col("text")))).alias("units"))
     stay = F.array_except(F.sequence(F.lit(0), F.size("units") - 1), F.col("dropped"))
