@@ -73,4 +73,15 @@ def without_ids(docs: DataFrame, ids: DataFrame, most: int = 2_000_000) -> DataF
     return docs.join(F.broadcast(ids) if fits_broadcast(ids, most) else ids, "doc_id", "left_anti")
 
 
+def one_row_of_each_id(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """docs in which rows of one doc_id are one row: that of the smallest text (null first), then of the smallest JSON form. Rows without an id stay."""
+    again = scratch.write("again", docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if not again.limit(1).count():
+        return docs
+    row = F.struct(*[F.col(c) for c in docs.columns])
+    order = F.struct(F.coalesce(F.col("text"), F.lit("")), F.to_json(row))
+    least = docs.join(again, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("__id")).agg(F.min_by(row, order).alias("__row")).select("__row.*")
+    return without_ids(docs, again).unionByName(least)
+
+
 by_value(__name__)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, by_value, table, text_of, without_ids
+from .common import Scratch, by_value, one_row_of_each_id, table, text_of, without_ids
 from .graph import components
 
 BITS, SEED, CROWD = 64, 42, 32
@@ -167,9 +167,9 @@ def links(nodes: DataFrame, parts: list[Part], distance: int, scratch: Scratch)
 
 
 def near_duplicates(documents: DataFrame, shingle: int = 3, distance: int = 2) -> DataFrame:
-    """A row for each row of documents(doc_id, text): doc_id, fingerprint (16 hex digits), component_id, links.
+    """A row for each row of documents(doc_id, text): doc_id, fingerprint (16 hex digits), component_id.
 
-    component_id is the smallest doc_id that links reach; links counts those of the fingerprint that the search lists.
+    component_id is the smallest doc_id that links reach.
     Null, empty and blank texts have fingerprint 0 and link like any other. A null doc_id is never a component_id,
     unless no member has an id. Repeated rows stay repeated. ``distance`` is even.
     """
@@ -199,16 +199,9 @@ def one_of_each_group(documents: DataFrame, shingle: int = 3, distance: int = 2)
     """
     spark = documents.sparkSession
     scratch = Scratch(spark, "simhash-keep")
-    found = scratch.write("found", near_duplicates(documents, shingle, distance).select("doc_id", "component_id"))
-    ids = scratch.write("ids", found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("component_id")))
-    kept = without_ids(documents, ids.where("component_id <> doc_id").select("doc_id"))
-    again = ids.where("n > 1 AND component_id = doc_id").select("doc_id")
-    if again.limit(1).count() == 0:
-        return kept
-    from pyspark.sql import Window
-
-    twice = kept.join(again, "doc_id", "left_semi").withColumn("_rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("_rank = 1").drop("_rank")
-    return without_ids(kept, again).unionByName(twice.select(*kept.columns))
+    documents = one_row_of_each_id(documents, scratch)
+    found = near_duplicates(documents, shingle, distance).where("doc_id IS NOT NULL AND component_id <> doc_id").select("doc_id")
+    return without_ids(documents, scratch.write("gone", found))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
