@@ -1,8 +1,8 @@
 """Line dedup by winnowing over line hashes. DataFrame functions only.
 
 A text is cut into units: lines, and the sentences of a line. A run of units counts as repeated if it has ``LEAST`` words
-or ``MOST`` units, and an equal run of units occurs earlier, in another text or this one. Every unit of a repeated run is
-deleted from the later place.
+(a unit counts as one at least), and an equal run of units occurs earlier, in another text or this one. Every unit of a
+repeated run is deleted from the later place.
 
 Fingerprints are hashes of two units in a row; winnowing selects those that are no larger than a neighbour's, and pairs
 of ``LEAST`` words; a unit of that many words is a fingerprint of its own. Every run that counts holds a selected
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, table
 
-LEAST, MOST = 20, 8
+LEAST = 20
 CUT = r"(?<=\n|[.!?]\x20)(?!\n)(?!\z)|(?<=\n|[.!?]\x20)(?=\z)"
 MARK = "\u0001"
 NONE = -(1 << 63)
@@ -45,19 +45,29 @@ def identified(documents: DataFrame) -> DataFrame:
     return rows.select("doc_id", "text", F.coalesce("doc_id", F.lit(NONE)).alias("id"), F.xxhash64("text", F.col("doc_id").isNull()).alias("th"))
 
 
-def shortest(words: Column, at: Column, step: int, least: int) -> Column:
-    """How many units from ``at`` on (step 1) or back (step -1) just count; 0 if the text ends before.
+def with_sizes(rows: DataFrame, words: str, out: str, least: int) -> DataFrame:
+    """rows with ``out``: for each unit how many units from it on just count; 0 if the text ends before.
 
-    Back: 0 too if the run is the shortest one that begins at its first unit, which is looked up anyhow.
+    Sums of 1, 2, 4, ... units in a row; then, from the longest down, what still stays under ``least`` is passed over.
     """
-    w = [F.get(words, at + step * k) for k in range(MOST)]
-    size = F.when(w[0] >= least, 1 if step > 0 else 0)
-    total, inner = w[0], None  # inner: without the first unit
-    for k in range(1, MOST):
-        total, inner = total + w[k], w[k] if inner is None else inner + w[k]
-        found = F.lit(k + 1) if step > 0 else F.when(inner >= least, k + 1).otherwise(0)
-        size = size.when((total >= least) if k < MOST - 1 else w[k].isNotNull(), found)
-    return F.coalesce(size, F.lit(0))
+    steps = [1 << k for k in range(least.bit_length())]
+    rows = rows.withColumn("__s1", F.col(words))
+    kind = "array<struct<n:int,t:int>>"
+
+    def doubled(k: int) -> Column:
+        return F.transform(f"__s{k}", lambda x, i: x + F.get(f"__s{k}", i + k))
+
+    def passed(k: int) -> Column:
+        more = lambda r, i: r["t"] + F.get(f"__s{k}", i + r["n"])
+        return F.transform("__r", lambda r, i: F.when(more(r, i) < least, F.struct((r["n"] + k).alias("n"), more(r, i).alias("t"))).otherwise(r)).cast(kind)
+
+    for k in steps[:-1]:
+        rows = rows.withColumn(f"__s{2 * k}", doubled(k))
+    rows = rows.withColumn("__r", F.transform(words, lambda x: F.struct(F.lit(0).alias("n"), F.lit(0).alias("t"))).cast(kind))
+    for k in reversed(steps):
+        rows = rows.withColumn("__r", passed(k))
+    sized = F.transform("__r", lambda r, i: F.when(i + r["n"] < F.size(words), r["n"] + 1).otherwise(0))
+    return rows.withColumn(out, sized).drop("__r", *[f"__s{k}" for k in steps])
 
 
 def fingerprints(units: DataFrame) -> DataFrame:
@@ -71,14 +81,13 @@ def fingerprints(units: DataFrame) -> DataFrame:
 
 
 def runs_around(hits: DataFrame) -> DataFrame:
-    """(id, th, first, size, key): the shortest runs around a hit; hits(id, th, hits, hashes, pairs, ahead, back).
+    """(id, th, first, size, key): the shortest runs around a hit; hits(id, th, hits, hashes, pairs, ahead, back, most).
 
     A run is looked up if its smallest fingerprint is a hit: that one is selected wherever the run occurs.
     """
-    each = hits.select("id", "th", "hashes", "pairs", "ahead", "back", F.explode("hits").alias("at"))
-    one = F.col("at") - (MOST - 1)
-    begins = each.select("*", F.explode(F.sequence(F.greatest(one, F.lit(0)), F.col("at"))).alias("first")).withColumn("size", F.get("ahead", F.col("first")))
-    ends = each.select("*", F.explode(F.sequence(F.col("at"), F.least(F.col("at") + (MOST - 1), F.size("hashes") - 1))).alias("last"))
+    each = hits.select("id", "th", "hashes", "pairs", "ahead", "back", "most", F.explode("hits").alias("at"))
+    begins = each.select("*", F.explode(F.sequence(F.greatest(F.col("at") - F.col("most") + 1, F.lit(0)), F.col("at"))).alias("first")).withColumn("size", F.get("ahead", F.col("first")))
+    ends = each.select("*", F.explode(F.sequence(F.col("at"), F.least(F.col("at") + F.col("most") - 1, F.size("hashes") - 1))).alias("last"))
     ends = ends.withColumn("size", F.get("back", F.col("last"))).withColumn("first", F.col("last") - F.col("size") + 1).drop("last")
     both = begins.where((F.col("size") > 0) & (F.col("first") + F.col("size") > F.col("at"))).unionByName(ends.where((F.col("size") > 0) & (F.col("first") <= F.col("at"))))
     # A long unit, which can only be the first or the last of such a run, marks it; else its smallest pair does (ties: any).
@@ -92,15 +101,19 @@ def repeated_units(documents: DataFrame, least: int = LEAST) -> tuple[DataFrame,
     """identified documents, and (id, th, dropped): the unit numbers that go, ascending, of the texts that lose any."""
     scratch = Scratch(documents.sparkSession, "lines")
     docs = identified(documents)
-    told = F.transform(units_of(F.col("text")), lambda u: F.struct(F.xxhash64(F.btrim(u, F.lit(" \n\r\t"))).alias("h"), F.regexp_count(u, F.lit(r"[^\x20\x09-\x0D]+")).alias("w")))
+    told = F.transform(units_of(F.col("text")), lambda u: F.struct(F.xxhash64(F.btrim(u, F.lit(" \n\r\t"))).alias("h"), F.greatest(F.regexp_count(u, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(1)).alias("w")))
     told = docs.select("id", "th", told.alias("told")).select("id", "th", F.col("told.h").alias("hashes"), F.col("told.w").alias("words"))
     pairs = F.transform("hashes", lambda h, k: F.xxhash64(h, F.get("hashes", k + 1)))
-    sized = lambda step: F.transform("words", lambda w, k: shortest(F.col("words"), k, step, least))
-    units = scratch.write("units", told.select("id", "th", "hashes", F.slice(pairs, F.lit(1), F.size(pairs) - 1).alias("pairs"), sized(1).alias("ahead"), sized(-1).alias("back")))
+    told = told.withColumn("pairs", F.slice(pairs, F.lit(1), F.size(pairs) - 1)).withColumn("backwards", F.reverse("words"))
+    told = with_sizes(with_sizes(told, "words", "ahead", least), "backwards", "back", least)
+    # A run that ends here and is also the shortest one that begins at its first unit is looked up anyhow.
+    back = F.transform(F.reverse("back"), lambda n, i: F.when(F.get("ahead", i - n + 1) == n, 0).otherwise(n))
+    units = told.select("id", "th", "hashes", "pairs", "ahead", back.alias("back"))
+    units = scratch.write("units", units.withColumn("most", F.greatest(F.array_max("ahead"), F.array_max("back"))))
     marks = fingerprints(units)
     often = marks.groupBy("key").count().where("count > 1").select("key")
     hits = marks.join(often, "key").groupBy("id", "th").agg(F.collect_set("at").alias("hits"))
-    hits = scratch.write("hits", units.join(hits, ["id", "th"]))
+    hits = scratch.write("hits", units.join(hits, ["id", "th"]).where("most > 0"))
     scratch.drop("units")
     runs = scratch.write("runs", runs_around(hits))
     scratch.drop("hits")
