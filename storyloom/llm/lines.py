@@ -45,29 +45,37 @@ def identified(documents: DataFrame) -> DataFrame:
     return rows.select("doc_id", "text", F.coalesce("doc_id", F.lit(NONE)).alias("id"), F.xxhash64("text", F.col("doc_id").isNull()).alias("th"))
 
 
-def with_sizes(rows: DataFrame, words: str, out: str, least: int) -> DataFrame:
-    """rows with ``out``: for each unit how many units from it on just count; 0 if the text ends before.
+def pinned(rows: DataFrame) -> DataFrame:
+    """rows whose columns are values: the optimizer would else write them into lambdas, to be made anew for every unit."""
+    return rows.select(F.explode(F.array(F.struct(*rows.columns))).alias("__row")).select("__row.*")
+
+
+def with_sizes(rows: DataFrame, names: dict[str, str], least: int) -> DataFrame:
+    """rows with a column for each of names (words of units -> new column): for each unit how many units from it on just count; 0 if the text ends before.
 
     Sums of 1, 2, 4, ... units in a row; then, from the longest down, what still stays under ``least`` is passed over.
     """
     steps = [1 << k for k in range(least.bit_length())]
-    rows = rows.withColumn("__s1", F.col(words))
     kind = "array<struct<n:int,t:int>>"
 
-    def doubled(k: int) -> Column:
-        return F.transform(f"__s{k}", lambda x, i: x + F.get(f"__s{k}", i + k))
+    def doubled(sums: str, k: int) -> Column:
+        return F.transform(sums, lambda x, i: x + F.get(sums, i + k))
 
-    def passed(k: int) -> Column:
-        more = lambda r, i: r["t"] + F.get(f"__s{k}", i + r["n"])
-        return F.transform("__r", lambda r, i: F.when(more(r, i) < least, F.struct((r["n"] + k).alias("n"), more(r, i).alias("t"))).otherwise(r)).cast(kind)
+    def passed(done: Column, sums: str, k: int) -> Column:
+        more = lambda r, i: r["t"] + F.get(sums, i + r["n"])
+        return F.transform(done, lambda r, i: F.when(more(r, i) < least, F.struct((r["n"] + k).alias("n"), more(r, i).alias("t"))).otherwise(r)).cast(kind)
 
+    own = rows.columns
+    rows = rows.select("*", *[F.col(w).alias(f"__{w}_1") for w in names])
     for k in steps[:-1]:
-        rows = rows.withColumn(f"__s{2 * k}", doubled(k))
-    rows = rows.withColumn("__r", F.transform(words, lambda x: F.struct(F.lit(0).alias("n"), F.lit(0).alias("t"))).cast(kind))
-    for k in reversed(steps):
-        rows = rows.withColumn("__r", passed(k))
-    sized = F.transform("__r", lambda r, i: F.when(i + r["n"] < F.size(words), r["n"] + 1).otherwise(0))
-    return rows.withColumn(out, sized).drop("__r", *[f"__s{k}" for k in steps])
+        rows = pinned(rows.select("*", *[doubled(f"__{w}_{k}", k).alias(f"__{w}_{2 * k}") for w in names]))
+    for w, out in names.items():
+        done = F.transform(w, lambda x: F.struct(F.lit(0).alias("n"), F.lit(0).alias("t"))).cast(kind)
+        for k in reversed(steps):
+            done = passed(done, f"__{w}_{k}", k)
+        n = F.size(w)
+        rows = rows.withColumn(out, F.transform(done, lambda r, i: F.when(i + r["n"] < n, r["n"] + 1).otherwise(0)))  # noqa: B023
+    return rows.select(*own, *names.values())
 
 
 def fingerprints(units: DataFrame) -> DataFrame:
@@ -102,12 +110,12 @@ def repeated_units(documents: DataFrame, least: int = LEAST) -> tuple[DataFrame,
     scratch = Scratch(documents.sparkSession, "lines")
     docs = identified(documents)
     told = F.transform(units_of(F.col("text")), lambda u: F.struct(F.xxhash64(F.btrim(u, F.lit(" \n\r\t"))).alias("h"), F.greatest(F.regexp_count(u, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(1)).alias("w")))
-    told = docs.select("id", "th", told.alias("told")).select("id", "th", F.col("told.h").alias("hashes"), F.col("told.w").alias("words"))
+    told = pinned(docs.select("id", "th", told.alias("told")))
+    told = pinned(told.select("id", "th", F.col("told.h").alias("hashes"), F.col("told.w").alias("words"), F.reverse("told.w").alias("backwards")))
     pairs = F.transform("hashes", lambda h, k: F.xxhash64(h, F.get("hashes", k + 1)))
-    told = told.withColumn("pairs", F.slice(pairs, F.lit(1), F.size(pairs) - 1)).withColumn("backwards", F.reverse("words"))
-    told = with_sizes(with_sizes(told, "words", "ahead", least), "backwards", "back", least)
+    told = pinned(with_sizes(told.withColumn("pairs", F.slice(pairs, F.lit(1), F.size("hashes") - 1)), {"words": "ahead", "backwards": "back"}, least).withColumn("back", F.reverse("back")))
     # A run that ends here and is also the shortest one that begins at its first unit is looked up anyhow.
-    back = F.transform(F.reverse("back"), lambda n, i: F.when(F.get("ahead", i - n + 1) == n, 0).otherwise(n))
+    back = F.transform("back", lambda n, i: F.when(F.get("ahead", i - n + 1) == n, 0).otherwise(n))
     units = told.select("id", "th", "hashes", "pairs", "ahead", back.alias("back"))
     units = scratch.write("units", units.withColumn("most", F.greatest(F.array_max("ahead"), F.array_max("back"))))
     marks = fingerprints(units)
