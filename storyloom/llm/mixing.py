@@ -21,14 +21,31 @@ TEMPER, BUDGET, SEED = 0.7, 0.6, 20241
 
 
 def topic_of(text: Column) -> Column:
-    """A topic by plain marks of the text; the first that holds."""
-    return F.when(F.contains(text, F.lit(" | ")), "table").when(F.contains(F.lower(text), F.lit("licens")), "licensed").when(F.contains(text, F.lit("%%%")) | F.contains(text, F.lit("$$$")), "noise").otherwise("prose")
+    """A topic by plain marks of the text, the first that holds; another column can be given in its place."""
+    n = F.greatest(F.length(text), F.lit(1))
+    share = lambda signs: (n - F.length(F.translate(text, signs, ""))) / n
+    has = lambda *words: F.lower(F.substring(text, 1, 1 << 30)).rlike("|".join(words))
+    marks = [
+        ("noise", (share("#*$%&|<>") > 0.1) | F.contains(text, F.lit("%%%")) | F.contains(text, F.lit("$$$"))),
+        ("table", F.contains(text, F.lit(" | ")) | F.contains(text, F.lit("\t"))),
+        ("code", F.contains(text, F.lit("();")) | F.contains(text, F.lit("def ")) | (share("{}") > 0.01)),
+        ("numbers", share("0123456789") > 0.2),
+        ("licensed", has("licens", "copyright", "lizenz", "licencia", "all rights reserved")),
+        ("contact", F.contains(text, F.lit("@")) & has(r"[a-z0-9._]+@[a-z0-9]+\.[a-z]")),
+        ("web", F.contains(text, F.lit("://")) | F.contains(text, F.lit("www."))),
+        ("dialogue", share("\"“”«»") > 0.01),
+        ("list", F.contains(text, F.lit("\n- ")) | F.contains(text, F.lit("\n* "))),
+        ("short", F.length(text) < 300),
+    ]
+    out = F.lit("prose")
+    for name, holds in reversed(marks):
+        out = F.when(holds, name).otherwise(out)
+    return out
 
 
 def token_count(text: Column) -> Column:
     """Words between ASCII blanks."""
-    words = F.split(F.regexp_replace(text, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""), r"[\x20\x09-\x0D]+", -1)
-    return F.when(F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")) == 0, 0).otherwise(F.size(words)).cast("long")
+    return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
 def rake(tokens: np.ndarray, targets: list[np.ndarray], budget: float, rounds: int = 500) -> tuple[np.ndarray, np.ndarray]:
@@ -37,43 +54,46 @@ def rake(tokens: np.ndarray, targets: list[np.ndarray], budget: float, rounds: i
     return weights.reshape(tokens.shape), chance.reshape(tokens.shape)
 
 
-def rake_cells(tokens: np.ndarray, places: list[np.ndarray], targets: list[np.ndarray], budget: float, rounds: int = 500) -> tuple[np.ndarray, np.ndarray]:
+def rake_cells(tokens: np.ndarray, places: list[np.ndarray], targets: list[np.ndarray], budget: float, rounds: int = 2000) -> tuple[np.ndarray, np.ndarray]:
     """Weights of cells and chances of documents.
 
     tokens: of each cell; places: for each dimension the cells' categories; targets: shares of each dimension's
-    categories, of which those of empty categories are dealt to the others. The chances are the weights times the
-    largest factor for which budget * sum(tokens) tokens are expected and no chance passes 1; cells that would pass
-    stay at 1 and the others are raked on.
+    categories, of which those of empty categories are dealt to the others. Weights are raked to the shares of one
+    dimension after the other until all hold, and keep the sum of tokens. The chances are the weights times the largest
+    factor for which no more than budget * sum(tokens) tokens are expected and no chance passes 1.
     """
     total = tokens.sum()
     weights = np.ones(len(tokens))
     if total == 0:
-        return weights, weights
+        return weights, weights * budget
     full = []
     for place, share in zip(places, targets, strict=True):
         held = np.bincount(place, tokens, len(share)) > 0
         share = np.where(held, share, 0)
         full.append(share / share.sum() if share.sum() else held / held.sum())
-    want = budget * total
-    chance = np.full(len(tokens), budget)
     for _ in range(rounds):
-        before = chance
         for place, share in zip(places, full, strict=True):
-            have = np.bincount(place, tokens * chance, len(share))
-            chance = chance * np.where(have > 0, share * want / np.where(have > 0, have, 1), 1)[place]
-        chance = np.minimum(chance, 1)
-        if np.abs(chance - before).max() < 1e-9:
+            have = np.bincount(place, tokens * weights, len(share))
+            weights = weights * np.where(have > 0, share * total / np.where(have > 0, have, 1), 1)[place]
+        if max(residuals(tokens * weights, places, full)) < 1e-9:
             break
-    return chance * total / max((tokens * chance).sum(), 1e-300), chance
+    most = weights[tokens > 0].max(initial=0)
+    return weights, np.minimum(weights * min(budget, 1 / most if most else 1), 1)
+
+
+def residuals(tokens: np.ndarray, places: list[np.ndarray], shares: list[np.ndarray]) -> list[float]:
+    """For each dimension the largest difference between a category's share of tokens and the wanted one."""
+    return [float(np.abs(np.bincount(place, tokens, len(share)) / max(tokens.sum(), 1e-300) - share).max(initial=0)) for place, share in zip(places, shares, strict=True)]
 
 
 def mixed(documents: DataFrame, targets: dict[str, dict[str, float]] | None = None, temper: float = TEMPER, budget: float = BUDGET, seed: int = SEED, topic: Column | None = None) -> DataFrame:
-    """For each row of documents: doc (its columns), source, lang, topic, n_tokens, weight, chance and kept.
+    """For each row of documents: doc (its columns), source, lang, topic, n_tokens, weight, chance, residual and kept.
 
     documents(doc_id, text, source, lang). targets: wanted shares of tokens for each dimension; a dimension that is not
     given gets its own shares to the power ``temper``, which lifts small categories. Null or empty text: no tokens.
     A null category is the empty one. Rows that share an id share their fate within a cell; null ids count as one id.
-    Columns of documents stay in ``doc``, whatever their names.
+    residual: by how much the expected share of any category misses the wanted one, at most: 0 unless the observed cells
+    can't meet all marginals at once. Columns of documents stay in ``doc``, whatever their names.
     """
     spark = documents.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -89,17 +109,19 @@ def mixed(documents: DataFrame, targets: dict[str, dict[str, float]] | None = No
         places.append(place)
         wanted.append(np.array([targets[d].get(x, 0.0) for x in names]) if targets and d in targets else (have / max(have.sum(), 1)) ** temper)
     weights, chances = rake_cells(tokens, places, wanted, budget)
+    held = [np.where(np.bincount(p, tokens, len(w)) > 0, w, 0) for p, w in zip(places, wanted, strict=True)]
+    missed = max(residuals(tokens * chances, places, [w / max(w.sum(), 1e-300) for w in held]), default=0.0)
     known = spark.createDataFrame(pa.table({**{d: cells[d] for d in DIMENSIONS}, "weight": weights, "chance": chances}))
-    rows = rows.join(F.broadcast(known) if len(tokens) <= BROADCAST else known, list(DIMENSIONS), "left").select("doc", "doc_id", *DIMENSIONS, "n_tokens", "weight", "chance")
+    rows = rows.join(F.broadcast(known) if len(tokens) <= BROADCAST else known, list(DIMENSIONS), "left").select("doc", "doc_id", *DIMENSIONS, "n_tokens", "weight", "chance", F.lit(missed).alias("residual"))
     draw = F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit(seed)), 11) / F.lit(float(1 << 53))
     return rows.withColumn("kept", draw < F.col("chance"))
 
 
 def sample(documents: DataFrame) -> DataFrame:
-    """The documents that stay, with their own columns."""
+    """The documents that stay, with their own columns; see ``mixed`` for nulls, ties and repeated rows."""
     return mixed(documents).where("kept").select("doc.*")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixed(table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("weight", 9).alias("weight"), F.round("chance", 9).alias("probability"), "kept")
+    return rows.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("weight", 9).alias("weight"), F.round("chance", 9).alias("probability"), F.round("residual", 6).alias("residual"), "kept")
