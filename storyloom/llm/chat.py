@@ -2,7 +2,8 @@
 
 A turn is written ``<|turn|>ROLE<|body|>BODY<|end|>``. A visitor, one method for each part type, flattens a message's
 parts into its body: text is escaped and kept, other parts become numbered placeholders such as ``<|image:1|>``, and
-an attachment record keeps their reference and the number of tokens into which a model expands them.
+an attachment record keeps their reference and the number of tokens into which a model expands them. Texts of parts
+that follow each other are read back as one.
 
 Escaping is reversible: a backslash is doubled, and one backslash goes into every control string of this and of other
 common templates (``<|``, ``<s>``, ``</s>``, ``[INST]``, ``[/INST]``, ``<<SYS>>``, ``<</SYS>>``) after its first
@@ -11,7 +12,7 @@ character. No text can then hold a control string, so that the output alone can
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,34 +20,70 @@ from pyspark.sql import functions as F
 TURN, BODY, END = "<|turn|>", "<|body|>", "<|end|>"
 PARTS = "array<struct<type:string,text:string,ref:string,units:bigint>>"
 CONTROL = r"([<\[])(?=\||s>|/s>|/?INST\]|</?SYS>>|/?SYS>>)"
+#: The first character and the rest of what may begin a control string, at a text's end.
+OPEN = r"([<\[])((?:/?s?|/?I?N?S?T?|<?/?S?Y?S?>?)\z)"
 
 
 def escape(text: Column) -> Column:
     return F.regexp_replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), CONTROL, "$1\\\\")
 
 
+def escape_open(text: Column) -> Column:
+    """Like ``escape``; also what at the text's end could begin a control string that other parts go on with."""
+    return F.regexp_replace(escape(text), OPEN, "$1\\\\$2")
+
+
 def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
 @dataclass(frozen=True)
 class PartVisitor:
-    """How each part type is written and counted. ``per_unit``: tokens for a unit (image tile, audio second, page).
+    """One method for each part type: how it is written, and into how many tokens a model expands it.
 
-    Text counts a token for every four characters, rounded up. Unknown types are written as files.
+    Text counts a token for every four characters, rounded up; other parts so many tokens a unit (image tile, audio
+    second, page; none given or under one: one) and a frame around them. Unknown types are written as files of one token.
+    A subclass may override a method or, in ``visits``, add a type.
     """
 
-    per_unit: dict[str, int] = field(default_factory=lambda: {"image": 256, "audio": 25, "document": 600})
+    tile: int = 256
+    second: int = 25
+    page: int = 600
     frame: int = 2
 
-    def placeholder(self, part: Column, number: Column) -> Column:
-        kind = F.when(part["type"].isin(*self.per_unit), part["type"]).otherwise("file")
-        return F.concat(F.lit("<|"), kind, F.lit(":"), number.cast("string"), F.lit("|>"))
+    def placeholder(self, kind: str, number: Column) -> Column:
+        return F.concat(F.lit(f"<|{kind}:"), number.cast("string"), F.lit("|>"))
+
+    def expanded(self, part: Column, unit: int) -> Column:
+        return F.greatest(F.coalesce(part["units"], F.lit(1)), F.lit(1)) * unit + self.frame
+
+    def visit_text(self, part: Column, number: Column) -> tuple[Column, Column]:
+        return escape_open(part_text(part)), F.ceil(F.length(part_text(part)) / 4).cast("long")
+
+    def visit_image(self, part: Column, number: Column) -> tuple[Column, Column]:
+        return self.placeholder("image", number), self.expanded(part, self.tile)
+
+    def visit_audio(self, part: Column, number: Column) -> tuple[Column, Column]:
+        return self.placeholder("audio", number), self.expanded(part, self.second)
+
+    def visit_document(self, part: Column, number: Column) -> tuple[Column, Column]:
+        return self.placeholder("document", number), self.expanded(part, self.page)
+
+    def visit_file(self, part: Column, number: Column) -> tuple[Column, Column]:
+        return self.placeholder("file", number), self.expanded(part, 1)
+
+    def visits(self) -> dict:
+        return {"image": self.visit_image, "audio": self.visit_audio, "document": self.visit_document}
+
+    def visit(self, part: Column, number: Column, what: int) -> Column:
+        """What (0: the text, 1: the tokens) the method of the part's type gives."""
+        out = F.when(is_text(part), self.visit_text(part, number)[what])
+        for kind, method in self.visits().items():
+            out = out.when(part["type"] == kind, method(part, number)[what])
+        return out.otherwise(self.visit_file(part, number)[what])
 
     def tokens(self, part: Column) -> Column:
-        units = F.greatest(F.coalesce(part["units"], F.lit(1)), F.lit(1))
-        unit = F.coalesce(*[F.when(part["type"] == kind, F.lit(n)) for kind, n in self.per_unit.items()], F.lit(1))
-        return F.when(is_text(part), F.ceil(F.length(part_text(part)) / 4).cast("long")).otherwise(units * unit + self.frame)
+        return self.visit(part, F.lit(0), 1)
 
 
 def is_text(part: Column) -> Column:
@@ -77,7 +114,7 @@ def format_conversations(messages: DataFrame, visitor: PartVisitor | None = None
 
     def written(part: Column, at: Column) -> Column:
         earlier = F.size(F.filter(F.slice("parts", 1, at), lambda p: ~is_text(p)))
-        return F.when(is_text(part), escape(part_text(part))).otherwise(visitor.placeholder(part, F.col("base") + earlier + 1))
+        return visitor.visit(part, F.col("base") + earlier + 1, 0)
 
     # Nearly every message is text alone; it takes the short way without a lambda.
     plain = (F.size("parts") == 1) & (F.size("others") == 0)
@@ -100,18 +137,16 @@ def format_conversations(messages: DataFrame, visitor: PartVisitor | None = None
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """conv_id, turns (role, text: unescaped) and loss (the unescaped texts under the mask), from the output alone.
+    """conv_id, formatted, turns (role, text: unescaped) and loss (the unescaped texts under the mask), from the output alone.
 
-    A span names its turn, so that a conversation of any number of turns is read in one pass; ``tests/llm`` holds the
-    spans against plain substrings.
+    The mask is read by code points of ``formatted``.
     """
     pieces = F.split("formatted", r"<\|end\|>", -1)
     pieces = F.slice(pieces, 1, F.size(pieces) - 1)
     halves = F.transform(pieces, lambda p: F.split(p, r"<\|body\|>", 2))
-    rows = formatted.select("conv_id", "formatted", "loss_spans", halves.alias("halves"))
-    turns = F.transform("halves", lambda h: F.struct(unescape(F.substring(h[0], len(TURN) + 1, 2**31 - 1)).alias("role"), unescape(h[1]).alias("text")))
-    cut = F.transform("loss_spans", lambda s: F.substring(F.element_at("halves", s["turn"].cast("int"))[1], F.lit(1), (s["end"] - s["start"]).cast("int")))
-    return rows.select("conv_id", "formatted", turns.alias("turns"), F.transform(cut, unescape).alias("loss"))
+    turns = F.transform(halves, lambda h: F.struct(unescape(F.substring(h[0], len(TURN) + 1, 2**31 - 1)).alias("role"), unescape(h[1]).alias("text")))
+    cut = F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))))
+    return formatted.select("conv_id", "formatted", turns.alias("turns"), cut.alias("loss"))
 
 
 def text_part(text: Column) -> Column:

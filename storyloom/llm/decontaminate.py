@@ -3,9 +3,10 @@
 A test item is far shorter than the documents that may hold it, so the score is containment: the share of the item's
 five-word shingles that the document has. Items are partitioned by size, and an item's MinHash sketch has as many
 values as its size asks for: of n distinct shingles, a containment of t leaves out at most n - ceil(t n), so the
-n - ceil(t n) + 1 smallest hashes can't all be missing. A document is a candidate if it has one of them; no candidate
-is lost, however long the document. Each size class has a bar, its largest sketch value; hashes above the highest bar
-aren't looked up. Candidates are verified on the shingles themselves.
+n - ceil(t n) + 1 smallest hashes can't all be missing. A document is a candidate of a size class if it has one of its
+items' values; no candidate is lost, however long the document. Each class has a bar, its largest sketch value: the
+larger its items, the lower the bar, and only hashes up to it are looked up in the class. Candidates are verified on
+the shingles of the class itself.
 
 (Plain banded MinHash of whole documents can't do this: a 30-word item in a text of 20,000 words has a Jaccard
 similarity of 0.001, and no signature of bearable length finds that.)
@@ -43,34 +44,42 @@ def contained(documents: DataFrame, items: DataFrame, percent: int = 80) -> Data
 
     documents(doc_id, text), items(item_id, text). Case, punctuation and blanks don't count. Null and empty texts and
     those of fewer than five words contain nothing and are contained nowhere. Rows that share an id count as one
-    document or item with all their shingles. Equal items under two ids are both found. Extra columns are ignored.
+    document or item with all their shingles; rows without an id are not tested, and items without one are not sought.
+    Equal items under two ids are both found. Empty tables give no rows. Extra columns are ignored, whatever their names.
     """
     spark = documents.sparkSession
     scratch = Scratch(spark, "decontaminate")
     hashed = F.xxhash64(*[at(k) for k in range(SHINGLE)])
     written = F.concat_ws(" ", *[at(k) for k in range(SHINGLE)])
-    tests = text_of(items.withColumnRenamed("item_id", "doc_id")).select(F.col("doc_id").alias("item_id"), words_of(F.col("text")).alias("words"))
+    tests = items.select(F.col("item_id").cast("long").alias("item_id"), words_of(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("words"))
     parts = scratch.write("items", shingled(tests, "item_id").select("item_id", hashed.alias("h"), written.alias("shingle")).distinct())
     need = F.ceil(F.col("n_shingles") * percent / 100)
     sizes = scratch.write("sizes", parts.groupBy("item_id").agg(F.count("*").alias("n_shingles")).withColumn("need", need.cast("long")).withColumn("size_class", F.floor(F.log2("n_shingles")).cast("int")))
     ranked = parts.join(sizes, "item_id").withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy("h", "shingle")))
-    sketch = scratch.write("sketch", ranked.where("rank <= n_shingles - need + 1").groupBy("h").agg(F.min("size_class").alias("size_class")))
-    bars = [x["bar"] for x in sketch.groupBy("size_class").agg(F.max("h").alias("bar")).collect()]  # no more rows than log2 of a size
+    sketch = scratch.write("sketch", ranked.where("rank <= n_shingles - need + 1").select("size_class", "h").distinct())
+    bars = sorted((x["size_class"], x["bar"]) for x in sketch.groupBy("size_class").agg(F.max("h").alias("bar")).collect())  # no more rows than log2 of a size
     small = fits_broadcast(parts, SMALL_ITEMS)
     near = F.broadcast if small else (lambda df: df)
 
     docs = text_of(documents).select("doc_id", words_of(F.col("text")).alias("words"))
-    probes = shingled(docs, "doc_id").select("doc_id", hashed.alias("h")).where(F.col("h") <= F.lit(max(bars, default=-(1 << 63))))
-    held = scratch.write("candidates", probes.join(near(sketch.select("h")), "h").select("doc_id").distinct())
-    chosen = docs.join(F.broadcast(held) if fits_broadcast(held, 2_000_000) else held, "doc_id", "left_semi")
-    found = shingled(chosen, "doc_id").select("doc_id", written.alias("shingle")).join(near(parts.select("item_id", "shingle")), "shingle")
+    probes = shingled(docs, "doc_id").select("doc_id", hashed.alias("h")).where(F.col("h") <= F.lit(max((b for _, b in bars), default=-(1 << 63))))
+    classes = F.array(*[F.when(F.col("h") <= F.lit(b), F.lit(c)) for c, b in bars]) if bars else F.array().cast("array<int>")
+    probes = probes.select("doc_id", "h", F.explode(classes).alias("size_class")).where("size_class IS NOT NULL")
+    held = scratch.write("candidates", probes.join(near(sketch), ["size_class", "h"]).select("doc_id", "size_class").distinct())
+    ids = held.select("doc_id").distinct()
+    chosen = docs.join(F.broadcast(ids) if fits_broadcast(ids, 2_000_000) else ids, "doc_id", "left_semi")
+    classed = parts.join(sizes.select("item_id", "size_class"), "item_id").select("item_id", "size_class", "shingle")
+    found = shingled(chosen, "doc_id").select("doc_id", written.alias("shingle")).join(near(classed), "shingle").join(F.broadcast(held) if fits_broadcast(held, 2_000_000) else held, ["doc_id", "size_class"], "left_semi")
     counted = found.groupBy("doc_id", "item_id").agg(F.count_distinct("shingle").alias("n_found"))
     scored = counted.join(near(sizes.select("item_id", "n_shingles", "need")), "item_id").where("n_found >= need")
     return scored.select("doc_id", "item_id", "n_shingles", "n_found", (F.col("n_found") / F.col("n_shingles")).alias("containment"))
 
 
 def decontaminate(documents: DataFrame, items: DataFrame, percent: int = 80) -> DataFrame:
-    """documents without those that contain an item; rows without an id stay."""
+    """documents without those that contain an item, all their columns kept; rows without an id are not tested and stay.
+
+    Rows that share an id stay or go together; of empty documents nothing is left, and without items all stay.
+    """
     scratch = Scratch(documents.sparkSession, "decontaminate-keep")
     return without_ids(documents, scratch.write("leaks", contained(documents, items, percent).select("doc_id").where("doc_id IS NOT NULL").distinct()))
 

@@ -98,7 +98,7 @@ def measured(documents: DataFrame, stratum: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array([c[k] for c in counts], pa.int64()) for k in range(len(COUNTS))), *above], ["doc_id", "stratum", *COUNTS, *(f"above_{r.name}" for r in RULES)])
 
     schema = "doc_id long, stratum string, " + ", ".join(f"{c} long" for c in COUNTS) + ", " + ", ".join(f"above_{r.name} int" for r in RULES)
-    return text_of(documents.withColumn("_stratum", F.coalesce(F.col(stratum).cast("string"), F.lit(""))), "doc_id", "text", "_stratum").mapInArrow(run, schema)
+    return text_of(documents.select("doc_id", "text", F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum")), "doc_id", "text", "stratum").mapInArrow(run, schema)
 
 
 def upper_bound(k: int, n: int, miss: float) -> float:
@@ -136,7 +136,8 @@ def choose_cutoffs(found: list[tuple[str, int, int, int, int]], risk: float, mis
             bad, good = hist[s, r]
             n, best, take = int(good.sum()), 0, len(rule.grid) + 1
             for cut in range(len(rule.grid), 0, -1):  # rejects what exceeds at least so many cutoffs: all of them is lenient
-                if upper_bound(int(good[cut:].sum()), n, share) > risk / len(RULES):
+                k = int(good[cut:].sum())
+                if k > n * risk / len(RULES) or upper_bound(k, n, share) > risk / len(RULES):
                     break
                 if (caught := int(bad[cut:].sum())) > best:
                     best, take = caught, cut

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, by_value, shared_folder, table, text_of
 
-MAGIC = b"SLTOKID1"
+MAGIC, SHARD = b"SLTOKID1", 256 << 20
 #: A piece that can stand alone: no blank at its ends but one leading space. One that ends in a letter and a stop.
 SOUND = re.compile(r" ?(?!\s).*\S", re.S).fullmatch
 #: One pre-token: letters (of blocks that all Unicode versions agree on) after at most one space.
@@ -110,7 +110,7 @@ class PieceEncoder:
     are encoded whole. When ``kept`` holds over ``most`` pieces, those met once only go: that changes time only.
     """
 
-    def __init__(self, blob: str, dtype: str, most: int = 500_000):
+    def __init__(self, blob: str, dtype: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.model, self.dtype, self.most = Tokenizer.from_str(blob), dtype, most
@@ -119,6 +119,9 @@ class PieceEncoder:
         self.kind, self.model_of = "H" if dtype == "<u2" else "I", self.model.model.tokenize
         self.added = [x["content"] for x in spec.get("added_tokens", [])]
         self.by_piece = sys.byteorder == "little" and not any(LETTERS(x) for x in self.added) and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec.get("normalizer") and not any(x["lstrip"] or x["rstrip"] or " " in x["content"] for x in spec.get("added_tokens", []))
+        self.tried = False
+        kind = spec.get("model") or {}
+        self.by_piece = self.by_piece and kind.get("type") == "BPE" and not kind.get("dropout") and not kind.get("continuing_subword_prefix") and not kind.get("end_of_word_suffix") and not kind.get("ignore_merges")
         self.kept: dict[str, bytes] = {}  # without the leading space
         self.hot: set[str] = set()  # met twice or more
         # The byte-level alphabet: printable Latin-1 stands for itself, each other byte for the next character from 256 on.
@@ -168,6 +171,9 @@ class PieceEncoder:
         return array(self.kind, [t.id for t in self.model_of(y)]).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if self.by_piece and not self.tried:  # what the tokenizer does must be what the pieces assume
+            self.tried, some = True, texts[:64]
+            self.by_piece = self.encode(some) == self.encode_whole(some)
         if not self.by_piece:
             return self.encode_whole(texts)
         pieces = [x.split(" ") for x in texts]
@@ -205,12 +211,19 @@ def encoder(blob: str, dtype: str) -> PieceEncoder:
     return held[key]
 
 
+def input_bytes(df: DataFrame) -> int:
+    """What the optimizer knows of the size of df's input; 0 if it knows nothing."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return size if size < 1 << 60 else 0
+
+
 def write_tokens(documents: DataFrame, folder: str, tokenizer: str, end_id: int = 0, partitions: int | None = None) -> DataFrame:
     """Encodes documents(doc_id, text) into shards under ``folder``; returns and writes the manifest's rows.
 
     Rows: shard, documents, ids, first_document, first_id. Null and empty texts are the end id alone. Null ids come
-    first; equal ids stand in the order of their texts; repeated rows stay repeated. An empty table has no shards.
-    Texts are spread by ranges of doc_id over ``partitions`` (default: spark.sql.shuffle.partitions) tasks.
+    first; equal ids stand in the order of their texts' hashes; repeated rows stay repeated. An empty table has no shards.
+    Texts are spread by ranges of doc_id over ``partitions`` tasks (default: spark.sql.shuffle.partitions, and more if
+    these would get over SHARD bytes each).
     """
     spark = documents.sparkSession
     folder = file_uri(folder)
@@ -226,7 +239,7 @@ def write_tokens(documents: DataFrame, folder: str, tokenizer: str, end_id: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         os.environ["RAYON_NUM_THREADS"] = "1"
-        gc.disable()  # ids come as millions of small lists, none of them in a cycle
+        gc.disable()  # ids come as millions of small lists, none of them in a cycle; on again at the task's end
         writer = model = None
         end = np.array([end_id], dtype).tobytes()
         for batch in batches:
@@ -245,10 +258,13 @@ def write_tokens(documents: DataFrame, folder: str, tokenizer: str, end_id: int
         if writer:
             done = writer.close()
             yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in done], ["shard", "documents", "ids"])
+        gc.enable()
 
     rows = text_of(documents)
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), F.col("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    parts = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(documents) // SHARD))
+    # Ranges are told from a sample of these two numbers; texts never reach the driver.
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
+    ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order, "text")
     scratch = Scratch(spark, "tokens")
     shards = scratch.write("shards", ranged.mapInArrow(run, "shard long, documents long, ids long"))
     listed = sorted(tuple(x) for x in shards.collect())  # one row for each task

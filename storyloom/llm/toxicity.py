@@ -106,7 +106,7 @@ def telling(cols: np.ndarray, owner: np.ndarray, toxic: np.ndarray, least: float
 def train(documents: DataFrame, grades: DataFrame, grades_n: int, sample: int = SAMPLE) -> OrdinalModel:
     """Fits on up to ``sample`` rows of each grade of grades(doc_id, grade); repeated labels of an id: the highest.
 
-    Two grades (toxic or not) become three by ``split_toxic``, so that severity grows with the evidence.
+    Two grades (toxic or not) become three by ``split_toxic``; of rows that share an id the smallest text counts.
     """
     spark = documents.sparkSession
     scratch = Scratch(spark, "toxicity")
@@ -126,7 +126,8 @@ def train(documents: DataFrame, grades: DataFrame, grades_n: int, sample: int =
             rows = [slots_of(t.as_py(), known).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(rows, pa.binary())], ["grade", "slots"])
 
-    texts = text_of(documents).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "grade")
+    # One text for each picked id, however often it is repeated: the smallest.
+    texts = text_of(documents).join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("grade").alias("grade"))
     found = texts.mapInArrow(run, "grade int, slots binary").toArrow().sort_by([("grade", "ascending"), ("slots", "ascending")])
     rows = [np.frombuffer(x.as_py(), np.int32) for x in found["slots"]]
     labels_of = found["grade"].to_numpy().astype(int)
@@ -163,12 +164,23 @@ def score(documents: DataFrame, model: OrdinalModel, *more: str) -> DataFrame:
 
 
 def split_toxic(rows: list[np.ndarray], grades: np.ndarray, shares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Three grades from two: toxic rows with more telling features than their median have the higher one."""
-    cols, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    slots = telling(cols, owner, grades > 0)
-    n = np.bincount(owner, np.isin(cols, slots), minlength=len(rows))
-    high = (grades > 0) & (n > np.median(n[grades > 0]))
-    if not high.any():
+    """Three grades from two, by evidence that does not come from the row's own label.
+
+    A model of two grades is fitted on each half of the rows and judges the other half; toxic rows that it places above
+    the median of the toxic ones have the higher grade.
+    """
+    half, margin = np.arange(len(rows)) % 2, np.zeros(len(rows))
+    for k in (0, 1):
+        learned, judged = np.flatnonzero(half != k), np.flatnonzero(half == k)
+        if len(set(grades[learned])) < 2:
+            return grades, shares
+        model = OrdinalModel.fit([rows[i] for i in learned], grades[learned], shares, 2, steps=300)
+        scores = np.array([model.weights[rows[i]].sum() for i in judged], float)
+        toxic = grades[judged] > 0
+        spread = scores[toxic].std() if toxic.any() else 0.0
+        margin[judged] = (scores - (np.median(scores[toxic]) if toxic.any() else 0.0)) / (spread or 1.0)
+    high = (grades > 0) & (margin > 0)
+    if not high.any() or high.sum() == (grades > 0).sum():
         return grades, shares
     part = high.sum() / (grades > 0).sum()
     return grades + high, np.array([shares[0], shares[1] * (1 - part), shares[1] * part])
