@@ -1,27 +1,31 @@
-"""Text expressions: normalising, titles, names, times, HTML. Columns in, columns out."""
+"""Text expressions: normalising, titles, names, times, HTML. Columns in, columns out; null gives null."""
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-BLANK = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-#: Marks that alignment ignores: ASCII and CJK punctuation.
-MARKS = r"""[.,!?;:'"()\[\]{}<>…、。！？「」『』（）・ー—～\-]"""
+#: All characters that count as blanks, in any script.
+BLANKS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+# Fixed value: the marks that alignment ignores.
+MARKS = r"[。！？!?、，,.；;：:…—–\-「」『』（）()【】\[\]《》〈〉\"']"
 
 
 def strip(text: Column) -> Column:
     """Without blanks of any script at the ends."""
-    return F.regexp_replace(F.regexp_replace(text, f"^{BLANK}+", ""), f"{BLANK}+$", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def normalize_text(text: Column) -> Column:
     """Line ends as \\n, no blanks at the ends."""
-    return strip(F.regexp_replace(text, "\r\n?", "\n"))
+    return strip(F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n")))
 
 
 def strip_frontmatter(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?s)\A---\n.*?\n---\n?", "")
+    """Without a leading block between lines of three dashes."""
+    return F.when(text.startswith("---\n"), F.regexp_replace(text, r"(?s)\A---\n.*?\n---\n?", "")).otherwise(text)
 
 
 def strip_marks(text: Column) -> Column:
@@ -34,55 +38,120 @@ def compact(text: Column) -> Column:
 
 def infer_title(text: Column, default: str = "Chapter 1") -> Column:
     """The first line that isn't blank, 80 characters at most."""
-    lines = F.filter(F.transform(F.split(text, "\n"), strip), lambda x: x != "")
-    return F.coalesce(F.substring(F.get(lines, F.lit(0)), 1, 80), F.lit(default))
+    line = strip(F.substring_index(F.replace(F.ltrim(text, F.lit(BLANKS)), F.lit("\r"), F.lit("\n")), "\n", 1))
+    return F.coalesce(F.nullif(F.substring(line, 1, 80), F.lit("")), F.lit(default))
 
 
 def safe_name(name: Column) -> Column:
+    """A file name: slashes become underscores, NUL goes."""
     return F.translate(name, "/\\\u0000", "__")
 
 
 def clock(seconds: Column) -> Column:
+    """hh:mm:ss, rounded down."""
     s = F.floor(seconds)
     return F.format_string("%02d:%02d:%02d", F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60)
 
 
 def subtitle_time(seconds: Column) -> Column:
-    """hh:mm:ss,mmm with milliseconds rounded half to even."""
-    s = F.floor(seconds)
-    return F.concat(clock(seconds), F.lit(","), F.lpad(F.bround((seconds - s) * 1000).cast("int").cast("string"), 3, "0"))
+    """hh:mm:ss,mmm with milliseconds rounded half to even; 1000 of them carry into the seconds."""
+    ms = F.floor(seconds) * 1000 + F.bround((seconds - F.floor(seconds)) * 1000).cast("long")
+    return F.concat(clock(F.floor(ms / 1000)), F.lit(","), F.lpad((ms % 1000).cast("string"), 3, "0"))
+
+
+def _parts(text: Column) -> Column:
+    return F.transform(F.split(F.replace(F.trim(text), F.lit(","), F.lit(".")), ":"), lambda x: x.try_cast("double"))
 
 
 def parse_clock(text: Column) -> Column:
     """Seconds of h:m:s, m:s or s, with comma or dot; null if it is none of them."""
-    p = F.transform(F.split(F.replace(F.trim(text), F.lit(","), F.lit(".")), ":"), lambda x: x.try_cast("double"))
+    p = _parts(text)
     return F.when(F.size(p) <= 3, F.aggregate(p, F.lit(0.0), lambda a, x: a * 60 + x))
 
 
+def parse_clock_strict(text: Column) -> Column:
+    """Seconds of h:m:s; null for any other number of parts."""
+    return F.when(F.size(_parts(text)) == 3, parse_clock(text))
+
+
 def language_code(name: Column) -> Column:
-    x = F.lower(F.replace(F.trim(name), F.lit("_"), F.lit("-")))
+    """ja, en, zh or ko by prefix; else lower case with dashes."""
+    x = F.lower(F.replace(strip(name), F.lit("_"), F.lit("-")))
     named = F.coalesce(*[F.when(x.startswith(k), k) for k in ("ja", "en", "zh", "ko")])
-    return F.coalesce(named, x)
+    return F.coalesce(named, F.nullif(x, F.lit("")))
 
 
 def chance_of_log(x: Column) -> Column:
     return F.least(F.greatest(F.exp(x), F.lit(0.0)), F.lit(1.0))
 
 
-def html_text(html: Column) -> Column:
-    """Text of well-formed HTML: no scripts or styles, a line for each break and paragraph, no blank lines."""
+def token_estimate(text: Column) -> Column:
+    """A quarter of the characters, rounded up; the default of everything that takes an estimator."""
+    return F.ceil(F.length(text) / 4).cast("long")
+
+
+def content_key(*parts: Column) -> Column:
+    """The first 16 hex digits of the SHA-256 of the parts, joined by colons."""
+    return F.substring(F.sha2(F.concat_ws(":", *[p.cast("string") for p in parts]), 256), 1, 16)
+
+
+def is_true(text: Column) -> Column:
+    """Whether a setting says yes."""
+    return F.coalesce(F.lower(F.trim(text)).isin("1", "true", "yes", "y", "on"), F.lit(False))
+
+
+def canonical_json(row: Column) -> Column:
+    """JSON text with the keys of an object in order, whatever the order they were written in."""
+    kept = F.from_json(row, "map<string,string>")
+    entries = F.array_sort(F.map_entries(kept))
+    return F.when(kept.isNotNull(), F.concat(F.lit("{"), F.array_join(F.transform(entries, lambda e: F.concat(F.to_json(F.array(e["key"])), F.lit(":"), F.coalesce(F.to_json(F.array(e["value"])), F.lit("null")))), ","), F.lit("}")))
+
+
+def decode_entities(text: Column) -> Column:
+    """Character references as characters; unknown ones stay."""
+    pattern = r"&(#[xX][0-9A-Fa-f]{1,6}|#[0-9]{1,7}|[A-Za-z][A-Za-z0-9]*);"
+    named = F.create_map(*[F.lit(x) for k, v in name2codepoint.items() for x in (k, v)])
+
+    def char(ref: Column) -> Column:
+        code = F.when(F.lower(ref).startswith("#x"), F.conv(F.substring(ref, 3, 8), 16, 10).cast("int")).when(ref.startswith("#"), F.substring(ref, 2, 8).cast("int")).otherwise(F.try_element_at(named, ref))
+        known = code.isNotNull() & (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+        return F.when(known, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(F.concat(F.lit("&"), ref, F.lit(";")))
+
+    refs, rest = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.split(text, pattern, -1)
+    joined = F.array_join(F.transform(rest, lambda s, k: F.concat(s, F.coalesce(char(F.get(refs, k)), F.lit("")))), "")
+    return F.when(F.contains(text, F.lit("&")), joined).otherwise(text)
+
+
+def _without_tags(html: Column) -> Column:
+    return F.regexp_replace(html, r"(?s)<!--.*?-->|<[^>]*>", "")
+
+
+def _bare_ruby(html: Column) -> Column:
+    """Annotated words without their reading: the text of rb elements, then what stands bare."""
+    pattern = r"(?is)<ruby\b[^>]*>.*?</ruby\s*>"
+    inner = lambda r: F.regexp_replace(r, r"(?is)^<ruby\b[^>]*>|</ruby\s*>$", "")
+    based = lambda r: F.array_join(F.regexp_extract_all(r, F.lit(r"(?is)<rb\b[^>]*>(.*?)</rb\s*>"), F.lit(1)), "")
+    bare = lambda r: _without_tags(F.regexp_replace(inner(r), r"(?is)<(\w+)\b[^>]*>.*?</\1\s*>", ""))
+    words = F.transform(F.regexp_extract_all(html, F.lit(pattern), F.lit(0)), lambda r: F.concat(based(r), bare(r)))
+    joined = F.array_join(F.transform(F.split(html, pattern, -1), lambda s, k: F.concat(s, F.coalesce(F.get(words, k), F.lit("")))), "")
+    return F.when(F.lower(html).contains("<ruby"), joined).otherwise(html)
+
+
+def html_text(html: Column, keep_readings: bool = False) -> Column:
+    """Text of well-formed HTML: no scripts or styles, a line for each break and paragraph, no blank lines.
+
+    Readings of annotated words go unless they are kept.
+    """
     x = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>", "")
-    x = F.regexp_replace(x, r"(?is)<(rt|rp)\b.*?</\1\s*>", "")
-    x = F.regexp_replace(F.regexp_replace(x, r"(?i)<br\s*/?>", "\n"), r"(?i)</p\s*>", "\n\n")
-    x = F.regexp_replace(x, r"(?s)<[^>]*>", "")
-    for code, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        x = F.replace(x, F.lit(code), F.lit(char))
-    lines = F.transform(F.split(x, "\n"), lambda s: F.trim(F.regexp_replace(s, r"[ \t\r\x0B\x0C]+", " ")))
+    x = F.regexp_replace(F.regexp_replace(x, r"(?i)<br\b[^>]*>", "\n"), r"(?i)</p\s*>", "\n\n")
+    x = x if keep_readings else _bare_ruby(x)
+    lines = F.transform(F.split(decode_entities(_without_tags(x)), "\n"), lambda s: strip(F.regexp_replace(s, r"(?U)\s+", " ")))
     return F.array_join(F.filter(lines, lambda s: s != ""), "\n")
 
 
 def html_title(html: Column) -> Column:
-    """The first of h1, title, and a strong of under 100 characters; null if there is none."""
-    inner = lambda tag: F.nullif(F.trim(F.regexp_replace(F.regexp_extract(html, rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>", 1), r"(?s)<[^>]*>", "")), F.lit(""))
-    strong = inner("strong")
-    return F.coalesce(inner("h1"), inner("title"), F.when(F.length(strong) < 100, strong))
+    """The first of h1 (also an empty one), title, and a strong of under 100 characters; null if there is none."""
+    found = lambda tag: F.get(F.regexp_extract_all(html, F.lit(rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>"), F.lit(1)), F.lit(0))
+    plain = lambda x: strip(decode_entities(_without_tags(x)))
+    strong = plain(found("strong"))
+    return F.coalesce(html_text(found("h1")), plain(found("title")), F.when(F.length(strong).between(1, 99), strong))

@@ -1,93 +1,230 @@
-"""Embedding analytics: centroids, medoids, coherence, purity, votes.
+"""Embedding analytics: centroids, medoids, coherence, silhouettes, votes, nearest neighbours.
 
-Rows are (id, label, v) with v an array of doubles. Pairs are formed within a label only, except for nearest
-neighbours, whose contract is all pairs; centroids are one row for each label and are broadcast after a count.
+Rows are (id, label, v) with v an array of doubles. Means of similarities need no pairs: with unit vectors the mean
+similarity of v to a label is v · sum / n, so that one sum for each label and a narrow pass give them. Nearest
+neighbours, whose contract is all pairs, are matrix products of blocks. Null vectors take no part.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine, l2_normalize, norm
+from ..functions.vectors import cosine, dot, l2_normalize, norm
+
+BLOCK, CENTERS = 2048, 10_000
 
 
 def unit(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("v", l2_normalize(F.col("v")))
+    return rows.where(F.col("v").isNotNull()).withColumn("v", l2_normalize(F.col("v")))
+
+
+def sums(rows: DataFrame, weight: str | None = None) -> DataFrame:
+    """(label, n, sum): rows and the (weighted) sum of each place; n is the sum of weights if there are any."""
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    each = rows.select("label", F.posexplode("v").alias("i", "x"), w.alias("w")).groupBy("label", "i").agg(F.sum(F.col("x") * F.col("w")).alias("x"), F.sum("w").alias("n"))
+    return each.groupBy("label").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("sum"))
+
+
+def centroids(rows: DataFrame, weight: str | None = None) -> DataFrame:
+    """(label, centroid): the (weighted) mean of each place, summed before the shuffle."""
+    return sums(rows, weight).select("label", F.transform("sum", lambda x: x / F.col("n")).alias("centroid"))
 
 
-def centroids(rows: DataFrame) -> DataFrame:
-    """(label, centroid): the mean of each place, summed before the shuffle."""
-    each = rows.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("x"))
-    return each.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("centroid"))
+def gathered(groups: DataFrame, columns: list[str]) -> DataFrame:
+    """All rows of a table of groups as one array ``all``, after a count: CENTERS at most."""
+    if groups.limit(CENTERS + 1).count() > CENTERS:
+        raise ValueError(f"over {CENTERS} groups")
+    return groups.agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("all"))
 
 
-def pair_similarity(rows: DataFrame) -> DataFrame:
-    """(label, a, b, sim) of all ordered pairs of a label, each with itself too."""
+def own_sum(rows: DataFrame, weight: str | None = None) -> DataFrame:
+    """unit rows with the sum and number of their label."""
     u = unit(rows)
-    left, right = u.select("label", F.col("id").alias("a"), F.col("v").alias("va")), u.select("label", F.col("id").alias("b"), F.col("v").alias("vb"))
-    return left.join(right, "label").select("label", "a", "b", cosine(F.col("va"), F.col("vb")).alias("sim"))
+    groups = sums(u, weight)
+    return u.join(F.broadcast(groups) if groups.limit(CENTERS + 1).count() <= CENTERS else groups, "label")
 
 
 def medoids(rows: DataFrame, weight: str | None = None) -> DataFrame:
-    """(label, medoid): the member of greatest mean similarity to all, itself included; ties: the smallest id."""
-    pairs = pair_similarity(rows)
-    if weight:
-        pairs = pairs.join(rows.select(F.col("id").alias("b"), F.col(weight).alias("w")), "b")
-        mean = F.sum(F.col("sim") * F.col("w")) / F.sum("w")
-    else:
-        mean = F.avg("sim")
-    means = pairs.groupBy("label", "a").agg(F.round(mean, 9).alias("mean"))
-    return means.groupBy("label").agg(F.max_by("a", F.struct("mean", -F.col("a"))).alias("medoid"))
+    """(label, medoid): the member of greatest (weighted) mean similarity to all, itself included; ties: the smallest id."""
+    means = own_sum(rows, weight).select("label", "id", F.round(dot(F.col("v"), F.col("sum")) / F.col("n"), 9).alias("mean"))
+    return means.groupBy("label").agg(F.max_by("id", F.struct("mean", -F.col("id"))).alias("medoid"))
 
 
 def coherence(rows: DataFrame) -> DataFrame:
     """(label, coherence): the greatest mean similarity of a member to the others; a single member has 1."""
-    means = pair_similarity(rows).groupBy("label", "a").agg(F.avg(F.when(F.col("a") != F.col("b"), F.col("sim"))).alias("mean"))
-    return means.groupBy("label").agg(F.coalesce(F.max("mean"), F.lit(1.0)).alias("coherence"))
+    mean = (dot(F.col("v"), F.col("sum")) - dot(F.col("v"), F.col("v"))) / (F.col("n") - 1)
+    return own_sum(rows).groupBy("label").agg(F.coalesce(F.max(F.when(F.col("n") > 1, mean)), F.lit(1.0)).alias("coherence"))
 
 
-def nearest_centroid(rows: DataFrame, centers: DataFrame) -> DataFrame:
-    """(id, label, best, sim): the centroid of greatest cosine; ties: the smallest label."""
-    own = centers.select(F.col("label").alias("other"), "centroid")
-    near = F.broadcast(own) if own.count() <= 10_000 else own
-    scored = rows.join(near).select("id", "label", "other", F.round(cosine(F.col("v"), F.col("centroid")), 9).alias("sim"))
-    best = scored.groupBy("id", "label").agg(F.max(F.struct("sim", -F.col("other"))).alias("top"))
-    return best.select("id", "label", (-F.col("top")["col2"]).alias("best"), F.col("top.sim").alias("sim"))
+def coherent_labels(rows: DataFrame, least: float = 0.4) -> DataFrame:
+    """rows of the labels whose coherence is at least that."""
+    return rows.join(coherence(rows).where(F.col("coherence") >= least).select("label"), "label", "left_semi")
 
 
-def weighted_vote(votes: DataFrame, key: str) -> DataFrame:
-    """votes(key, pos, speaker, sim): the speaker of greatest summed similarity; ties: the first voted. Enrolled: two votes or more."""
-    sums = votes.groupBy(key, "speaker").agg(F.round(F.sum("sim"), 9).alias("total"), F.count("*").alias("n"), F.min("pos").alias("first"), F.avg("sim").alias("mean"))
-    w = Window.partitionBy(key)
-    ranked = sums.withColumn("votes", F.sum("n").over(w)).withColumn("rank", F.row_number().over(w.orderBy(F.desc("total"), "first")))
-    return ranked.where("rank = 1").select(key, "speaker", "total", F.round("mean", 6).alias("mean"), "votes", (F.col("votes") >= 2).alias("enrolled"))
+def coherent_members(rows: DataFrame, least: float = 0.3) -> DataFrame:
+    """(id, label) of a greedy clique of each label: in order of mean similarity, a member stays if it is that similar to all that stay.
 
+    One label's members are one group in memory: the windows of an utterance.
+    """
+    found = rows.where(F.col("v").isNotNull())
 
-def neighbour_purity(rows: DataFrame) -> DataFrame:
-    """purity: the share of rows whose nearest other row has their label (-1 is noise: not judged, but a neighbour)."""
-    u = unit(rows)
-    left, right = u.select("id", "label", "v"), u.select(F.col("id").alias("id2"), F.col("label").alias("label2"), F.col("v").alias("v2"))
-    near = left.where("label <> -1").join(right, F.col("id") != F.col("id2")).groupBy("id", "label").agg(F.max_by("label2", F.struct(F.round(cosine(F.col("v"), F.col("v2")), 9), -F.col("id2"))).alias("label2"))
-    return near.agg(F.round(F.avg((F.col("label") == F.col("label2")).cast("double")), 6).alias("purity"))
+    def keep(table: pa.Table) -> pa.Table:
+        table = table.sort_by("id")
+        x = np.array(table["v"].to_pylist(), float)
+        size = np.linalg.norm(x, axis=1, keepdims=True)
+        sims = (x / np.where(size > 0, size, 1)) @ (x / np.where(size > 0, size, 1)).T
+        np.fill_diagonal(sims, 1.0)
+        stay: list[int] = []
+        for k in np.argsort(-sims.mean(1).round(12), kind="stable"):
+            if (sims[k, stay] >= least).all():
+                stay.append(int(k))
+        return table.select(["id", "label"]).take(sorted(stay))
+
+    kinds = dict(found.dtypes)
+    return found.select("id", "label", "v").groupBy("label").applyInArrow(keep, f"id {kinds['id']}, label {kinds['label']}")
+
+
+def nearest_centroid(rows: DataFrame, centers: DataFrame, least: float | None = None) -> DataFrame:
+    """(id, label, best, sim): the centroid of greatest cosine; ties: the smallest label; under ``least``: no row."""
+    own = centers.select(F.col("label").alias("other"), l2_normalize(F.col("centroid")).alias("c"))
+    scored = F.transform("all", lambda c: F.struct(F.round(dot(F.col("u"), c["c"]), 9).alias("sim"), (-c["other"]).alias("other")))
+    best = rows.where(F.col("v").isNotNull()).select("id", "label", l2_normalize(F.col("v")).alias("u")).join(F.broadcast(gathered(own, ["other", "c"]))).select("id", "label", F.array_max(scored).alias("top"))
+    best = best.select("id", "label", (-F.col("top.other")).alias("best"), F.col("top.sim").alias("sim")).where("best IS NOT NULL")
+    return best if least is None else best.where(F.col("sim") >= least)
+
+
+def weighted_vote(votes: DataFrame, key: str) -> DataFrame:
+    """votes(key, pos, speaker, sim): the speaker of greatest summed similarity; ties: the first voted. Enrolled: two votes or more."""
+    each = votes.groupBy(key, "speaker").agg(F.round(F.sum("sim"), 9).alias("total"), F.count("*").alias("n"), F.min("pos").alias("first"), F.avg("sim").alias("mean"))
+    top = each.groupBy(key).agg(F.max(F.struct("total", -F.col("first"), "speaker", "mean")).alias("top"), F.sum("n").alias("votes"))
+    return top.select(key, F.col("top.speaker").alias("speaker"), F.col("top.total").alias("total"), F.round("top.mean", 6).alias("mean"), "votes", (F.col("votes") >= 2).alias("enrolled"))
 
 
 def silhouette(rows: DataFrame) -> DataFrame:
-    """Mean cosine silhouette without noise; members of single-row clusters count 0; under two clusters: 0."""
+    """Mean cosine silhouette without noise (-1); members of single-row clusters count 0; under two clusters, or all single: 0."""
     u = unit(rows).where("label <> -1")
-    right = u.select(F.col("id").alias("id2"), F.col("label").alias("label2"), F.col("v").alias("v2"))
-    far = F.greatest(1 - cosine(F.col("v"), F.col("v2")), F.lit(0.0))
-    means = u.join(right, F.col("id") != F.col("id2")).groupBy("id", "label", "label2").agg(F.avg(far).alias("d"))
-    each = means.groupBy("id", "label").agg(F.max(F.when(F.col("label") == F.col("label2"), F.col("d"))).alias("a"), F.min(F.when(F.col("label") != F.col("label2"), F.col("d"))).alias("b"))
+    own = F.filter("all", lambda c: c["label"] == F.col("label"))[0]
+    far = lambda total, n: F.greatest(1 - total / n, F.lit(0.0))
+    a = F.when(own["n"] > 1, far(dot(F.col("v"), own["sum"]) - dot(F.col("v"), F.col("v")), own["n"] - 1))
+    others = F.filter("all", lambda c: c["label"] != F.col("label"))
+    b = F.array_min(F.transform(others, lambda c: far(dot(F.col("v"), c["sum"]), c["n"])))
+    each = u.join(F.broadcast(gathered(sums(u), ["label", "n", "sum"]))).select(a.alias("a"), b.alias("b"))
     s = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise(F.coalesce((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0)), F.lit(0.0)))
     return each.agg(F.round(F.coalesce(F.avg(s), F.lit(0.0)), 6).alias("silhouette"))
 
 
-def cluster_quality(rows: DataFrame, centers: DataFrame) -> DataFrame:
-    """Counts and quartiles of the members' similarity to their own centroid, for each label."""
-    scored = rows.join(centers, "label").select("label", cosine(F.col("v"), F.col("centroid")).alias("sim"))
-    q = lambda p: F.round(F.percentile("sim", p), 6)
-    return scored.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("sim"), 6).alias("mean"), q(0.5).alias("median"), q(0.25).alias("p25"), q(0.75).alias("p75"), F.round(F.min("sim"), 6).alias("least"))
+def blocks(rows: DataFrame) -> DataFrame:
+    """(block, ids, labels, width, data): unit vectors in matrices of up to BLOCK rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, k = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for low in range(0, batch.num_rows, BLOCK):
+                some = batch.slice(low, BLOCK)
+                x = np.array(some.column(2).to_pylist(), float)
+                x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-10)
+                yield pa.RecordBatch.from_arrays([pa.array([(part << 32) + k]), pa.array([some.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([some.column(1).to_pylist()], pa.list_(pa.int64())), pa.array([x.shape[1]], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["block", "ids", "labels", "width", "data"])
+                k += 1
+
+    found = rows.where(F.col("v").isNotNull()).select(F.col("id").cast("long"), F.col("label").cast("long"), "v")
+    return found.mapInArrow(run, "block long, ids array<long>, labels array<long>, width int, data binary")
+
+
+def block_pairs(rows: DataFrame, run, schema: str, once: bool = False) -> DataFrame:
+    """``run(x, ids, labels, y, ids, labels, same)`` over pairs of blocks; it yields record batches of the schema.
+
+    A row for each pair of blocks, (n / BLOCK)^2, never one for each pair of vectors. once: each pair of blocks in one order.
+    """
+    one = blocks(rows)
+    two = one.select(*[F.col(c).alias(f"{c}2") for c in one.columns])
+    pairs = one.join(two, F.col("block") <= F.col("block2") if once else F.lit(True))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                x, y = (np.frombuffer(r[d]).reshape(-1, r["width"]) for d in ("data", "data2"))
+                yield from run(x, np.array(r["ids"]), np.array(r["labels"]), y, np.array(r["ids2"]), np.array(r["labels2"]), r["block"] == r["block2"])
+
+    return pairs.mapInArrow(each, schema)
+
+
+def nearest_neighbours(rows: DataFrame) -> DataFrame:
+    """(id, label, id2, label2, sim): the other row of greatest cosine; ties at nine digits: the smallest id."""
+
+    def best(x, ids, labels, y, ids2, labels2, same):
+        sims = (x @ y.T).round(9)
+        if same:
+            np.fill_diagonal(sims, -2.0)
+        order = np.argsort(ids2, kind="stable")
+        at = order[sims[:, order].argmax(1)]
+        top = sims[np.arange(len(x)), at]
+        keep = top > -1.5
+        yield pa.RecordBatch.from_arrays([pa.array(a[keep]) for a in (ids, labels, ids2[at], labels2[at], top)], ["id", "label", "id2", "label2", "sim"])
+
+    found = block_pairs(rows, best, "id long, label long, id2 long, label2 long, sim double")
+    top = found.groupBy("id", "label").agg(F.max(F.struct("sim", -F.col("id2"), "label2")).alias("top"))
+    return top.select("id", "label", (-F.col("top.col2")).alias("id2"), F.col("top.label2").alias("label2"), F.col("top.sim").alias("sim"))
+
+
+def neighbour_purity(rows: DataFrame) -> DataFrame:
+    """purity: the share of rows whose nearest other row has their label (-1 is noise: not judged, but a neighbour)."""
+    return nearest_neighbours(rows).where("label <> -1").agg(F.round(F.avg((F.col("label") == F.col("label2")).cast("double")), 6).alias("purity"))
+
+
+def purity_grade(purity: Column) -> Column:
+    """What the purity says of the embeddings."""
+    return F.when(purity >= 0.8, "good").when(purity >= 0.5, "marginal").otherwise("poor")
+
+
+def pair_diagnostics(rows: DataFrame) -> DataFrame:
+    """(kind, n, least, most, mean, p5, p25, p50, p75, p95): similarities of all pairs within a label and between labels.
+
+    Sums, extremes and a histogram of steps of 0.0001, from which the percentiles are read, add up over blocks.
+    """
+
+    def tell(x, ids, labels, y, ids2, labels2, same):
+        sims, first = x @ y.T, (np.arange(len(x))[:, None] < np.arange(len(y))[None, :]) if same else np.ones((len(x), len(y)), bool)
+        alike = labels[:, None] == labels2[None, :]
+        for kind in ("within", "between"):
+            s = sims[first & (alike if kind == "within" else ~alike)]
+            if len(s):
+                step = np.rint(s * 10_000).astype(np.int64)
+                at, n = np.unique(step, return_counts=True)
+                total = np.bincount(step - at[0], s)[at - at[0]]
+                low, high = np.full(len(at), s.min()), np.full(len(at), s.max())
+                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(at)), *(pa.array(a) for a in (at, n, total, low, high))], ["kind", "step", "n", "total", "low", "high"])
+
+    steps = block_pairs(rows, tell, "kind string, step long, n long, total double, low double, high double", once=True)
+    hist = steps.groupBy("kind", "step").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("low").alias("low"), F.max("high").alias("high"))
+    w = Window.partitionBy("kind")
+    upto = hist.withColumn("upto", F.sum("n").over(w.orderBy("step"))).withColumn("all", F.sum("n").over(w))
+    p = lambda q: F.min(F.when(F.col("upto") >= F.ceil(F.col("all") * q), F.col("step") / 10_000)).alias(f"p{round(100 * q)}")
+    return upto.groupBy("kind").agg(F.sum("n").alias("n"), F.min("low").alias("least"), F.max("high").alias("most"), (F.sum("total") / F.sum("n")).alias("mean"), *[p(q) for q in (0.05, 0.25, 0.5, 0.75, 0.95)])
+
+
+def cluster_quality(rows: DataFrame, centers: DataFrame, enrolled: str | None = None) -> DataFrame:
+    """Of each label: counts, quartiles of the similarity to its centroid (of the enrolled rows), the greatest of all rows.
+
+    Also intra (mean similarity of the pairs within it; null for one row) and nearest (similarity of the closest other centroid).
+    """
+    u = unit(rows).withColumn("on", F.col(enrolled) if enrolled else F.lit(True))
+    own = centers.select("label", l2_normalize(F.col("centroid")).alias("c"))
+    scored = u.join(own, "label").select("label", "on", dot(F.col("v"), F.col("c")).alias("sim"), dot(F.col("v"), F.col("v")).alias("vv"))
+    sim = F.when(F.col("on"), F.col("sim"))
+    q = lambda p: F.round(F.percentile(sim, p), 6)
+    out = scored.groupBy("label").agg(F.count("*").alias("n"), F.count_if("on").alias("n_enrolled"), F.round(F.avg(sim), 6).alias("mean"), q(0.5).alias("median"), q(0.25).alias("p25"), q(0.75).alias("p75"), F.round(F.min(sim), 6).alias("least"), F.round(F.max("sim"), 6).alias("most"), F.sum("vv").alias("vv"))
+    pairs = sums(u).select("label", dot(F.col("sum"), F.col("sum")).alias("ss"), F.col("n").alias("m"))
+    near = own.join(F.broadcast(gathered(own.select(F.col("label").alias("other"), F.col("c").alias("d")), ["other", "d"])))
+    near = near.select("label", F.round(F.array_max(F.transform(F.filter("all", lambda x: x["other"] != F.col("label")), lambda x: dot(F.col("c"), x["d"]))), 6).alias("nearest"))
+    intra = F.round(F.when(F.col("m") > 1, (F.col("ss") - F.col("vv")) / (F.col("m") * (F.col("m") - 1))), 6).alias("intra")
+    return out.join(pairs, "label").join(near, "label").select("label", "n", "n_enrolled", "mean", "median", "p25", "p75", "least", "most", intra, "nearest")
 
 
 def norm_outliers(rows: DataFrame, k: float = 5.0) -> DataFrame:
@@ -97,3 +234,174 @@ def norm_outliers(rows: DataFrame, k: float = 5.0) -> DataFrame:
     n = n.withColumn("mad", F.median(F.abs(F.col("norm") - F.col("mid"))).over(w))
     bar = F.col("mid") - k * 1.4826 * F.col("mad")
     return n.withColumn("keep", (F.col("size") <= 3) | (F.col("mad") < 1e-10) | (bar <= 0) | (F.col("norm") >= bar))
+
+
+def singleton_fraction(rows: DataFrame) -> DataFrame:
+    """fraction: rows alone in their cluster, of all rows that are not noise; none: 0."""
+    sizes = rows.where("label <> -1").groupBy("label").count()
+    return sizes.agg(F.coalesce(F.sum(F.when(F.col("count") == 1, 1).otherwise(0)) / F.sum("count"), F.lit(0.0)).alias("fraction"))
+
+
+def size_statistics(rows: DataFrame, places: tuple[int, ...] = (1, 5, 10, 20, 30)) -> DataFrame:
+    """top_k: the k-th largest cluster for each place, null if there are fewer."""
+    sizes = gathered(rows.where("label <> -1").groupBy("label").agg(F.count("*").alias("n")), ["n"])
+    down = F.reverse(F.col("all.n"))
+    return sizes.select(*[F.get(down, F.lit(k - 1)).alias(f"top_{k}") for k in places])
+
+
+def clustering_row(rows: DataFrame, persistence: float = 0.0) -> DataFrame:
+    """noise_fraction, n_clusters, max_cluster_ratio (0 for one cluster), mean_persistence within 0 and 1."""
+    sizes = rows.groupBy("label").agg(F.count("*").alias("n"))
+    real = F.when(F.col("label") >= 0, F.col("n"))
+    ratio = F.when(F.count(real) > 1, F.max(real) / F.sum(real)).otherwise(0.0)
+    return sizes.agg(F.coalesce(F.sum(F.when(F.col("label") < 0, F.col("n"))) / F.sum("n"), F.lit(0.0)).alias("noise_fraction"), F.count(real).alias("n_clusters"), ratio.alias("max_cluster_ratio"), F.lit(min(max(persistence, 0.0), 1.0)).alias("mean_persistence"))
+
+
+def vote_consistency(rows: DataFrame) -> DataFrame:
+    """disagreement and separation of rows(id, label, segment, v): windows against the vote of their segment.
+
+    Centroids of labels are unit means; a segment's label is the weighted vote of its windows' nearest centroids.
+    disagreement: the share of windows with another one, over the root of the number of labels; separation: the
+    silhouette of the voted labels.
+    """
+    known = rows.where("label <> -1")
+    near = nearest_centroid(rows, centroids(unit(known)))
+    near = rows.select("id", "segment", "v").join(near.select("id", "best", "sim"), "id")
+    voted = weighted_vote(near.select("segment", F.col("id").alias("pos"), F.col("best").alias("speaker"), "sim"), "segment")
+    both = near.join(voted.select("segment", F.col("speaker").alias("voted")), "segment")
+    n = known.select("label").distinct().count()
+    rate = both.agg((F.coalesce(F.avg((F.col("best") != F.col("voted")).cast("double")), F.lit(0.0)) / float(max(n, 1)) ** 0.5).alias("disagreement"))
+    return rate.join(silhouette(both.select("id", F.col("voted").alias("label"), "v")).withColumnRenamed("silhouette", "separation"))
+
+
+def zscores(rows: DataFrame, metrics: dict[str, tuple[float, bool]]) -> DataFrame:
+    """rows with score: the weighted sum of z-scores; metrics: name -> (weight, higher is better). No spread: 0."""
+    stats = rows.agg(*[f(m).alias(f"{n}_{m}") for m in metrics for n, f in (("mean", F.avg), ("std", F.stddev_pop))])
+    parts = [F.when(F.col(f"std_{m}") < 1e-12, 0.0).otherwise((F.col(m) - F.col(f"mean_{m}")) / F.col(f"std_{m}")) * (w if up else -w) for m, (w, up) in metrics.items()]
+    return rows.join(F.broadcast(stats)).withColumn("score", sum(parts[1:], parts[0])).select(*rows.columns, "score")
+
+
+def best_candidate(rows: DataFrame) -> DataFrame:
+    """The sweep row of greatest (score, sep, -disagree, nn_purity, silhouette, -n_noise); ties: the first pos."""
+    key = F.struct("score", "sep", -F.col("disagree"), "nn_purity", "silhouette", -F.col("n_noise"), -F.col("pos"))
+    return rows.agg(F.max_by(F.struct(*rows.columns), key).alias("r")).select("r.*")
+
+
+def metric_ranks(rows: DataFrame, metrics: dict[str, bool]) -> DataFrame:
+    """rows with rank_m, from 1, for each metric (True: the greatest first); ties: by pos. For a sweep's few rows."""
+    w = lambda m, up: Window.orderBy(F.desc(m) if up else F.asc(m), "pos")
+    return rows.select("*", *[F.row_number().over(w(m, up)).alias(f"rank_{m}") for m, up in metrics.items()])
+
+
+def metric_spans(rows: DataFrame, metrics: dict[str, bool]) -> DataFrame:
+    """(metric, least, most, best_pos): the span of each metric and its best row."""
+    best = lambda m, up: (F.max_by if up else F.min_by)("pos", F.struct(m, -F.col("pos") if up else F.col("pos")))
+    one = rows.agg(F.array(*[F.struct(F.lit(m).alias("metric"), F.min(m).cast("double").alias("least"), F.max(m).cast("double").alias("most"), best(m, up).alias("best_pos")) for m, up in metrics.items()]).alias("all"))
+    return one.select(F.inline("all"))
+
+
+def window_weights(windows: DataFrame, threshold_db: float = -40.0) -> DataFrame:
+    """windows(utterance, win, start, end, rms_db, utt_start, utt_end) with weight: energy above the threshold times a bell around the middle, summing to one; without energy all are equal."""
+    length, middle = F.col("utt_end") - F.col("utt_start"), (F.col("utt_start") + F.col("utt_end")) / 2
+    sigma = F.when(length < 1e-6, 1.0).otherwise(length / 4)
+    raw = F.greatest(F.coalesce("rms_db", F.lit(threshold_db)) - threshold_db, F.lit(0.0)) * F.exp(-0.5 * F.pow(((F.col("start") + F.col("end")) / 2 - middle) / sigma, 2))
+    w = Window.partitionBy("utterance")
+    both = windows.select("*", raw.alias("_raw")).select("*", F.sum("_raw").over(w).alias("_sum"), F.count("*").over(w).alias("_n"))
+    return both.withColumn("weight", F.when(F.col("_sum") < 1e-10, 1 / F.col("_n")).otherwise(F.col("_raw") / F.col("_sum"))).drop("_raw", "_sum", "_n")
+
+
+def diversity_target(rows: DataFrame, least: int, most: int) -> DataFrame:
+    """(label, n, target): how many rows to select: more the less similar they are (mean of pairs, negative ones as 0)."""
+    u = unit(rows)
+    own = u.groupBy("label").agg(F.sum(dot(F.col("v"), F.col("v"))).alias("vv"))
+    both = sums(u).join(own, "label")
+    mean = F.greatest((dot(F.col("sum"), F.col("sum")) - F.col("vv")) / (F.col("n") * (F.col("n") - 1)), F.lit(0.0))
+    target = F.greatest(F.lit(least), F.least(F.lit(most), least + F.bround((most - least) * (1 - F.pow(mean, 2.2))).cast("int")))
+    return both.select("label", F.col("n").cast("long").alias("n"), F.when(F.col("n") < 2, least).otherwise(target).cast("int").alias("target"))
+
+
+def diverse_places(x: np.ndarray, count: int, anchors: bool = False) -> list[int]:
+    """Greedy max-min selection of ``count`` rows in order, starting at the first; ties: the lowest place.
+
+    anchors: the first and the last are taken, and the search starts with the second.
+    """
+    n = len(x)
+    if n <= count or (anchors and n <= 2):
+        return list(range(n))
+    if anchors and count <= 2:
+        return [0, n - 1][: max(count, 0)] if count else []
+    size = np.linalg.norm(x, axis=1, keepdims=True)
+    u = x / np.where(size > 0, size, 1)
+    chosen = [0, n - 1, 1] if anchors else [0]
+    near = (u @ u[chosen].T).max(1).round(12)
+    while len(chosen) < count:
+        open_ = np.setdiff1d(np.arange(n), chosen)
+        k = int(open_[near[open_].argmin()])
+        chosen.append(k)
+        near = np.maximum(near, (u @ u[k]).round(12))
+    return sorted(chosen)
+
+
+def select_diverse(rows: DataFrame, count: int, anchors: bool = False) -> DataFrame:
+    """(label, id) of up to ``count`` rows of each label in order of id, by greedy max-min cosine diversity.
+
+    The frames of one shot or scene are one group in memory.
+    """
+    found = rows.where(F.col("v").isNotNull())
+
+    def pick(table: pa.Table) -> pa.Table:
+        table = table.sort_by("id")
+        return table.select(["label", "id"]).take(diverse_places(np.array(table["v"].to_pylist(), float), count, anchors))
+
+    kinds = dict(found.dtypes)
+    return found.select("label", "id", "v").groupBy("label").applyInArrow(pick, f"label {kinds['label']}, id {kinds['id']}")
+
+
+def average_linkage(x: np.ndarray, cut: float) -> list[int]:
+    """Cluster numbers (by first member) of rows that average-linkage clustering by cosine distance joins up to ``cut``."""
+    size = np.linalg.norm(x, axis=1, keepdims=True)
+    u = x / np.maximum(size, 1e-10)
+    far = 1 - u @ u.T
+    np.fill_diagonal(far, np.inf)
+    members = {k: [k] for k in range(len(x))}
+    while len(members) > 1:
+        a, b = divmod(int(far.argmin()), len(x))
+        if far[a, b] > cut:
+            break
+        na, nb = len(members[a]), len(members[b])
+        far[a] = (na * far[a] + nb * far[b]) / (na + nb)
+        far[:, a] = far[a]
+        far[a, a] = np.inf
+        far[b, :] = far[:, b] = np.inf
+        members[a] += members.pop(b)
+    out = [0] * len(x)
+    for n, group in enumerate(sorted(members.values(), key=min)):
+        for k in group:
+            out[k] = n
+    return out
+
+
+def merge_local_speakers(local: DataFrame, similarity: float = 0.75) -> DataFrame:
+    """(key, chunk, speaker, global): local speakers(key, chunk, speaker, v) of a recording under common names SPEAKER_00, ...
+
+    A recording's local speakers are one group in memory. Those without a vector keep no row: ``global_turns`` gives them their local name.
+    """
+
+    def join(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("chunk", "ascending"), ("speaker", "ascending")])
+        names = [f"SPEAKER_{k:02d}" for k in average_linkage(np.array(table["v"].to_pylist(), float), 1 - similarity)]
+        return table.select(["key", "chunk", "speaker"]).append_column("global", pa.array(names, pa.string()))
+
+    kinds = dict(local.dtypes)
+    return local.where(F.col("v").isNotNull()).select("key", "chunk", "speaker", "v").groupBy("key").applyInArrow(join, f"key {kinds['key']}, chunk {kinds['chunk']}, speaker string, global string")
+
+
+def global_turns(turns: DataFrame, names: DataFrame) -> DataFrame:
+    """turns(key, chunk, speaker, ...) under common names; a speaker that has none keeps its local one."""
+    found = turns.join(names.select("key", "chunk", "speaker", F.col("global").alias("_global")), ["key", "chunk", "speaker"], "left")
+    return found.select(*[F.coalesce("_global", "speaker").alias("speaker") if c == "speaker" else F.col(c) for c in turns.columns])
+
+
+def similarity(a: Column, b: Column) -> Column:
+    """Cosine, 0 for vectors of other sizes or without length."""
+    return F.when((F.size(a) == F.size(b)) & (norm(a) > 0) & (norm(b) > 0), cosine(a, b)).otherwise(0.0)

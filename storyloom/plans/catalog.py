@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import speech
 from ..functions import text as T
 from ..functions.vectors import doubles
-from ..operators import batching, entities, intervals, vectors
+from ..operators import batching, entities, intervals, scenes, search, transcript, vectors
+from ..sources import books
+from . import snapshots
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -92,10 +95,10 @@ def silhouette_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(C + """, s AS (SELECT label, list_inner_product(v, centroid) / (sqrt(list_inner_product(v, v)) * sqrt(list_inner_product(centroid, centroid))) AS sim FROM u JOIN c USING (label))
-    SELECT label, count(*) AS n, round(avg(sim), 6) AS mean, round(quantile_cont(sim, 0.5), 6) AS median, round(quantile_cont(sim, 0.25), 6) AS p25, round(quantile_cont(sim, 0.75), 6) AS p75, round(min(sim), 6) AS least FROM s GROUP BY label""")
+    SELECT label, count(*) AS n, round(avg(sim), 6) AS mean, round(quantile_cont(sim, 0.5), 6) AS median, round(quantile_cont(sim, 0.25), 6) AS p25, round(quantile_cont(sim, 0.75), 6) AS p75, round(min(sim), 6) AS least, round((SELECT avg(list_inner_product(a.v, b.v)) FROM u a JOIN u b ON a.label = b.label AND a.id <> b.id WHERE a.label = s.label), 6) AS intra, round((SELECT max(list_cosine_similarity(x.centroid, y.centroid)) FROM c x JOIN c y ON x.label <> y.label WHERE x.label = s.label), 6) AS nearest FROM s GROUP BY label""")
 def cluster_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors.unit(embeddings(spark, sf_dir))
-    return vectors.cluster_quality(rows, vectors.centroids(rows))
+    return vectors.cluster_quality(rows, vectors.centroids(rows)).select("label", "n", "mean", "median", "p25", "p75", "least", "intra", "nearest")
 
 
 @query(E + """, n AS (SELECT id, label, sqrt(list_inner_product(raw, raw)) AS norm FROM e), m AS (SELECT *, median(norm) OVER (PARTITION BY label) AS mid, count(*) OVER (PARTITION BY label) AS size FROM n),
@@ -131,6 +134,7 @@ def speech_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PAIR = I + " SELECT a.key, a.id, b.id AS id_b FROM t a JOIN t b ON a.key = b.key WHERE a.label = 'click' AND b.label <> 'click' AND "
+WIDE = I.replace("epoch_us(ts) / 1e6 + 1800 + event_id % 7200 AS e", "epoch_us(ts) / 1e6 + CASE WHEN event_type = 'click' THEN 600 ELSE 43200 END AS e") + " SELECT a.key, a.id, b.id AS id_b FROM t a JOIN t b ON a.key = b.key WHERE a.label = 'click' AND b.label <> 'click' AND "
 
 
 def _two(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -143,9 +147,10 @@ def overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.overlaps(*_two(spark, sf_dir), 3 * HOUR).select("key", "id", "id_b")
 
 
-@query(PAIR + "a.s >= b.s AND a.e <= b.e")
+@query(WIDE + "a.s >= b.s AND a.e <= b.e")
 def containment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return intervals.contained_in(*_two(spark, sf_dir), 3 * HOUR).select("key", "id", "id_b")
+    rows = timeline(spark, sf_dir).withColumn("end", F.col("start") + F.when(F.col("label") == "click", 600).otherwise(43200))
+    return intervals.contained_in(rows.where("label = 'click'"), rows.where("label <> 'click'"), 3 * HOUR).select("key", "id", "id_b")
 
 
 @query(I + ", x AS (SELECT * FROM t WHERE label = 'click'), y AS (SELECT * FROM t WHERE label <> 'click')" + ISLANDS.format(gap="0").replace("FROM t)", "FROM y)") + """
@@ -196,33 +201,49 @@ def text_basics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.length(T.normalize_text(F.col("text"))).cast("bigint").alias("n"), T.infer_title(F.col("text")).alias("title"), T.safe_name(F.concat("source", F.lit("/"), "lang")).alias("name"))
 
 
-@query("SELECT page_id, nullif(trim(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1\\s*>', 1), '<[^>]*>', '', 'g')), '') AS title FROM pages")
+_H1, _TITLE = r"'(?is)<h1\b[^>]*>(.*?)</h1\s*>'", r"'(?is)<title\b[^>]*>(.*?)</title\s*>'"
+_BARE = r"regexp_replace(regexp_extract(html, {0}, 1), '(?s)<[^>]*>', '', 'g')"
+_CHARS = "replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&nbsp;', chr(160)), '&amp;', '&')"
+
+
+@query(f"""SELECT page_id, CASE WHEN regexp_matches(html, {_H1}) THEN array_to_string(list_filter(list_transform(string_split({_CHARS.format(_BARE.format(_H1))}, chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> ''), chr(10))
+    WHEN regexp_matches(html, {_TITLE}) THEN trim({_CHARS.format(_BARE.format(_TITLE))}, chr(32) || chr(9) || chr(10) || chr(13)) END AS title FROM pages""")
 def html_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", T.html_title(F.col("html")).alias("title"))
 
 
-@query()
+@query(r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>', '', 'g'), '(?is)<style\b.*?</style\s*>', '', 'g'), '(?i)<br\b[^>]*>', chr(10), 'g'), '(?i)</p\s*>', chr(10) || chr(10), 'g'), '(?s)<!--.*?-->|<[^>]*>', '', 'g') AS x FROM pages),
+    b AS (SELECT page_id, list_filter(list_transform(string_split(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', chr(160)), '&amp;', '&'), chr(10)), lambda s: trim(regexp_replace(s, '[\s\x{A0}]+', ' ', 'g'))), lambda s: s <> '') AS l FROM a) SELECT page_id, array_to_string(l, chr(10)) AS text FROM b""")
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", T.html_text(F.col("html")).alias("text"))
 
 
-@query("SELECT min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY text")
+@query("WITH n AS (SELECT doc_id % 50 AS character, doc_id, lang, source, n_chars FROM documents), k AS (SELECT character, lang, source, n_chars // 100 AS size FROM n) SELECT character, count(*) AS n FROM (SELECT DISTINCT * FROM k) GROUP BY character")
 def note_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).drop("h")
+    """Notes as JSON, with their keys in one order or the other; repeats go whatever the order."""
+    size = (F.col("n_chars") / 100).cast("long").alias("size")
+    note = F.when(F.col("doc_id") % 2 == 0, F.to_json(F.struct("lang", "source", size))).otherwise(F.to_json(F.struct(size, "source", "lang")))
+    rows = table(spark, sf_dir, "documents").select((F.col("doc_id") % 50).alias("character"), note.alias("note"), F.lit(0).alias("chapter_index"), F.lit(0).alias("scene_index"))
+    return entities.distinct_notes(rows).groupBy("character").agg(F.count("*").alias("n"))
 
 
-@query("SELECT event_type, user_id, min(epoch_us(ts)) AS first_us, count(*) AS n FROM events GROUP BY ALL")
+@query("SELECT user_id AS key, event_type AS speaker, round(min(epoch_us(ts)) / 1e6, 3) AS first_seen FROM events WHERE event_type <> 'view' GROUP BY ALL")
 def first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("event_type", "user_id").agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))).alias("first_us"), F.count("*").alias("n"))
+    rows = timeline(spark, sf_dir).withColumn("speaker", F.when(F.col("label") == "view", "UNKNOWN").otherwise(F.col("label")))
+    return transcript.first_seen(rows).withColumn("first_seen", F.round("first_seen", 3))
 
 
-@query("WITH s AS (SELECT conv_id AS chapter, coalesce(sum(len(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a, sum(len(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS b, turn FROM conversations) SELECT chapter, bool_and(b > a) AS covered FROM s GROUP BY chapter")
-def coverage_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
+COVER = "WITH n AS (SELECT conv_id, turn, len(text) AS n, sum(len(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations), s AS (SELECT conv_id AS chapter, b - n + CASE WHEN conv_id % 3 = 1 AND turn = 1 THEN 1 ELSE 0 END AS a, b + CASE WHEN conv_id % 5 = 1 THEN 1 ELSE 0 END AS b, max(b) OVER (PARTITION BY conv_id) AS total FROM n)"
 
+
+@query(COVER + ", l AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY chapter ORDER BY a, b), 0) AS last FROM s) SELECT chapter, bool_and(a = last AND b > a) AND max(b) = max(total) AS covered FROM l GROUP BY chapter")
+def coverage_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of a conversation as scenes of a chapter; a third of the chapters have a gap, a fifth pass their end."""
     w = Window.partitionBy("conv_id").orderBy("turn")
-    rows = table(spark, sf_dir, "conversations").select("conv_id", F.sum(F.length("text")).over(w).alias("end"), F.length("text").alias("n"), F.sum(F.length("text")).over(Window.partitionBy("conv_id")).alias("total"))
-    return entities.coverage(rows.select(F.col("conv_id").alias("chapter"), (F.col("end") - F.col("n")).alias("start"), "end", "total"))
+    n, b = F.length("text"), F.sum(F.length("text")).over(w)
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("chapter"), "turn", (b - n).alias("a"), b.alias("b"), F.sum(n).over(Window.partitionBy("conv_id")).alias("total"))
+    gap = F.when((F.col("chapter") % 3 == 1) & (F.col("turn") == 1), 1).otherwise(0)
+    return entities.coverage(rows.select("chapter", (F.col("a") + gap).alias("start"), (F.col("b") + F.when(F.col("chapter") % 5 == 1, 1).otherwise(0)).alias("end"), "total"))
 
 
 @query("SELECT vec_id AS id, label, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm FROM embeddings")
@@ -230,3 +251,279 @@ def vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.vectors import norm
 
     return embeddings(spark, sf_dir).select("id", "label", F.round(norm(F.col("v")), 6).alias("norm"))
+
+
+@query(E + ", p AS (SELECT a.label, a.id, round(sum(list_inner_product(a.v, b.v) * (1 + b.id % 5)) / sum(1 + b.id % 5), 9) AS m FROM u a JOIN u b USING (label) GROUP BY a.label, a.id) SELECT label, arg_max(id, (m, -id)) AS medoid FROM p GROUP BY label")
+def weighted_medoid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.medoids(embeddings(spark, sf_dir).withColumn("w", 1 + F.col("id") % 5), "w")
+
+
+COHERENT = E + ", p AS (SELECT a.label, a.id, avg(list_inner_product(a.v, b.v)) FILTER (WHERE a.id <> b.id) AS m FROM u a JOIN u b USING (label) GROUP BY a.label, a.id), h AS (SELECT label, round(coalesce(max(m), 1.0), 6) AS c FROM p GROUP BY label)"
+
+
+@query(COHERENT + " SELECT id, label FROM e WHERE label IN (SELECT label FROM h WHERE c >= (SELECT median(c) FROM h))")
+def coherence_filter_low(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = embeddings(spark, sf_dir)
+    bar = vectors.coherence(rows).agg(F.median(F.round("coherence", 6))).first()[0]
+    return vectors.coherent_labels(rows, bar - 5e-7).select("id", "label")
+
+
+@query("WITH s AS (SELECT CASE WHEN vec_id % 7 = 0 THEN 1000 + vec_id ELSE label END AS label FROM embeddings), c AS (SELECT label, count(*) AS n FROM s WHERE label <> -1 GROUP BY label) SELECT round(sum(CASE WHEN n = 1 THEN 1 ELSE 0 END) / sum(n), 6) AS fraction FROM c")
+def singleton_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = embeddings(spark, sf_dir).withColumn("label", F.when(F.col("id") % 7 == 0, 1000 + F.col("id")).otherwise(F.col("label")))
+    return vectors.singleton_fraction(rows).select(F.round("fraction", 6).alias("fraction"))
+
+
+SWEEP = "WITH g AS (SELECT label AS pos, avg(embedding[1]::DOUBLE) AS silhouette, avg(embedding[2]::DOUBLE) AS nn_purity, max(embedding[3]::DOUBLE) AS sep, min(embedding[4]::DOUBLE) AS disagree, count(*) AS n_noise FROM embeddings GROUP BY label), z AS (SELECT *, 0.5 * (silhouette - avg(silhouette) OVER ()) / stddev_pop(silhouette) OVER () + 3 * (nn_purity - avg(nn_purity) OVER ()) / stddev_pop(nn_purity) OVER () + 0.5 * (sep - avg(sep) OVER ()) / stddev_pop(sep) OVER () - 3 * (disagree - avg(disagree) OVER ()) / stddev_pop(disagree) OVER () AS score FROM g)"
+
+
+def sweep_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = lambda k: F.get("v", F.lit(k))
+    rows = embeddings(spark, sf_dir).groupBy(F.col("label").alias("pos")).agg(F.avg(v(0)).alias("silhouette"), F.avg(v(1)).alias("nn_purity"), F.max(v(2)).alias("sep"), F.min(v(3)).alias("disagree"), F.count("*").alias("n_noise"))
+    return vectors.zscores(rows, {"silhouette": (0.5, True), "nn_purity": (3.0, True), "sep": (0.5, True), "disagree": (3.0, False)})
+
+
+@query(SWEEP + " SELECT pos, round(score, 6) AS score, row_number() OVER (ORDER BY nn_purity DESC, pos) AS rank_nn_purity, row_number() OVER (ORDER BY disagree, pos) AS rank_disagree FROM z")
+def zscore_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = vectors.metric_ranks(sweep_rows(spark, sf_dir), {"nn_purity": True, "disagree": False})
+    return rows.select("pos", F.round("score", 6).alias("score"), "rank_nn_purity", "rank_disagree")
+
+
+@query(SWEEP + " SELECT pos, round(score, 6) AS score FROM z ORDER BY score DESC, sep DESC, disagree, nn_purity DESC, silhouette DESC, n_noise, pos LIMIT 1")
+def best_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.best_candidate(sweep_rows(spark, sf_dir)).select("pos", F.round("score", 6).alias("score"))
+
+
+@query(SWEEP + " SELECT 'sep' AS metric, round(min(sep), 6) AS least, round(max(sep), 6) AS most, arg_max(pos, (sep, -pos)) AS best_pos FROM z UNION ALL SELECT 'disagree', round(min(disagree), 6), round(max(disagree), 6), arg_min(pos, (disagree, pos)) FROM z")
+def metric_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = vectors.metric_spans(sweep_rows(spark, sf_dir), {"sep": True, "disagree": False})
+    return rows.select("metric", F.round("least", 6).alias("least"), F.round("most", 6).alias("most"), "best_pos")
+
+
+@query(E + ", p AS (SELECT CASE WHEN a.label = b.label THEN 'within' ELSE 'between' END AS kind, list_inner_product(a.v, b.v) AS s FROM u a JOIN u b ON a.id < b.id) SELECT kind, count(*) AS n, round(min(s), 6) AS least, round(max(s), 6) AS most, round(avg(s), 6) AS mean FROM p GROUP BY kind")
+def pairwise_diag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.pair_diagnostics(embeddings(spark, sf_dir)).select("kind", "n", *[F.round(c, 6).alias(c) for c in ("least", "most", "mean")])
+
+
+@query(E + ", p AS (SELECT a.label, avg(list_inner_product(a.v, b.v)) AS m, count(DISTINCT a.id) AS n FROM u a JOIN u b ON a.label = b.label AND a.id <> b.id GROUP BY a.label) SELECT label, n, greatest(4, least(12, 4 + round_even(8 * (1 - power(greatest(m, 0), 2.2)), 0)::INT)) AS target FROM p")
+def diversity_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.diversity_target(embeddings(spark, sf_dir), 4, 12)
+
+
+@query()
+def maxmin_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy, each choice by all before: checked against brute force in the tests."""
+    return vectors.select_diverse(embeddings(spark, sf_dir), 8)
+
+
+@query()
+def anchored_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.select_diverse(embeddings(spark, sf_dir), 8, anchors=True)
+
+
+@query()
+def coherent_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.coherent_members(embeddings(spark, sf_dir), 0.0)
+
+
+@query(C + ", s AS (SELECT u.id, u.label, c.label AS other, round(list_cosine_similarity(u.v, c.centroid), 9) AS sim FROM u, c), b AS (SELECT id, label, arg_max(other, (sim, -other)) AS best, max(sim) AS sim FROM s GROUP BY id, label) SELECT id, label, best, round(sim, 6) AS sim FROM b WHERE sim >= 0.2")
+def nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = vectors.unit(embeddings(spark, sf_dir))
+    return vectors.nearest_centroid(rows, vectors.centroids(rows), 0.2).withColumn("sim", F.round("sim", 6))
+
+
+@query("WITH s AS (SELECT CASE WHEN vec_id % 4 = 0 THEN -1 ELSE label END AS label FROM embeddings), c AS (SELECT label, count(*) AS n FROM s GROUP BY label) SELECT round(sum(n) FILTER (WHERE label < 0) / sum(n), 6) AS noise_fraction, count(*) FILTER (WHERE label >= 0) AS n_clusters, round(max(n) FILTER (WHERE label >= 0) / sum(n) FILTER (WHERE label >= 0), 6) AS max_cluster_ratio FROM c")
+def clustering_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = embeddings(spark, sf_dir).withColumn("label", F.when(F.col("id") % 4 == 0, -1).otherwise(F.col("label")))
+    return vectors.clustering_row(rows).select(F.round("noise_fraction", 6).alias("noise_fraction"), "n_clusters", F.round("max_cluster_ratio", 6).alias("max_cluster_ratio"))
+
+
+@query("WITH c AS (SELECT list(n ORDER BY n DESC) AS l FROM (SELECT count(*) AS n FROM embeddings WHERE label <> -1 GROUP BY label)) SELECT l[1] AS top_1, l[5] AS top_5, l[10] AS top_10, l[20] AS top_20, l[30] AS top_30 FROM c")
+def size_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.size_statistics(embeddings(spark, sf_dir))
+
+
+@query()
+def vote_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.vote_consistency(embeddings(spark, sf_dir).withColumn("segment", F.col("id") % 40))
+
+
+@query(E + " SELECT id, label, round(list_inner_product(v, list_transform(range(64), lambda k: 0.125)), 6) AS sim FROM u WHERE label IN (1, 2, 3) ORDER BY sim DESC, id LIMIT 10")
+def vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of three labels to the direction of ones."""
+    return search.nearest(embeddings(spark, sf_dir), [1.0] * 64, {"label": {"$in": [1, 2, 3]}}).select("id", "label", F.round("sim", 6).alias("sim"))
+
+
+@query("SELECT vec_id AS id, k AS frame, round(list_sum(list_transform(list_slice(embedding, k * 24 + 1, k * 24 + 24), lambda x: x::DOUBLE)), 6) AS total FROM embeddings, range(3) r(k)")
+def tumbling_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = intervals.frames(embeddings(spark, sf_dir).select(F.lit(0).alias("key"), "id", F.col("v").alias("samples")), 24)
+    return rows.select("id", F.col("frame").cast("long").alias("frame"), F.round(F.aggregate("samples", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
+@query(I + ", m AS (SELECT a.key, a.id, arg_max(b.label, (round(least(a.e, b.e) - greatest(a.s, b.s), 9), -b.id)) AS label FROM t a JOIN t b ON a.key = b.key AND a.e > b.s AND a.s < b.e WHERE a.label = 'click' AND b.label <> 'click' GROUP BY a.key, a.id) SELECT t.key, t.id, coalesce(m.label, 'SPEAKER_00') AS label FROM t LEFT JOIN m USING (key, id) WHERE t.label = 'click'")
+def argmax_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.longest_overlap(*_two(spark, sf_dir), 3 * HOUR, "SPEAKER_00")
+
+
+@query(I + ", w AS (SELECT *, lag(label) OVER o AS pl, lag(e) OVER o AS pe, lead(label) OVER o AS nl, lead(s) OVER o AS ns FROM t WINDOW o AS (PARTITION BY key ORDER BY s, id)) SELECT key, id FROM w WHERE coalesce(pl = label AND pe >= s - 21600, false) OR coalesce(nl = label AND ns <= e + 21600, false)")
+def neighbor_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.supported(timeline(spark, sf_dir), 6 * HOUR).select("key", "id")
+
+
+@query(I + ", w AS (SELECT *, label IN ('click', 'view') AS o, lead(s) OVER w AS ns FROM t WINDOW w AS (PARTITION BY key ORDER BY s, id)), r AS (SELECT *, sum((o IS DISTINCT FROM lo)::INT) OVER (PARTITION BY key ORDER BY s, id) AS g FROM (SELECT *, coalesce(lag(o) OVER (PARTITION BY key ORDER BY s, id), false) AS lo FROM w)), x AS (SELECT key, max(e) AS total FROM t GROUP BY key), y AS (SELECT r.key, min(s) AS a, coalesce(arg_max(coalesce(ns, total), (s, id)), any_value(total)) AS b FROM r JOIN x ON x.key = r.key WHERE o GROUP BY r.key, g) SELECT key, round(a, 3) AS start, round(b, 3) AS \"end\" FROM y WHERE b - a > 7200")
+def run_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = timeline(spark, sf_dir)
+    found = intervals.runs(rows, F.col("label").isin("click", "view"), rows.groupBy("key").agg(F.max("end").alias("total")), 2 * HOUR)
+    return found.select("key", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"))
+
+
+@query(I + " SELECT key, id, last_value(CASE WHEN label = 'purchase' THEN id END IGNORE NULLS) OVER (PARTITION BY key ORDER BY s, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS known FROM t")
+def asof_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.last_known(timeline(spark, sf_dir).withColumn("bought", F.when(F.col("label") == "purchase", F.col("id"))), "bought").select("key", "id", "known")
+
+
+@query(I + " SELECT key, count(*) AS n, round(sum(greatest(e - s, 0)), 3) AS seconds, round(avg((id % 100) / 100), 4) AS mean_quality, count(*) FILTER (WHERE (id % 100) / 100 < 0.3) AS n_low, round(max(abs(id % 13 - 6)), 2)::DOUBLE AS shift_ms FROM t GROUP BY key")
+def stats_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = timeline(spark, sf_dir).withColumn("quality", (F.col("id") % 100) / 100).withColumn("shift_ms", (F.col("id") % 13 - 6).cast("double"))
+    return intervals.speech_statistics(rows)
+
+
+@query("WITH n AS (SELECT strftime(ts, '%Y%m%d-%H%M%S') || '_' || event_id AS name FROM events UNION ALL SELECT 'no-time_' || user_id FROM (SELECT DISTINCT user_id FROM events)), a AS (SELECT name, try_strptime(substr(name, 1, 15), '%Y%m%d-%H%M%S') AS at FROM n), b AS (SELECT *, epoch(max(at) OVER () - at) AS age FROM a), c AS (SELECT name, coalesce(age > 14400, false) AS old, CASE WHEN age <= 86400 THEN strftime(at, '%Y%m%d%H') ELSE strftime(at, '%Y%m%d') END AS bucket FROM b) SELECT name, NOT old OR row_number() OVER (PARTITION BY old, bucket ORDER BY name DESC) = 1 AS keep FROM c")
+def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as snapshots, seen from the last one's time."""
+    events = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_id", "user_id")
+    names = events.select(F.concat(F.date_format("ts", snapshots.STAMP), F.lit("_"), F.col("event_id").cast("string")).alias("name"))
+    names = names.union(events.select(F.concat(F.lit("no-time_"), F.col("user_id").cast("string"))).distinct())
+    now = events.agg(F.date_trunc("second", F.max("ts"))).first()[0]
+    return snapshots.retained(names, F.lit(now)).select("name", "keep")
+
+
+@query(I + ", p AS (SELECT key, id, greatest(s - 900, 0) AS s, e + 900 AS e FROM t), r AS (SELECT *, max(e) OVER (PARTITION BY key ORDER BY s, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM p), g AS (SELECT *, sum((reach IS NULL OR s > reach)::INT) OVER (PARTITION BY key ORDER BY s, id) AS island FROM r) SELECT key, round(min(s), 3) AS start, round(max(e), 3) AS \"end\" FROM g GROUP BY key, island")
+def padded_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.padded(timeline(spark, sf_dir), 900.0).select("key", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"))
+
+
+@query(I + " SELECT key, id, k AS win, round(s + k * 1800, 3) AS start, round(least(s + k * 1800 + 3600, e), 3) AS \"end\" FROM t, range(6) r(k) WHERE k < ceil((e - s) / 1800)")
+def file_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = intervals.file_windows(timeline(spark, sf_dir), 3600.0, 1800.0)
+    return rows.select("key", "id", F.col("win").cast("long").alias("win"), F.round("start", 3).alias("start"), F.round("end", 3).alias("end"))
+
+
+@query()
+def overlap_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fold that changes the row before: checked against brute force in the tests."""
+    return intervals.repair_overlaps(timeline(spark, sf_dir).withColumn("quality", (F.col("id") % 100) / 100), 60.0)
+
+
+@query()
+def rescued_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = timeline(spark, sf_dir).withColumn("quality", (F.col("id") % 100) / 100)
+    totals = rows.groupBy("key").agg(F.max("end").alias("total"))
+    return intervals.rescued(rows.where("label = 'purchase'"), rows.where("label = 'click'"), totals, 600.0)
+
+
+@query(I + ", x AS (SELECT key, max(e) AS total FROM t WHERE label <> 'click' GROUP BY key), b AS (SELECT t.key, greatest(s, 0) AS s, least(e, total) AS e FROM t JOIN x USING (key) WHERE label = 'click'), h AS (SELECT * FROM b WHERE e > s AND e - s >= 5400), w AS (SELECT key, 0::DOUBLE AS s, total AS e FROM x WHERE key NOT IN (SELECT key FROM t WHERE label = 'click')), a AS (SELECT * FROM h UNION ALL SELECT * FROM w) SELECT key, row_number() OVER (PARTITION BY key ORDER BY s, e) - 1 AS index, round(s, 3) AS start, round(e, 3) AS \"end\" FROM a")
+def speech_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clicks, others = _two(spark, sf_dir)
+    spans = transcript.speech_spans(clicks, others.groupBy("key").agg(F.max("end").alias("total")), 5400.0)
+    return spans.select("key", F.col("index").cast("long").alias("index"), F.round("start", 3).alias("start"), F.round("end", 3).alias("end"))
+
+
+@query("SELECT conv_id, turn FROM conversations WHERE coalesce((turn % 10) / 10 + 0.3 >= 0.6, true) AND turn * 2.0 >= 0.3 AND CASE WHEN turn > 0 THEN len(text) / (turn * 2.0) ELSE 'infinity'::DOUBLE END <= 28")
+def entry_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lit(0.0).alias("start"), (F.col("turn") * 2.0).alias("end"), "text", ((F.col("turn") % 10) / 10 + 0.3).alias("confidence"))
+    return transcript.passes(rows).select("conv_id", "turn")
+
+
+SENTENCES = "WITH p AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '[^。！？!?]*[。！？!?]|[^。！？!?]+'), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160))), lambda x: x <> '') AS l, n_chars FROM documents)"
+
+
+@query(SENTENCES + " SELECT doc_id, len(l) AS n, coalesce(list_sum(list_transform(l, lambda x: len(x))), 0)::BIGINT AS chars, md5(array_to_string(l, chr(10))) AS digest FROM p")
+def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", transcript.sentences(F.col("text")).alias("l"))
+    return rows.select("doc_id", F.size("l").cast("long").alias("n"), F.aggregate("l", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("chars"), F.md5(F.array_join("l", "\n")).alias("digest"))
+
+
+@query(SENTENCES + ", x AS (SELECT doc_id, unnest(l) AS t, unnest(range(len(l))) AS pos, n_chars / 10 AS e FROM p), c AS (SELECT *, sum(len(t)) OVER (PARTITION BY doc_id ORDER BY pos) AS upto, sum(len(t)) OVER (PARTITION BY doc_id) AS n FROM x) SELECT doc_id, pos, round(least(e, e * (upto - len(t)) / n), 6) AS piece_start, round(CASE WHEN upto = n THEN e ELSE least(e, e * upto / n) END, 6) AS piece_end FROM c")
+def time_proportional_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.lit(0.0).alias("start"), (F.col("n_chars") / 10).alias("end"), F.posexplode(transcript.sentences(F.col("text"))).alias("pos", "text"))
+    return transcript.proportional_times(rows).select(F.col("key").alias("doc_id"), F.col("pos").cast("long").alias("pos"), F.round("piece_start", 6).alias("piece_start"), F.round("piece_end", 6).alias("piece_end"))
+
+
+@query()
+def heuristic_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences and clauses by language: a small program for each text."""
+    return table(spark, sf_dir, "documents").select("doc_id", transcript.pieces(F.col("text"), F.col("lang")).alias("l")).select("doc_id", F.size("l").alias("n"), F.md5(F.array_join("l", "\n")).alias("digest"))
+
+
+@query("SELECT doc_id, len(trim(regexp_replace(text, '[。！？!?、，,.；;：:…—–\\-「」『』（）()【】\\[\\]《》〈〉\"'']', '', 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160))) AS n, md5(replace(trim(regexp_replace(text, '[。！？!?、，,.；;：:…—–\\-「」『』（）()【】\\[\\]《》〈〉\"'']', '', 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)), ' ', '')) AS digest FROM documents")
+def strip_punct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.length(T.strip_marks(F.col("text"))).cast("long").alias("n"), F.md5(T.compact(F.col("text"))).alias("digest"))
+
+
+@query("WITH x AS (SELECT event_id, event_id * 0.7311 AS t FROM events), m AS (SELECT event_id, t, floor(t)::BIGINT * 1000 + round_even((t - floor(t)) * 1000, 0)::BIGINT AS ms FROM x) SELECT event_id, printf('%02d:%02d:%02d', floor(t)::BIGINT // 3600, floor(t)::BIGINT % 3600 // 60, floor(t)::BIGINT % 60) AS clock, printf('%02d:%02d:%02d,%03d', ms // 3600000, ms // 1000 % 3600 // 60, ms // 1000 % 60, ms % 1000) AS stamp, round(ms / 1000, 3) AS parsed FROM m")
+def time_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("event_id") * F.lit(0.7311)
+    return table(spark, sf_dir, "events").select("event_id", T.clock(t).alias("clock"), T.subtitle_time(t).alias("stamp"), F.round(T.parse_clock(T.subtitle_time(t)), 3).alias("parsed"))
+
+
+@query("SELECT doc_id, CASE WHEN lang = 'en' THEN 'en' ELSE lower(replace(lang || '_X', '_', '-')) END AS code, CASE lang WHEN 'en' THEN 'English' WHEN 'de' THEN 'English' ELSE 'English' END AS aligner, coalesce(CASE lang WHEN 'en' THEN '英文' END, lower(replace(lang || '_X', '_', '-'))) AS recognizer FROM documents")
+def language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.concat("lang", F.lit("_X"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.language_code(name).alias("code"), speech.aligner_language(name).alias("aligner"), speech.recognizer_language(name).alias("recognizer"))
+
+
+@query("WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), r AS (SELECT vec_id, sqrt(list_inner_product(v, v) / len(v)) AS rms FROM e) SELECT vec_id AS id, round(20 * log10(rms), 6) AS db, CASE WHEN 20 * log10(rms) < -38 THEN 'quiet' WHEN 20 * log10(rms) > -20 THEN 'loud' ELSE 'normal' END AS volume, CASE WHEN rms < 0.02 THEN 'low' WHEN rms > 0.05 THEN 'high' ELSE 'medium' END AS energy FROM r")
+def level_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    db = speech.level_db(F.col("v"))
+    rms = F.pow(F.lit(10.0), db / 20)
+    return embeddings(spark, sf_dir).select("id", F.round(db, 6).alias("db"), speech.volume_class(db).alias("volume"), speech.energy_class(rms).alias("energy"))
+
+
+LABELS = ("silence", "water", "crying", "crowd noise")
+
+
+@query("WITH s AS (SELECT vec_id, [embedding[1], embedding[2], embedding[3], embedding[4]]::DOUBLE[] AS v FROM embeddings), t AS (SELECT vec_id, v, list_max(v) AS top, list_position(v, list_max(v)) AS at, list_sort(v, 'DESC')[2] AS two FROM s) SELECT vec_id AS id, CASE WHEN top >= 0.05 AND top - two >= 0.02 AND at <> 1 AND v[1] + 0.03 < top THEN ['silence', 'water', 'crying_or_sobbing', 'crowd'][at] END AS label FROM t")
+def sound_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = F.array(*[F.struct(F.lit(x).alias("label"), F.get("v", F.lit(k)).alias("sim")) for k, x in enumerate(LABELS)])
+    return embeddings(spark, sf_dir).select("id", speech.top_label(scores, 0.05, 0.02).alias("label"))
+
+
+@query(O + ", m AS (SELECT chapter, scene, alias, left(alias, 2) AS canonical FROM o WHERE scene % 2 = 0), r AS (SELECT DISTINCT left(alias, 2) AS canonical FROM o) SELECT r.canonical, count(m.alias) AS n, coalesce(string_agg(m.chapter || '/' || m.scene || '/' || m.alias, ',' ORDER BY m.chapter, m.scene, m.alias), '') AS places FROM r LEFT JOIN m USING (canonical) GROUP BY r.canonical")
+def group_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = occurrences(spark, sf_dir).withColumn("canonical", F.substring("alias", 1, 2))
+    found = entities.grouped(rows.select("canonical").distinct(), rows.where("scene % 2 = 0"))
+    return found.select("canonical", F.size("places").cast("long").alias("n"), F.array_join(F.transform("places", lambda p: F.concat_ws("/", p["chapter"].cast("string"), p["scene"].cast("string"), p["alias"])), ",").alias("places"))
+
+
+@query(O + ", s AS (SELECT chapter, scene, alias, left(alias, 1) AS canonical FROM o WHERE scene % 2 = 0), g AS (SELECT chapter, scene, alias, CASE WHEN canonical < 'm' THEN 'low' ELSE canonical END AS canonical FROM s), a AS (SELECT chapter, scene, alias, 'new' AS canonical FROM o WHERE scene % 4 = 0 OR scene % 5 = 0), f AS (SELECT * FROM a UNION ALL SELECT * FROM g WHERE (chapter, scene, alias) NOT IN (SELECT (chapter, scene, alias) FROM a)), u AS (SELECT chapter, scene, alias FROM o WHERE scene % 3 = 0 AND (chapter, scene, alias) NOT IN (SELECT (chapter, scene, alias) FROM f)) SELECT 'occurrences' AS part, canonical AS name, count(*) AS n FROM f GROUP BY canonical UNION ALL SELECT 'unresolved', '', count(*) FROM u UNION ALL SELECT 'registry', name, 1 FROM (SELECT DISTINCT left(alias, 1) AS name FROM o WHERE NOT left(alias, 1) < 'm' UNION SELECT 'low')")
+def alias_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One batch's merges, assignments and open aliases applied to what was known."""
+    rows = occurrences(spark, sf_dir)
+    first = rows.withColumn("canonical", F.substring("alias", 1, 1))
+    names = first.select("canonical").distinct()
+    entry = lambda df: df.select("canonical", F.array().cast("array<string>").alias("candidates"))
+    state = {"registry": entry(names), "occurrences": first.where("scene % 2 = 0"), "unresolved": rows.where("scene % 3 = 0").withColumn("reason", F.lit("?"))}
+    update = {"characters": entry(spark.createDataFrame([("low",)], "canonical string")), "merges": names.where("canonical < 'm'").select(F.col("canonical").alias("absorb"), F.lit("low").alias("keep")), "assignments": rows.where("scene % 4 = 0 OR scene % 5 = 0").withColumn("canonical", F.lit("new")), "unresolved": rows.limit(0).withColumn("reason", F.lit("?"))}
+    after = entities.apply_batch(state, update)
+    held = after["occurrences"].groupBy(F.col("canonical").alias("name")).count().select(F.lit("occurrences").alias("part"), "name", F.col("count").alias("n"))
+    open_ = after["unresolved"].agg(F.count("*").alias("n")).select(F.lit("unresolved"), F.lit(""), "n")
+    return held.union(open_).union(after["registry"].select(F.lit("registry"), "canonical", F.lit(1).cast("long")))
+
+
+LINES = "WITH d AS (SELECT doc_id, trim(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)) AS t FROM documents), l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS x, unnest(range(len(string_split(t, chr(10))))) AS line FROM d), s AS (SELECT *, trim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13) || chr(160)) AS y FROM l), h AS (SELECT *, regexp_extract(y, '^(#{1,6})\\s+(.*\\S)\\s*$', 2) AS hd FROM s), k AS (SELECT *, CASE WHEN hd <> '' THEN hd ELSE y END AS shown FROM h), b AS (SELECT *, trim(shown, '# ' || chr(9) || chr(11) || chr(12) || chr(13) || chr(160)) AS bare FROM k), q AS (SELECT *, bare <> '' AND len(bare) <= 120 AND regexp_matches(bare, '^[A-F][a-z]+ ') AS head FROM b), g AS (SELECT *, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY line) AS section FROM q)"
+
+
+@query(LINES + ", c AS (SELECT doc_id, section, min(line) AS line, trim(coalesce(string_agg(x, chr(10) ORDER BY line) FILTER (WHERE NOT head), ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)) AS content, max(section) OVER (PARTITION BY doc_id) AS most FROM g GROUP BY doc_id, section), r AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line) - 1 AS index, 'line:' || (line + 1) AS path, content FROM c WHERE content <> '' AND most > 0), w AS (SELECT doc_id, 0 AS index, '' AS path, t AS content FROM d WHERE doc_id NOT IN (SELECT doc_id FROM r)) SELECT doc_id, index, path, len(content) AS n, md5(content) AS digest FROM (SELECT * FROM r UNION ALL SELECT * FROM w)")
+def line_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts cut at lines that begin with a word of certain capitals."""
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), T.normalize_text(F.col("text")).alias("text"))
+    rows = books.split_text(texts, r"^[A-F][a-z]+ ")
+    return rows.select(F.col("doc").alias("doc_id"), F.col("index").cast("long").alias("index"), "path", F.length("content").cast("long").alias("n"), F.md5("content").alias("digest"))
+
+
+@query("WITH n AS (SELECT conv_id, turn, lower(regexp_extract(text, '([A-Za-z]+)', 1)) AS name FROM conversations), s AS (SELECT DISTINCT turn AS scene FROM n), u AS (SELECT turn AS scene, left(name, 1) AS speaker, max(name) AS name FROM n GROUP BY ALL), g AS (SELECT s.scene, p.speaker, u.name FROM s, (SELECT DISTINCT speaker FROM u) p LEFT JOIN u ON u.scene = s.scene AND u.speaker = p.speaker), w AS (SELECT scene, speaker, last_value(name IGNORE NULLS) OVER (PARTITION BY speaker ORDER BY scene ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS name FROM g) SELECT * FROM w WHERE name IS NOT NULL")
+def speaker_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last name given to each speaker up to each scene."""
+    rows = occurrences(spark, sf_dir).select("scene", F.substring("alias", 1, 1).alias("speaker"), F.col("alias").alias("name"))
+    return scenes.with_speaker_names(rows, rows).select("scene", "speaker", "name")
