@@ -13,6 +13,11 @@ BLANKS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0
 MARKS = r"[。！？!?、，,.；;：:…—–\-「」『』（）()【】\[\]《》〈〉\"']"
 
 
+def bound(x: Column, body) -> Column:
+    """body of the value of x, which is made once, however often body names it."""
+    return F.get(F.transform(F.array(x), body), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Without blanks of any script at the ends."""
     return F.btrim(text, F.lit(BLANKS))
@@ -117,9 +122,12 @@ def decode_entities(text: Column) -> Column:
         known = code.isNotNull() & (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
         return F.when(known, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(F.concat(F.lit("&"), ref, F.lit(";")))
 
-    refs, rest = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.split(text, pattern, -1)
-    joined = F.array_join(F.transform(rest, lambda s, k: F.concat(s, F.coalesce(char(F.get(refs, k)), F.lit("")))), "")
-    return F.when(F.contains(text, F.lit("&")), joined).otherwise(text)
+    def decoded(x: Column) -> Column:
+        refs, rest = F.regexp_extract_all(x, F.lit(pattern), F.lit(1)), F.split(x, pattern, -1)
+        joined = F.array_join(F.zip_with(rest, refs, lambda s, r: F.concat(s, F.coalesce(char(r), F.lit("")))), "")
+        return F.when(F.contains(x, F.lit("&")), joined).otherwise(x)
+
+    return bound(text, decoded)
 
 
 def _without_tags(html: Column) -> Column:
@@ -132,9 +140,13 @@ def _bare_ruby(html: Column) -> Column:
     inner = lambda r: F.regexp_replace(r, r"(?is)^<ruby\b[^>]*>|</ruby\s*>$", "")
     based = lambda r: F.array_join(F.regexp_extract_all(r, F.lit(r"(?is)<rb\b[^>]*>(.*?)</rb\s*>"), F.lit(1)), "")
     bare = lambda r: _without_tags(F.regexp_replace(inner(r), r"(?is)<(\w+)\b[^>]*>.*?</\1\s*>", ""))
-    words = F.transform(F.regexp_extract_all(html, F.lit(pattern), F.lit(0)), lambda r: F.concat(based(r), bare(r)))
-    joined = F.array_join(F.transform(F.split(html, pattern, -1), lambda s, k: F.concat(s, F.coalesce(F.get(words, k), F.lit("")))), "")
-    return F.when(F.lower(html).contains("<ruby"), joined).otherwise(html)
+
+    def bare_words(x: Column) -> Column:
+        words = F.transform(F.regexp_extract_all(x, F.lit(pattern), F.lit(0)), lambda r: F.concat(based(r), bare(r)))
+        joined = F.array_join(F.zip_with(F.split(x, pattern, -1), words, lambda s, w: F.concat(s, F.coalesce(w, F.lit("")))), "")
+        return F.when(F.contains(F.lower(x), F.lit("<ruby")), joined).otherwise(x)
+
+    return bound(html, bare_words)
 
 
 def html_text(html: Column, keep_readings: bool = False) -> Column:

@@ -203,7 +203,7 @@ def text_basics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _H1, _TITLE = r"'(?is)<h1\b[^>]*>(.*?)</h1\s*>'", r"'(?is)<title\b[^>]*>(.*?)</title\s*>'"
 _BARE = r"regexp_replace(regexp_extract(html, {0}, 1), '(?s)<[^>]*>', '', 'g')"
-_CHARS = "replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&nbsp;', chr(160)), '&amp;', '&')"
+_CHARS = "replace(replace(replace(replace(replace(replace(replace({0}, '&copy;', chr(169)), '&middot;', chr(183)), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&nbsp;', chr(160)), '&amp;', '&')"
 
 
 @query(f"""SELECT page_id, CASE WHEN regexp_matches(html, {_H1}) THEN array_to_string(list_filter(list_transform(string_split({_CHARS.format(_BARE.format(_H1))}, chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> ''), chr(10))
@@ -213,7 +213,7 @@ def html_title(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>', '', 'g'), '(?is)<style\b.*?</style\s*>', '', 'g'), '(?i)<br\b[^>]*>', chr(10), 'g'), '(?i)</p\s*>', chr(10) || chr(10), 'g'), '(?s)<!--.*?-->|<[^>]*>', '', 'g') AS x FROM pages),
-    b AS (SELECT page_id, list_filter(list_transform(string_split(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', chr(160)), '&amp;', '&'), chr(10)), lambda s: trim(regexp_replace(s, '[\s\x{A0}]+', ' ', 'g'))), lambda s: s <> '') AS l FROM a) SELECT page_id, array_to_string(l, chr(10)) AS text FROM b""")
+    b AS (SELECT page_id, list_filter(list_transform(string_split({chars}, chr(10)), lambda s: trim(regexp_replace(s, '[\s\x{A0}]+', ' ', 'g'))), lambda s: s <> '') AS l FROM a) SELECT page_id, array_to_string(l, chr(10)) AS text FROM b""".replace("{chars}", _CHARS.format("x")))
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", T.html_text(F.col("html")).alias("text"))
 
@@ -388,7 +388,7 @@ def stats_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.speech_statistics(rows)
 
 
-@query("WITH n AS (SELECT strftime(ts, '%Y%m%d-%H%M%S') || '_' || event_id AS name FROM events UNION ALL SELECT 'no-time_' || user_id FROM (SELECT DISTINCT user_id FROM events)), a AS (SELECT name, try_strptime(substr(name, 1, 15), '%Y%m%d-%H%M%S') AS at FROM n), b AS (SELECT *, epoch(max(at) OVER () - at) AS age FROM a), c AS (SELECT name, coalesce(age > 14400, false) AS old, CASE WHEN age <= 86400 THEN strftime(at, '%Y%m%d%H') ELSE strftime(at, '%Y%m%d') END AS bucket FROM b) SELECT name, NOT old OR row_number() OVER (PARTITION BY old, bucket ORDER BY name DESC) = 1 AS keep FROM c")
+@query("WITH n AS (SELECT strftime(ts, '%Y%m%d-%H%M%S') || '_' || event_id AS name FROM events UNION ALL SELECT 'no-time_' || user_id FROM (SELECT DISTINCT user_id FROM events)), a AS (SELECT name, try_strptime(substr(name, 1, 15), '%Y%m%d-%H%M%S') AS at FROM n), b AS (SELECT a.*, epoch(m.last) - epoch(a.at) AS age FROM a, (SELECT max(at) AS last FROM a) m), c AS (SELECT name, coalesce(age > 14400, false) AS old, CASE WHEN age <= 86400 THEN strftime(at, '%Y%m%d%H') ELSE strftime(at, '%Y%m%d') END AS bucket FROM b) SELECT name, NOT old OR row_number() OVER (PARTITION BY old, bucket ORDER BY name DESC) = 1 AS keep FROM c")
 def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as snapshots, seen from the last one's time."""
     events = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_id", "user_id")
