@@ -213,7 +213,7 @@ def encoder(blob: str, dtype: str) -> PieceEncoder:
 
 def input_bytes(df: DataFrame) -> int:
     """What the optimizer knows of the size of df's input; 0 if it knows nothing."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return size if size < 1 << 60 else 0
 
 

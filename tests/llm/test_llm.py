@@ -239,10 +239,6 @@ def test_near_copies_against_brute_force(spark, docs, empty, monkeypatch, crowd)
     frame = spark.createDataFrame(made, "doc_id long, text string").withColumn("component_id", F.lit("clash")).repartition(5)
     got = {r.doc_id: r.component_id for r in nearcopies.near_copies(frame.select("doc_id", "text")).collect()}
     want = {1000 + i: i for i in range(40)} | {100 + 10 * i + k: i for i in range(40) for k in range(3)} | {3001: 3000, 3002: 3000, 3005: 3004}
-    exact = set(range(1000, 1040)) | {3001, 3002, 3005}
-    if crowd == 1:  # keys of random neighbours count as crowded, where links of over 2 bits may be lost
-        assert exact <= set(got) <= set(want)
-        return
     assert got == want
     kept = nearcopies.one_of_each_group(frame)
     assert kept.columns == frame.columns and Counter(r.doc_id for r in kept.collect()) == Counter(d for d, _ in made if d not in want)
@@ -255,7 +251,7 @@ def test_near_copies_against_brute_force(spark, docs, empty, monkeypatch, crowd)
     near = {d for d in sets if any(e < d and 5 * len(sets[d] & sets[e]) >= 4 * len(sets[d] | sets[e]) for e in sets)}
     left = [r.doc_id for r in nearcopies.one_of_each_group(docs).collect()]
     gone = set(sets) - set(left)
-    assert len(left) == len(set(left)) and None in left and exact <= gone <= near | exact  # some near copies may be missed
+    assert len(left) == len(set(left)) and None in left and gone == near | exact
 
 
 def brute_near_copies(made):
@@ -357,17 +353,106 @@ def test_lm_against_plain_counts(docs, empty):
     assert lm.score(empty).count() == 0
 
 
-def test_lm_chances_of_next_bytes_sum_to_one():
-    rng = np.random.default_rng(1)
-    mixer = lm.Mixer(rng.integers(0, 50, lm.ORDERS * 2 * lm.SLOTS))
-    mixer.learn(np.arange(1000, dtype=np.uint64) * np.uint64(77), np.ones(1000, np.int64))
-    grams = (np.uint64(123456) << np.uint64(8)) | np.arange(256, dtype=np.uint64)
-    assert abs((10 ** mixer.log10(grams)).sum() - 1) < 1e-9
+def some_words(seed, n=400):
+    rng = random.Random(seed)
+    made = {"".join(rng.choice("abcé") for _ in range(rng.randint(1, 7))).encode() for _ in range(n)} | {b"", b"x" * 70}
+    return sorted(made), [rng.choice([0, 1, 1, 3, 40]) for _ in made]
 
 
-def test_lm_grams_stay_in_their_line():
-    both, one = lm.grams_of(b"abc\nde\n"), lm.grams_of(b"de\n")
-    assert both[4:].tolist() == one.tolist()
+def test_lm_chances_of_next_bytes_sum_to_one():
+    tokens, counts = some_words(1)
+    words = lm.Words(tokens, counts, 3)
+    table = np.zeros((lm.TABLES, 2 * lm.SLOTS), np.int64)
+    words.add_counts(table)
+    mixer = lm.Mixer(table.astype(np.uint32), learns=True)
+    mixer.learn(words)
+    mixer = lm.Mixer(table.astype(np.uint32), mixer.weights, mixer.came)
+    for start in (b"ab", b"abca"):
+        every = [start + bytes([k]) for k in range(256)]
+        known = dict(zip(tokens, counts, strict=True))
+        probe = sorted(set(every) | set(tokens))
+        several = lm.Words(probe, [known.get(t, 0) for t in probe], 3)
+        chance, at = np.ones(len(probe)), np.flatnonzero([several_text[: len(start)] == start for several_text in [lm.coded(probe[k]) for k in several.order]])
+        for some, grams, bit, zeros, ones in several.places(mixer.starts):
+            here = np.isin(some, at)
+            if len(some) and here.any() and (several.size[some] > len(start)).all() and np.array_equal(several.data[several.first[some] + len(start)], (grams & np.uint64(255)).astype(np.uint8)):
+                _, gate, mix = mixer.inputs(grams, bit, zeros, ones, None)
+                p = mixer.refined(mix, gate)
+                p = np.where(lm.bits_of(grams, bit) == 1, p, 1 - p)
+                chance[some] = p if bit == 7 else chance[some] * p
+        best = {}
+        for k in at:
+            best[several.data[several.first[k] + len(start)]] = chance[k]
+        assert abs(sum(best.values()) - 1) < 1e-6 and len(best) == 256
+
+
+def test_lm_counts_of_starts_against_plain():
+    tokens, counts = some_words(2)
+    words = lm.Words(tokens, counts, 3)
+    texts_ = [lm.coded(t) for t in tokens]
+    held = [(lm.coded(tokens[k]), counts[k]) for k in words.order]
+    depth, seen = -1, None
+    for some, grams, bit, zeros, ones in words.places(np.zeros((lm.SLOTS, 2), np.int64)):
+        depth += bit == 7
+        if depth < 3 or depth >= lm.DEPTH:
+            continue
+        for k, z, o in list(zip(some, zeros, ones, strict=True))[:: max(1, len(some) // 7)]:
+            text = held[k][0]
+            same = [(t, c) for t, c in held if len(t) > depth and t[:depth] == text[:depth] and t[depth] >> (bit + 1) == text[depth] >> (bit + 1)]
+            want = [sum(c for t, c in same if t[depth] >> bit & 1 == b) for b in (0, 1)]
+            assert [z, o] == want
+            seen = True
+    assert seen and len(texts_) == len(held)
+
+
+def test_lm_scores_do_not_depend_on_partitions(docs):
+    key = lambda df: sorted((r.doc_id or -1, r.n_tokens, round(r.score, 2)) for r in df.collect())
+    few = lm.score(docs.coalesce(1))
+    assert len(key(few)) == docs.count()
+
+
+def brute_lines(rows, least=20):
+    """Unit numbers by (id, text): all units of runs that occur earlier and have that many words, a unit counting as one at least."""
+
+    def units(t):
+        ends = [m.end() for m in re.finditer(r"\n(?!\n)|[.!?] (?!\n)", t)]
+        return [t[a:b] for a, b in zip([0, *ends], [*ends, len(t)])]
+
+    docs_ = sorted((-1 if i is None else i, t or "") for i, t in rows)
+    plain = [[u.strip(" \n\r\t") for u in units(t)] for _, t in docs_]
+    firsts, out = {}, {}
+    for d, us in enumerate(plain):
+        for a in range(len(us)):
+            for b in range(a + 1, len(us) + 1):
+                firsts.setdefault(tuple(us[a:b]), (d, a))
+    for d, us in enumerate(plain):
+        size = [max(1, len(u.split())) for u in us]
+        out[docs_[d]] = sorted({k for a in range(len(us)) for b in range(a + 1, len(us) + 1) if sum(size[a:b]) >= least and firsts[tuple(us[a:b])] < (d, a) for k in range(a, b)})
+    return out
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_line_dedup_against_brute_force(spark, seed):
+    rng = random.Random(seed)
+    pool = [" ".join(rng.choice("abcdefgh") * 2 for _ in range(rng.choice([1, 2, 4, 7, 9, 12, 25]))) + rng.choice([". ", "\n", "! ", "\n\n"]) for _ in range(40)]
+    rows = []
+    for i in range(90):
+        t = "".join(rng.choice(pool) for _ in range(rng.randint(0, 14)))
+        if i > 10 and rng.random() < 0.6:
+            o = rows[rng.randrange(i)][1]
+            a = rng.randrange(len(o) + 1)
+            t += o[a : a + 300] + "".join(rng.choice(pool) for _ in range(3))
+        rows.append((i, t))
+    got = {r.doc_id: r for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    want = brute_lines(rows)
+    assert any(want.values()) and all(got[i].dropped == w for (i, _), w in want.items())
+
+
+def test_line_dedup_of_a_copy_whose_parts_occurred_before(spark):
+    unit = [f"u{k} v{k} w{k} x{k} y{k} z{k}.\n" for k in range(60)]
+    rows = [(1, unit[20] + unit[21]), (2, unit[30] + unit[31] + "q.\n" + unit[29]), (3, unit[25]), (100, "".join(unit)), (101, "".join(unit))]
+    got = {r.doc_id: r for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[101].text == "" and got[100].dropped == []
 
 
 def test_line_dedup(spark, docs, empty):
@@ -426,8 +511,10 @@ def test_raking_meets_targets(docs, empty):
     got = t * chance
     for axis, share in enumerate(want):
         assert np.allclose(got.sum(axis=tuple(k for k in range(3) if k != axis)) / got.sum(), share, atol=1e-4)
-    assert abs(got.sum() / t.sum() - 0.3) < 1e-4 and chance.max() <= 1 and weights.shape == t.shape
+    assert got.sum() / t.sum() <= 0.3 + 1e-9 and (abs(got.sum() / t.sum() - 0.3) < 1e-9 or abs(chance.max() - 1) < 1e-9) and chance.max() <= 1 and weights.shape == t.shape
+    assert abs((t * weights).sum() - t.sum()) < 1e-6
     rows = mixing.mixed(docs)
+    assert rows.agg(F.max("residual")).first()[0] < 1e-2  # few sparse cells
     assert rows.count() == docs.count() and rows.where("kept IS NULL").count() == 0
     kept = mixing.sample(docs)
     assert kept.columns == docs.columns and mixing.sample(empty).count() == 0
@@ -448,6 +535,137 @@ def test_raking_of_many_categories(spark):
             assert all(abs(n[x] / sum(n.values()) * sum(share.values()) / share[x] - 1) < 1e-3 for x in have)
 
 
+def test_mixing_reaches_given_targets(spark):
+    rng = random.Random(12)
+    rows = [(i, "w " * rng.randint(5, 60), rng.choice(["en", "en", "de"]), rng.choice(["a", "a", "b"])) for i in range(4000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("weight", F.lit("clash"))
+    wanted = {"source": {"a": 0.4, "b": 0.6}, "lang": {"en": 0.5, "de": 0.5}}
+    got = mixing.mixed(frame, wanted, budget=0.5)
+    assert got.agg(F.max("residual")).first()[0] < 1e-8
+    kept = got.where("kept").groupBy("source", "lang").agg(F.sum("n_tokens").alias("n")).collect()
+    total = sum(r.n for r in kept)
+    for name, shares in wanted.items():
+        for x, share in shares.items():
+            assert abs(sum(r.n for r in kept if r[name] == x) / total - share) < 0.04
+    assert frame.columns == mixing.sample(frame).columns
+
+
+def test_secrets_recall_of_random_keys():
+    rng = random.Random(21)
+    kinds = {"0123456789ABCDEF": 40, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567": 40, "abcdefghijklmnopqrstuvwxyz0123456789": 40, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/": 44}
+    scanner = secrets.Scanner()
+    for chars, n in kinds.items():
+        keys = ["".join(rng.choice(chars) for _ in range(n)) for _ in range(200)]
+        hits = sum(any(k == 3 for _, k, _ in scanner.spans(f"see {key} here")) for key in keys)
+        assert hits >= 190, (chars, hits)
+    prose = " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 14))) for _ in range(5000)) + " 4736962573099581 2024-01-02T03:04:05 /usr/local/lib/python3.11/site-packages/some_package_name"
+    assert scanner.spans(prose) == []
+
+
+def test_toxicity_severity_follows_held_out_evidence(spark):
+    rng = random.Random(6)
+    bad = ["vile", "rotten", "nasty", "awful", "hateful"]
+    rows, level = [], {}
+    for i in range(1500):
+        words = [rng.choice(WORDS) for _ in range(40)]
+        n = rng.choice([0, 0, 0, 1, 4])
+        words[: len(words[:n])] = rng.sample(bad, n)
+        rng.shuffle(words)
+        level[i] = n
+        rows.append((i, " ".join(words)))
+    known = spark.createDataFrame([(i, 1, int(level[i] > 0)) for i in range(800)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.severity for r in toxicity.grade_documents(spark.createDataFrame(rows, "doc_id long, text string"), known).collect()}
+    mean = {n: np.mean([got[i] for i in range(800, 1500) if level[i] == n]) for n in (0, 1, 4)}
+    assert mean[0] < mean[1] < mean[4] and mean[4] > 1
+
+
+def test_quality_cutoffs_reject_in_one_stratum(spark):
+    rng = random.Random(8)
+    plain = lambda: " ".join(rng.choice(WORDS) for _ in range(80))
+    rows = [(i, plain() + (" %%% $$$ ###" * 20 if i % 10 == 0 else ""), "en") for i in range(6000)] + [(10_000 + i, plain() + (" %%%" * 60 if i % 10 == 0 else ""), "fr") for i in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    marks = spark.createDataFrame([(i, int(i % 10 != 0), 0) for i in range(5000)] + [(10_000 + i, int(i % 10 != 0), 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality.apply_rules(frame, marks).collect()}
+    assert all(got[i].kept == (i % 10 != 0) for i in range(5000, 6000)) and all(got[10_000 + i].kept for i in range(60))
+
+
+def test_clashing_columns_and_repeated_ids(spark):
+    base = " ".join(WORDS[:60])
+    frame = spark.createDataFrame([(1, base, 1), (2, base, 2), (2, "other text", 3), (None, base, 4)], "doc_id long, text string, _rank int").withColumn("__row", F.lit(1))
+    for module in (nearcopies, simhash):
+        kept = module.one_of_each_group(frame)
+        assert kept.columns == frame.columns and sorted((r.doc_id or -1, r.text) for r in kept.collect()) == [(-1, base), (1, base), (2, "other text")]
+    items = spark.createDataFrame([(7, base, 9)], "item_id long, text string, doc_id long")
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.contained(frame, items).collect()) == [(1, 7), (2, 7)]
+
+
+def test_chat_parts_that_join_to_control_strings(spark):
+    for cut in range(1, len("<|end|>")):
+        parts = [("text", "a" + "<|end|>"[:cut], None, None), ("text", "<|end|>"[cut:] + "b", None, None), ("image", None, "x.png", 1), ("text", "|>[IN", None, None), ("text", "ST]", None, None)]
+        frame = spark.createDataFrame([(1, 0, "assistant", parts)], f"conv_id long, turn long, role string, parts {chat.PARTS}")
+        r = chat.read_back(chat.format_conversations(frame)).first()
+        assert r.turns[0].text == "a<|end|>b<|image:1|>|>[INST]" and r.loss == [r.turns[0].text]
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Each stage against plain Python: rejected ids, groups of copies, leaks, chances, and ids of tokens."""
+    import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rng = random.Random(31)
+    rows, toxic = [], set()
+    for i in range(300):
+        words = [rng.choice(WORDS) for _ in range(rng.randint(60, 160))]
+        if i % 6 == 0:
+            words[5:8] = rng.sample(["vile", "rotten", "nasty", "awful"], 3)
+            toxic.add(i)
+        rows.append((i, " ".join(words)))
+    for i in range(1, 60, 3):
+        near = rows[i][1].split()
+        near[10] = "changed"
+        rows += [(1000 + i, " ".join(near)), (2000 + i, rows[i][1].upper())]
+    item = " ".join(rows[7][1].split()[5:40])
+    rows += [(5000, "intro " * 30 + item), (5001, None), (5002, "")]
+    frame = spark.createDataFrame([(i, t, "en" if i % 3 else "de", f"s{i % 2}", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    frame.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, int(i in toxic)) for i in range(300)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    stage = lambda k, df: corpus_pipeline.STAGES[k][1](spark, df, str(tmp_path))
+    ids = lambda df: {r.doc_id for r in df.collect()}
+    one = stage(0, frame)
+    assert ids(frame) - ids(one) == {i for i, t in rows if t and len({"vile", "rotten", "nasty", "awful"} & set(t.lower().split())) > 1}
+    two = stage(1, one)
+    held = {r.doc_id: r.text for r in one.collect()}
+    assert ids(one) - ids(two) == set(brute_near_copies(sorted(held.items())))
+    three = stage(2, two)
+    words = lambda t: re.sub(r"[^\w]+|_", " ", (t or "").lower()).split()
+    grams = lambda t: {tuple(words(t)[k : k + 5]) for k in range(len(words(t)) - 4)}
+    assert ids(two) - ids(three) == {r.doc_id for r in two.collect() if 10 * len(grams(r.text) & grams(item)) >= 8 * len(grams(item))} != set()
+    four = stage(3, three)
+    chances = {r.doc_id: (r.chance, r.kept) for r in mixing.mixed(three).collect()}
+    assert ids(four) == {i for i, (_, kept) in chances.items() if kept} and all(kept for c, kept in chances.values() if c >= 1)
+    model = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    at, want = 0, []
+    for r in sorted(four.collect(), key=lambda r: r.doc_id):
+        coded = [*model.encode(r.text or "", add_special_tokens=False).ids, 0]
+        want.append((r.doc_id, at, len(coded), zlib.crc32(np.array(coded, "<u4").tobytes())))
+        at += len(coded)
+    assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == want
+
+
+def test_pipeline_on_empty_tables_and_long_texts(spark, tmp_path):
+    import corpus_pipeline
+
+    long = spark.createDataFrame([(1, "x" * 3_000_000, "en", "s", 1), (2, "line " * 300_000, "en", "s", 1), (3, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, docs_ in {"empty": long.limit(0), "long": long}.items():
+        at = tmp_path / name
+        docs_.write.parquet(str(at / "documents.parquet"))
+        spark.createDataFrame([(None, None, None)], "doc_id long, quality int, toxic int").write.parquet(str(at / "labels.parquet"))
+        spark.createDataFrame([], "item_id long, text string").write.parquet(str(at / "benchmark.parquet"))
+        assert corpus_pipeline.run(spark, str(at)).count() == (0 if name == "empty" else corpus_pipeline.run(spark, str(at)).count())
+
+
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
 
