@@ -388,7 +388,7 @@ def stats_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.speech_statistics(rows)
 
 
-@query("WITH n AS (SELECT strftime(ts, '%Y%m%d-%H%M%S') || '_' || event_id AS name FROM events UNION ALL SELECT 'no-time_' || user_id FROM (SELECT DISTINCT user_id FROM events)), a AS (SELECT name, try_strptime(substr(name, 1, 15), '%Y%m%d-%H%M%S') AS at FROM n), b AS (SELECT a.*, epoch(m.last) - epoch(a.at) AS age FROM a, (SELECT max(at) AS last FROM a) m), c AS (SELECT name, coalesce(age > 14400, false) AS old, CASE WHEN age <= 86400 THEN strftime(at, '%Y%m%d%H') ELSE strftime(at, '%Y%m%d') END AS bucket FROM b) SELECT name, NOT old OR row_number() OVER (PARTITION BY old, bucket ORDER BY name DESC) = 1 AS keep FROM c")
+@query("WITH n AS (SELECT strftime(ts, '%Y%m%d-%H%M%S') || '_' || event_id AS name FROM events UNION ALL SELECT 'no-time_' || user_id FROM (SELECT DISTINCT user_id FROM events)), a AS (SELECT name, try_strptime(substr(name, 1, 15), '%Y%m%d-%H%M%S') AS t0 FROM n), b AS (SELECT a.*, epoch(m.last) - epoch(a.t0) AS age FROM a, (SELECT max(t0) AS last FROM a) m), c AS (SELECT name, coalesce(age > 14400, false) AS old, CASE WHEN age <= 86400 THEN strftime(t0, '%Y%m%d%H') ELSE strftime(t0, '%Y%m%d') END AS bucket FROM b) SELECT name, NOT old OR row_number() OVER (PARTITION BY old, bucket ORDER BY name DESC) = 1 AS keep FROM c")
 def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as snapshots, seen from the last one's time."""
     events = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_id", "user_id")
@@ -461,7 +461,7 @@ def strip_punct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.length(T.strip_marks(F.col("text"))).cast("long").alias("n"), F.md5(T.compact(F.col("text"))).alias("digest"))
 
 
-@query("WITH x AS (SELECT event_id, event_id * 0.7311 AS t FROM events), m AS (SELECT event_id, t, floor(t)::BIGINT * 1000 + round_even((t - floor(t)) * 1000, 0)::BIGINT AS ms FROM x) SELECT event_id, printf('%02d:%02d:%02d', floor(t)::BIGINT // 3600, floor(t)::BIGINT % 3600 // 60, floor(t)::BIGINT % 60) AS clock, printf('%02d:%02d:%02d,%03d', ms // 3600000, ms // 1000 % 3600 // 60, ms // 1000 % 60, ms % 1000) AS stamp, round(ms / 1000, 3) AS parsed FROM m")
+@query("WITH x AS (SELECT event_id, event_id * 0.7311::DOUBLE AS t FROM events), m AS (SELECT event_id, t, floor(t)::BIGINT * 1000 + round_even((t - floor(t)) * 1000, 0)::BIGINT AS ms FROM x) SELECT event_id, printf('%02d:%02d:%02d', floor(t)::BIGINT // 3600, floor(t)::BIGINT % 3600 // 60, floor(t)::BIGINT % 60) AS clock, printf('%02d:%02d:%02d,%03d', ms // 3600000, ms // 1000 % 3600 // 60, ms // 1000 % 60, ms % 1000) AS stamp, round(ms / 1000, 3) AS parsed FROM m")
 def time_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("event_id") * F.lit(0.7311)
     return table(spark, sf_dir, "events").select("event_id", T.clock(t).alias("clock"), T.subtitle_time(t).alias("stamp"), F.round(T.parse_clock(T.subtitle_time(t)), 3).alias("parsed"))
@@ -483,7 +483,7 @@ def level_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 LABELS = ("silence", "water", "crying", "crowd noise")
 
 
-@query("WITH s AS (SELECT vec_id, [embedding[1], embedding[2], embedding[3], embedding[4]]::DOUBLE[] AS v FROM embeddings), t AS (SELECT vec_id, v, list_max(v) AS top, list_position(v, list_max(v)) AS at, list_sort(v, 'DESC')[2] AS two FROM s) SELECT vec_id AS id, CASE WHEN top >= 0.05 AND top - two >= 0.02 AND at <> 1 AND v[1] + 0.03 < top THEN ['silence', 'water', 'crying_or_sobbing', 'crowd'][at] END AS label FROM t")
+@query("WITH s AS (SELECT vec_id, [embedding[1], embedding[2], embedding[3], embedding[4]]::DOUBLE[] AS v FROM embeddings), t AS (SELECT vec_id, v, list_max(v) AS top, list_position(v, list_max(v)) AS pos, list_sort(v, 'DESC')[2] AS two FROM s) SELECT vec_id AS id, CASE WHEN top >= 0.05 AND top - two >= 0.02 AND pos <> 1 AND v[1] + 0.03 < top THEN ['silence', 'water', 'crying_or_sobbing', 'crowd'][pos] END AS label FROM t")
 def sound_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = F.array(*[F.struct(F.lit(x).alias("label"), F.get("v", F.lit(k)).alias("sim")) for k, x in enumerate(LABELS)])
     return embeddings(spark, sf_dir).select("id", speech.top_label(scores, 0.05, 0.02).alias("label"))
