@@ -56,25 +56,25 @@ def with_sizes(rows: DataFrame, names: dict[str, str], least: int) -> DataFrame:
     Sums of 1, 2, 4, ... units in a row; then, from the longest down, what still stays under ``least`` is passed over.
     """
     steps = [1 << k for k in range(least.bit_length())]
-    kind = "array<struct<n:int,t:int>>"
+    bits = least.bit_length() + 1  # a unit's state is one number: units passed over, then their words in so many bits
 
     def doubled(sums: str, k: int) -> Column:
         return F.transform(sums, lambda x, i: x + F.get(sums, i + k))
 
     def passed(done: Column, sums: str, k: int) -> Column:
-        more = lambda r, i: r["t"] + F.get(sums, i + r["n"])
-        return F.transform(done, lambda r, i: F.when(more(r, i) < least, F.struct((r["n"] + k).alias("n"), more(r, i).alias("t"))).otherwise(r)).cast(kind)
+        more = lambda r, i: F.get(sums, i + F.shiftright(r, bits))
+        return F.transform(done, lambda r, i: F.when(r.bitwiseAND((1 << bits) - 1) + more(r, i) < least, r + more(r, i) + (k << bits)).otherwise(r))
 
     own = rows.columns
     rows = rows.select("*", *[F.col(w).alias(f"__{w}_1") for w in names])
     for k in steps[:-1]:
         rows = pinned(rows.select("*", *[doubled(f"__{w}_{k}", k).alias(f"__{w}_{2 * k}") for w in names]))
     for w, out in names.items():
-        done = F.transform(w, lambda x: F.struct(F.lit(0).alias("n"), F.lit(0).alias("t"))).cast(kind)
+        done = F.array_repeat(F.lit(0), F.size(w))
         for k in reversed(steps):
             done = passed(done, f"__{w}_{k}", k)
         n = F.size(w)
-        rows = rows.withColumn(out, F.transform(done, lambda r, i: F.when(i + r["n"] < n, r["n"] + 1).otherwise(0)))  # noqa: B023
+        rows = rows.withColumn(out, F.transform(done, lambda r, i: F.when(i + F.shiftright(r, bits) < n, F.shiftright(r, bits) + 1).otherwise(0)))  # noqa: B023
     return rows.select(*own, *names.values())
 
 
