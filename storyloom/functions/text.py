@@ -87,7 +87,7 @@ def language_code(name: Column) -> Column:
 
 
 def chance_of_log(x: Column) -> Column:
-    return F.least(F.greatest(F.exp(x), F.lit(0.0)), F.lit(1.0))
+    return F.when(x.isNotNull(), F.least(F.greatest(F.exp(x), F.lit(0.0)), F.lit(1.0)))
 
 
 def token_estimate(text: Column) -> Column:

@@ -218,27 +218,24 @@ def repair_overlaps(rows: DataFrame, least: float = 0.04) -> DataFrame:
     """
 
     def step():
-        held: list[dict] = []
+        held: list[dict] = []  # rows that a later one may still reach into
+        told = lambda key, r, reason=None: (key, r["id"], r["start"], r["end"], r["quality"], reason)
 
         def fold(key, row):
+            while held and (row is None or held[0]["end"] <= row["start"]):
+                yield told(key, held.pop(0))
             if row is None:
-                if held:
-                    yield (key, held[0]["id"], held[0]["start"], held[0]["end"], held[0]["quality"], None)
                 return
             row = dict(row)
-            if held and row["start"] < held[0]["end"]:
-                last = held[0]
+            if held and row["start"] < held[-1]["end"]:
+                last = held[-1]
                 cut = min(max(round((last["end"] + row["start"]) / 2, 3), round(last["start"] + least, 3)), round(row["end"] - least, 3))
                 last["end"] = row["start"] = cut
                 if last["end"] - last["start"] < least:
-                    held.clear()
-                    yield (key, last["id"], last["start"], last["end"], last["quality"], "overlap_repair_prev_too_short")
+                    yield told(key, held.pop(), "overlap_repair_prev_too_short")
                 if row["end"] - row["start"] < least:
-                    yield (key, row["id"], row["start"], row["end"], row["quality"], "overlap_repair_next_too_short")
+                    yield told(key, row, "overlap_repair_next_too_short")
                     return
-            if held:
-                last = held.pop()
-                yield (key, last["id"], last["start"], last["end"], last["quality"], None)
             held.append(row)
 
         return fold

@@ -61,14 +61,14 @@ def test_entries(spark):
     rows = [("a", 10.0, 20.0, 0.0, 4.0, "One two three", -0.1, "en", tokens), ("b", 0.0, 5.0, 0.0, 4.0, "So. It goes.", -0.1, "en", None), ("c", 0.0, 5.0, 0.0, 4.0, "bad", -3.0, "en", None), ("d", 0.0, 5.0, 0.0, 0.1, "brief", None, "en", None), ("e", 0.0, 5.0, 0.0, 4.0, None, None, None, None), ("f", 0.0, 2.0, 0.0, 9.0, "no score", None, None, [])]
     frame = spark.createDataFrame(rows, f"key string, chunk_start double, chunk_end double, start double, end double, text string, avg_logprob double, language string, tokens {transcript.TOKENS}").withColumn("piece", F.lit("clash"))
     got = sorted((r.key, r.piece, r.text, round(r.start, 3), round(r.end, 3), r.stt_confidence is None) for r in transcript.segment_entries(frame).collect())
-    assert got == [("a", 0, "One two", 10.0, 12.0, False), ("a", 1, "three", 13.0, 14.0, False), ("b", 0, "So.", 0.0, 1.2, False), ("b", 1, "It goes.", 1.2, 4.0, False), ("f", 0, "no score", 0.0, 2.0, True)]
+    assert got == [("a", 0, "One two", 10.0, 12.0, False), ("a", 1, "three", 13.0, 14.0, False), ("b", 0, "So.", 0.0, 1.091, False), ("b", 1, "It goes.", 1.091, 4.0, False), ("f", 0, "no score", 0.0, 2.0, True)]
     assert transcript.segment_entries(frame.limit(0)).count() == 0
 
 
 def test_spans_and_groups(spark):
     segs = spark.createDataFrame([("a", -1.0, 0.1), ("a", 1.0, 1.3), ("a", 2.0, 99.0), ("b", 0.0, 0.05)], "key string, start double, end double")
     totals = spark.createDataFrame([("a", 10.0), ("b", 5.0), ("c", 7.0)], "key string, total double")
-    got = sorted((r.key, r.index, r.start, r.end) for r in transcript.speech_spans(segs, totals, 0.2).collect())
+    got = sorted((r.key, r["index"], r.start, r.end) for r in transcript.speech_spans(segs, totals, 0.2).collect())
     assert got == [("a", 0, 1.0, 1.3), ("a", 1, 2.0, 10.0), ("c", 0, 0.0, 7.0)]
 
 
