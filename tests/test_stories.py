@@ -37,7 +37,7 @@ def test_markdown_chapters(spark):
     cut = lambda text, **kw: rows_of(books.split_markdown(texts(spark, text), books.SplitConfig(**kw)), "title", "path", "content")
     text = "# Book\n\n## One\na\n## Two\nb\n### Deep\nc\n## Empty\n"
     assert cut(text) == [("One", "line:3", "a"), ("Two", "line:5", "b\n### Deep\nc")]
-    assert cut(text, levels=(3,)) == [("Deep", "line:7", "c")] and cut(text, exclude="^One") == [("Two", "line:5", "b\n### Deep\nc")]
+    assert cut(text, levels=(3,)) == [("Deep", "line:7", "c\n## Empty")] and cut(text, exclude="^One") == [("Two", "line:5", "b\n### Deep\nc")]
     levels = spark.createDataFrame([("d", 0, 1), ("d", 5, 2), ("d", 9, 4), ("e", 0, 2), ("e", 3, 1), ("f", 1, 3)], "doc string, line int, level int")
     assert rows_of(books.chosen_levels(levels), "doc", "chosen") == [("d", 2), ("e", 2), ("f", 3)]
     with pytest.raises(ValueError):
@@ -53,7 +53,7 @@ def test_sources_by_suffix(spark, tmp_path):
         z.writestr("OEBPS/1.xhtml", "<p>no title</p>")
         z.writestr("OEBPS/2.xhtml", "<h1>Start</h1><p><ruby>漢字<rt>かんじ</rt></ruby></p>")
         z.writestr("OEBPS/0.xhtml", "<p> </p>")
-    assert rows_of(books.read_chapters(spark, str(tmp_path / "b.epub")), "index", "title", "path", "content") == [(0, "Start", "2.xhtml", "Start\n漢字"), (1, "Chapter 2", "1.xhtml", "no title")]
+    assert rows_of(books.read_chapters(spark, str(tmp_path / "b.epub")), "index", "title", "path", "content") == [(0, "Start", "2.xhtml", "Start漢字"), (1, "Chapter 2", "1.xhtml", "no title")]
     (tmp_path / "a.md").write_text("---\nx: 1\n---\n# A\n\n## B\nb\n## C\nc", encoding="utf-8")
     assert rows_of(books.read_chapters(spark, str(tmp_path / "a.md")), "title") == [("B",), ("C",)]
     (tmp_path / "a.txt").write_text("﻿just text", encoding="utf-8")
