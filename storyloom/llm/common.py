@@ -39,11 +39,28 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+#: The folders of intermediate tables that this driver has made and not deleted.
+_MADE: list[str] = []
+
+
+def made() -> int:
+    """A mark for ``release``."""
+    return len(_MADE)
+
+
+def release(spark: SparkSession, mark: int) -> None:
+    """Deletes the intermediate tables made since the mark; no result may read them any more."""
+    while len(_MADE) > mark:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Scratch:
     """Written intermediate tables of one call; ``drop`` frees those that no result reads any more."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.folder, self.paths = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", {}
+        _MADE.append(self.folder)
 
     def write(self, name: str, df: DataFrame) -> DataFrame:
         path = f"{self.folder}/{name}"

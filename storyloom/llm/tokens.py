@@ -44,7 +44,9 @@ def open_folder(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 def file_uri(uri: str) -> str:
-    """``file:/x`` as Hadoop writes it, in the form that pyarrow reads."""
+    """A URI as Hadoop writes it (``file:/x``, ``s3a://x``), in the form that pyarrow reads."""
+    if uri.startswith(("s3a://", "s3n://")):
+        return "s3" + uri[3:]
     return "file://" + uri[5:] if uri.startswith("file:/") and not uri.startswith("file://") else uri
 
 
