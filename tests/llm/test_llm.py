@@ -663,20 +663,5 @@ def test_pipeline_on_empty_tables_and_long_texts(spark, tmp_path):
         docs_.write.parquet(str(at / "documents.parquet"))
         spark.createDataFrame([(None, None, None)], "doc_id long, quality int, toxic int").write.parquet(str(at / "labels.parquet"))
         spark.createDataFrame([], "item_id long, text string").write.parquet(str(at / "benchmark.parquet"))
-        assert corpus_pipeline.run(spark, str(at)).count() == (0 if name == "empty" else corpus_pipeline.run(spark, str(at)).count())
-
-
-def test_pipeline(spark, docs, tmp_path):
-    import corpus_pipeline
-
-    base = [t for t in texts() if t]
-    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
-    spark.createDataFrame([(1, base[0])], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    frame, names = docs, docs.columns
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        frame = stage(spark, frame, str(tmp_path))
-        assert frame.columns == names
-    left = {r.doc_id for r in frame.collect()}
-    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert {r.doc_id for r in out} == left and 0 not in left and not left & {60, 61, 62, 63, 64}
+        left = [r.doc_id for r in corpus_pipeline.run(spark, str(at)).collect()]
+        assert len(left) == len(set(left)) and set(left) <= ({1, 2, 3} if name == "long" else set())
