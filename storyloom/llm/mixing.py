@@ -81,6 +81,27 @@ def rake_cells(tokens: np.ndarray, places: list[np.ndarray], targets: list[np.nd
     return weights, np.minimum(weights * min(budget, 1 / most if most else 1), 1)
 
 
+def tempered_targets(tokens: np.ndarray, places: list[np.ndarray], given: list[np.ndarray | None], sizes: list[int], temper: float, budget: float, steps: int = 12) -> list[np.ndarray]:
+    """Shares for each dimension: the given ones; else the own ones, moved towards their power ``temper`` as far as the budget allows.
+
+    That is as far as no cell's weight times the budget passes 1, found by bisection to a part of 2^-steps.
+    """
+    own = [np.bincount(p, tokens, n) / max(tokens.sum(), 1e-300) for p, n in zip(places, sizes, strict=True)]
+    aims = [x**temper / max((x**temper).sum(), 1e-300) for x in own]
+    at = lambda part: [g if g is not None else (1 - part) * x + part * a for g, x, a in zip(given, own, aims, strict=True)]
+
+    def fits(part: float) -> bool:
+        return rake_cells(tokens, places, at(part), budget, 300)[0][tokens > 0].max(initial=0) * budget <= 1
+
+    low, high = 0.0, 1.0
+    if all(g is not None for g in given) or fits(1.0):
+        return at(1.0)
+    for _ in range(steps):
+        middle = (low + high) / 2
+        low, high = (middle, high) if fits(middle) else (low, middle)
+    return at(low)
+
+
 def residuals(tokens: np.ndarray, places: list[np.ndarray], shares: list[np.ndarray]) -> list[float]:
     """For each dimension the largest difference between a category's share of tokens and the wanted one."""
     return [float(np.abs(np.bincount(place, tokens, len(share)) / max(tokens.sum(), 1e-300) - share).max(initial=0)) for place, share in zip(places, shares, strict=True)]
@@ -89,8 +110,9 @@ def residuals(tokens: np.ndarray, places: list[np.ndarray], shares: list[np.ndar
 def mixed(documents: DataFrame, targets: dict[str, dict[str, float]] | None = None, temper: float = TEMPER, budget: float = BUDGET, seed: int = SEED, topic: Column | None = None) -> DataFrame:
     """For each row of documents: doc (its columns), source, lang, topic, n_tokens, weight, chance, residual and kept.
 
-    documents(doc_id, text, source, lang). targets: wanted shares of tokens for each dimension; a dimension that is not
-    given gets its own shares to the power ``temper``, which lifts small categories. Null or empty text: no tokens.
+    documents(doc_id, text, source, lang). targets: wanted shares of tokens for each dimension, for which the budget gives
+    way; a dimension that is not given gets its own shares, moved towards their power ``temper``, which lifts small
+    categories, as far as the budget allows. Null or empty text: no tokens.
     A null category is the empty one. Rows that share an id share their fate within a cell; null ids count as one id.
     residual: by how much the expected share of any category misses the wanted one, at most: 0 unless the observed cells
     can't meet all marginals at once. Columns of documents stay in ``doc``, whatever their names.
@@ -101,13 +123,14 @@ def mixed(documents: DataFrame, targets: dict[str, dict[str, float]] | None = No
     scratch = Scratch(spark, "mixing")
     sums = scratch.write("cells", rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")))
     cells = sums.orderBy(*DIMENSIONS).toArrow()
-    tokens, places, wanted = cells["tokens"].to_numpy().astype(float), [], []
+    tokens, places, given, sizes = cells["tokens"].to_numpy().astype(float), [], [], []
     for d in DIMENSIONS:
         coded = cells[d].combine_chunks().dictionary_encode()
-        names, place = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
-        have = np.bincount(place, tokens, len(names))
-        places.append(place)
-        wanted.append(np.array([targets[d].get(x, 0.0) for x in names]) if targets and d in targets else (have / max(have.sum(), 1)) ** temper)
+        names = coded.dictionary.to_pylist()
+        places.append(coded.indices.to_numpy().astype(np.int64))
+        sizes.append(len(names))
+        given.append(np.array([targets[d].get(x, 0.0) for x in names]) if targets and d in targets else None)
+    wanted = tempered_targets(tokens, places, given, sizes, temper, budget)
     weights, chances = rake_cells(tokens, places, wanted, budget)
     held = [np.where(np.bincount(p, tokens, len(w)) > 0, w, 0) for p, w in zip(places, wanted, strict=True)]
     missed = max(residuals(tokens * chances, places, [w / max(w.sum(), 1e-300) for w in held]), default=0.0)

@@ -535,6 +535,17 @@ def test_raking_of_many_categories(spark):
             assert all(abs(n[x] / sum(n.values()) * sum(share.values()) / share[x] - 1) < 1e-3 for x in have)
 
 
+def test_tempered_targets_keep_the_budget():
+    rng = np.random.default_rng(3)
+    tokens = rng.pareto(0.7, 60) * 100 + 1
+    places = [np.arange(60) % 5, np.arange(60) // 15]
+    wanted = mixing.tempered_targets(tokens, places, [None, None], [5, 4], 0.5, 0.6)
+    weights, chance = mixing.rake_cells(tokens, places, wanted, 0.6)
+    assert abs((tokens * chance).sum() / tokens.sum() - 0.6) < 1e-6 and chance.max() <= 1 and max(mixing.residuals(tokens * chance, places, wanted)) < 1e-6
+    own = [np.bincount(p, tokens) / tokens.sum() for p in places]
+    assert all(np.abs(w - o).max() > 1e-4 for w, o in zip(wanted, own, strict=True))
+
+
 def test_mixing_reaches_given_targets(spark):
     rng = random.Random(12)
     rows = [(i, "w " * rng.randint(5, 60), rng.choice(["en", "en", "de"]), rng.choice(["a", "a", "b"])) for i in range(4000)]
