@@ -17,7 +17,10 @@ from .books import parse_chapter_file
 
 SCENES = "chapter_index int, chapter_stem string, chapter_title string, total_length int, scene_count int, scenes array<struct<scene_index:int,location:string,time:string,characters:array<string>,start_offset:int,end_offset:int,file:string>>"
 ALIASES = "map<string,array<struct<chapter:string,scene:int,alias:string,reason:string>>>"
+# The wording of the files.
 UNRESOLVED, NO_INSIGHTS, NO_BACKGROUND = "UNRESOLVED", "(no insights accumulated yet)", "(no background available yet)"
+DRAFT = " — Insight Draft\n\n> Auto-generated from alias resolution. To be enriched by character extraction.\n"
+INSIGHTS = {"negative_constraints": "Negative Constraints", "behavioral_patterns": "Behavioral Patterns", "simulation_directives": "Simulation Directives", "relationship_insights": "Relationship Insights", "personality_synthesis": "Personality Synthesis"}
 
 
 def read_folder(spark: SparkSession, folder: str, glob: str) -> DataFrame:
@@ -171,16 +174,13 @@ def insight_drafts(registry: DataFrame) -> DataFrame:
     refuted = F.transform("refuted", lambda r: F.concat(r["belief"], F.lit("\n  _(Disproved by: "), r["reason"], F.lit(")_")))
     overlap = F.when(F.size("candidates") > 0, F.concat_ws("\n\n", F.concat(F.lit("May be same person as: "), F.array_join("candidates", ", ")), F.nullif(c("merge_notes"), F.lit(""))))
     parts = [
-        F.concat(F.lit("# "), "canonical", F.lit(" — Insight Draft\n\n> Auto-generated from alias resolution. To be enriched by character extraction.\n")),
+        F.concat(F.lit("# "), "canonical", F.lit(DRAFT)),
         _bullets("Aliases", names), _bullets("Known Facts", c("known_facts")), _paragraph("Current State", c("current_state")),
         _bullets("Refuted Beliefs", refuted), _paragraph("Possible Identity Overlap", overlap), _paragraph("Notes", c("extra_notes")),
     ]
     return registry.select(F.concat(safe_name(c("canonical")), F.lit("/insights.md")).alias("path"), F.concat_ws("\n", *parts).alias("value"))
 
 
-INSIGHTS = {"negative_constraints": "Negative Constraints", "behavioral_patterns": "Behavioral Patterns", "simulation_directives": "Simulation Directives", "relationship_insights": "Relationship Insights", "personality_synthesis": "Personality Synthesis"}
-
-
 def insight_appends(appends: DataFrame) -> DataFrame:
     """(character, batch, value): the sections of each batch's appends(character, batch, total, lists of INSIGHTS, arc_notes) that hold anything."""
     some = F.coalesce(F.col("arc_notes"), F.lit("")) != ""
