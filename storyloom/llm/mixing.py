@@ -8,6 +8,9 @@ its id: a document's fate depends on nothing else, and repeated runs agree.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,19 +25,17 @@ TEMPER, BUDGET, SEED = 0.7, 0.6, 20241
 
 def topic_of(text: Column) -> Column:
     """A topic by plain marks of the text, the first that holds; another column can be given in its place."""
-    n = F.greatest(F.length(text), F.lit(1))
-    share = lambda signs: (n - F.length(F.translate(text, signs, ""))) / n
-    has = lambda *words: F.lower(F.substring(text, 1, 1 << 30)).rlike("|".join(words))
+    has = lambda *marks: reduce(or_, [F.contains(text, F.lit(m)) for m in marks])
     marks = [
-        ("noise", (share("#*$%&|<>") > 0.1) | F.contains(text, F.lit("%%%")) | F.contains(text, F.lit("$$$"))),
-        ("table", F.contains(text, F.lit(" | ")) | F.contains(text, F.lit("\t"))),
-        ("code", F.contains(text, F.lit("();")) | F.contains(text, F.lit("def ")) | (share("{}") > 0.01)),
-        ("numbers", share("0123456789") > 0.2),
-        ("licensed", has("licens", "copyright", "lizenz", "licencia", "all rights reserved")),
-        ("contact", F.contains(text, F.lit("@")) & has(r"[a-z0-9._]+@[a-z0-9]+\.[a-z]")),
-        ("web", F.contains(text, F.lit("://")) | F.contains(text, F.lit("www."))),
-        ("dialogue", share("\"“”«»") > 0.01),
-        ("list", F.contains(text, F.lit("\n- ")) | F.contains(text, F.lit("\n* "))),
+        ("noise", has("%%%", "$$$")),
+        ("table", has(" | ", "\t")),
+        ("code", has("();", "def ", "{\n")),
+        ("numbers", text.rlike(r"^[0-9\s.,;:/-]+$")),
+        ("licensed", has("licens", "Licens", "copyright", "Copyright", "lizenz", "Lizenz", "licencia", "Licencia")),
+        ("contact", has("@") & text.rlike(r"[A-Za-z0-9._]@[A-Za-z0-9]+\.[A-Za-z]")),
+        ("web", has("://", "www.")),
+        ("dialogue", has("“", "«", "„")),
+        ("list", has("\n- ", "\n* ")),
         ("short", F.length(text) < 300),
     ]
     out = F.lit("prose")
@@ -121,6 +122,7 @@ def mixed(documents: DataFrame, targets: dict[str, dict[str, float]] | None = No
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = documents.select(F.struct("*").alias("doc"), F.col("doc_id"), F.coalesce(F.col("source"), F.lit("")).alias("source"), F.coalesce(F.col("lang"), F.lit("")).alias("lang"), F.coalesce(topic if topic is not None else topic_of(text), F.lit("")).alias("topic"), token_count(text).alias("n_tokens"))
     scratch = Scratch(spark, "mixing")
+    rows = scratch.write("rows", rows)  # topics and tokens are told once, not for the sums and again for the rows
     sums = scratch.write("cells", rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")))
     cells = sums.orderBy(*DIMENSIONS).toArrow()
     tokens, places, given, sizes = cells["tokens"].to_numpy().astype(float), [], [], []
