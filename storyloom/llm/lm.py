@@ -7,38 +7,44 @@ by weights that a gate selects: the bit's place and how often the longest known
 an adaptive table that maps what was predicted to what came. The sum of -log2 over all bits, divided by bytes, is the
 text's bits per byte.
 
-Contexts don't reach over a word's start, so that what a word costs depends on the word alone and each distinct word is
-evaluated once, however often it occurs. The counts of the starts of words have no fixed size: they grow with the
-vocabulary and lie in a table that is dealt by the words' first ``cut`` bytes (sorted words share a start in a row).
-Starts of fewer bytes are hashed like the orders.
-
-Training covers all training texts and is spread: word counts and context counts add up over tasks; weights and the
-refining table are learned online by each task, mini-batch by mini-batch with a bit's own occurrence taken out of the
-counts, and are averaged. Scores use the frozen model, so that they don't depend on how rows are dealt.
-
-Words that occur most often, ``HEAVY`` at most, are looked up in a broadcast table, all others by a join.
+The last bytes reach over a word's start, as far as the orders do: a word's first ``HEAD`` bytes hang on the last ones of
+the word before it, all further ones on the word alone. So the bytes from there on are evaluated once for each distinct
+word, and the first ones once for each distinct four bytes around a blank, a ``head``, however often they occur. A text
+begins as after a blank. The counts of the starts of words have no fixed size: they grow with the vocabulary and lie in a
+table that is dealt by the words' first ``cut`` bytes (sorted words share a start in a row). Starts of fewer bytes are
+hashed like the orders.
+
+Training covers all training texts and is spread: word counts, head counts and context counts add up over tasks; weights
+and the refining table are learned online by each task, mini-batch by mini-batch with a bit's own occurrence taken out of
+the counts, and are averaged. Scores use the frozen model, so that they don't depend on how rows are dealt.
+
+Words that occur most often, ``HEAVY`` at most, are looked up in a broadcast table, all others by a join. So are heads,
+``HEADS`` at most; all others are evaluated where they are met.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, by_value, table, text_of
+from .common import Scratch, by_value, summed, table, text_of
 
 ORDERS, SLOT_BITS, BLOCK, HEAVY = 4, 19, 1 << 13, 100_000
 SLOTS, TABLES = 1 << SLOT_BITS, ORDERS + 1  # the last table: starts of words of fewer bytes than the cut
 BUCKETS, PRIOR, RATE = 33, 0.05, 0.02
 MET = np.array([1.5, 3.5, 15.5, 255.5])  #: how often a start was met: the borders of the gate's classes
-GATES = 8 * (ORDERS + len(MET) + 1)
+GATES = 2 * 8 * (ORDERS + len(MET) + 1)  # the second half is that of heads
 DEPTH, CHUNK, GROUP, MINI = 32, 20_000, 1 << 18, 1 << 12
 END = b""  #: the end token; no word is empty
+HEAD = ORDERS - 2  #: first bytes of a word whose contexts reach over the blank before it, and as many bytes before that
+HEADS, PARTS, PASSES = 1 << 20, 64, 4
 BATCH = 1 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LEADING = np.array([8] + [7 - int(x).bit_length() + 1 for x in range(1, 256)], np.int32)  # zero bits before the first one
@@ -55,14 +61,28 @@ def coded(token: bytes) -> bytes:
 
 
 def grams_of(data: np.ndarray, at: np.ndarray, depth: np.ndarray | int) -> np.ndarray:
-    """The bytes at these places and their ORDERS - 1 predecessors within the word, as one number; before: zeros."""
+    """The bytes at these places and their ORDERS - 1 predecessors, as one number; a blank before the word, zeros before that."""
     out = data[at].astype(np.uint64)
     for k in range(1, ORDERS):
-        before = data[at - np.minimum(k, depth)].astype(np.uint64) << np.uint64(8 * k)
-        out |= np.where(np.asarray(depth) >= k, before, np.uint64(0))
+        before = data[at - np.minimum(k, depth)].astype(np.uint64)
+        before = np.where(np.asarray(depth) >= k, before, np.where(np.asarray(depth) == k - 1, np.uint64(32), np.uint64(0)))
+        out |= before << np.uint64(8 * k)
     return out
 
 
+def heads_of(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """The heads of all words and ends of these texts, and how many each text has.
+
+    A head: the two bytes before a blank and the two after it, as a number. Zeros stand where a text has no bytes.
+    """
+    data = np.frombuffer(b"".join([b" ".join([b"\0\0", *words, b"\n\0"]) for words in texts]), np.uint8)
+    at = np.flatnonzero(data == 32)
+    heads = np.zeros(len(at), np.uint32)
+    for k in (-2, -1, 1, 2):
+        heads = heads << np.uint32(8) | data[at + k]
+    return heads, np.array([len(words) + 1 for words in texts], np.int64)
+
+
 def contexts_of(grams: np.ndarray) -> list[np.ndarray]:
     """For each order the mixed last bytes before the present one."""
     return [((grams >> np.uint64(8)) & np.uint64((1 << 8 * order) - 1)) * _MIX + np.uint64(order + 1) for order in range(ORDERS)]
@@ -96,14 +116,17 @@ class Words:
     """Distinct words in coded order with their training counts; all that share ``cut`` first bytes are here.
 
     ``data`` holds the coded words one after the other, ``heads`` the first eight bytes of each as a number, and
-    ``shared`` how many first bits each has in common with the word before it, DEPTH bytes at most.
+    ``shared`` how many first bits each has in common with the word before it, DEPTH bytes at most. From ``begin`` on
+    bytes are coded here, and those before it by ``Heads``.
     """
 
-    def __init__(self, tokens: list[bytes], counts: list[int], cut: int):
+    gate = 0
+
+    def __init__(self, tokens: list[bytes], counts: list[int], cut: int, begin: int = 0):
         text = [coded(t) for t in tokens]
         order = sorted(range(len(text)), key=text.__getitem__)
         text = [text[k] for k in order]
-        self.order, self.cut = np.array(order, np.int64), cut
+        self.order, self.cut, self.begin = np.array(order, np.int64), cut, begin
         self.n = np.array(counts, float)[self.order]
         self.data = np.frombuffer(b"".join(text), np.uint8)
         self.size = np.array([len(x) for x in text], np.int64)
@@ -121,7 +144,7 @@ class Words:
 
         starts: the hashed table of the starts of under ``cut`` bytes.
         """
-        for d in range(min(DEPTH, int(self.size.max(initial=0)))):
+        for d in range(self.begin, min(DEPTH, int(self.size.max(initial=0)))):
             alive = np.flatnonzero(self.size > d)
             grams = grams_of(self.data, self.first[alive] + d, d)
             n, shared = self.n[alive], self.shared[alive]
@@ -151,6 +174,7 @@ class Words:
             words = owner[low : low + (1 << 20)]
             at = np.arange(low, low + len(words))
             depth, n = at - self.first[words], self.n[words]
+            coded_here = depth >= self.begin
             grams = grams_of(self.data, at, depth)
             contexts = contexts_of(grams)
             early = [(d, np.flatnonzero(depth == d)) for d in range(self.cut)]
@@ -158,24 +182,57 @@ class Words:
             for bit in range(8):
                 came, node = bits_of(grams, bit), node_of(grams, bit)
                 for order in range(ORDERS):
-                    counts[order] += np.bincount(2 * slots_of(contexts[order], node) + came, n, minlength=2 * SLOTS).astype(np.int64)
+                    counts[order] += np.bincount((2 * slots_of(contexts[order], node) + came)[coded_here], n[coded_here], minlength=2 * SLOTS).astype(np.int64)
                 for some, context in starts:
                     np.add.at(counts[ORDERS], 2 * slots_of(context, node[some]) + came[some], n[some].astype(np.int64))
 
 
+class Heads:
+    """Distinct heads with their training counts: the first bytes of words after the last ones of the words before."""
+
+    gate = GATES // 2
+
+    def __init__(self, heads: np.ndarray, counts: np.ndarray):
+        heads = heads.astype(np.uint64)
+        self.order, self.n = np.arange(len(heads)), counts.astype(float)
+        self.stream = heads >> np.uint64(16) << np.uint64(24) | np.uint64(32 << 16) | heads & np.uint64(0xFFFF)
+        self.heads = heads << np.uint64(48)
+        self.size = np.where(heads >> np.uint64(8) & np.uint64(255) == 10, 1, HEAD)  # an end has one byte
+
+    def places(self, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int, np.ndarray, np.ndarray]]:
+        """As ``Words.places``."""
+        for d in range(HEAD):
+            alive = np.flatnonzero(self.size > d)
+            grams = self.stream[alive] >> np.uint64(8 * (HEAD - 1 - d)) & np.uint64((1 << 8 * ORDERS) - 1)
+            context = start_context(self.heads[alive], d)
+            for bit in range(7, -1, -1):
+                zeros, ones = starts[slots_of(context, node_of(grams, bit))].T.astype(float)
+                yield alive, grams, bit, zeros, ones
+
+    def add_counts(self, counts: np.ndarray) -> None:
+        """counts[order, 2 * slot + bit] takes the heads' occurrences; the starts of words are counted with the words."""
+        for some, grams, bit, _, _ in self.places(np.zeros((SLOTS, 2), np.int8)):
+            for order, context in enumerate(contexts_of(grams)):
+                counts[order] += np.bincount(2 * slots_of(context, node_of(grams, bit)) + bits_of(grams, bit), self.n[some], minlength=2 * SLOTS).astype(np.int64)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], cut: int, most: int = CHUNK) -> Iterator[Words]:
     """Rows (token, c) in chunks of about ``most`` words; if sorted, these never part words of the same ``cut`` first bytes."""
     tokens, counts, size = [], [], 0
     for batch in batches:
         for token, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if tokens and (len(tokens) >= most or size > 1 << 21) and (not cut or token[:cut] != tokens[-1][:cut]):
-                yield Words(tokens, counts, cut)
+                yield Words(tokens, counts, cut, HEAD)
                 tokens, counts, size = [], [], 0
             tokens.append(token)
             counts.append(c)
             size += len(token)
     if tokens:
-        yield Words(tokens, counts, cut)
+        yield Words(tokens, counts, cut, HEAD)
+
+
+def first_weights() -> np.ndarray:
+    return np.tile([0.15] * ORDERS + [0.7], (GATES, 1))
 
 
 def stretch(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -194,10 +251,11 @@ class Mixer:
         del self.total
         if learns:  # logits without one occurrence of the bit that comes, by 2 * slot + bit
             self.without = np.stack([np.stack([stretch(np.maximum(n[k, :, 0].astype(np.float32) - 1, 0), n[k, :, 1].astype(np.float32)), stretch(n[k, :, 0].astype(np.float32), np.maximum(n[k, :, 1].astype(np.float32) - 1, 0))], 1).ravel().astype(np.float32) for k in range(ORDERS)])
-        self.weights = np.tile([0.15] * ORDERS + [0.7], (GATES, 1)) if weights is None else weights
+        self.weights = first_weights() if weights is None else weights
+        self.told = np.zeros(GATES)  # the bits that each gate has learned from
         self.came = np.zeros((GATES, BUCKETS, 2)) if came is None else came  # zeros and ones by gate and predicted logit
 
-    def inputs(self, grams: np.ndarray, bit: int, zeros: np.ndarray, ones: np.ndarray, came: np.ndarray | None) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    def inputs(self, grams: np.ndarray, bit: int, zeros: np.ndarray, ones: np.ndarray, came: np.ndarray | None, first_gate: int = 0) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
         """Stretched chances by predictor, the gate and the mix. came: bits to take out once, as they are among the counts."""
         node, logits, level = node_of(grams, bit), [], np.zeros(len(grams), np.int64)
         for order, context in enumerate(contexts_of(grams)):
@@ -208,7 +266,7 @@ class Mixer:
             zeros, ones = np.maximum(zeros - (came == 0), 0), np.maximum(ones - (came == 1), 0)
         logits.append(stretch(zeros, ones))
         met = zeros + ones
-        gate = 8 * np.where(met > 0, ORDERS + np.searchsorted(MET, met), level) + bit
+        gate = first_gate + 8 * np.where(met > 0, ORDERS + np.searchsorted(MET, met), level) + bit
         return logits, gate, sum(x * self.weights[:, k][gate] for k, x in enumerate(logits))
 
     def refined(self, mix: np.ndarray, gate: np.ndarray) -> np.ndarray:
@@ -221,7 +279,7 @@ class Mixer:
         part = x - low
         return np.clip((p + table[gate, low] * (1 - part) + table[gate, low + 1] * part) / 2, 1e-6, 1 - 1e-6)
 
-    def learn(self, words: Words) -> None:
+    def learn(self, words: Words | Heads) -> None:
         """One online pass over the words with their occurrences."""
         for some, grams, bit, zeros, ones in words.places(self.starts):
             n = words.n[some]
@@ -230,19 +288,21 @@ class Mixer:
             for k in range(0, len(mixed), MINI):
                 at = mixed[k : k + MINI]
                 came, weight = bits_of(grams[at], bit), n[at]
-                logits, gate, mix = self.inputs(grams[at], bit, zeros[at], ones[at], came)
+                logits, gate, mix = self.inputs(grams[at], bit, zeros[at], ones[at], came, words.gate)
                 x = np.rint((np.clip(mix, -8, 8) + 8) * (BUCKETS - 1) / 16).astype(np.int64)
                 self.came += np.bincount((gate * BUCKETS + x) * 2 + came, weight, minlength=self.came.size).reshape(self.came.shape)
                 err = weight * (came - 1 / (1 + np.exp(-np.clip(mix, -30, 30))))
-                total = np.maximum(np.bincount(gate, weight, minlength=GATES), 1)
+                total = np.bincount(gate, weight, minlength=GATES)
+                self.told += total
+                total = np.maximum(total, 1)
                 for order in range(TABLES):
                     self.weights[:, order] += RATE * np.bincount(gate, err * logits[order], minlength=GATES) / total
 
-    def log10(self, words: Words) -> np.ndarray:
-        """log10 of each word's chance, in the order in which the words were given."""
+    def log10(self, words: Words | Heads) -> np.ndarray:
+        """log10 of the chance of each word's bytes that are coded here, in the order in which the words were given."""
         total, chance = np.zeros(len(words.size)), np.empty(0)
         for some, grams, bit, zeros, ones in words.places(self.starts):
-            _, gate, mix = self.inputs(grams, bit, zeros, ones, None)
+            _, gate, mix = self.inputs(grams, bit, zeros, ones, None, words.gate)
             p = self.refined(mix, gate)
             p = np.where(bits_of(grams, bit) == 1, p, 1 - p)
             chance = p if bit == 7 else chance * p  # eight factors of a millionth at least
@@ -277,18 +337,62 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return counted.union(ends).select(F.col("token").cast("binary").alias("token"), "c", "n")
 
 
-def context_counts(tokens: DataFrame, cut: int) -> np.ndarray:
+def head_counts(docs: DataFrame) -> DataFrame:
+    """part, heads (sorted), c (occurrences in training texts) and n (in all), as arrays of a part, over all of docs(text, held_out)."""
+    schema = "part int, heads binary, c binary, n binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size = 0
+        for batch, words in streams(batches):
+            heads, sizes = heads_of(words)
+            trains = np.repeat(~batch.column(1).to_numpy(zero_copy_only=False).astype(bool), sizes)
+            held.append(summed(heads, trains.astype(np.int64), np.ones(len(heads), np.int64)))
+            size += len(held[-1][0])
+            if size > 1 << 21:
+                held = [summed(*map(np.concatenate, zip(*held, strict=True)))]
+                size = len(held[0][0]) // 2  # at least as many again come before the next time
+        if held:
+            heads, c, n = summed(*map(np.concatenate, zip(*held, strict=True)))
+            part = (heads.astype(np.uint64) * _MIX >> np.uint64(58)).astype(np.int32)
+            rows = [(k, part == k) for k in np.unique(part)]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), *[pa.array([x[at].astype(kind).tobytes() for _, at in rows], pa.binary()) for x, kind in ((heads, "<u4"), (c, "<i8"), (n, "<i8"))]], ["part", "heads", "c", "n"])
+
+    def add(table: pa.Table) -> pa.Table:
+        arrays = [np.concatenate([np.frombuffer(x.as_py(), kind) for x in table[name]]) for name, kind in (("heads", "<u4"), ("c", "<i8"), ("n", "<i8"))]
+        return pa.table({"part": table["part"].slice(0, 1), **{name: pa.array([x.tobytes()], pa.binary()) for name, x in zip(("heads", "c", "n"), summed(*arrays), strict=True)}})
+
+    return docs.select("text", "held_out").mapInArrow(run, schema).groupBy("part").applyInArrow(add, schema)
+
+
+def heads_in(batches: Iterator[pa.RecordBatch]) -> Iterator[Heads]:
+    """The heads of training texts, of rows (heads, c)."""
+    for batch in batches:
+        for heads, c in zip(batch.column(0), batch.column(1), strict=True):
+            heads, c = np.frombuffer(heads.as_py(), "<u4"), np.frombuffer(c.as_py(), "<i8")
+            if (c > 0).any():
+                yield Heads(heads[c > 0], c[c > 0])
+
+
+def context_counts(tokens: DataFrame, heads: DataFrame, cut: int) -> np.ndarray:
     """(TABLES, 2 * SLOTS) counts of hashed contexts, added up by Spark; the driver gets the sum, of fixed size."""
     schema = "block int, part int, payload binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def words_in(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
+        for words in chunks(batches, 0, 5 * CHUNK):
+            words.cut = cut
+            yield words
+
+    def counted(read: Callable[[Iterator[pa.RecordBatch]], Iterator[Words | Heads]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        return lambda batches: run(read(batches))
+
+    def run(every: Iterator[Words | Heads]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         counts = None
-        for words in chunks(batches, 0, 5 * CHUNK):
+        for some in every:
             counts = np.zeros((TABLES, 2 * SLOTS), np.int64) if counts is None else counts
-            words.cut = cut
-            words.add_counts(counts)
+            some.add_counts(counts)
         if counts is not None:
             blocks = counts.reshape(-1, BLOCK)
             full = np.flatnonzero(blocks.any(1))
@@ -302,8 +406,9 @@ def context_counts(tokens: DataFrame, cut: int) -> np.ndarray:
         return pa.table({"block": table["block"].slice(0, 1), "part": table["part"].slice(0, 1), "payload": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
     counts = np.zeros(TABLES * 2 * SLOTS, np.int64)
-    summed = tokens.where("c > 0").select("token", "c").mapInArrow(run, schema).groupBy("block", "part").applyInArrow(add, schema).groupBy("block").applyInArrow(add, schema)
-    for x in summed.select("block", "payload").toLocalIterator():
+    found = tokens.where("c > 0").select("token", "c").mapInArrow(counted(words_in), schema).union(heads.select("heads", "c").mapInArrow(counted(heads_in), schema))
+    found = found.groupBy("block", "part").applyInArrow(add, schema).groupBy("block").applyInArrow(add, schema)
+    for x in found.select("block", "payload").toLocalIterator():
         counts[x["block"] * BLOCK : (x["block"] + 1) * BLOCK] = np.frombuffer(zlib.decompress(x["payload"]), "<i8")
     most = int(counts.max(initial=0))
     return np.ceil(counts * ((2**32 - 1) / most)).astype(np.uint32) if most >= 2**32 else counts.astype(np.uint32)  # scaled, not clipped
@@ -318,29 +423,48 @@ def cut_of(tokens: DataFrame) -> int:
     return 8
 
 
-def word_scores(tokens: DataFrame) -> DataFrame:
-    """token, c, n and lm, the log10 chance of the word under the model that is trained on tokens(token, c, n)."""
+def trained(tokens: DataFrame, heads: DataFrame, cut: int) -> tuple[Broadcast, Broadcast]:
+    """The model that is trained on tokens(token, c) and heads(heads, c): context counts; weights and the refining table."""
     spark = tokens.sparkSession
-    cut = cut_of(tokens)
-    model = spark.sparkContext.broadcast(context_counts(tokens, cut))
-    dealt = tokens.repartition(F.substring("token", 1, cut)).sortWithinPartitions("token")
+    model = spark.sparkContext.broadcast(context_counts(tokens, heads, cut))
+    schema = "at int, value double"
+
+    def learned_of(mixer: Mixer | None) -> Iterator[pa.RecordBatch]:
+        if mixer:
+            values = np.concatenate([(mixer.weights * mixer.told[:, None]).ravel(), mixer.came.ravel(), mixer.told])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values)], ["at", "value"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer, seen = None, 0.0
+        mixer = None
         for words in chunks(batches, cut):
             mixer = mixer or Mixer(model.value, learns=True)
             mixer.learn(words)
-            seen += float((words.n * words.size).sum())
-        if seen:
-            values = np.concatenate([mixer.weights.ravel() * seen, mixer.came.ravel(), [seen]])
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values)], ["at", "value"])
+        yield from learned_of(mixer)
 
-    edge = GATES * TABLES
-    learned = np.zeros(edge + GATES * BUCKETS * 2 + 1)
-    for x in dealt.select("token", "c").mapInArrow(learn, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).collect():
+    def learn_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mixer = None
+        for some in heads_in(batches):
+            mixer = mixer or Mixer(model.value, learns=True)
+            for _ in range(PASSES):  # heads are few beside words
+                mixer.learn(some)
+        yield from learned_of(mixer)
+
+    edge, end = GATES * TABLES, GATES * (TABLES + 2 * BUCKETS)
+    learned = np.zeros(end + GATES)
+    told = dealt(tokens, cut).select("token", "c").mapInArrow(learn, schema).union(heads.select("heads", "c").mapInArrow(learn_heads, schema))
+    for x in told.groupBy("at").agg(F.sum("value").alias("value")).collect():
         learned[x["at"]] = x["value"]
-    weights = (learned[:edge] / learned[-1]).reshape(GATES, TABLES) if learned[-1] else None
-    frozen = spark.sparkContext.broadcast((weights, learned[edge:-1].reshape(GATES, BUCKETS, 2)))
+    seen = learned[end:, None]
+    weights = np.where(seen > 0, learned[:edge].reshape(GATES, TABLES) / np.maximum(seen, 1), first_weights())
+    return model, spark.sparkContext.broadcast((weights, learned[edge:end].reshape(GATES, BUCKETS, 2)))
+
+
+def dealt(tokens: DataFrame, cut: int) -> DataFrame:
+    return tokens.repartition(F.substring("token", 1, cut)).sortWithinPartitions("token")
+
+
+def word_scores(tokens: DataFrame, cut: int, model: Broadcast, frozen: Broadcast) -> DataFrame:
+    """token, c, n and lm, the log10 chance of the word's bytes after its head."""
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mixer = None
@@ -364,7 +488,23 @@ def word_scores(tokens: DataFrame) -> DataFrame:
                     done = 0
             at = 0
 
-    return dealt.select("token", "c", "n").mapInArrow(judge, "token binary, c long, n long, lm double")
+    return dealt(tokens, cut).select("token", "c", "n").mapInArrow(judge, "token binary, c long, n long, lm double")
+
+
+def head_scores(heads: DataFrame, model: Broadcast, frozen: Broadcast) -> tuple[np.ndarray, np.ndarray]:
+    """The heads that occur most often, HEADS at most, ascending, and their log10 chances."""
+
+    def most(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for heads, n in zip(batch.column(0), batch.column(1), strict=True):
+                heads, n = np.frombuffer(heads.as_py(), "<u4"), np.frombuffer(n.as_py(), "<i8")
+                at = np.argsort(-n, kind="stable")[: HEADS // PARTS]  # heads are dealt evenly to the parts
+                yield pa.RecordBatch.from_arrays([pa.array([heads[at].tobytes()], pa.binary())], ["heads"])
+
+    kept = [np.frombuffer(x["heads"], "<u4") for x in heads.select("heads", "n").mapInArrow(most, "heads binary").collect()]  # HEADS numbers
+    every = np.sort(np.concatenate([*kept, np.empty(0, "<u4")])).astype(np.uint32)
+    mixer = Mixer(model.value, *frozen.value)
+    return every, np.concatenate([mixer.log10(Heads(x, np.zeros(len(x)))) for x in np.array_split(every, len(every) // GROUP + 1)])
 
 
 def score(documents: DataFrame) -> DataFrame:
@@ -384,8 +524,11 @@ def score(documents: DataFrame) -> DataFrame:
     total, distinct = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
     unit = float(np.log10(max(total + 0.5 * (distinct + 1), 1e-300)))
     base_of = F.log10(F.col("c") + 0.5) - F.lit(unit)
-    tokens = scratch.write("tokens", word_scores(counted).select("token", "n", (F.col("c") > 0).alias("known"), base_of.alias("base"), "lm"))
-    scratch.drop("counted")
+    heads, cut = scratch.write("heads", head_counts(docs)), cut_of(counted)
+    model, frozen = trained(counted, heads, cut)
+    tokens = scratch.write("tokens", word_scores(counted, cut, model, frozen).select("token", "n", (F.col("c") > 0).alias("known"), base_of.alias("base"), "lm"))
+    often = spark.sparkContext.broadcast(head_scores(heads, model, frozen))
+    scratch.drop("counted", "heads")
 
     size, least, n = F.floor(F.log2("n") * 4), None, 0
     for at, some in sorted((tuple(x) for x in tokens.groupBy(size.alias("size")).count().collect()), reverse=True):
@@ -397,11 +540,21 @@ def score(documents: DataFrame) -> DataFrame:
     known = spark.sparkContext.broadcast({bytes(x["token"]): (x["base"], x["lm"], int(x["known"])) for x in heavy})
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        looked = known.value
+        looked, (heads, chances), mixer = known.value, often.value, None
         for batch, words in streams(batches):
+            met_heads, sizes = heads_of(words)
+            chance, new = np.zeros(len(met_heads)), np.ones(len(met_heads), bool)
+            if len(heads):
+                at = np.minimum(np.searchsorted(heads, met_heads), len(heads) - 1)
+                chance, new = chances[at], heads[at] != met_heads
+            if new.any():
+                mixer = mixer or Mixer(model.value, *frozen.value)
+                some, which = np.unique(met_heads[new], return_inverse=True)
+                chance[new] = mixer.log10(Heads(some, np.zeros(len(some))))[which]
+            of_heads = np.add.reduceat(chance, np.cumsum(sizes) - sizes).tolist()
             base, lm, met, rare, times, ends = [], [], [], [], [], [0]
-            for w in words:
-                sums, n_known = [0.0, 0.0], 0
+            for w, of_head in zip(words, of_heads, strict=True):
+                sums, n_known = [0.0, of_head], 0
                 for token, n in Counter([*w, END]).items():
                     if (x := looked.get(token)) is None:
                         rare.append(token)

@@ -405,6 +405,35 @@ def test_lm_counts_of_starts_against_plain():
     assert seen and len(texts_) == len(held)
 
 
+def test_lm_contexts_reach_over_the_starts_of_words():
+    words = "b abc é a 日本 x abc".encode().split()
+    stream = b"\0\0 " + b" ".join(words) + b" \n"
+    want = Counter(int.from_bytes(stream[k - 3 : k + 1], "big") for k in range(3, len(stream)))
+    got = Counter()
+    known = Counter([*words, lm.END])
+    heads = lm.Heads(*np.unique(lm.heads_of([words])[0], return_counts=True))
+    for some in (heads, lm.Words(list(known), list(known.values()), 3, lm.HEAD)):
+        for at, grams, bit, _, _ in some.places(np.zeros((lm.SLOTS, 2), np.int64)):
+            for k, g in zip(at, grams, strict=True):
+                got[int(g)] += int(some.n[k]) * (bit == 7)
+    assert got == want
+    heads, sizes = lm.heads_of([[], words, [b"a"]])
+    assert sizes.tolist() == [1, 8, 2] and heads[0] == 10 << 8 and heads[-1] == int.from_bytes(b" a\n\0", "big")
+
+
+def test_lm_scores_follow_the_order_of_words(spark, monkeypatch):
+    rng = random.Random(8)
+    pairs = [("xa", "ab"), ("xc", "cd"), ("xe", "ef"), ("xg", "gh")]
+    rows = [(i, " ".join(w for _ in range(40) for w in rng.choice(pairs))) for i in range(60)]
+    held = [i for i in range(60, 200) if zlib.crc32(str(i).encode()) % 5 == 1][:2]
+    rows += [(held[0], "xa ab xc cd xe ef xg gh"), (held[1], "xa cd xc ab xe gh xg ef")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lm.score(frame).collect()}
+    assert got[held[0]] > got[held[1]] + 1
+    monkeypatch.setattr(lm, "HEADS", 0)  # all heads are evaluated where they are met
+    assert all(abs(r.score - got[r.doc_id]) < 1e-9 for r in lm.score(frame).collect())
+
+
 def test_lm_scores_do_not_depend_on_partitions(docs):
     key = lambda df: sorted((r.doc_id or -1, r.n_tokens, round(r.score, 2)) for r in df.collect())
     few = lm.score(docs.coalesce(1))
