@@ -8,7 +8,7 @@ is held against the whole sets of shingles.
 Near copies of such a similarity may lie further apart than that, the short ones above all. What the probes leave is
 found by a prefix filter, which is exact: put in one order, two sets of so high a similarity share one of their first
 ``n - ceil(similarity * n) + 1`` shingles, and indeed as many of them as the rest of the sets can't make up for.
-Shingles that a sample holds often come last in the order, which makes the meetings few and changes no result.
+Shingles that most documents hold come last in the order, which makes the meetings few and changes no result.
 
 Components are all that is wanted, so that links come in rounds: each text with the smallest one it meets, then with the
 one it shares most keys with, again and again, and only what stays apart is paired in full, block by block. Pairs
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, by_value, one_row_of_each_id, text_of, without_ids
+from .common import Scratch, by_value, one_row_of_each_id, summed, text_of, without_ids
 from .graph import components
 from .simhash import allot, bit_statistics, signed
 
@@ -34,8 +34,10 @@ from .simhash import allot, bit_statistics, signed
 CROWD = 32
 #: Shingle fingerprints of pairs at a similarity of 0.8 differ in 12 bits at the median, in 14 at the 99th percentile.
 FAR = 18
-#: Documents whose shingles are counted for the order, shingles that come late in it, and members in a block of a key.
-SAMPLE, OFTEN, BLOCK = 20_000, 200_000, 1_000
+#: Shingles that come late in the order, members in a block of a key, and bytes of text to a part of the counted shingles.
+OFTEN, BLOCK, PART = 200_000, 1_000, 8 << 20
+#: Shingles of a task that are counted at once.
+HELD = 1 << 21
 ROUNDS, KNOWN = 3, 300_000
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
 
@@ -157,10 +159,51 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def often_met(documents: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the most frequent shingles of a sample, ascending, and their counts."""
-    every = documents.count() // SAMPLE + 1
-    some = documents.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
-    met = shingle_sets(some, shingle).select(F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    """Hashes of the shingles that most documents hold, ascending, and in how many they are: over all of them.
+
+    Tasks add up what they hold and deal it by hash, as arrays: eight bytes for a shingle that a task met once.
+    """
+    size = documents.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).cast("long")).first()[0]
+    parts = size // PART + 1
+    schema = "part int, once binary, h binary, n binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher(shingle)
+        held: list[np.ndarray] = []
+
+        def added() -> pa.RecordBatch:
+            h = np.concatenate(held)
+            h, n = summed(h, np.ones(len(h), np.int64))
+            part = (h % np.uint64(parts)).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            h, n, part = h[order], n[order], part[order]
+            first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+            rows = list(zip(first, [*first[1:], len(part)], strict=True))
+            single = [n[a:b] == 1 for a, b in rows]
+            columns = [[h[a:b][x].tobytes() for (a, b), x in zip(rows, single, strict=True)], [h[a:b][~x].tobytes() for (a, b), x in zip(rows, single, strict=True)], [n[a:b][~x].tobytes() for (a, b), x in zip(rows, single, strict=True)]]
+            return pa.RecordBatch.from_arrays([pa.array(part[first]), *[pa.array(x, pa.binary()) for x in columns]], ["part", "once", "h", "n"])
+
+        some = 0
+        for batch in batches:
+            for t in batch.column(1):
+                h = np.unique(hasher.shingles(hasher.words(t.as_py() or "")))
+                if len(h):
+                    held.append(h)
+                    some += len(h)
+                if some > HELD:
+                    yield added()
+                    held.clear()
+                    some = 0
+        if held:
+            yield added()
+
+    def add(table: pa.Table) -> pa.Table:
+        read = lambda name, kind: np.concatenate([np.frombuffer(x.as_py(), kind) for x in table[name]])
+        once, several = read("once", np.uint64), read("h", np.uint64)
+        h, n = summed(np.concatenate([once, several]), np.concatenate([np.ones(len(once), np.int64), read("n", np.int64)]))
+        return pa.table({"h": h[n > 1].view(np.int64), "n": n[n > 1]})
+
+    met = text_of(documents).mapInArrow(run, schema).groupBy("part").applyInArrow(add, "h long, n long")
     table = met.orderBy(F.desc("n"), "h").limit(OFTEN).orderBy("h").toArrow()  # OFTEN bounds it
     return table["h"].to_numpy(), table["n"].to_numpy()
 

@@ -289,6 +289,19 @@ def test_near_copies_in_crowded_keys(spark, monkeypatch):
     assert len(want) > 40 and {r.doc_id: r.component_id for r in nearcopies.near_copies(frame).collect()} == want
 
 
+def test_shingles_are_counted_over_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(nearcopies, "SAMPLE", 2, raising=False)
+    monkeypatch.setattr(nearcopies, "HELD", 50, raising=False)
+    monkeypatch.setattr(nearcopies, "PART", 64, raising=False)
+    rows = [(i, t) for i, t in enumerate(texts())]
+    hasher = nearcopies.Hasher(5)
+    count = Counter(h for _, t in rows for h in np.unique(hasher.shingles(hasher.words(t or ""))).view(np.int64).tolist())
+    hashes, counts = nearcopies.often_met(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 5)
+    assert list(zip(hashes.tolist(), counts.tolist(), strict=True)) == sorted((h, n) for h, n in count.items() if n > 1) != []
+    none = nearcopies.often_met(spark.createDataFrame([(1, None)], "doc_id long, text string"), 5)
+    assert [len(x) for x in none] == [0, 0]
+
+
 def test_near_copies_of_equal_fingerprints(spark):
     rng = random.Random(16)
     list_ = rng.sample(WORDS, 60)
