@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, lines, lm, mixing, quality, secrets, simhash, tokens, toxicity
+from . import chat, decontaminate, lines, lm, merkle, mixing, packing, quality, secrets, simhash, tokens, toxicity, whitening
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (tokens.op1_token_ids, decontaminate.op2_decontamination, secrets.op3_secret_scan, toxicity.op4_toxicity, simhash.op5_simhash, quality.op6_quality_rules, lm.op7_lm_score, lines.op8_line_dedup, chat.op9_chat_format, mixing.op10_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (tokens.op1_token_ids, decontaminate.op2_decontamination, secrets.op3_secret_scan, toxicity.op4_toxicity, simhash.op5_simhash, quality.op6_quality_rules, lm.op7_lm_score, lines.op8_line_dedup, chat.op9_chat_format, mixing.op10_mixing, whitening.op11_whitening, packing.op12_packing, merkle.op13_merkle)}
 
 _ESCAPES = " + ".join(f"len(regexp_extract_all(t, '{p}'))" for p in (r"\\", r"<\|", "</?s>", r"\[/?INST\]", r"[<\[]</?SYS>>", r"[<\[]/?SYS>>"))
 
