@@ -29,33 +29,75 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, by_value, table, text_of
 
-LENGTH, GROUP, SLICE = 2048, 1 << 22, 1 << 22
+LENGTH, GROUP, SLICE = 2048, 1 << 22, 1 << 20
 BLANK = re.compile(rb"[\x20\x09-\x0D]")
+# Fixed value: the pre-tokenizer's pattern in the vocabulary file.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Pre-tokens that need no look at Unicode's tables: Latin letters that are composed and stay single when lower-cased, a
+#: digit, ASCII marks but the apostrophe.
+LATIN = r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u01c3\u01cd-\u01ef\u01f4-\u0220\u0222-\u0233]+"
+LETTERS = re.compile(LATIN).fullmatch
+PARTS = re.compile(LATIN + r"|[0-9]|[!-&(-/:-@\[-`{-~]+").findall
 PIECES = "doc_id long, start long, length int, doc_tokens long, uid long, ids binary"
 PLACED = "array<struct<doc_id:bigint,start:bigint,length:bigint,offset:bigint,doc_tokens:bigint>>"
 SEQUENCES = f"sequence_id long, n_tokens int, size int, ids binary, pieces {PLACED}"
 
 
+class Words(dict):
+    """Ids by word: what is not held comes from the words held before, or is told anew."""
+
+    def __init__(self, tell, before: dict):
+        self.tell, self.before = tell, before
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.before.get(word)
+        self[word] = ids = self.tell(word) if ids is None else ids
+        return ids
+
+
 class WordEncoder:
     """Ids of texts by the tokenizers library; a word between blanks is encoded once and its ids are kept.
 
     That holds for tokenizers that drop white space and whose normalizers work on single characters (or on a letter and
-    its marks); texts of others are encoded whole. Over ``most`` kept words, all but those just met go: time changes, not ids.
+    its marks); texts of others are encoded whole. Beyond ``most`` words a new generation begins, and what it does not
+    ask for goes: time changes, not ids. Words of Latin letters, digits and ASCII marks are cut as the pre-tokenizer
+    cuts them and go to the library's model at once; all others go through its whole chain.
     """
 
-    def __init__(self, blob: str, most: int = 400_000):
+    def __init__(self, blob: str, most: int = 250_000):
         from tokenizers import Tokenizer
 
         spec = json.loads(blob)
-        self.model, self.most, self.kept, self.tried = Tokenizer.from_str(blob), most, {}, False
+        self.model, self.most, self.tried = Tokenizer.from_str(blob), most, False
         self.dtype = np.dtype("<u2" if self.model.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
-        self.kind = "H" if self.dtype.itemsize == 2 else "I"
+        self.kind, self.model_of = "H" if self.dtype.itemsize == 2 else "I", self.model.model.tokenize
         norms = (spec.get("normalizer") or {}).get("normalizers") or ([spec["normalizer"]] if spec.get("normalizer") else [])
         pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [spec.get("pre_tokenizer") or {}]
         plain = all(x["type"] in ("NFC", "Lowercase") or (x["type"] == "Replace" and x["pattern"] == {"Regex": r"\s+"} and x["content"] == " ") for x in norms)
         cut = pre[0].get("type") == "Split" and pre[0].get("behavior") == "Removed" and pre[0].get("invert") and not any(x.get("add_prefix_space") for x in pre)
-        sole = not any(x["lstrip"] or x["rstrip"] or re.search(r"\s", x["content"]) for x in spec.get("added_tokens", []))
+        added = spec.get("added_tokens", [])
+        sole = not any(x["lstrip"] or x["rstrip"] or re.search(r"\s", x["content"]) for x in added)
         self.by_word = bool(sys.byteorder == "little" and plain and cut and sole and not spec.get("post_processor"))
+        self.by_part = {"type": "Lowercase"} in norms and pre[0].get("pattern") == {"Regex": SPLIT} and [x["type"] for x in pre[1:]] == ["ByteLevel"] and all(x["content"].startswith("<|") for x in added)
+        # The byte-level alphabet: printable Latin-1 stands for itself, each other byte for the next character from 256 on.
+        same = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.bytes = dict(zip([b for b in range(256) if b not in same], range(256, 512), strict=False))
+        self.kept, self.parts = Words(self.word, {}), Words(self.part, {})
+
+    def part(self, x: str) -> bytes:
+        """The ids of one pre-token."""
+        x = x.lower()
+        return array(self.kind, [t.id for t in self.model_of(x if x.isascii() else x.encode().decode("latin-1").translate(self.bytes))]).tobytes()
+
+    def word(self, raw: bytes) -> bytes:
+        x = raw.decode("utf-8", "replace")
+        if self.by_part:
+            if LETTERS(x):
+                return self.part(x)
+            parts = PARTS(x)
+            if "".join(parts) == x and "<|" not in x:
+                return b"".join(map(self.parts.__getitem__, parts))
+        return self.whole([raw])[0]
 
     def whole(self, texts: list[bytes]) -> list[bytes]:
         return [array(self.kind, x.ids).tobytes() for x in self.model.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
@@ -66,13 +108,11 @@ class WordEncoder:
             self.by_word = self.encode(some) == self.whole(some)
         if not self.by_word:
             return self.whole(texts)
-        words = [t.split() for t in texts]
-        met = set().union(*words)
-        if len(self.kept) > self.most:
-            self.kept = {w: self.kept[w] for w in met if w in self.kept}
-        missing = list(met - self.kept.keys())
-        self.kept.update(zip(missing, self.whole(missing), strict=True))
-        return [b"".join(map(self.kept.__getitem__, some)) for some in words]
+        for name in ("kept", "parts"):
+            if len(held := getattr(self, name)) > self.most:
+                held.before = {}
+                setattr(self, name, Words(held.tell, held))
+        return [b"".join(map(self.kept.__getitem__, t.split())) for t in texts]
 
     def long_text(self, text: bytes) -> bytes:
         """Slice by slice, each of which ends at a blank."""

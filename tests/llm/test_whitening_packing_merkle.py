@@ -104,13 +104,15 @@ def test_words_equal_whole_texts():
     some = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))).encode() for _ in range(4000)]
     for k in range(0, len(some), 400):
         assert e.encode(some[k : k + 400]) == e.whole(some[k : k + 400])
-    assert e.by_word
+    every = [chr(c).encode() + end for c in range(0x21, 0x300) for end in (b"", b"a", b".9")]
+    assert [e.encode([x])[0] for x in every] == e.whole(every)
+    assert e.by_word and e.by_part
     long = b" ".join(some) + b"x" * 10_000
     e.tried, packing.SLICE = True, 1000
     try:
         assert e.long_text(long) == e.whole([long])[0]
     finally:
-        packing.SLICE = 1 << 22
+        packing.SLICE = 1 << 20
 
 
 def test_packing_round_trip(spark):
