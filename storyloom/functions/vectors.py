@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import bound
+
 TINY = 1e-10
 
 
@@ -21,8 +23,8 @@ def norm(v: Column) -> Column:
 
 
 def l2_normalize(v: Column) -> Column:
-    n = F.greatest(norm(v), F.lit(TINY))
-    return F.transform(v, lambda x: x / n)
+    """The vector over its norm, which is told once, not for each entry."""
+    return bound(v, lambda w: bound(F.greatest(norm(w), F.lit(TINY)), lambda n: F.transform(w, lambda x: x / n)))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine, dot, l2_normalize, norm
+from ..functions.vectors import TINY, cosine, dot, l2_normalize, norm
 
 BLOCK, CENTERS = 2048, 10_000
 
@@ -23,10 +23,59 @@ def unit(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("v").isNotNull()).withColumn("v", l2_normalize(F.col("v")))
 
 
+def matrices(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, matrix) of the vectors of each width; null entries count as 0."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    sizes = np.diff(column.offsets.to_numpy())
+    for width in np.unique(sizes):
+        at = np.flatnonzero(sizes == width)
+        some = column if len(at) == len(column) else column.take(pa.array(at))
+        yield at, some.flatten().fill_null(0.0).to_numpy().astype(float).reshape(len(at), width)
+
+
+def over_norm(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), TINY)
+
+
 def sums(rows: DataFrame, weight: str | None = None) -> DataFrame:
-    """(label, n, sum): rows and the (weighted) sum of each place; n is the sum of weights if there are any."""
+    """(label, n, sum): rows and the (weighted) sum of each place; n is the sum of weights if there are any.
+
+    Each task adds up arrays by label, BLOCK labels at a time, and only these sums shuffle.
+    """
+    kind = dict(rows.dtypes)["label"]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list] = {}
+
+        def out() -> pa.RecordBatch:
+            labels, n, total = zip(*[(k[0], x[0], x[1]) for k, x in held.items()], strict=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(labels, labelled), pa.array(n, pa.float64()), pa.array([t.tolist() for t in total], pa.list_(pa.float64()))], ["label", "n", "sum"])
+
+        for batch in batches:
+            labelled = batch.schema.field(0).type
+            names = batch.column(0).to_pylist()
+            w = batch.column(2).fill_null(0.0).to_numpy(zero_copy_only=False)
+            for at, x in matrices(batch.column(1)):
+                known: dict = {}
+                codes = np.array([known.setdefault(names[k], len(known)) for k in at], int)
+                order = np.argsort(codes, kind="stable")
+                firsts = np.searchsorted(codes[order], np.arange(len(known)))
+                weighted = np.add.reduceat(x[order] * w[at][order, None], firsts) if x.shape[1] else np.zeros((len(known), 0))
+                counts = np.add.reduceat(w[at][order], firsts)
+                for label, k in known.items():
+                    mine = held.setdefault((label, x.shape[1]), [0.0, 0.0])
+                    mine[0] += counts[k]
+                    mine[1] = mine[1] + weighted[k]
+                if len(held) > BLOCK:
+                    yield out()
+        if held:
+            yield out()
+
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    each = rows.select("label", F.posexplode("v").alias("i", "x"), w.alias("w")).groupBy("label", "i").agg(F.sum(F.col("x") * F.col("w")).alias("x"), F.sum("w").alias("n"))
+    found = rows.where(F.col("v").isNotNull()).select("label", "v", w.alias("w"))
+    parts = found.mapInArrow(add, f"label {kind}, n double, sum array<double>")
+    each = parts.select("label", F.posexplode("sum").alias("i", "x"), "n").groupBy("label", "i").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
     return each.groupBy("label").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("sum"))
 
 
@@ -35,30 +84,46 @@ def centroids(rows: DataFrame, weight: str | None = None) -> DataFrame:
     return sums(rows, weight).select("label", F.transform("sum", lambda x: x / F.col("n")).alias("centroid"))
 
 
-def gathered(groups: DataFrame, columns: list[str]) -> DataFrame:
-    """All rows of a table of groups as one array ``all``, after a count: CENTERS at most."""
-    if groups.limit(CENTERS + 1).count() > CENTERS:
-        raise ValueError(f"over {CENTERS} groups")
-    return groups.agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("all"))
+def few(groups: DataFrame) -> pa.Table | None:
+    """A table of groups on the driver, if they are CENTERS at most."""
+    found = groups.limit(CENTERS + 1).toArrow()
+    return found if found.num_rows <= CENTERS else None
 
 
-def own_sum(rows: DataFrame, weight: str | None = None) -> DataFrame:
-    """unit rows with the sum and number of their label."""
+def own_terms(rows: DataFrame, weight: str | None = None) -> DataFrame:
+    """(label, id, s, vv, n): of each unit vector v, v · sum and n of its label, and v · v. Up to CENTERS labels go to tasks as a matrix."""
     u = unit(rows)
     groups = sums(u, weight)
-    return u.join(F.broadcast(groups) if groups.limit(CENTERS + 1).count() <= CENTERS else groups, "label")
+    held = few(groups)
+    if held is None:
+        return u.join(groups, "label").select("label", "id", dot(F.col("v"), F.col("sum")).alias("s"), dot(F.col("v"), F.col("v")).alias("vv"), "n")
+    place = {label: k for k, label in enumerate(held["label"].to_pylist())}
+    known = rows.sparkSession.sparkContext.broadcast((place, held["n"].to_numpy(), [np.array(s, float) for s in held["sum"].to_pylist()]))
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, n, total = known.value
+        for batch in batches:
+            labels = batch.column(0).to_pylist()
+            for at, x in matrices(batch.column(2)):
+                x, codes = over_norm(x), np.array([place[labels[k]] for k in at], int)
+                s = np.array([v @ total[c][: len(v)] for v, c in zip(x, codes, strict=True)], float)
+                some = batch.select([0, 1]).take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(s), pa.array((x * x).sum(1)), pa.array(n[codes])], ["label", "id", "s", "vv", "n"])
+
+    kinds = dict(rows.dtypes)
+    return rows.where(F.col("v").isNotNull()).select("label", "id", "v").mapInArrow(tell, f"label {kinds['label']}, id {kinds['id']}, s double, vv double, n double")
 
 
 def medoids(rows: DataFrame, weight: str | None = None) -> DataFrame:
     """(label, medoid): the member of greatest (weighted) mean similarity to all, itself included; ties: the smallest id."""
-    means = own_sum(rows, weight).select("label", "id", F.round(dot(F.col("v"), F.col("sum")) / F.col("n"), 9).alias("mean"))
+    means = own_terms(rows, weight).select("label", "id", F.round(F.col("s") / F.col("n"), 9).alias("mean"))
     return means.groupBy("label").agg(F.max_by("id", F.struct("mean", -F.col("id"))).alias("medoid"))
 
 
 def coherence(rows: DataFrame) -> DataFrame:
     """(label, coherence): the greatest mean similarity of a member to the others; a single member has 1."""
-    mean = (dot(F.col("v"), F.col("sum")) - dot(F.col("v"), F.col("v"))) / (F.col("n") - 1)
-    return own_sum(rows).groupBy("label").agg(F.coalesce(F.max(F.when(F.col("n") > 1, mean)), F.lit(1.0)).alias("coherence"))
+    mean = (F.col("s") - F.col("vv")) / (F.col("n") - 1)
+    return own_terms(rows).groupBy("label").agg(F.coalesce(F.max(F.when(F.col("n") > 1, mean)), F.lit(1.0)).alias("coherence"))
 
 
 def coherent_labels(rows: DataFrame, least: float = 0.4) -> DataFrame:
@@ -89,12 +154,69 @@ def coherent_members(rows: DataFrame, least: float = 0.3) -> DataFrame:
     return found.select("id", "label", "v").groupBy("label").applyInArrow(keep, f"id {kinds['id']}, label {kinds['label']}")
 
 
+def against(rows: DataFrame, groups: DataFrame, tell, schema: str) -> tuple[DataFrame, bool]:
+    """``tell(x, labels, groups' labels, n, matrix)`` of unit rows(id, label, v) and groups(label, n, c): columns of ``schema``.
+
+    Each row comes back with (part, place), which number it, id and label. Up to CENTERS groups are one matrix in every
+    task, and each row is told once. More are dealt in blocks: blocks of rows meet all blocks of groups by an equal key,
+    salted so that a few blocks of groups still keep all tasks busy; a row is then told once for each block of groups,
+    and the second value is False: the caller takes the best over (part, place). Labels are whole numbers.
+    """
+    names = [x.strip().rsplit(" ", 1)[0] for x in schema.split(",")]
+    held, own = few(groups.select("label", "n", "c")), rows.where(F.col("v").isNotNull()).select(F.col("id").cast("long"), F.col("label").cast("long"), "v")
+    head = "part long, place long, id long, label long"
+
+    def batch_of(block, ids, labels, told) -> pa.RecordBatch:
+        k = len(ids)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(k, block)), pa.array(np.arange(k)), pa.array(ids, pa.int64()), pa.array(labels, pa.int64()), *told], ["part", "place", "id", "label", *names])
+
+    if held is not None:
+        if not held.num_rows:
+            return rows.sparkSession.createDataFrame([], f"{head}, {schema}"), True
+        known = rows.sparkSession.sparkContext.broadcast((held["label"].to_numpy(), held["n"].to_numpy(), np.array(held["c"].to_pylist(), float)))
+
+        def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for low in range(0, batch.num_rows, BLOCK):
+                    some = batch.slice(low, BLOCK)
+                    x = over_norm(np.array(some.column(2).to_pylist(), float))
+                    yield batch_of(0, some.column(0), some.column(1), tell(x, some.column(1).to_numpy(zero_copy_only=False), *known.value))
+
+        return own.mapInArrow(narrow, f"{head}, {schema}"), True
+    spark = rows.sparkSession
+    count = -(-groups.count() // BLOCK)
+    salts = max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // count))
+    packed = groups.select("label", "n", "c", F.pmod(F.xxhash64("label"), F.lit(count)).alias("key")).groupBy("key").agg(F.collect_list(F.struct("label", "n", "c")).alias("members"))
+    packed = packed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = blocks(own).withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int")).withColumn("key", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).cast("long"))
+
+    def wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                block, ids, labels, width, data, members = (batch.column(c)[r].as_py() for c in ("block", "ids", "labels", "width", "data", "members"))
+                x = np.frombuffer(data).reshape(-1, width)
+                told = tell(x, np.array(labels), np.array([m["label"] for m in members]), np.array([m["n"] for m in members], float), np.array([m["c"] for m in members], float))
+                yield batch_of(block, ids, labels, told)
+
+    return dealt.join(packed, ["key", "salt"]).select("block", "ids", "labels", "width", "data", "members").mapInArrow(wide, f"{head}, {schema}"), False
+
+
+def best_group(x: np.ndarray, labels: np.ndarray, c: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """The label of greatest product and this, at nine digits; ties: the smallest label."""
+    order = np.argsort(labels, kind="stable")
+    sims = (x @ c[order].T).round(9)
+    at = sims.argmax(1)
+    return pa.array(labels[order][at].astype(np.int64)), pa.array(sims[np.arange(len(x)), at])
+
+
 def nearest_centroid(rows: DataFrame, centers: DataFrame, least: float | None = None) -> DataFrame:
-    """(id, label, best, sim): the centroid of greatest cosine; ties: the smallest label; under ``least``: no row."""
-    own = centers.select(F.col("label").alias("other"), l2_normalize(F.col("centroid")).alias("c"))
-    scored = F.transform("all", lambda c: F.struct(F.round(dot(F.col("u"), c["c"]), 9).alias("sim"), (-c["other"]).alias("other")))
-    best = rows.where(F.col("v").isNotNull()).select("id", "label", l2_normalize(F.col("v")).alias("u")).join(F.broadcast(gathered(own, ["other", "c"]))).select("id", "label", F.array_max(scored).alias("top"))
-    best = best.select("id", "label", (-F.col("top.other")).alias("best"), F.col("top.sim").alias("sim")).where("best IS NOT NULL")
+    """(id, label, best, sim): the centroid of greatest cosine; ties: the smallest label; under ``least``: no row. Any number of centroids."""
+    own = centers.select("label", F.lit(1.0).alias("n"), l2_normalize(F.col("centroid")).alias("c"))
+    told, whole = against(rows, own, lambda x, _, labels, n, c: best_group(x, labels, c), "best long, sim double")
+    if not whole:
+        told = told.groupBy("part", "place", "id", "label").agg(F.max(F.struct("sim", -F.col("best"))).alias("top")).select("id", "label", (-F.col("top.col2")).alias("best"), F.col("top.sim").alias("sim"))
+    kinds = dict(rows.dtypes)
+    best = told.select(F.col("id").cast(kinds["id"]), F.col("label").cast(kinds["label"]), F.col("best").cast(dict(centers.dtypes)["label"]), "sim")
     return best if least is None else best.where(F.col("sim") >= least)
 
 
@@ -106,14 +228,21 @@ def weighted_vote(votes: DataFrame, key: str) -> DataFrame:
 
 
 def silhouette(rows: DataFrame) -> DataFrame:
-    """Mean cosine silhouette without noise (-1); members of single-row clusters count 0; under two clusters, or all single: 0."""
-    u = unit(rows).where("label <> -1")
-    own = F.filter("all", lambda c: c["label"] == F.col("label"))[0]
-    far = lambda total, n: F.greatest(1 - total / n, F.lit(0.0))
-    a = F.when(own["n"] > 1, far(dot(F.col("v"), own["sum"]) - dot(F.col("v"), F.col("v")), own["n"] - 1))
-    others = F.filter("all", lambda c: c["label"] != F.col("label"))
-    b = F.array_min(F.transform(others, lambda c: far(dot(F.col("v"), c["sum"]), c["n"])))
-    each = u.join(F.broadcast(gathered(sums(u), ["label", "n", "sum"]))).select(a.alias("a"), b.alias("b"))
+    """Mean cosine silhouette without noise (-1); members of single-row clusters count 0; under two clusters, or all single: 0. Any number of clusters."""
+    known = rows.where("label <> -1")
+    groups = sums(unit(known)).withColumnRenamed("sum", "c")
+
+    def tell(x, own, labels, n, total):
+        s, mine = x @ total.T, own[:, None] == labels[None, :]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            inner = np.where(n > 1, np.maximum(1 - (s - (x * x).sum(1)[:, None]) / (n - 1), 0.0), np.nan)
+            outer = np.where(mine, np.inf, np.maximum(1 - s / n, 0.0)).min(1)
+        a = np.where(mine, inner, -np.inf).max(1)  # nan: alone; -inf: its own cluster is in another block
+        return pa.array(a, mask=~np.isfinite(a)), pa.array(outer, mask=np.isinf(outer))
+
+    each, whole = against(known, groups, tell, "a double, b double")
+    if not whole:
+        each = each.groupBy("part", "place").agg(F.max("a").alias("a"), F.min("b").alias("b"))
     s = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise(F.coalesce((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0)), F.lit(0.0)))
     return each.agg(F.round(F.coalesce(F.avg(s), F.lit(0.0)), 6).alias("silhouette"))
 
@@ -212,17 +341,23 @@ def pair_diagnostics(rows: DataFrame) -> DataFrame:
 def cluster_quality(rows: DataFrame, centers: DataFrame, enrolled: str | None = None) -> DataFrame:
     """Of each label: counts, quartiles of the similarity to its centroid (of the enrolled rows), the greatest of all rows.
 
-    Also intra (mean similarity of the pairs within it; null for one row) and nearest (similarity of the closest other centroid).
+    Also intra (mean similarity of the pairs within it; null for one row) and nearest (similarity of the closest other
+    centroid; null without another one). Any number of labels.
     """
-    u = unit(rows).withColumn("on", F.col(enrolled) if enrolled else F.lit(True))
+    on = F.col(enrolled) if enrolled else F.lit(True)
     own = centers.select("label", l2_normalize(F.col("centroid")).alias("c"))
-    scored = u.join(own, "label").select("label", "on", dot(F.col("v"), F.col("c")).alias("sim"), dot(F.col("v"), F.col("v")).alias("vv"))
+    scored = unit(rows).withColumn("on", on).join(own, "label").select("label", "on", dot(F.col("v"), F.col("c")).alias("sim"), dot(F.col("v"), F.col("v")).alias("vv"))
     sim = F.when(F.col("on"), F.col("sim"))
     q = lambda p: F.round(F.percentile(sim, p), 6)
     out = scored.groupBy("label").agg(F.count("*").alias("n"), F.count_if("on").alias("n_enrolled"), F.round(F.avg(sim), 6).alias("mean"), q(0.5).alias("median"), q(0.25).alias("p25"), q(0.75).alias("p75"), F.round(F.min(sim), 6).alias("least"), F.round(F.max("sim"), 6).alias("most"), F.sum("vv").alias("vv"))
-    pairs = sums(u).select("label", dot(F.col("sum"), F.col("sum")).alias("ss"), F.col("n").alias("m"))
-    near = own.join(F.broadcast(gathered(own.select(F.col("label").alias("other"), F.col("c").alias("d")), ["other", "d"])))
-    near = near.select("label", F.round(F.array_max(F.transform(F.filter("all", lambda x: x["other"] != F.col("label")), lambda x: dot(F.col("c"), x["d"]))), 6).alias("nearest"))
+    pairs = sums(unit(rows)).select("label", dot(F.col("sum"), F.col("sum")).alias("ss"), F.col("n").alias("m"))
+
+    def tell(x, mine, labels, n, c):
+        sims = np.where(mine[:, None] == labels[None, :], -np.inf, x @ c.T).max(1)
+        return (pa.array(sims, mask=np.isinf(sims)),)
+
+    near, whole = against(own.select(F.col("label").alias("id"), "label", F.col("c").alias("v")), own.withColumn("n", F.lit(1.0)), tell, "sim double")
+    near = (near if whole else near.groupBy("label").agg(F.max("sim").alias("sim"))).select(F.col("label").cast(dict(centers.dtypes)["label"]), F.round("sim", 6).alias("nearest"))
     intra = F.round(F.when(F.col("m") > 1, (F.col("ss") - F.col("vv")) / (F.col("m") * (F.col("m") - 1))), 6).alias("intra")
     return out.join(pairs, "label").join(near, "label").select("label", "n", "n_enrolled", "mean", "median", "p25", "p75", "least", "most", intra, "nearest")
 
@@ -243,10 +378,10 @@ def singleton_fraction(rows: DataFrame) -> DataFrame:
 
 
 def size_statistics(rows: DataFrame, places: tuple[int, ...] = (1, 5, 10, 20, 30)) -> DataFrame:
-    """top_k: the k-th largest cluster for each place, null if there are fewer."""
-    sizes = gathered(rows.where("label <> -1").groupBy("label").agg(F.count("*").alias("n")), ["n"])
-    down = F.reverse(F.col("all.n"))
-    return sizes.select(*[F.get(down, F.lit(k - 1)).alias(f"top_{k}") for k in places])
+    """top_k: the k-th largest cluster for each place, null if there are fewer; partial top-k in every task."""
+    sizes = rows.where("label <> -1").groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(max(places))
+    down = F.sort_array(F.collect_list("n"), asc=False)
+    return sizes.agg(down.alias("all")).select(*[F.get("all", F.lit(k - 1)).alias(f"top_{k}") for k in places])
 
 
 def clustering_row(rows: DataFrame, persistence: float = 0.0) -> DataFrame:

@@ -19,7 +19,7 @@ def test_ass(spark, tmp_path):
 def test_plain_chapters(spark):
     texts = spark.createDataFrame([("a", "Intro\nChapter 1 X\nbody\nChapter 2\n\nChapter 3\nend"), ("b", "no heads\nat all"), ("c", "")], "doc string, text string")
     got = {(r.doc, r["index"]): (r.title, r.path, r.content) for r in books.split_text(texts).collect()}
-    assert got == {("a", 0): ("Intro", "line:1", "Intro"), ("a", 1): ("Chapter 1 X", "line:2", "body"), ("a", 2): ("Chapter 3", "line:6", "end"), ("b", 0): ("no heads", "line:1", "no heads\nat all"), ("c", 0): ("Chapter 1", "line:1", "")}
+    assert got == {("a", 0): ("Intro", "line:1", "Intro"), ("a", 1): ("Chapter 1 X", "line:2", "body"), ("a", 2): ("Chapter 3", "line:6", "end"), ("b", 0): ("no heads", "", "no heads\nat all"), ("c", 0): ("Chapter 1", "", "")}
 
 
 def test_markdown_chapters(spark):
@@ -27,4 +27,4 @@ def test_markdown_chapters(spark):
     got = [(r.doc, r["index"], r.title, r.path, r.content) for r in books.split_markdown(texts).orderBy("index").collect()]
     assert got == [("a", 0, "One", "line:3", "x"), ("a", 1, "Two", "line:5", "y\n### sub\nz")]
     files = {r.name: r.value for r in books.chapter_files(books.split_markdown(texts)).collect()}
-    assert set(files) == {"ch001.txt", "ch002.txt"} and files["ch001.txt"].endswith("---\n\nx")
+    assert set(files) == {"ch000.txt", "ch001.txt"} and files["ch000.txt"].endswith("---\nx")
