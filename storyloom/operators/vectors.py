@@ -188,7 +188,7 @@ def against(rows: DataFrame, groups: DataFrame, tell, schema: str) -> tuple[Data
     salts = max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // count))
     packed = groups.select("label", "n", "c", F.pmod(F.xxhash64("label"), F.lit(count)).alias("key")).groupBy("key").agg(F.collect_list(F.struct("label", "n", "c")).alias("members"))
     packed = packed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    dealt = blocks(own).withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int")).withColumn("key", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).cast("long"))
+    dealt = blocks(own).withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int")).withColumn("key", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))))
 
     def wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
