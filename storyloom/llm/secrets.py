@@ -47,7 +47,7 @@ CLASSES = (
 ALLOW = (
     r"(?i)^[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}$",
     r"(?i)example|placeholder|changeme|your[_-]|xxxx|0123456789|123456789|abcdefgh",
-    r"(?:[A-Za-z_-]+/){3}",
+    r"(?<![A-Za-z_-])(?:[A-Za-z_-]++/){3}",  # from the start of a segment on; segments are read once
 )
 
 
@@ -115,6 +115,8 @@ class Scanner:
                 piece = word[first : max(a, first)]
                 for cls, run in self.classes:
                     for r in run.finditer(piece):
+                        if cls.digits and sum(map(r[0].count, "0123456789")) < cls.digits:
+                            continue  # no window of it can have so many
                         hot += [[m.start() + first + r.start() + i, m.start() + first + r.start() + j] for i, j in hot_spans(r[0], cls)]
                 first = max(first, b)
         union: list[list[int]] = []
