@@ -119,10 +119,10 @@ def repeated_units(documents: DataFrame, least: int = LEAST) -> tuple[DataFrame,
     units = told.select("id", "th", "hashes", "pairs", "ahead", back.alias("back"))
     units = scratch.write("units", units.withColumn("most", F.greatest(F.array_max("ahead"), F.array_max("back"))))
     marks = fingerprints(units)
-    often = marks.groupBy("key").count().where("count > 1").select("key")
+    often = scratch.write("often", marks.groupBy("key").count().where("count > 1").select("key"))  # a table, so that the join below can split a hot key
     hits = marks.join(often, "key").groupBy("id", "th").agg(F.collect_set("at").alias("hits"))
     hits = scratch.write("hits", units.join(hits, ["id", "th"]).where("most > 0"))
-    scratch.drop("units")
+    scratch.drop("units", "often")
     runs = scratch.write("runs", runs_around(hits))
     scratch.drop("hits")
     place = F.struct("id", "th", "first")
