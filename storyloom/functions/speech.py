@@ -107,8 +107,14 @@ def top_two(values: Column) -> Column:
 
 def emotion(scores: Column) -> Column:
     """The label of the greatest score in an array of (label, score), without what stands before its last slash; ties: the first."""
+    return emotion_of(scores)["label"]
+
+
+def emotion_of(scores: Column, before: Column | None = None) -> Column:
+    """(label, confidence): the same with its score, or the confidence that an entry had before if that is greater; no scores: null."""
     best = F.array_max(F.transform(scores, lambda s, k: F.struct(s["score"].alias("score"), (-k).alias("k"), s["label"].alias("label"))))
-    return F.element_at(F.split(best["label"], "/"), -1)
+    confidence = best["score"].cast("double") if before is None else F.greatest(before.cast("double"), best["score"].cast("double"))
+    return F.when(best.isNotNull(), F.struct(F.element_at(F.split(best["label"], "/"), -1).alias("label"), confidence.alias("confidence")))
 
 
 def entry_confidence(*scores: Column, log_chance: Column | None = None) -> Column:

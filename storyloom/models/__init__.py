@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Any
@@ -65,11 +66,17 @@ class Registry:
     factories: dict[str, Callable[..., Callable]] = field(default_factory=dict)
     defaults: dict[str, dict] = field(default_factory=dict)
     project: dict[str, dict] = field(default_factory=dict)
+    token: str = field(default_factory=lambda: uuid.uuid4().hex)
+
+    def key(self, role: str, given: dict | None = None) -> tuple[str, str, str]:
+        """What a worker holds a model by: this registry, the role and its settings, so that no other one is taken for it."""
+        return self.token, role, repr(sorted(self.settings(role, given).items(), key=lambda kv: kv[0]))
 
     def register(self, role: str, factory: Callable[..., Callable], **defaults: Any) -> None:
         if role not in ROLES:
             raise ValueError(f"unknown role: {role}")
         self.factories[role], self.defaults[role] = factory, defaults
+        self.token = uuid.uuid4().hex  # what workers hold is of the factory before
 
     def settings(self, role: str, given: dict | None = None) -> dict:
         merged = dict(self.defaults.get(role, {}))

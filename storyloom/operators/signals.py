@@ -136,3 +136,10 @@ def shots(frames: DataFrame, threshold: float = 3.0, least_change: float = 15.0,
     w = Window.partitionBy("video").orderBy("frame")
     found = starts.select("video", F.col("frame").alias("start_frame"), F.lead("frame").over(w).alias("__next")).join(ends, "video")
     return found.select("video", F.format_string("sh%03d", F.row_number().over(Window.partitionBy("video").orderBy("start_frame"))).alias("shot_id"), "start_frame", F.coalesce("__next", F.col("__end").cast("long")).alias("end_frame"))
+
+
+def dynamics(frames: DataFrame, full: float = 0.2) -> DataFrame:
+    """(video, dynamics) of frames(video, frame, v: grey values to 255): the mean change from frame to frame, ``full`` of the range or more being 1; one frame: 0."""
+    told_ = frame_changes(frames).withColumn("first", F.min("frame").over(Window.partitionBy("video")))
+    change = F.when(F.col("frame") > F.col("first"), F.col("change") / 255)
+    return told_.groupBy("video").agg(F.least(F.lit(1.0), F.coalesce(F.avg(change), F.lit(0.0)) / full).alias("dynamics"))

@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import TINY, cosine, dot, l2_normalize, norm
+from .written import Tables
 
-BLOCK, CENTERS = 2048, 10_000
+BLOCK, CENTERS, GROUP = 2048, 10_000, 20_000
 
 
 def unit(rows: DataFrame) -> DataFrame:
@@ -132,26 +133,33 @@ def coherent_labels(rows: DataFrame, least: float = 0.4) -> DataFrame:
 
 
 def coherent_members(rows: DataFrame, least: float = 0.3) -> DataFrame:
-    """(id, label) of a greedy clique of each label: in order of mean similarity, a member stays if it is that similar to all that stay.
+    """(id, label) of a greedy clique of each label: in order of mean similarity (itself counts as 1), a member stays if it is that similar to all that stay.
 
-    One label's members are one group in memory: the windows of an utterance.
+    A fold over sorted rows, which holds the vectors that stay; ties of the mean at nine digits: the smallest id.
     """
-    found = rows.where(F.col("v").isNotNull())
+    means = own_terms(rows).groupBy("label", "id").agg(F.min(F.round((F.col("s") - F.col("vv") + 1) / F.col("n"), 9)).alias("mean"))
+    kinds, n = dict(rows.dtypes), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = rows.where(F.col("v").isNotNull()).select("label", "id", "v").join(means, ["label", "id"]).repartition(n, "label").sortWithinPartitions("label", F.desc("mean"), "id").select("label", "id", "v")
 
-    def keep(table: pa.Table) -> pa.Table:
-        table = table.sort_by("id")
-        x = np.array(table["v"].to_pylist(), float)
-        size = np.linalg.norm(x, axis=1, keepdims=True)
-        sims = (x / np.where(size > 0, size, 1)) @ (x / np.where(size > 0, size, 1)).T
-        np.fill_diagonal(sims, 1.0)
-        stay: list[int] = []
-        for k in np.argsort(-sims.mean(1).round(12), kind="stable"):
-            if (sims[k, stay] >= least).all():
-                stay.append(int(k))
-        return table.select(["id", "label"]).take(sorted(stay))
-
-    kinds = dict(found.dtypes)
-    return found.select("id", "label", "v").groupBy("label").applyInArrow(keep, f"id {kinds['id']}, label {kinds['label']}")
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        label, held, many = object(), np.empty((0, 0)), 0
+        for batch in batches:
+            stay = []
+            for k, (own, v) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                v = np.array(v, float)
+                if own != label:
+                    label, held, many = own, np.empty((16, len(v))), 0
+                size = np.linalg.norm(v)
+                v = v / (size if size > 0 else 1)
+                if not many or (held[:many] @ v >= least).all():
+                    stay.append(k)
+                    if many == len(held):
+                        held = np.concatenate([held, np.empty_like(held)])
+                    held[many] = v
+                    many += 1
+            yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(stay, pa.int64())), batch.column(0).take(pa.array(stay, pa.int64()))], ["id", "label"])
+
+    return ordered.mapInArrow(keep, f"id {kinds['id']}, label {kinds['label']}")
 
 
 def against(rows: DataFrame, groups: DataFrame, tell, schema: str) -> tuple[DataFrame, bool]:
@@ -435,6 +443,18 @@ def metric_spans(rows: DataFrame, metrics: dict[str, bool]) -> DataFrame:
     return one.select(F.inline("all"))
 
 
+def loud_enough(windows: DataFrame, threshold_db: float = -40.0) -> DataFrame:
+    """windows(..., rms_db) with ``embeds``: whether a vector is made of it. Silence (null) and quiet windows stay, without one."""
+    return windows.withColumn("embeds", F.coalesce(F.col("rms_db") >= threshold_db, F.lit(False)))
+
+
+def of_long_utterances(windows: DataFrame, utterances: DataFrame, least: float) -> DataFrame:
+    """windows(utterance, ...) of utterances(utterance, start, end) that last ``least`` seconds; 0 or less: all windows."""
+    if least <= 0:
+        return windows
+    return windows.join(utterances.where(F.col("end") - F.col("start") >= least).select("utterance"), "utterance", "left_semi")
+
+
 def window_weights(windows: DataFrame, threshold_db: float = -40.0) -> DataFrame:
     """windows(utterance, win, start, end, rms_db, utt_start, utt_end) with weight: energy above the threshold times a bell around the middle, summing to one; without energy all are equal."""
     length, middle = F.col("utt_end") - F.col("utt_start"), (F.col("utt_start") + F.col("utt_end")) / 2
@@ -478,18 +498,48 @@ def diverse_places(x: np.ndarray, count: int, anchors: bool = False) -> list[int
 
 
 def select_diverse(rows: DataFrame, count: int, anchors: bool = False) -> DataFrame:
-    """(label, id) of up to ``count`` rows of each label in order of id, by greedy max-min cosine diversity.
+    """(label, id) of up to ``count`` rows of each label in order of id, by greedy max-min cosine diversity. Ids are unique in a label.
 
-    The frames of one shot or scene are one group in memory.
+    Labels of up to GROUP rows are a group in a task; larger ones are selected in rounds over all their rows, one for
+    each further choice, with the same result.
     """
-    found = rows.where(F.col("v").isNotNull())
+    found = rows.where(F.col("v").isNotNull()).select("label", "id", "v")
+    kinds = dict(found.dtypes)
 
     def pick(table: pa.Table) -> pa.Table:
         table = table.sort_by("id")
         return table.select(["label", "id"]).take(diverse_places(np.array(table["v"].to_pylist(), float), count, anchors))
 
-    kinds = dict(found.dtypes)
-    return found.select("label", "id", "v").groupBy("label").applyInArrow(pick, f"label {kinds['label']}, id {kinds['id']}")
+    groups = lambda df: df.groupBy("label").applyInArrow(pick, f"label {kinds['label']}, id {kinds['id']}")
+    large = found.groupBy("label").count().where(F.col("count") > GROUP).select("label")
+    if not large.limit(1).count():
+        return groups(found)
+    tables = Tables(rows.sparkSession, "diverse")
+    large = tables.write("large", large)
+    return groups(found.join(large, "label", "left_anti")).union(diverse_rounds(found.join(large, "label", "left_semi"), count, anchors, tables))
+
+
+def diverse_rounds(rows: DataFrame, count: int, anchors: bool, tables: Tables) -> DataFrame:
+    """The same selection for labels of more than ``count`` rows: each round takes, of each label, the row least similar to those taken."""
+    ends = rows.groupBy("label").agg(F.min("id").alias("first"), F.max("id").alias("last"))
+    second = rows.join(ends, "label").where(F.col("id") > F.col("first")).groupBy("label").agg(F.min("id").alias("id"))
+    first = ends.select("label", F.col("first").alias("id"))
+    start = first.union(ends.select("label", F.col("last"))) if anchors else first
+    chosen = start.union(second.select("label", "id")) if anchors and count > 2 else start
+    if count <= (2 if anchors else 1):
+        return chosen if count >= (2 if anchors else 1) else chosen.limit(0)
+    unit_ = tables.write("unit", unit(rows))
+    told = lambda now, taken: now.join(taken.select("label", F.col("v").alias("__v"), F.col("id").alias("__id")), "label").select("label", "id", "v", F.greatest("near", F.round(dot(F.col("v"), F.col("__v")), 12)).alias("near"), (F.col("taken") | (F.col("id") == F.col("__id"))).alias("taken"))
+    now = unit_.select("label", "id", "v", F.lit(-2.0).alias("near"), F.lit(False).alias("taken"))
+    taken = unit_.join(chosen, ["label", "id"])
+    now = told(now, taken).groupBy("label", "id").agg(F.first("v").alias("v"), F.max("near").alias("near"), F.max("taken").alias("taken"))
+    now = tables.write("near", now)
+    for _ in range(count - (3 if anchors else 1)):
+        best = tables.write("best", now.where("NOT taken").groupBy("label").agg(F.min_by(F.struct("id", "v"), F.struct("near", "id")).alias("r")).select("label", "r.id", "r.v"))
+        after = tables.write("near", told(now, best))
+        tables.drop(now)
+        now = after
+    return now.where("taken").select("label", "id")
 
 
 def average_linkage(x: np.ndarray, cut: float) -> list[int]:

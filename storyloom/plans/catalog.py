@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 from ..functions import speech
 from ..functions import text as T
 from ..functions.vectors import doubles
-from ..operators import batching, entities, index, intervals, scenes, transcript, vectors
-from ..sources import books
+from ..operators import batching, density, entities, index, intervals, scenes, search, signals, transcript, vectors
+from ..operators.written import folder_of
+from ..sources import books, caches
 from . import snapshots
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -321,7 +323,11 @@ def anchored_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.select_diverse(embeddings(spark, sf_dir), 8, anchors=True)
 
 
-@query()
+@query("WITH RECURSIVE " + E[5:] + """, m AS (SELECT a.id, a.label, any_value(a.v) AS v, round((sum(list_inner_product(a.v, b.v)) - any_value(list_inner_product(a.v, a.v)) + 1) / count(*), 9) AS mean FROM u a JOIN u b USING (label) GROUP BY a.id, a.label),
+    o AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY mean DESC, id) AS k FROM m),
+    w AS (SELECT label, k, id, true AS stays, [v] AS kept FROM o WHERE k = 1
+          UNION ALL SELECT o.label, o.k, o.id, list_bool_and(list_transform(w.kept, lambda x: list_inner_product(x, o.v) >= 0)), CASE WHEN list_bool_and(list_transform(w.kept, lambda x: list_inner_product(x, o.v) >= 0)) THEN list_append(w.kept, o.v) ELSE w.kept END FROM w JOIN o ON o.label = w.label AND o.k = w.k + 1)
+    SELECT id, label FROM w WHERE stays""")
 def coherent_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.coherent_members(embeddings(spark, sf_dir), 0.0)
 
@@ -343,9 +349,20 @@ def size_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.size_statistics(embeddings(spark, sf_dir))
 
 
-@query()
+_COS = "list_inner_product({0}, {1}) / (greatest(sqrt(list_inner_product({0}, {0})), 1e-10) * greatest(sqrt(list_inner_product({1}, {1})), 1e-10))"
+
+
+@query(C + f""", s AS (SELECT u.id, u.id % 40 AS segment, u.v, c.label AS other, round({_COS.format("u.v", "c.centroid")}, 9) AS sim FROM u, c),
+    b AS (SELECT id, any_value(segment) AS segment, any_value(v) AS v, arg_max(other, (sim, -other)) AS best, max(sim) AS sim FROM s GROUP BY id),
+    g AS (SELECT segment, best, round(sum(sim), 9) AS total, min(id) AS first FROM b GROUP BY ALL),
+    t AS (SELECT segment, best AS voted FROM g QUALIFY row_number() OVER (PARTITION BY segment ORDER BY total DESC, first) = 1),
+    x AS (SELECT id, v, best, voted AS label FROM b JOIN t USING (segment)),
+    m AS (SELECT a.id, a.label, y.label AS other, avg(greatest(1 - list_inner_product(a.v, y.v), 0)) AS d FROM x a JOIN x y ON a.id <> y.id GROUP BY ALL),
+    q AS (SELECT id, max(d) FILTER (WHERE label = other) AS a, min(d) FILTER (WHERE label <> other) AS b FROM m GROUP BY id)
+    SELECT round((SELECT avg((best <> label)::INT) FROM x) / sqrt((SELECT count(DISTINCT label) FROM e WHERE label <> -1)), 6) AS disagreement,
+           (SELECT round(coalesce(avg(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE coalesce((b - a) / nullif(greatest(a, b), 0), 0) END), 0), 6) FROM q) AS separation""")
 def vote_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors.vote_consistency(embeddings(spark, sf_dir).withColumn("segment", F.col("id") % 40))
+    return vectors.vote_consistency(embeddings(spark, sf_dir).withColumn("segment", F.col("id") % 40)).withColumn("disagreement", F.round("disagreement", 6))
 
 
 def hundredths(rows: DataFrame) -> DataFrame:
@@ -443,7 +460,14 @@ def overlap_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.repair_overlaps(timeline(spark, sf_dir).withColumn("quality", (F.col("id") % 100) / 100), 60.0)
 
 
-@query()
+@query("WITH RECURSIVE " + I[5:] + """, x AS (SELECT key, max(e) AS total FROM t GROUP BY key), base AS (SELECT key, id, s, e FROM t WHERE label = 'purchase'),
+    more AS (SELECT t.key, t.id, greatest(t.s, 0) AS s, least(t.e, x.total) AS e FROM t JOIN x USING (key) WHERE t.label = 'click'),
+    every AS (SELECT *, 0 AS new FROM base UNION ALL SELECT *, 1 AS new FROM more WHERE e - s >= 0.08),
+    r AS (SELECT *, max(CASE WHEN new = 0 THEN e END) OVER (PARTITION BY key ORDER BY s, new, e, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, min(CASE WHEN new = 0 THEN s END) OVER (PARTITION BY key ORDER BY s, new, e, id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after FROM every),
+    f AS (SELECT key, id, s, e, row_number() OVER (PARTITION BY key ORDER BY s, e, id) AS k FROM r WHERE new = 1 AND NOT coalesce(s < before + 600, false) AND NOT coalesce(e > after - 600, false)),
+    w AS (SELECT key, k, id, s, e, true AS taken, e AS upto FROM f WHERE k = 1
+          UNION ALL SELECT f.key, f.k, f.id, f.s, f.e, f.s >= w.upto + 600, CASE WHEN f.s >= w.upto + 600 THEN greatest(w.upto, f.e) ELSE w.upto END FROM w JOIN f ON f.key = w.key AND f.k = w.k + 1)
+    SELECT key, id, round(s, 3) AS start, round(e, 3) AS "end", (id % 100) / 100 AS quality FROM w WHERE taken""")
 def rescued_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = timeline(spark, sf_dir).withColumn("quality", (F.col("id") % 100) / 100)
     totals = rows.groupBy("key").agg(F.max("end").alias("total"))
@@ -555,3 +579,106 @@ def speaker_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last name given to each speaker up to each scene."""
     rows = occurrences(spark, sf_dir).select("scene", F.substring("alias", 1, 1).alias("speaker"), F.col("alias").alias("name"))
     return scenes.with_speaker_names(rows, rows).select("scene", "speaker", "name")
+
+
+def scenes_of(spark: SparkSession, sf_dir: str, rest: int) -> DataFrame:
+    """Vectors as scenes of a source of each label: the even ones are one telling, the odd ones the other."""
+    return embeddings(spark, sf_dir).where(F.col("id") % 2 == rest).select(F.col("label").alias("key"), "id", F.col("id").alias("order"), "v")
+
+
+@query(E + """, p AS (SELECT label AS key, id, v, id % 2 AS side, row_number() OVER (PARTITION BY label, id % 2 ORDER BY id) - 1 AS place, count(*) OVER (PARTITION BY label, id % 2) AS size FROM u),
+    c AS (SELECT a.key, a.id AS "left", b.id AS "right", round(list_inner_product(a.v, b.v), 9) AS sim, floor(a.place * b.size / a.size) AS middle, b.place FROM p a JOIN p b ON a.key = b.key AND a.side = 0 AND b.side = 1)
+    SELECT key, "left", "right", round(sim, 6) AS sim FROM c WHERE sim > 0.05 AND place BETWEEN middle - 5 AND middle + 5""")
+def align_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scenes of two tellings that are alike and stand near the same part of the story."""
+    found = search.align(scenes_of(spark, sf_dir, 0), scenes_of(spark, sf_dir, 1), 0.05, 5)["candidates"]
+    return found.withColumn("sim", F.round("sim", 6))
+
+
+@query()
+def align_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best monotone chain of them: equal to the full table in the tests."""
+    return search.align(scenes_of(spark, sf_dir, 0), scenes_of(spark, sf_dir, 1), 0.05, 5)["links"].withColumn("sim", F.round("sim", 6))
+
+
+@query()
+def density_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of mutual reachability: equal to a plain version in the tests."""
+    return density.clusters(embeddings(spark, sf_dir).select("id", "v"), 5)
+
+
+def sounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as short sounds of 64 samples a second."""
+    return embeddings(spark, sf_dir).select("id", "label", F.lit(64).alias("rate"), F.col("v").alias("samples"))
+
+
+_LOUD = "list_filter(range(0, 5), lambda k: {at} >= 0 AND {at} <= 64 AND list_avg(list_transform(list_slice(s, greatest(0, {at} - 4) + 1, least(64, {at} + 4)), lambda x: abs(x))) >= bar)"
+_LEFT, _RIGHT = _LOUD.format(at="(a - 4 * k)"), _LOUD.format(at="(b + 4 * k)")
+
+
+@query(f"""WITH p AS (SELECT vec_id AS id, embedding::DOUBLE[] AS s, (vec_id % 30)::INT AS a, (vec_id % 30 + 1 + vec_id % 33)::INT AS b FROM embeddings), q AS (SELECT *, greatest(0.004, 0.08 * 5 * list_max(list_transform(s, lambda x: abs(x)))) AS bar FROM p),
+    f AS (SELECT id, a, b, coalesce(a - 4 * ({_LEFT})[1], a) AS x, coalesce(b + 4 * ({_RIGHT})[1], b) AS y FROM q)
+    SELECT id, CASE WHEN y > x THEN x ELSE a END::INT AS snapped_start, CASE WHEN y > x THEN y ELSE b END::INT AS snapped_end FROM f""")
+def energy_snap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of a sound whose ends move to where it is loud, every 4 samples up to 16 of them; the sound five times as loud."""
+    louder = F.transform("samples", lambda x: x * 5)
+    rows = sounds(spark, sf_dir).select("id", "samples", (F.col("id") % 30).cast("int").alias("start"), (F.col("id") % 30 + 1 + F.col("id") % 33).cast("int").alias("end"))
+    floor = signals.amplitude_floor(louder)
+    x, y = (signals.energy_snap(F.col("samples"), F.col(c), left, 16, floor, 4) for c, left in (("start", True), ("end", False)))
+    fine = y > x
+    return rows.select("id", F.when(fine, x).otherwise(F.col("start")).alias("snapped_start"), F.when(fine, y).otherwise(F.col("end")).alias("snapped_end"))
+
+
+@query("WITH e AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v, (vec_id % 10) / 20 AS share FROM embeddings) SELECT id FROM e WHERE 20 * log10(sqrt(list_inner_product(v, v) / len(v)) + 1e-9) >= -18.1 AND share <= 0.15")
+def voice_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sounds loud enough, and little enough of them speech, to be told as vocal sounds."""
+    rows = sounds(spark, sf_dir).withColumn("speech_share", (F.col("id") % 10) / 20)
+    return rows.where(signals.voice_gate(rows, -18.1)).select("id")
+
+
+@query()
+def sound_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Key, tempo, energy and brightness of each sound: known signals in the tests."""
+    rows = signals.music_features(sounds(spark, sf_dir))
+    return rows.select("id", "bpm", "key_centre", F.round("energy", 6).alias("energy"), F.round("brightness", 6).alias("brightness"))
+
+
+@query()
+def sound_prosody(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = signals.prosody(sounds(spark, sf_dir))
+    return rows.select("id", "onsets", F.round("db", 6).alias("db"), F.size("voiced").alias("n_voiced"), "volume", "speech_rate", "pitch")
+
+
+@query(E + """, d AS (SELECT id, label, raw, lag(raw) OVER (PARTITION BY label ORDER BY id) AS p FROM e), c AS (SELECT id, label, round(CASE WHEN p IS NULL THEN 0 ELSE list_sum(list_transform(list_zip(raw, p), lambda z: abs(z[1] - z[2]))) / 64 END, 9) AS change FROM d),
+    m AS (SELECT *, (sum(change) OVER w - change) / greatest(count(*) OVER w - 1, 1) AS mean FROM c WINDOW w AS (PARTITION BY label ORDER BY id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING))
+    SELECT label AS video, id AS frame, round(change, 6) AS change, round(round(CASE WHEN mean > 1e-9 THEN change / mean WHEN change > 1e-9 THEN 255 ELSE 0 END, 9), 6) AS ratio FROM m""")
+def frame_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as frames of a video of each label: how much each differs from the one before, and from its neighbours' changes."""
+    rows = signals.frame_changes(embeddings(spark, sf_dir).select(F.col("label").alias("video"), F.col("id").alias("frame"), "v"))
+    return rows.select("video", "frame", F.round("change", 6).alias("change"), F.round("ratio", 6).alias("ratio"))
+
+
+@query("WITH RECURSIVE " + E[5:] + """, d AS (SELECT id, label, raw, lag(raw) OVER (PARTITION BY label ORDER BY id) AS p FROM e), c AS (SELECT id, label, round(CASE WHEN p IS NULL THEN 0 ELSE list_sum(list_transform(list_zip(raw, p), lambda z: abs(z[1] - z[2]))) / 64 END, 9) AS change FROM d),
+    m AS (SELECT *, (sum(change) OVER w - change) / greatest(count(*) OVER w - 1, 1) AS mean FROM c WINDOW w AS (PARTITION BY label ORDER BY id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
+    k AS (SELECT label, id, row_number() OVER (PARTITION BY label ORDER BY id) AS k FROM m WHERE mean > 1e-9 AND round(change / mean, 9) >= 1.05 AND change >= 0.12),
+    n AS (SELECT label, min(id) AS first, max(id) + 1 AS last FROM e GROUP BY label),
+    w AS (SELECT label, 0::BIGINT AS k, first AS id, first AS upto, true AS cut FROM n
+          UNION ALL SELECT k.label, k.k, k.id, CASE WHEN k.id - w.upto >= 40 THEN k.id ELSE w.upto END, k.id - w.upto >= 40 FROM w JOIN k ON k.label = w.label AND k.k = w.k + 1)
+    SELECT label AS video, 'sh' || lpad(row_number() OVER (PARTITION BY label ORDER BY id)::VARCHAR, 3, '0') AS shot_id, id::BIGINT AS start_frame, coalesce(lead(id) OVER (PARTITION BY label ORDER BY id), last)::BIGINT AS end_frame FROM w JOIN n USING (label) WHERE cut""")
+def shots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = embeddings(spark, sf_dir).select(F.col("label").alias("video"), F.col("id").alias("frame"), "v")
+    return signals.shots(rows, 1.05, 0.12, 40)
+
+
+@query("WITH w AS (SELECT vec_id AS id, CASE WHEN vec_id % 5 = 0 THEN 'new' ELSE 'old' END AS model FROM embeddings) SELECT count(*) AS wanted, count(*) FILTER (WHERE id % 3 <> 0 OR model = 'new') AS computed, count(*) AS valid FROM w")
+def cached_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cache that holds a third of the vectors, made by a model that a fifth of all rows no longer use: what is computed, and what is valid afterwards."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("key"), "vec_id", "embedding")
+    signed = lambda model: rows.withColumn("signature", caches.signature(F.col("embedding").cast("string"), model))
+    cache = caches.Cache(spark, f"{folder_of(spark)}/cache-{uuid.uuid4().hex}")
+    made = lambda df: df.select("key", "signature", F.col("embedding").alias("value"))
+    cache.add(made(signed(F.lit("old")).where("vec_id % 3 = 0")))
+    wanted = signed(F.when(F.col("vec_id") % 5 == 0, "new").otherwise("old"))
+    before = cache.missing(wanted).count()
+    valid = cache.filled(wanted, made)
+    return valid.agg(F.count("*").alias("valid")).select(F.lit(wanted.count()).cast("long").alias("wanted"), F.lit(before).cast("long").alias("computed"), "valid")

@@ -145,8 +145,8 @@ def build(spark: SparkSession, registry: Registry | None = None) -> Callable[[st
     registry = registry or Registry()
 
     def ask(role: str) -> Callable:
-        make = registry.factory(role)
-        return lambda x: held(role, make)(x)
+        make, key = registry.factory(role), registry.key(role)
+        return lambda x: held(key, make)(x)
 
     def novel(step: str, source: str, project: Project) -> list[Task]:
         s = project.source(source)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import BLANKS, html_text, html_title, infer_title, normalize_text, strip, strip_frontmatter
+from ..functions.text import BLANKS, bound, html_text, html_title, infer_title, normalize_text, strip, strip_frontmatter
 from .subtitles import read_whole
 
 # Fixed value: what is a chapter title of its own line.
@@ -212,7 +212,9 @@ def parse_chapter_file(value: Column) -> tuple[Column, Column]:
     parts = F.split(value, "---", 3)
     has = value.startswith("---") & (F.size(parts) >= 3)
     pairs = F.filter(F.transform(F.split(F.get(parts, F.lit(1)), "\n"), lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("key"), F.btrim(F.trim(F.regexp_replace(x, r"^[^:]*:", "")), F.lit("\"'")).alias("value"))), lambda e: e["key"] != "")
-    meta = F.map_from_entries(F.array_distinct(pairs))
+    # Of a key that comes twice the last value counts.
+    last = bound(pairs, lambda all_: F.filter(all_, lambda e, k: ~F.exists(F.slice(all_, k + 2, F.size(all_)), lambda later: later["key"] == e["key"])))
+    meta = F.map_from_entries(last)
     return F.when(has, meta), F.when(has, F.ltrim(F.get(parts, F.lit(2)), F.lit("\n"))).otherwise(value)
 
 

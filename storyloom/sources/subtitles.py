@@ -43,9 +43,13 @@ def parse_ass(files: DataFrame) -> DataFrame:
     return numbered(rows.select("path", "pos", parse_clock(F.get("f", F.lit(1))).alias("start"), parse_clock(F.get("f", F.lit(2))).alias("end"), without_tags(text).alias("text")))
 
 
-def read_subtitles(spark: SparkSession, path: str) -> DataFrame:
-    """By the file's suffix: .srt, .vtt, .ass, .ssa."""
+def read_subtitles(spark: SparkSession, path: str, track: int = 0) -> DataFrame:
+    """By the file's suffix: .srt, .vtt, .ass, .ssa; of .mkv, .mks and .webm the subtitle track of that number."""
     suffix = path.rsplit(".", 1)[-1].lower()
+    if suffix in ("mkv", "mks", "webm"):
+        from .matroska import read_embedded
+
+        return read_embedded(spark, path, track)
     if suffix not in ("srt", "vtt", "ass", "ssa"):
         raise ValueError(f"unsupported subtitle format: {path}")
     return (parse_srt if suffix in ("srt", "vtt") else parse_ass)(read_whole(spark, path))
