@@ -27,6 +27,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,7 @@ END = b""  #: the end token; no word is empty
 HEAD = ORDERS - 2  #: first bytes of a word whose contexts reach over the blank before it, and as many bytes before that
 HEADS, PARTS, PASSES = 1 << 20, 64, 4
 BATCH = 1 << 20
+LEARNER = 1 << 16  #: distinct words of a learner
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LEADING = np.array([8] + [7 - int(x).bit_length() + 1 for x in range(1, 256)], np.int32)  # zero bits before the first one
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -424,41 +426,56 @@ def cut_of(tokens: DataFrame) -> int:
 
 
 def trained(tokens: DataFrame, heads: DataFrame, cut: int) -> tuple[Broadcast, Broadcast]:
-    """The model that is trained on tokens(token, c) and heads(heads, c): context counts; weights and the refining table."""
+    """The model that is trained on tokens(token, c) and heads(heads, c): context counts; weights and the refining table.
+
+    Learners are groups of about LEARNER words, by a hash of their first bytes, and the parts of the heads. Each begins
+    anew and goes through its words in order, and what they learn is averaged: so the model is the same however rows are dealt.
+    """
     spark = tokens.sparkSession
     model = spark.sparkContext.broadcast(context_counts(tokens, heads, cut))
     schema = "at int, value double"
 
-    def learned_of(mixer: Mixer | None) -> Iterator[pa.RecordBatch]:
-        if mixer:
-            values = np.concatenate([(mixer.weights * mixer.told[:, None]).ravel(), mixer.came.ravel(), mixer.told])
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values)], ["at", "value"])
+    def learned_of(mixer: Mixer) -> pa.RecordBatch:
+        values = np.concatenate([(mixer.weights * mixer.told[:, None]).ravel(), mixer.came.ravel(), mixer.told])
+        return pa.RecordBatch.from_arrays([pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values)], ["at", "value"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer = None
-        for words in chunks(batches, cut):
-            mixer = mixer or Mixer(model.value, learns=True)
-            mixer.learn(words)
-        yield from learned_of(mixer)
+        for _, some in groupby(runs_of(batches), key=lambda x: x[0]):
+            mixer = Mixer(model.value, learns=True)
+            for words in chunks((batch for _, batch in some), cut):
+                mixer.learn(words)
+            yield learned_of(mixer)
 
     def learn_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer = None
-        for some in heads_in(batches):
-            mixer = mixer or Mixer(model.value, learns=True)
+        for some in heads_in(batches):  # a part of the heads each
+            mixer = Mixer(model.value, learns=True)
             for _ in range(PASSES):  # heads are few beside words
                 mixer.learn(some)
-        yield from learned_of(mixer)
+            yield learned_of(mixer)
 
     edge, end = GATES * TABLES, GATES * (TABLES + 2 * BUCKETS)
     learned = np.zeros(end + GATES)
-    told = dealt(tokens, cut).select("token", "c").mapInArrow(learn, schema).union(heads.select("heads", "c").mapInArrow(learn_heads, schema))
-    for x in told.groupBy("at").agg(F.sum("value").alias("value")).collect():
+    learners = max(1, tokens.count() // LEARNER)
+    start = F.substring("token", 1, cut)
+    words = tokens.select(F.pmod(F.xxhash64(start), F.lit(learners)).alias("learner"), "token", "c").repartition("learner").sortWithinPartitions("learner", "token")
+    told = words.mapInArrow(learn, schema).union(heads.select("heads", "c").mapInArrow(learn_heads, schema))
+    # Decimals add up to the same in any order.
+    for x in told.groupBy("at").agg(F.sum(F.col("value").cast("decimal(28,9)")).cast("double").alias("value")).collect():
         learned[x["at"]] = x["value"]
     seen = learned[end:, None]
     weights = np.where(seen > 0, learned[:edge].reshape(GATES, TABLES) / np.maximum(seen, 1), first_weights())
     return model, spark.sparkContext.broadcast((weights, learned[edge:end].reshape(GATES, BUCKETS, 2)))
 
 
+def runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The learners of sorted rows (learner, token, c), each with its rows of a batch."""
+    for batch in batches:
+        learner = batch.column(0).to_numpy()
+        new = np.flatnonzero(np.concatenate([[True], learner[1:] != learner[:-1]])[: len(learner)])
+        for low, high in zip(new, [*new[1:], len(learner)], strict=True):
+            yield int(learner[low]), batch.slice(low, high - low).select([1, 2])
+
+
 def dealt(tokens: DataFrame, cut: int) -> DataFrame:
     return tokens.repartition(F.substring("token", 1, cut)).sortWithinPartitions("token")
 

@@ -447,10 +447,22 @@ def test_lm_scores_follow_the_order_of_words(spark, monkeypatch):
     assert all(abs(r.score - got[r.doc_id]) < 1e-9 for r in lm.score(frame).collect())
 
 
-def test_lm_scores_do_not_depend_on_partitions(docs):
-    key = lambda df: sorted((r.doc_id or -1, r.n_tokens, round(r.score, 2)) for r in df.collect())
-    few = lm.score(docs.coalesce(1))
-    assert len(key(few)) == docs.count()
+def test_lm_scores_do_not_depend_on_partitions(spark, docs, monkeypatch):
+    """One and sixteen partitions, of one and of several learners: the same scores."""
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for learner in (1 << 16, 40):
+            monkeypatch.setattr(lm, "LEARNER", learner)
+            told = []
+            for n in (1, 16):
+                spark.conf.set("spark.sql.shuffle.partitions", n)
+                told.append(sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.score) for r in lm.score(docs.repartition(n)).collect()))
+            assert len(told[0]) == docs.count() and [x[:2] for x in told[0]] == [x[:2] for x in told[1]]
+            assert max(abs(a[2] - b[2]) for a, b in zip(*told, strict=True)) < 1e-9
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
 
 
 def brute_lines(rows, least=20):
