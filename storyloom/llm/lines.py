@@ -154,5 +154,6 @@ def dedup_lines(documents: DataFrame, least: int = LEAST) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of ``documents``; nulls, ties and empty tables as in ``dedup_lines``."""
     rows = dedup_lines(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_units", "dropped", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))

@@ -601,6 +601,7 @@ def score(documents: DataFrame) -> DataFrame:
 
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of ``documents``; nulls, repeated rows and empty tables as in ``score``."""
     return score(table(spark, sf_dir, "documents"))
 
 

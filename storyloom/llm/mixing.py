@@ -148,5 +148,6 @@ def sample(documents: DataFrame) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of ``documents``; nulls, repeated rows and empty tables as in ``mixed``."""
     rows = mixed(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("weight", 9).alias("weight"), F.round("chance", 9).alias("probability"), F.round("residual", 6).alias("residual"), "kept")

@@ -176,6 +176,7 @@ def apply_rules(documents: DataFrame, labels: DataFrame, stratum: str = "lang",
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of ``documents`` by all of ``labels``; nulls, ties and empty tables as in ``apply_rules``."""
     return apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 

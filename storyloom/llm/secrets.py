@@ -156,6 +156,7 @@ def scan_secrets(documents: DataFrame, classes: tuple[CharClass, ...] = CLASSES,
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of ``documents``; nulls, repeated rows and empty tables as in ``scan_secrets``."""
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 

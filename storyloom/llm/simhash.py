@@ -205,6 +205,7 @@ def one_of_each_group(documents: DataFrame, shingle: int = 3, distance: int = 2)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of ``documents``; nulls, ties and empty tables as in ``near_duplicates``."""
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 

@@ -318,6 +318,7 @@ def token_dataset(documents: DataFrame, tokenizer: str | None = None) -> DataFra
 
 
 def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of ``documents``; nulls, repeated rows and empty tables as in ``write_tokens``."""
     return token_dataset(table(spark, sf_dir, "documents"))
 
 

@@ -205,6 +205,7 @@ def drop_toxic(documents: DataFrame, labels: DataFrame, limit: float = 0.5) -> D
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of ``documents`` by all of ``labels``; nulls, ties and empty tables as in ``grade_documents``."""
     return grade_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
