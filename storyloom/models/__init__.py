@@ -92,6 +92,7 @@ class Registry:
         return lambda: make(**settings)
 
 
+POINTS = 50_000  #: vectors that a clusterer of one recording may get
 _HELD: dict[Any, Callable] = {}
 
 
@@ -127,10 +128,15 @@ def apply_model(rows: DataFrame, make: Callable[[], Callable[[dict], list[dict]]
 def sweep(rows: DataFrame, make: Callable[..., Callable[[list[list[float]]], tuple[list[int], float]]], grid: list[dict]) -> DataFrame:
     """(candidate, id, label, persistence): clusterings of rows(id, v) under every setting of the grid, a task for each.
 
-    The vectors of one recording go to each task as they are; with three or fewer all have label 0.
+    A clusterer is a callable that takes all vectors of one recording, so that they go to each task as they are: POINTS at
+    most, beyond which this is an error and ``operators.density.sweep``, which clusters on the cluster itself, is the way.
+    With three vectors or fewer all have label 0. Null vectors take no part.
     """
     spark = rows.sparkSession
-    points = sorted((r["id"], list(r["v"])) for r in rows.select("id", "v").collect())  # the utterances of one recording
+    held = rows.where("v IS NOT NULL").select("id", "v").limit(POINTS + 1).collect()
+    if len(held) > POINTS:
+        raise ValueError(f"over {POINTS} vectors: use operators.density.sweep")
+    points = sorted((r["id"], list(r["v"])) for r in held)
     data = spark.sparkContext.broadcast(points)
     kind = dict(rows.dtypes)["id"]
 

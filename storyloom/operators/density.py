@@ -302,6 +302,15 @@ def clusters(rows: DataFrame, least_size: int = 5, least_samples: int | None = N
     return own.join(labelled, ["id", "v"], "left").select("id", F.coalesce("label", F.lit(-1)).alias("label"))
 
 
+def sweep(rows: DataFrame, sizes: tuple[int, ...] = (5, 8, 10)) -> DataFrame:
+    """(candidate, id, label): the clusters of rows(id, v) for each least size, to be rated by ``vectors.clustering_row`` and its like."""
+    out = None
+    for k, n in enumerate(sizes):
+        one = clusters(rows, n).select(F.lit(k).alias("candidate"), "id", "label")
+        out = one if out is None else out.union(one)
+    return out
+
+
 def selected(ended: list[DataFrame], tables: Tables) -> DataFrame:
     """(cluster, top): of each cluster the highest selected one that holds it; none: no row. Pointer jumping up the tree of clusters."""
     all_ = ended[0]

@@ -108,3 +108,19 @@ def test_clusters_of_equal_and_few_vectors(spark):
     assert some([]) == set() and some([(1, [0.0]), (2, None)]) == {(1, -1), (2, -1)}
     same = [(k, [0.0, 0.0]) for k in range(5)] + [(10 + k, [9.0, 9.0]) for k in range(4)] + [(20, [100.0, 0.0]), (21, None)]
     assert some(same) == {(k, 0) for k in range(5)} | {(10 + k, 10) for k in range(4)} | {(20, -1), (21, -1)}
+
+
+def test_sweep_and_its_bound(spark, monkeypatch):
+    from storyloom import models
+
+    rows = blobs(5, 80)
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    got = {}
+    for r in density.sweep(df, (4, 9)).collect():
+        got.setdefault(r.candidate, {})[r.id] = r.label
+    assert got == {0: plain(rows, 4, 3), 1: plain(rows, 9, 8)}
+    make = lambda **_: lambda vectors: ([0] * len(vectors), 1.0)
+    assert models.sweep(df, make, [{}]).count() == 80
+    monkeypatch.setattr(models, "POINTS", 79)
+    with pytest.raises(ValueError, match="density.sweep"):
+        models.sweep(df, make, [{}])
