@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,12 +24,13 @@ class Cache:
         self.spark, self.folder, self.schema = spark, folder.rstrip("/"), f"key string, signature string, made_at timestamp, value {schema}"
 
     def rows(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(self.schema).option("recursiveFileLookup", "true").parquet(self.folder)
-        except AnalysisException as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
+        """All rows of this moment. Each update is read by its own name: Spark takes two reads of one folder for the same, whatever it held at the time."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        files = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        held = sorted(f.getPath().toString() for f in files.listStatus(at) if f.isDirectory()) if files.exists(at) else []
+        if not held:
             return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).option("recursiveFileLookup", "true").parquet(*held)
 
     def newest(self) -> DataFrame:
         """One row for each key: the last made; ties: the greatest signature."""
