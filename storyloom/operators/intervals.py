@@ -271,6 +271,28 @@ def rescued(base: DataFrame, more: DataFrame, totals: DataFrame, guard: float, l
     return folded(far, ["id", "start", "end", "quality"], step, f"key {kinds['key']}, id {kinds['id']}, start double, end double, quality double")
 
 
+def with_rescued(base: DataFrame, more: DataFrame, totals: DataFrame, guard: float, least: float = 0.08, shortest: float = 0.04) -> DataFrame:
+    """(key, id, start, end, quality, reason): base and what ``rescued`` adds to it as one timeline, clamped and repaired again.
+
+    Rows that end up shorter than ``shortest`` carry a reason, as after ``repair_overlaps``; the others have null. Ids of both are
+    taken to differ. Keys without a total are left out.
+    """
+    columns = ["key", "id", "start", "end", "quality"]
+    both = base.select(*columns).unionByName(rescued(base, more, totals, guard, least).select(*columns))
+    held = clamped(both.withColumn("quality", F.col("quality").cast("double")), totals, shortest)
+    out = repair_overlaps(held.where("reason IS NULL").select(*columns), shortest)
+    return out.unionByName(held.where("reason IS NOT NULL").select(out.columns))
+
+
+def sound_timeline(voice: DataFrame, ambience: DataFrame, gap: float) -> DataFrame:
+    """Events(key, id, start, end, label) of two detectors as one timeline; those of one label within ``gap`` are one, whoever heard them.
+
+    A repeated row merges with itself; rows without times have no part.
+    """
+    columns = ["key", "id", "start", "end", "label"]
+    return merge_same_label(voice.select(*columns).unionByName(ambience.select(*columns)), gap, "label")
+
+
 def capped_groups(rows: DataFrame, gap: float, most: float) -> DataFrame:
     """(key, grp, first, last, start, end, n): rows in order, joined while the gap is at most ``gap`` and the whole at most ``most`` long.
 

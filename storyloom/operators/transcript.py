@@ -345,3 +345,20 @@ def with_names(entries: DataFrame, names: DataFrame) -> DataFrame:
 def first_seen(entries: DataFrame, key: str = "key") -> DataFrame:
     """(key, speaker, first_seen): the first start of each speaker, UNKNOWN left out; without times: 0."""
     return entries.where("speaker <> 'UNKNOWN'").groupBy(key, "speaker").agg(F.coalesce(F.min("start"), F.lit(0.0)).alias("first_seen"))
+
+
+def alignment_diagnostics(groups: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """groups(key, grp, ...) with what alignment changed: before and after as (start, end, text), their numbers, and moved.
+
+    before and after are entries(key, grp, start, end, text) of the two states; a group's are in order of time, and a
+    group is no longer than recognition takes (seconds), so that they fit a row. moved is the greatest change in seconds of a
+    start or an end, entry by entry; null if the numbers differ or there are none. Entries of unknown groups are left out.
+    """
+    entry = F.struct("start", "end", "text")
+    state = lambda rows, name: rows.groupBy("key", "grp").agg(F.array_sort(F.collect_list(entry)).alias(name))
+    none = F.array().cast("array<struct<start: double, end: double, text: string>>")
+    out = groups.join(state(before, "before"), ["key", "grp"], "left").join(state(after, "after"), ["key", "grp"], "left")
+    out = out.withColumn("before", F.coalesce("before", none)).withColumn("after", F.coalesce("after", none))
+    shift = F.zip_with("before", "after", lambda b, a: F.greatest(F.abs(a["start"] - b["start"]), F.abs(a["end"] - b["end"])))
+    out = out.withColumn("n_before", F.size("before").cast("long")).withColumn("n_after", F.size("after").cast("long"))
+    return out.withColumn("moved", F.when(F.col("n_before") == F.col("n_after"), F.round(F.array_max(shift), 3)))

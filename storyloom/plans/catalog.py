@@ -13,7 +13,7 @@ from ..functions import text as T
 from ..functions.vectors import doubles
 from ..operators import batching, density, entities, index, intervals, scenes, search, signals, transcript, vectors
 from ..operators.written import folder_of
-from ..sources import books, caches
+from ..sources import books, caches, speakers
 from . import snapshots
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -691,3 +691,50 @@ def cached_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = cache.missing(wanted).count()
     valid = cache.filled(wanted, made)
     return valid.agg(F.count("*").alias("valid")).select(F.lit(wanted.count()).cast("long").alias("wanted"), F.lit(before).cast("long").alias("computed"), "valid")
+
+
+@query(E + """, p AS (SELECT label::VARCHAR AS name, id % 2 AS half, i, avg(v[i]) AS x FROM u, range(1, 65) r(i) GROUP BY label, id % 2, i), d AS (SELECT name, half, list(x ORDER BY i) AS c FROM p GROUP BY name, half),
+    old AS (SELECT name, c, row_number() OVER (ORDER BY name) - 1 AS speaker FROM d WHERE half = 0),
+    s AS (SELECT d.name, old.speaker, round(list_inner_product(d.c, old.c) / (greatest(sqrt(list_inner_product(d.c, d.c)), 1e-10) * greatest(sqrt(list_inner_product(old.c, old.c)), 1e-10)), 9) AS sim FROM d, old WHERE half = 1),
+    b AS (SELECT name, max(sim) AS sim, arg_max(speaker, (sim, -speaker)) AS speaker FROM s WHERE sim >= 0.18 GROUP BY name),
+    n AS (SELECT name, row_number() OVER (ORDER BY name) - 1 + (SELECT count(*) FROM old) AS speaker FROM d WHERE half = 1 AND name NOT IN (SELECT name FROM b)),
+    every AS (SELECT 'first' AS key, name, speaker, NULL::DOUBLE AS sim FROM old UNION ALL SELECT 'second', name, speaker, sim FROM b UNION ALL SELECT 'second', name, speaker, NULL FROM n)
+    SELECT key, name AS local, speaker::BIGINT AS speaker, printf('SPKR_%03d', speaker::BIGINT) AS name, round(sim, 6) AS sim FROM every""")
+def speaker_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels as speakers: those of the even vectors are a first recording, which fills a bank, and those of the odd ones a second, recognised by it."""
+    rows = embeddings(spark, sf_dir).where("v IS NOT NULL AND label IS NOT NULL").select("id", F.col("label").cast("string").alias("speaker"), "v")
+    bank = speakers.SpeakerBank(spark, f"{folder_of(spark)}/bank-{uuid.uuid4().hex}", "sample")
+    told = []
+    for half, key in enumerate(["first", "second"]):
+        mine = rows.where(F.col("id") % 2 == half).withColumn("key", F.lit(key))
+        told.append(bank.recognise(mine.select("key", "speaker", F.col("id").cast("double").alias("start")), mine.select("key", "speaker", "v"), 0.18))
+    return told[0].unionByName(told[1]).withColumn("sim", F.round("sim", 6))
+
+
+@query(I + """, b AS (SELECT key, id % 3 AS grp, s, e, label FROM t), a AS (SELECT key, id % 3 AS grp, s + (id % 7) / 10 AS s, e, label FROM t WHERE id % 11 <> 0),
+    bk AS (SELECT *, row_number() OVER w AS k FROM b WINDOW w AS (PARTITION BY key, grp ORDER BY s, e, label)), ak AS (SELECT *, row_number() OVER w AS k FROM a WINDOW w AS (PARTITION BY key, grp ORDER BY s, e, label)),
+    m AS (SELECT bk.key, bk.grp, count(*) AS nb, count(ak.k) AS na, max(greatest(abs(ak.s - bk.s), abs(ak.e - bk.e))) AS moved FROM bk LEFT JOIN ak ON ak.key = bk.key AND ak.grp = bk.grp AND ak.k = bk.k GROUP BY bk.key, bk.grp)
+    SELECT key, grp, nb AS n_before, na AS n_after, CASE WHEN nb = na THEN round(moved, 3) END AS moved FROM m""")
+def alignment_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as entries, by thirds of a user's; aligned ones start up to 0.6 seconds later, and one of eleven is lost."""
+    before = timeline(spark, sf_dir).withColumn("grp", F.col("id") % 3).withColumn("text", F.col("label"))
+    after = before.where("id % 11 <> 0").withColumn("start", F.col("start") + (F.col("id") % 7) / 10)
+    out = transcript.alignment_diagnostics(before.select("key", "grp").distinct(), before, after)
+    return out.select("key", "grp", "n_before", "n_after", "moved")
+
+
+@query(I + """, a AS (SELECT *, sum((lag IS DISTINCT FROM label)::INT) OVER (PARTITION BY key ORDER BY s, id) AS turn FROM (SELECT *, lag(label) OVER (PARTITION BY key ORDER BY s, id) AS lag FROM t)),
+    b AS (SELECT *, max(e) OVER (PARTITION BY key, turn ORDER BY s, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM a),
+    c AS (SELECT *, sum((reach IS NULL OR s - reach > 21600)::INT) OVER (PARTITION BY key, turn ORDER BY s, id) AS part FROM b)
+    SELECT key, any_value(label) AS label, round(min(s), 3) AS start, round(max(e), 3) AS "end", count(*) AS n FROM c GROUP BY key, turn, part""")
+def sound_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks and what else happened as the events of two detectors."""
+    return intervals.sound_timeline(*_two(spark, sf_dir), 6 * HOUR).select("key", "label", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), "n")
+
+
+@query()
+def speech_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rescue and the repair after it in one: a fold, checked against brute force in the tests."""
+    rows = timeline(spark, sf_dir).withColumn("quality", (F.col("id") % 100) / 100)
+    totals = rows.groupBy("key").agg(F.max("end").alias("total"))
+    return intervals.with_rescued(rows.where("label = 'purchase'"), rows.where("label = 'click'"), totals, 600.0)

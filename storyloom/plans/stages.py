@@ -8,13 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import token_estimate
 from ..models import Registry, apply_model, held
-from ..operators import batching, entities, intervals, scenes, transcript
+from ..operators import batching, entities, intervals, scenes, transcript, vectors
+from ..operators.written import Tables
 from ..sources import books, stories
+from ..sources.caches import Cache, signature
 from .tasks import ALL_SOURCES, FILM, Project, Step, Task
 
 BUDGET, RETRIES = 32_000, 2
@@ -26,8 +28,6 @@ UPDATE = f"characters array<struct<{ENTRY}>>, merges array<struct<absorb:string,
 def story_batches(found: DataFrame, budget: int = BUDGET) -> DataFrame:
     """scenes(chapter, scene, text, ...) with ``batch``: greedy batches of a source in order, by estimated tokens."""
     rows = found.withColumn("__pos", F.concat_ws("/", "chapter", F.lpad(F.col("scene").cast("string"), 9, F.lit("0"))))
-    from pyspark.sql import Window
-
     numbered = rows.select("__pos", F.lit(0).alias("key"), token_estimate(F.col("text")).alias("tokens")).withColumn("pos", F.row_number().over(Window.orderBy("__pos")))
     cut = batching.token_batches(numbered, budget).join(numbered.select("pos", "__pos"), "pos").select("__pos", "batch")
     return rows.join(cut, "__pos").drop("__pos")
@@ -132,14 +132,58 @@ def transcribe(voice: DataFrame, totals: DataFrame, make: Callable[[], Callable[
 
 def attribute_speakers(windows: DataFrame, labels: DataFrame) -> DataFrame:
     """(key, speaker, total, mean, votes, enrolled) for utterances: windows(id, key, v) vote for the nearest of the clusters of labels(key, label)."""
-    from ..operators import vectors
-
     known = windows.join(labels, "key").where("label >= 0")
     near = vectors.nearest_centroid(windows.select("id", F.lit(0).alias("label"), "v"), vectors.centroids(vectors.unit(known.select("id", "label", "v"))), 0.2)
     votes = windows.select("id", "key").join(near, "id").select("key", F.col("id").alias("pos"), F.col("best").alias("speaker"), "sim")
     return vectors.weighted_vote(votes, "key")
 
 
+#: What a diarizer leaves of a chunk, and the schema of a cache of it.
+DIARIZED = "struct<turns: array<struct<speaker: string, start: double, end: double>>, voices: array<struct<speaker: string, v: array<double>>>>"
+
+
+def diarize(chunks: DataFrame, make: Callable[[], Callable[[dict], dict]], cache: Cache, settings: str = "", similarity: float = 0.75, force: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(turns(key, speaker, start, end), voices(key, speaker, v)) of recordings cut into chunks(key, chunk, start, end, stamp).
+
+    The diarizer gets a chunk's row and gives turns (in seconds from the chunk's start) and voices (speaker, v) of local
+    speakers. What it gave is kept in ``cache`` (schema DIARIZED), chunk by chunk: a run that broke off goes on where it
+    stood, and a chunk is told anew only if the recording's stamp, its bounds or the settings changed, or by ``force``.
+    Local speakers of several chunks get common names by their voices; in a recording without any voice they are named by
+    chunk and local name, and one without a voice among others keeps its local name. In a recording of one chunk they are
+    numbered by name. A common voice is the mean of its local ones. Chunks without a key or number have no part; of rows that
+    repeat a chunk one counts, the least.
+    """
+    spark, tables = chunks.sparkSession, Tables(chunks.sparkSession, "diarize")
+    each = chunks.where("key IS NOT NULL AND chunk IS NOT NULL").groupBy(F.col("key").cast("string").alias("recording"), F.col("chunk").cast("int").alias("chunk")).agg(F.min(F.struct("start", "end", "stamp")).alias("c")).select("recording", "chunk", "c.*")
+    wanted = tables.write("wanted", each.withColumn("key", F.concat_ws("/", "recording", "chunk")).withColumn("signature", signature(F.col("stamp"), F.col("start"), F.col("end"), F.lit(settings))))
+
+    def factory():
+        tell = make()
+
+        def one(row: dict) -> list[dict]:
+            found = tell({"key": row["recording"], "chunk": row["chunk"], "start": row["start"], "end": row["end"]})
+            return [{"key": row["key"], "signature": row["signature"], "value": {"turns": found["turns"], "voices": found["voices"]}}]
+
+        return one
+
+    compute = lambda rows: apply_model(rows, factory, f"key string, signature string, value {DIARIZED}", batch=1)
+    if force:
+        cache.add(compute(wanted))
+    held = tables.write("held", cache.filled(wanted, compute).drop("key").withColumnRenamed("recording", "key"))
+    turns = held.select("key", "chunk", F.col("start").alias("at"), F.inline("value.turns")).select("key", "chunk", "speaker", F.round(F.col("at") + F.col("start"), 3).alias("start"), F.round(F.col("at") + F.col("end"), 3).alias("end"))
+    voices = held.select("key", "chunk", F.inline("value.voices")).where("v IS NOT NULL")
+    known = held.groupBy("key").agg(F.count("*").alias("n")).join(voices.groupBy("key").agg(F.count("*").alias("m")), "key", "left")
+    local = turns.where("speaker IS NOT NULL").select("key", "chunk", "speaker").union(voices.select("key", "chunk", "speaker")).distinct().join(known, "key")
+    rank = F.dense_rank().over(Window.partitionBy("key").orderBy("speaker")) - 1
+    alone = local.where("n = 1").select("key", "chunk", "speaker", F.format_string("SPEAKER_%02d", rank).alias("global"))
+    silent = local.where("n > 1 AND m IS NULL").select("key", "chunk", "speaker", F.format_string("SPEAKER_%02d_%s", "chunk", "speaker").alias("global"))
+    merged = vectors.merge_local_speakers(voices.join(known.where("n > 1").select("key"), "key", "left_semi"), similarity)
+    names = tables.write("names", alone.unionByName(silent).unionByName(merged))
+    common = voices.join(names, ["key", "chunk", "speaker"]).select("key", F.col("global").alias("speaker"), "v").withColumn("label", signature(F.col("key"), F.col("speaker")))
+    of = common.select("label", "key", "speaker").distinct()
+    return vectors.global_turns(turns, names).drop("chunk"), of.join(vectors.centroids(common), "label").select("key", "speaker", F.col("centroid").alias("v"))
+
+
 def build(spark: SparkSession, registry: Registry | None = None) -> Callable[[str, str, Project], Step]:
     """The builder of steps for an orchestrator; roles without a model raise an error when their step runs."""
     registry = registry or Registry()
