@@ -11,10 +11,11 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..models import apply_model
+from . import intervals
 
 MARGIN, RETRIES, SHORT = 500, 5, 10
 
@@ -185,6 +186,53 @@ def group_frames(groups: DataFrame, frames: DataFrame) -> DataFrame:
     return groups.select("video", "group", F.explode("shots").alias("shot_id")).join(frames, ["video", "shot_id"])
 
 
+
+# Headings of what is heard in a shot, and what stands for nothing.
+HEARD = ("Dialogue:", "Sounds:", "Music:")
+NOTHING_HEARD = "[No significant audio]"
+
+
+def shot_audio(shots: DataFrame, dialogue: DataFrame, sounds: DataFrame, music: DataFrame, width: float = 30.0) -> DataFrame:
+    """(video, shot_id, summary): what is heard in each of shots(video, shot_id, start, end), as text for a model.
+
+    dialogue(video, start, end, speaker, text, emotion) and sounds(video, start, end, kind, description) count if they lie
+    within the shot, music(video, start, end, kind, mood, instruments) if it overlaps it; lines are in order of time, ties in
+    order of their text. Entries without times, or without a text, description or kind of music, are left out; without
+    a speaker or kind of sound there is a question mark. A repeated entry is a repeated line. One join by buckets of
+    ``width`` seconds takes all three.
+    """
+    given = lambda c, before, after="": F.coalesce(F.concat(F.lit(before), F.nullif(F.col(c), F.lit("")), F.lit(after)), F.lit(""))
+    said = F.concat(F.lit("  "), F.coalesce("speaker", F.lit("?")), F.lit(': "'), "text", F.lit('"'), given("emotion", " [", "]"))
+    sound = F.concat(F.lit("  ["), F.coalesce("kind", F.lit("?")), F.lit("] "), "description", F.format_string(" (%.1fs-%.1fs)", F.col("start").cast("double"), F.col("end").cast("double")))
+    played = F.concat(F.lit("  ["), "kind", F.lit("]"), given("mood", " mood: "), given("instruments", " instruments: "))
+    lines = None
+    for part, (rows, line) in enumerate([(dialogue, said), (sounds, sound), (music, played)]):
+        some = rows.select(F.col("video").alias("key"), "start", "end", F.lit(part).alias("part"), line.alias("line")).where("line IS NOT NULL")
+        lines = some if lines is None else lines.union(some)
+    within = (F.col("start") >= F.col("start_b")) & (F.col("end") <= F.col("end_b"))
+    over = (F.col("end") > F.col("start_b")) & (F.col("start") < F.col("end_b"))
+    pairs = intervals.bucketed_pairs(lines, shots.select(F.col("video").alias("key"), "start", "end", "shot_id"), width, F.when(F.col("part") == 2, over).otherwise(within))
+    heard = pairs.groupBy(F.col("key").alias("video"), F.col("shot_id_b").alias("shot_id")).agg(F.array_sort(F.collect_list(F.struct("part", "start", "end", "line"))).alias("__heard"))
+
+    def block(part: int, heading: str) -> Column:
+        own = F.transform(F.filter("__heard", lambda x: x["part"] == part), lambda x: x["line"])
+        return F.when(F.size(own) > 0, F.concat(F.array(F.lit(heading)), own)).otherwise(F.array().cast("array<string>"))
+
+    text = F.nullif(F.array_join(F.concat(*[block(k, heading) for k, heading in enumerate(HEARD)]), "\n"), F.lit(""))
+    return shots.select("video", "shot_id").join(heard, ["video", "shot_id"], "left").select("video", "shot_id", F.coalesce(text, F.lit(NOTHING_HEARD)).alias("summary"))
+
+
+def with_frames(shots: DataFrame, frames: DataFrame) -> DataFrame:
+    """shots(video, shot_id, start, ...) with the columns of frames(video, ...) at the same position: the first frame set is the first shot's, and so on.
+
+    Shots are in order of (start, shot_id), frames of their ``shot_id`` if they have one, else of ``at``; what one side has
+    beyond the other is left out. For frames that name their shots a join by shot_id does.
+    """
+    by = "shot_id" if "shot_id" in frames.columns else "at"
+    place = lambda *c: F.row_number().over(Window.partitionBy("video").orderBy(*c))
+    right = frames.withColumn("__place", place(by))
+    return shots.withColumn("__place", place("start", "shot_id")).join(right.drop("shot_id"), ["video", "__place"]).drop("__place")
+
 def with_speaker_names(scenes: DataFrame, updates: DataFrame) -> DataFrame:
     """(scene, speaker, name): for each of scenes(scene) the last name that updates(scene, speaker, name) gave each speaker up to it."""
     speakers = updates.select("speaker").distinct()

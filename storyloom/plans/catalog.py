@@ -738,3 +738,19 @@ def speech_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = timeline(spark, sf_dir).withColumn("quality", (F.col("id") % 100) / 100)
     totals = rows.groupBy("key").agg(F.max("end").alias("total"))
     return intervals.with_rescued(rows.where("label = 'purchase'"), rows.where("label = 'click'"), totals, 600.0)
+
+
+@query(I + """, shot AS (SELECT DISTINCT key, floor(s / 14400) AS shot FROM t), l AS (SELECT key, s, e, id % 3 AS part,
+        CASE id % 3 WHEN 0 THEN '  ' || label || ': "' || id::VARCHAR || '"' || CASE WHEN id % 2 = 0 THEN ' [calm]' ELSE '' END
+            WHEN 1 THEN '  [' || label || '] ' || id::VARCHAR || ' (' || printf('%.1f', s) || 's-' || printf('%.1f', e) || 's)'
+            ELSE '  [' || label || ']' || CASE WHEN id % 2 = 0 THEN ' mood: calm' ELSE '' END END AS line FROM t),
+    m AS (SELECT shot.key, shot, part, string_agg(line, chr(10) ORDER BY s, e, line) AS lines FROM shot JOIN l ON l.key = shot.key AND CASE WHEN part = 2 THEN e > shot * 14400 AND s < shot * 14400 + 14400 ELSE s >= shot * 14400 AND e <= shot * 14400 + 14400 END GROUP BY ALL),
+    g AS (SELECT key, shot, string_agg(CASE part WHEN 0 THEN 'Dialogue:' WHEN 1 THEN 'Sounds:' ELSE 'Music:' END || chr(10) || lines, chr(10) ORDER BY part) AS summary FROM m GROUP BY key, shot)
+    SELECT shot.key AS video, shot.shot::BIGINT AS shot_id, coalesce(summary, '[No significant audio]') AS summary FROM shot LEFT JOIN g ON g.key = shot.key AND g.shot = shot.shot""")
+def shot_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of four hours as shots; events are dialogue, sounds and music by thirds."""
+    rows = timeline(spark, sf_dir).withColumn("text", F.col("id").cast("string")).withColumn("calm", F.when(F.col("id") % 2 == 0, "calm"))
+    shots_ = rows.select(F.col("key").alias("video"), F.floor(F.col("start") / (4 * HOUR)).alias("shot_id")).distinct().withColumn("start", F.col("shot_id") * 4 * HOUR).withColumn("end", F.col("start") + 4 * HOUR)
+    part = lambda k, *more: rows.where(F.col("id") % 3 == k).select(F.col("key").alias("video"), "start", "end", *more)
+    said, sound = part(0, F.col("label").alias("speaker"), "text", F.col("calm").alias("emotion")), part(1, F.col("label").alias("kind"), F.col("text").alias("description"))
+    return scenes.shot_audio(shots_, said, sound, part(2, F.col("label").alias("kind"), F.col("calm").alias("mood"), F.lit(None).cast("string").alias("instruments")), 4 * HOUR)

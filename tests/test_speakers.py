@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from storyloom.operators import intervals, transcript
+from storyloom.operators import intervals, scenes, transcript
 from storyloom.plans import stages
 from storyloom.sources.caches import Cache
 from storyloom.sources.speakers import SpeakerBank
@@ -150,3 +150,25 @@ def test_sound_timeline(spark):
     out = intervals.sound_timeline(voice, ambience, 0.5)
     assert rows(out, "key", "label", "start", "end", "n") == [("a", "laugh", 0.0, 2.0, 2), ("a", "laugh", 4.0, 5.0, 1), ("a", "rain", 3.0, 3.5, 1), ("b", None, 0.0, 1.0, 1)]
     assert intervals.sound_timeline(voice.limit(0), ambience.limit(0), 0.5).count() == 0
+
+
+def test_shot_audio(spark):
+    """Dialogue and sounds within a shot, music over its bounds, ties, empty parts and missing values."""
+    shots = spark.createDataFrame([("v", "sh001", 0.0, 10.0), ("v", "sh002", 10.0, 20.0), ("w", "sh001", 0.0, 5.0)], "video string, shot_id string, start double, end double")
+    said = spark.createDataFrame([("v", 4.0, 5.0, "A", "later", ""), ("v", 0.0, 2.0, None, "first", "joy"), ("v", 0.0, 2.0, None, "first", "joy"), ("v", 9.0, 11.0, "A", "cut", None), ("v", 1.0, 2.0, "A", None, None), ("v", None, 2.0, "A", "untimed", None)], "video string, start double, end double, speaker string, text string, emotion string")
+    sounds = spark.createDataFrame([("v", 10.0, 20.0, "sfx", "door"), ("v", 11.0, 12.0, None, "hum")], "video string, start double, end double, kind string, description string")
+    music = spark.createDataFrame([("v", 9.5, 10.5, "bgm", "calm", None), ("v", 20.0, 21.0, "bgm", None, None), ("v", 15.0, 16.0, "song", None, "piano")], "video string, start double, end double, kind string, mood string, instruments string")
+    out = dict((tuple(r[:2]), r[2]) for r in scenes.shot_audio(shots, said, sounds, music).collect())
+    assert out["v", "sh001"].split("\n") == ["Dialogue:", '  ?: "first" [joy]', '  ?: "first" [joy]', '  A: "later"', "Music:", "  [bgm] mood: calm"]
+    assert out["v", "sh002"].split("\n") == ["Sounds:", "  [sfx] door (10.0s-20.0s)", "  [?] hum (11.0s-12.0s)", "Music:", "  [bgm] mood: calm", "  [song] instruments: piano"]
+    assert out["w", "sh001"] == scenes.NOTHING_HEARD and len(out) == 3
+    assert scenes.shot_audio(shots.limit(0), said, sounds, music).count() == 0
+    assert {r[2] for r in scenes.shot_audio(shots, said.limit(0), sounds.limit(0), music.limit(0)).collect()} == {scenes.NOTHING_HEARD}
+
+
+def test_frames_by_position(spark):
+    shots = spark.createDataFrame([("v", "sh002", 5.0), ("v", "sh001", 0.0), ("v", "sh003", 9.0), ("w", "sh001", 0.0)], "video string, shot_id string, start double")
+    frames = spark.createDataFrame([("v", 2, "b"), ("v", 1, "a")], "video string, at int, path string")
+    assert rows(scenes.with_frames(shots, frames), "video", "shot_id", "path") == [("v", "sh001", "a"), ("v", "sh002", "b")]
+    named = spark.createDataFrame([("v", "k2", "b"), ("v", "k1", "a"), ("x", "k1", "c")], "video string, shot_id string, path string")
+    assert rows(scenes.with_frames(shots, named), "video", "shot_id", "path") == [("v", "sh001", "a"), ("v", "sh002", "b")]
