@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import TINY, cosine, dot, l2_normalize, norm
 from .written import Tables
 
-BLOCK, CENTERS, GROUP = 2048, 10_000, 20_000
+BLOCK, PART, CENTERS, GROUP = 2048, 16, 10_000, 20_000
 
 
 def unit(rows: DataFrame) -> DataFrame:
@@ -274,36 +274,54 @@ def blocks(rows: DataFrame) -> DataFrame:
     return found.mapInArrow(run, "block long, ids array<long>, labels array<long>, width int, data binary")
 
 
-def block_pairs(rows: DataFrame, run, schema: str, once: bool = False) -> DataFrame:
-    """``run(x, ids, labels, y, ids, labels, same)`` over pairs of blocks; it yields record batches of the schema.
+def block_pairs(rows: DataFrame, run, schema: str) -> DataFrame:
+    """``run(pairs)`` of a task over its pairs of blocks; it yields record batches of the schema.
 
-    A row for each pair of blocks, (n / BLOCK)^2, never one for each pair of vectors. once: each pair of blocks in one order.
+    A pair is (key, x, ids, labels), the same of the other block, and whether both are one; each two blocks meet once, in
+    one order. Blocks are written first, so that their numbers stand wherever they are read, and read again as often as
+    they are needed: no pair is shuffled. A part holds PART blocks at most, and a task the pairs of two parts: n^2 / 2
+    products in all, which is the contract of who calls this. Rows without an id make no pair.
     """
-    one = blocks(rows)
+    known = rows.where(F.col("v").isNotNull() & F.col("id").isNotNull()).select("id", "label", "v")
+    count = max(1, -(-known.count() // BLOCK))
+    one = Tables(rows.sparkSession, "pairs").write("blocks", blocks(known.repartition(max(min(count, PART), -(-count // PART)))))
     two = one.select(*[F.col(c).alias(f"{c}2") for c in one.columns])
-    pairs = one.join(two, F.col("block") <= F.col("block2") if once else F.lit(True))
+    # Of two blocks either may come first: by parity, so that both halves of the square have as much to do.
+    even = F.pmod(F.col("block") + F.col("block2"), F.lit(2)) == 0
+    pairs = one.join(two, (F.col("block") == F.col("block2")) | ((F.col("block") != F.col("block2")) & ((F.col("block") < F.col("block2")) == even)))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        def side(batch: pa.RecordBatch, r: int, end: str) -> tuple:
+            x = np.frombuffer(batch.column(f"data{end}")[r].as_buffer()).reshape(-1, batch.column(f"width{end}")[r].as_py())
+            return batch.column(f"block{end}")[r].as_py(), x, *(whole_numbers(batch.column(f"{c}{end}")[r].values) for c in ("ids", "labels"))
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                x, y = (np.frombuffer(r[d]).reshape(-1, r["width"]) for d in ("data", "data2"))
-                yield from run(x, np.array(r["ids"]), np.array(r["labels"]), y, np.array(r["ids2"]), np.array(r["labels2"]), r["block"] == r["block2"])
+            for r in range(batch.num_rows):
+                left, right = side(batch, r, ""), side(batch, r, "2")
+                yield *left, *right, left[0] == right[0]
+
+    return pairs.mapInArrow(lambda batches: run(each(batches)), schema)
+
 
-    return pairs.mapInArrow(each, schema)
+def whole_numbers(values: pa.Array) -> np.ndarray:
+    """Numbers; objects if there are nulls."""
+    return np.array(values.to_pylist(), object) if values.null_count else values.to_numpy()
 
 
 def nearest_neighbours(rows: DataFrame) -> DataFrame:
     """(id, label, id2, label2, sim): the other row of greatest cosine; ties at nine digits: the smallest id."""
 
-    def best(x, ids, labels, y, ids2, labels2, same):
-        sims = (x @ y.T).round(9)
-        if same:
-            np.fill_diagonal(sims, -2.0)
-        order = np.argsort(ids2, kind="stable")
-        at = order[sims[:, order].argmax(1)]
-        top = sims[np.arange(len(x)), at]
-        keep = top > -1.5
-        yield pa.RecordBatch.from_arrays([pa.array(a[keep]) for a in (ids, labels, ids2[at], labels2[at], top)], ["id", "label", "id2", "label2", "sim"])
+    def best(pairs):
+        for _, x, ids, labels, _, y, ids2, labels2, same in pairs:
+            sims = (x @ y.T).round(9)
+            if same:
+                np.fill_diagonal(sims, -2.0)
+            for s, own, mine, other, theirs in [(sims, ids, labels, ids2, labels2), (sims.T, ids2, labels2, ids, labels)][: 1 if same else 2]:
+                order = np.argsort(other, kind="stable")
+                at = order[s[:, order].argmax(1)]
+                top = s[np.arange(len(s)), at]
+                keep = top > -1.5
+                yield pa.RecordBatch.from_arrays([*(pa.array(a[keep], pa.int64()) for a in (own, mine, other[at], theirs[at])), pa.array(top[keep])], ["id", "label", "id2", "label2", "sim"])
 
     found = block_pairs(rows, best, "id long, label long, id2 long, label2 long, sim double")
     top = found.groupBy("id", "label").agg(F.max(F.struct("sim", -F.col("id2"), "label2")).alias("top"))
@@ -323,22 +341,28 @@ def purity_grade(purity: Column) -> Column:
 def pair_diagnostics(rows: DataFrame) -> DataFrame:
     """(kind, n, least, most, mean, p5, p25, p50, p75, p95): similarities of all pairs within a label and between labels.
 
-    Sums, extremes and a histogram of steps of 0.0001, from which the percentiles are read, add up over blocks.
+    Sums, extremes and a histogram of steps of 0.0001, from which the percentiles are read, add up over the pairs of blocks. Without a label a row is like no other.
     """
 
-    def tell(x, ids, labels, y, ids2, labels2, same):
-        sims, first = x @ y.T, (np.arange(len(x))[:, None] < np.arange(len(y))[None, :]) if same else np.ones((len(x), len(y)), bool)
-        alike = labels[:, None] == labels2[None, :]
-        for kind in ("within", "between"):
-            s = sims[first & (alike if kind == "within" else ~alike)]
-            if len(s):
-                step = np.rint(s * 10_000).astype(np.int64)
-                at, n = np.unique(step, return_counts=True)
-                total = np.bincount(step - at[0], s)[at - at[0]]
-                low, high = np.full(len(at), s.min()), np.full(len(at), s.max())
-                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(at)), *(pa.array(a) for a in (at, n, total, low, high))], ["kind", "step", "n", "total", "low", "high"])
-
-    steps = block_pairs(rows, tell, "kind string, step long, n long, total double, low double, high double", once=True)
+    def tell(pairs):
+        # By kind: how many and the sum by step from -1 to 1, and the extremes; told once for a task.
+        held = {kind: [np.zeros(20_003, np.int64), np.zeros(20_003), np.inf, -np.inf] for kind in ("within", "between")}
+        for _, x, _, labels, _, y, _, labels2, same in pairs:
+            sims = x @ y.T
+            alike = (labels[:, None] == labels2[None, :]) & (labels != None)[:, None]  # noqa: E711
+            first = np.triu(np.ones(sims.shape, bool), 1) if same else True
+            for kind, own in held.items():
+                s = sims[(alike if kind == "within" else ~alike) & first]
+                if len(s):
+                    step = np.rint(s * 10_000).astype(np.int64) + 10_001
+                    own[0] += np.bincount(step, minlength=20_003)
+                    own[1] += np.bincount(step, s, minlength=20_003)
+                    own[2:] = min(own[2], s.min()), max(own[3], s.max())
+        for kind, (n, total, low, high) in held.items():
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(at), pa.string()), *(pa.array(a) for a in (at - 10_001, n[at], total[at], np.full(len(at), low), np.full(len(at), high)))], ["kind", "step", "n", "total", "low", "high"])
+
+    steps = block_pairs(rows, tell, "kind string, step long, n long, total double, low double, high double")
     hist = steps.groupBy("kind", "step").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("low").alias("low"), F.max("high").alias("high"))
     w = Window.partitionBy("kind")
     upto = hist.withColumn("upto", F.sum("n").over(w.orderBy("step"))).withColumn("all", F.sum("n").over(w))

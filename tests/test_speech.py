@@ -236,3 +236,29 @@ def test_text_expressions(spark):
     scores = F.array(*[F.struct(F.lit(x).alias("label"), F.lit(s).alias("sim")) for x, s in (("silence", 0.1), ("crying", 0.5), ("water", 0.2))])
     assert one(spark, speech.top_label(scores, 0.3, 0.1)) == "crying_or_sobbing" and one(spark, speech.top_label(scores, 0.3, 0.4)) is None
     assert one(spark, speech.mixed(F.array(F.lit(0.9), F.lit(0.5)), F.array(F.lit(0.9)))) == [1.0, 0.5]
+
+
+def test_pairs_of_blocks_of_several_files(spark, tmp_path, monkeypatch):
+    """Tables of several files whose blocks are too large to broadcast: numbers of blocks stand, so that each pair counts once."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(90, 6))
+    labels = [None if i % 30 == 7 else i % 4 for i in range(90)]
+    for k in range(3):
+        spark.createDataFrame([(i, labels[i], x[i].tolist()) for i in range(k, 90, 3)], "id long, label long, v array<double>").coalesce(1).write.mode("append").parquet(str(tmp_path / "rows"))
+    monkeypatch.setattr(vectors, "BLOCK", 8)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sims = u @ u.T
+    within = [sims[i, j] for i in range(90) for j in range(i) if labels[i] is not None and labels[i] == labels[j]]
+    between = [sims[i, j] for i in range(90) for j in range(i) if labels[i] is None or labels[i] != labels[j]]
+    np.fill_diagonal(sims, -2)
+    for bar in ("-1", "10MB"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bar)
+        try:
+            rows = spark.read.parquet(str(tmp_path / "rows"))
+            told = {r.kind: r for r in vectors.pair_diagnostics(rows).collect()}
+            near = {r.id: (r.label, r.id2, r.label2) for r in vectors.nearest_neighbours(rows).collect()}
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for kind, s in (("within", within), ("between", between)):
+            assert told[kind].n == len(s) and np.allclose([told[kind].least, told[kind].most, told[kind]["mean"]], [min(s), max(s), np.mean(s)])
+        assert near == {i: (labels[i], int(sims[i].argmax()), labels[int(sims[i].argmax())]) for i in range(90)}
