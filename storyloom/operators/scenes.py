@@ -14,6 +14,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import tenths
 from ..models import apply_model
 from . import intervals
 
@@ -203,7 +204,7 @@ def shot_audio(shots: DataFrame, dialogue: DataFrame, sounds: DataFrame, music:
     """
     given = lambda c, before, after="": F.coalesce(F.concat(F.lit(before), F.nullif(F.col(c), F.lit("")), F.lit(after)), F.lit(""))
     said = F.concat(F.lit("  "), F.coalesce("speaker", F.lit("?")), F.lit(': "'), "text", F.lit('"'), given("emotion", " [", "]"))
-    sound = F.concat(F.lit("  ["), F.coalesce("kind", F.lit("?")), F.lit("] "), "description", F.format_string(" (%.1fs-%.1fs)", F.col("start").cast("double"), F.col("end").cast("double")))
+    sound = F.concat(F.lit("  ["), F.coalesce("kind", F.lit("?")), F.lit("] "), "description", F.lit(" ("), tenths(F.col("start").cast("double")), F.lit("s-"), tenths(F.col("end").cast("double")), F.lit("s)"))
     played = F.concat(F.lit("  ["), "kind", F.lit("]"), given("mood", " mood: "), given("instruments", " instruments: "))
     lines = None
     for part, (rows, line) in enumerate([(dialogue, said), (sounds, sound), (music, played)]):

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,6 +167,22 @@ def test_shot_audio(spark):
     assert {r[2] for r in scenes.shot_audio(shots, said.limit(0), sounds.limit(0), music.limit(0)).collect()} == {scenes.NOTHING_HEARD}
 
 
+def test_times_of_sounds_are_rounded_from_their_exact_value(spark):
+    """As SQL's printf does: ties to even, and what lies a little beside a tie to its own side."""
+    from storyloom.functions.text import tenths
+
+    rng = np.random.default_rng(9)
+    some = [0.25, 0.35, 0.75, 9.95, 0.05, 0.15, 0.95, 0.0, -0.0, -0.04, -0.25, -2.65, 1704067200.25, 1704067200.35, 1704067200.05, 1704067200.95, 2.0**53, 1e-300, 0.9999999999999999, 0.15000000000000002]
+    some += [float(v) for v in np.concatenate([rng.integers(0, 10**6, 500) / 100, 1704067200 + rng.integers(0, 10**9, 500) / 20, rng.random(500), rng.normal(size=500) * 1e6])]
+    out = spark.createDataFrame(list(enumerate(some)), "k int, v double").select("k", tenths(F.col("v")).alias("t")).collect()
+    assert {r.k: r.t for r in out} == {k: "%.1f" % v for k, v in enumerate(some)}
+    shots = spark.createDataFrame([("v", "sh001", 0.0, 10.0)], "video string, shot_id string, start double, end double")
+    sounds = spark.createDataFrame([("v", 0.25, 0.35, "sfx", "door")], "video string, start double, end double, kind string, description string")
+    said = spark.createDataFrame([], "video string, start double, end double, speaker string, text string, emotion string")
+    music = spark.createDataFrame([], "video string, start double, end double, kind string, mood string, instruments string")
+    assert scenes.shot_audio(shots, said, sounds, music).first().summary == "Sounds:\n  [sfx] door (0.2s-0.3s)"
+
+
 def test_frames_by_position(spark):
     shots = spark.createDataFrame([("v", "sh002", 5.0), ("v", "sh001", 0.0), ("v", "sh003", 9.0), ("w", "sh001", 0.0)], "video string, shot_id string, start double")
     frames = spark.createDataFrame([("v", 2, "b"), ("v", 1, "a")], "video string, at int, path string")
