@@ -1,9 +1,10 @@
 """Density clustering: hierarchical clusters of mutual reachability, selected by excess of mass; exact, and no step collects the points.
 
 1. Equal vectors are one point with a weight.
-2. Core distances: blocks of points meet by the keys of a grid; each pair of blocks tells its nearest distances.
+2. Core distances: blocks of points meet in pairs; each task tells the nearest distances of all the pairs it has.
 3. Minimum spanning tree: an edge of the whole tree is an edge of the tree over any two blocks that hold its ends, so each
-   pair of blocks gives the edges of its own tree (Prim), and Borůvka rounds over these edges give the whole one.
+   pair of blocks gives the edges of its own tree (Prim), of which each task keeps their forest, and Borůvka rounds over
+   what the tasks kept give the whole one.
 4. Condensed tree: edges are merged from light to heavy in stages. A stage's components, of GROUP edges at most, are
    merged in tasks of their own, and are single nodes for the next stage.
 5. A cluster is selected if its stability is at least that of what is selected below it. The root is never selected.
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .written import Tables
 
-BLOCK, GROUP, TINY = 1024, 1 << 18, 1e-10
+BLOCK, PART, GROUP, TINY = 1024, 32, 1 << 18, 1e-10
 EDGES = "a long, b long, w double"
 
 
@@ -34,36 +35,66 @@ def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T, 0.0)).round(9)
 
 
-def block_pairs(points: DataFrame, columns: list[str], tables: Tables) -> DataFrame:
-    """Pairs of blocks of points(id, v, ...), each pair once (i <= j): arrays of the columns as ``<c>_i`` and ``<c>_j``; vectors are flat."""
+def block_pairs(points: DataFrame, columns: list[str], run, schema: str, tables: Tables) -> DataFrame:
+    """``run(pairs)`` of a task over its pairs of blocks of points(id, v, ...); it yields record batches of the schema.
+
+    A pair is (key, vectors, *columns), the same of the other block, and whether both are one; each two blocks meet once.
+    Blocks are written once and read as often as they are needed, so that no pair is shuffled. A part holds PART blocks at
+    most, and a task the pairs of two parts, for which it tells its result once.
+    """
     count = max(1, -(-points.count() // BLOCK))
+    parts = max(min(count, PART), -(-count // PART))
     made = [F.flatten(F.collect_list("v")).alias("v"), *[F.collect_list(c).alias(c) for c in columns]]
-    blocks = tables.write("blocks", points.groupBy(F.pmod(F.xxhash64("id"), F.lit(count)).alias("block")).agg(*made))
-    side = lambda end: [F.col(c).alias(f"{c}_{end}") for c in ["v", *columns]]
-    one = blocks.select(F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.lit(count - 1))).alias("j"), *side("i"))
-    two = blocks.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("block"))).alias("i"), F.col("block").alias("j"), *side("j"))
-    return one.join(two, ["i", "j"])
+    dealt = points.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(count))).repartition(parts, "block")
+    one = tables.write("blocks", dealt.groupBy("block").agg(*made))
+    two = one.select(*[F.col(c).alias(f"{c}2") for c in one.columns])
+    # Of two blocks either may come first: by parity, so that both halves of the square have as much to do.
+    even = F.pmod(F.col("block") + F.col("block2"), F.lit(2)) == 0
+    pairs = one.join(two, (F.col("block") == F.col("block2")) | ((F.col("block") != F.col("block2")) & ((F.col("block") < F.col("block2")) == even)))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        def side(batch: pa.RecordBatch, r: int, end: str) -> tuple:
+            v, *more = (batch.column(f"{c}{end}")[r].values.to_numpy() for c in ("v", *columns))
+            return batch.column(f"block{end}")[r].as_py(), v.reshape(len(more[0]), -1), *more
 
+        for batch in batches:
+            for r in range(batch.num_rows):
+                left, right = side(batch, r, ""), side(batch, r, "2")
+                yield *left, *right, left[0] == right[0]
 
-def of_row(batch: pa.RecordBatch, r: int, names: list[str]) -> list[np.ndarray]:
-    return [batch.column(c)[r].values.to_numpy() for c in names]
+    return pairs.mapInArrow(lambda batches: run(each(batches)), schema)
+
+
+def nearest_of(far: np.ndarray, weight: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row the least distances and their weights, in any order."""
+    weight = np.broadcast_to(weight, far.shape)
+    if far.shape[1] <= least:
+        return far, weight
+    at = np.argpartition(far, least - 1, axis=1)[:, :least]
+    return np.take_along_axis(far, at, 1), np.take_along_axis(weight, at, 1)
 
 
 def core_distances(points: DataFrame, least: int, tables: Tables) -> DataFrame:
     """points(id, v, n) with core: the distance to the least-th other point, counted with weights; the farthest if there are fewer."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                ids, n, v, ids2, n2, v2 = of_row(batch, r, ["id_i", "n_i", "v_i", "id_j", "n_j", "v_j"])
-                far, same = distances(v.reshape(len(ids), -1), v2.reshape(len(ids2), -1)), batch.column("i")[r] == batch.column("j")[r]
-                if same:
-                    np.fill_diagonal(far, np.inf)
-                for mine, d, weight in ((ids, far, n2), (ids2, far.T, n))[: 1 if same else 2]:
-                    at = np.argsort(d, axis=1, kind="stable")[:, :least]
-                    yield pa.RecordBatch.from_arrays([pa.array(mine), pa.array(np.take_along_axis(d, at, 1).tolist(), pa.list_(pa.float64())), pa.array(weight[at].tolist(), pa.list_(pa.int64()))], ["id", "far", "weight"])
-
-    told = block_pairs(points.select("id", "v", "n"), ["id", "n"], tables).mapInArrow(run, "id long, far array<double>, weight array<long>")
+    def run(pairs) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple] = {}  # of each block that the task met
+        for i, v, ids, n, j, v2, ids2, n2, same in pairs:
+            far = distances(v, v2)
+            if same:
+                np.fill_diagonal(far, np.inf)
+            for block, mine, d, weight in ((i, ids, far, n2), (j, ids2, far.T, n))[: 1 if same else 2]:
+                d, w = nearest_of(d, weight, least)
+                if block in held:
+                    d, w = (np.concatenate(x, axis=1) for x in zip(held[block][1:], (d, w), strict=True))
+                    d, w = nearest_of(d, w, least)
+                # Copies: what is held outlives the batch of the pair.
+                held[block] = held[block][0] if block in held else mine.copy(), np.array(d), np.array(w)
+        for mine, d, w in held.values():
+            upto = pa.array(np.arange(len(mine) + 1, dtype=np.int32) * d.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(mine), pa.ListArray.from_arrays(upto, pa.array(d.reshape(-1))), pa.ListArray.from_arrays(upto, pa.array(w.reshape(-1)))], ["id", "far", "weight"])
+
+    told = block_pairs(points.select("id", "v", "n"), ["id", "n"], run, "id long, far array<double>, weight array<long>", tables)
     near = told.groupBy("id").agg(F.array_sort(F.flatten(F.collect_list(F.arrays_zip("far", "weight")))).alias("near"))
     # Goes on until so many points are counted, and keeps the last finite distance.
     start = F.struct((F.lit(least).cast("long") - F.col("n") + 1).alias("need"), F.lit(0.0).alias("d"))
@@ -91,27 +122,55 @@ def prim(far: np.ndarray, ids: np.ndarray) -> list[tuple[int, int, float]]:
     return out
 
 
+def lightest(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The minimum spanning forest of edges a < b, by weight and then both ids."""
+    order = np.lexsort((b, a, w))
+    a, b, w = a[order], b[order], w[order]
+    ids, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    parent, keep = list(range(len(ids))), []
+    for k, (x, y) in enumerate(zip(ends[: len(a)].tolist(), ends[len(a) :].tolist(), strict=True)):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        while parent[y] != y:
+            parent[y] = y = parent[parent[y]]
+        if x != y:
+            parent[x] = y
+            keep.append(k)
+    return a[keep], b[keep], w[keep]
+
+
 def block_trees(points: DataFrame, tables: Tables) -> DataFrame:
-    """Edges of the trees of all pairs of blocks of points(id, v, core), by mutual reachability: the whole tree is among them."""
+    """Edges of the trees of all pairs of blocks of points(id, v, core), by mutual reachability: the whole tree is among them.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                ids, core, v, ids2, core2, v2 = of_row(batch, r, ["id_i", "core_i", "v_i", "id_j", "core_j", "v_j"])
-                x, same = v.reshape(len(ids), -1), batch.column("i")[r] == batch.column("j")[r]
-                if not same:
-                    x, core, both = np.concatenate([x, v2.reshape(len(ids2), -1)]), np.concatenate([core, core2]), np.concatenate([ids, ids2])
-                else:
-                    both = ids
-                order = np.argsort(both)
-                x, core, both = x[order], core[order], both[order]
-                edges = prim(np.maximum(distances(x, x), np.maximum(core[:, None], core[None, :])), both)
-                left = set(ids.tolist())
-                edges = edges if same else [e for e in edges if (e[0] in left) != (e[1] in left)]  # the others come from their own block
-                if edges:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*edges, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["a", "b", "w"])
-
-    return block_pairs(points.select("id", "v", "core"), ["id", "core"], tables).mapInArrow(run, EDGES)
+    A task keeps only the edges that are in the forest of all that it met: fewer than it met points.
+    """
+
+    def run(pairs) -> Iterator[pa.RecordBatch]:
+        held, bar = [], GROUP
+
+        def joined() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            return lightest(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+        for _, x, ids, core, _, v2, ids2, core2, same in pairs:
+            if not same:
+                x, core, both = np.concatenate([x, v2]), np.concatenate([core, core2]), np.concatenate([ids, ids2])
+            else:
+                both = ids
+            order = np.argsort(both)
+            x, core, both = x[order], core[order], both[order]
+            edges = prim(np.maximum(distances(x, x), np.maximum(core[:, None], core[None, :])), both)
+            left = set(ids.tolist())
+            edges = edges if same else [e for e in edges if (e[0] in left) != (e[1] in left)]  # the others come from their own block
+            if edges:
+                a, b, w = zip(*edges, strict=True)
+                held.append((np.array(a, np.int64), np.array(b, np.int64), np.array(w, float)))
+            if sum(len(h[0]) for h in held) > bar:
+                held[:] = [joined()]
+                bar = max(GROUP, 2 * len(held[0][0]))
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in joined()], ["a", "b", "w"])
+
+    return block_pairs(points.select("id", "v", "core"), ["id", "core"], run, EDGES, tables)
 
 
 def find(parent: dict, x):

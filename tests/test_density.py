@@ -124,3 +124,27 @@ def test_sweep_and_its_bound(spark, monkeypatch):
     monkeypatch.setattr(models, "POINTS", 79)
     with pytest.raises(ValueError, match="density.sweep"):
         models.sweep(df, make, [{}])
+
+
+def test_tasks_tell_their_pairs_once(spark, tmp_path, monkeypatch):
+    """What leaves the tasks grows with points and parts, not with pairs of blocks; also where blocks aren't broadcast."""
+    monkeypatch.setattr(density, "BLOCK", 10)
+    monkeypatch.setattr(density, "PART", 8)
+    rows = blobs(7, 240)
+    points = spark.createDataFrame([(i, v, 1) for i, v in rows], "id long, v array<double>, n long")
+    told = []
+    pairs = density.block_pairs
+    monkeypatch.setattr(density, "block_pairs", lambda *a: told.append(pairs(*a)) or told[-1])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        tables = density.Tables(spark, "density")
+        cored = tables.write("cored", density.core_distances(points, 5, tables))
+        edges = density.block_trees(cored, tables)
+        tasks = [x.rdd.getNumPartitions() for x in told]
+        parts = max(tasks) ** 0.5
+        assert told[0].count() <= 2 * 240 * parts  # 240 rows by 24 blocks before
+        assert edges.count() <= 2 * 240 * parts
+        got = {r.id: r.label for r in density.clusters(points.select("id", "v"), 6, 5).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == plain(rows, 6, 5)
