@@ -312,16 +312,26 @@ def nearest_neighbours(rows: DataFrame) -> DataFrame:
     """(id, label, id2, label2, sim): the other row of greatest cosine; ties at nine digits: the smallest id."""
 
     def best(pairs):
-        for _, x, ids, labels, _, y, ids2, labels2, same in pairs:
-            sims = (x @ y.T).round(9)
+        held: dict[int, list] = {}  # of each block that the task met: ids, labels, and the best so far
+        for i, x, ids, labels, j, y, ids2, labels2, same in pairs:
+            # In order of ids, so that the first of equals is the smallest.
+            (x, ids, labels), (y, ids2, labels2) = ((m[o], k[o], c[o]) for m, k, c, o in ((x, ids, labels, np.argsort(ids, kind="stable")), (y, ids2, labels2, np.argsort(ids2, kind="stable"))))
+            sims = x @ y.T
+            np.round(sims, 9, out=sims)
             if same:
                 np.fill_diagonal(sims, -2.0)
-            for s, own, mine, other, theirs in [(sims, ids, labels, ids2, labels2), (sims.T, ids2, labels2, ids, labels)][: 1 if same else 2]:
-                order = np.argsort(other, kind="stable")
-                at = order[s[:, order].argmax(1)]
-                top = s[np.arange(len(s)), at]
-                keep = top > -1.5
-                yield pa.RecordBatch.from_arrays([*(pa.array(a[keep], pa.int64()) for a in (own, mine, other[at], theirs[at])), pa.array(top[keep])], ["id", "label", "id2", "label2", "sim"])
+            for block, axis, own, mine, other, theirs in ((i, 1, ids, labels, ids2, labels2), (j, 0, ids2, labels2, ids, labels))[: 1 if same else 2]:
+                at = sims.argmax(axis)
+                top = sims[np.arange(len(at)), at] if axis else sims[at, np.arange(len(at))]
+                now = [own, mine, top, other[at], theirs[at]]
+                if block in held:
+                    before = held[block]
+                    better = (top > before[2]) | ((top == before[2]) & (now[3] < before[3]))
+                    now[2:] = (np.where(better, n, k) for n, k in zip(now[2:], before[2:], strict=True))
+                held[block] = now
+        for own, mine, top, other, theirs in held.values():
+            keep = top > -1.5
+            yield pa.RecordBatch.from_arrays([*(pa.array(a[keep], pa.int64()) for a in (own, mine, other, theirs)), pa.array(top[keep])], ["id", "label", "id2", "label2", "sim"])
 
     found = block_pairs(rows, best, "id long, label long, id2 long, label2 long, sim double")
     top = found.groupBy("id", "label").agg(F.max(F.struct("sim", -F.col("id2"), "label2")).alias("top"))

@@ -262,3 +262,19 @@ def test_pairs_of_blocks_of_several_files(spark, tmp_path, monkeypatch):
         for kind, s in (("within", within), ("between", between)):
             assert told[kind].n == len(s) and np.allclose([told[kind].least, told[kind].most, told[kind]["mean"]], [min(s), max(s), np.mean(s)])
         assert near == {i: (labels[i], int(sims[i].argmax()), labels[int(sims[i].argmax())]) for i in range(90)}
+
+
+def test_neighbours_leave_tasks_once(spark, monkeypatch):
+    """A task tells a row's best once, not for each block that the row met; ties go to the smallest id."""
+    rng = np.random.default_rng(6)
+    x = rng.integers(-1, 2, size=(240, 3)).astype(float) + 0.5  # many ties
+    frame = spark.createDataFrame([(int(i), int(i) % 3, x[i].tolist()) for i in rng.permutation(240)], "id long, label long, v array<double>")
+    monkeypatch.setattr(vectors, "BLOCK", 5)
+    told, pairs = [], vectors.block_pairs
+    monkeypatch.setattr(vectors, "block_pairs", lambda *a: told.append(pairs(*a)) or told[-1])
+    got = {r.id: r.id2 for r in vectors.nearest_neighbours(frame).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sims = (u @ u.T).round(9)
+    np.fill_diagonal(sims, -2)
+    assert got == {i: int(sims[i].argmax()) for i in range(240)}
+    assert told[0].count() <= 2 * 240 * 16  # 240 rows by 48 blocks before
