@@ -109,11 +109,16 @@ def split_heuristically(text: str, language: str | None) -> list[str]:
 
 def pieces(text: Column, language: Column) -> Column:
     """The pieces of ``split_heuristically``; null text: null."""
-    from pyspark.sql.functions import pandas_udf
+    from pyspark.sql.functions import arrow_udf
 
-    @pandas_udf(ArrayType(StringType()))
-    def cut(texts, languages):
-        return texts.combine(languages, lambda t, x: None if t is None else split_heuristically(t, x))
+    @arrow_udf(ArrayType(StringType()))
+    def cut(texts: pa.Array, languages: pa.Array) -> pa.Array:
+        # A few texts at a time are Python objects; the rest of the batch stays as Arrow holds it.
+        out = []
+        for low in range(0, len(texts), TEXTS):
+            some = zip(texts.slice(low, TEXTS).to_pylist(), languages.slice(low, TEXTS).to_pylist(), strict=True)
+            out.append(pa.array([None if t is None else split_heuristically(t, x) for t, x in some], pa.list_(pa.string())))
+        return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.string()))
 
     return cut(text, language)
 
@@ -244,6 +249,8 @@ def reconciled(tokens: list[Token], text: str) -> list[Token]:
     return out
 
 
+# Texts that are Python objects at a time.
+TEXTS = 64
 TOKENS = "array<struct<text:string,start:double,end:double>>"
 
 

@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -278,3 +279,30 @@ def test_neighbours_leave_tasks_once(spark, monkeypatch):
     np.fill_diagonal(sims, -2)
     assert got == {i: int(sims[i].argmax()) for i in range(240)}
     assert told[0].count() <= 2 * 240 * 16  # 240 rows by 48 blocks before
+
+
+def test_pieces_take_few_texts_at_a_time(spark, monkeypatch):
+    """Of a batch only TEXTS texts and their pieces are Python objects; null texts stay null."""
+    texts = [None if k % 50 == 3 else "" if k % 50 == 4 else f"One {k}. Two! And so on? Well, because it is {k}。" for k in range(300)]
+    frame = spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)], "k int, t string, x string").coalesce(1)
+    got = {r.k: r.l for r in frame.select("k", transcript.pieces(F.col("t"), F.col("x")).alias("l")).collect()}
+    assert got == {k: None if t is None else transcript.split_heuristically(t, "en") for k, t in enumerate(texts)}
+    most = []
+    monkeypatch.setattr("pyspark.sql.functions.arrow_udf", lambda kind: lambda f: lambda *c: most.append(f), raising=False)
+    transcript.pieces(F.col("t"), F.col("x"))
+    held = []
+    batch = pa.array(texts, pa.string())
+
+    class Spy:
+        def __init__(self, a):
+            self.a = a
+
+        def __len__(self):
+            return len(self.a)
+
+        def slice(self, low, n):
+            held.append(n)
+            return self.a.slice(low, n)
+
+    assert most[0](Spy(batch), Spy(pa.array(["en"] * 300))).to_pylist() == [got[k] for k in range(300)]
+    assert max(held) <= transcript.TEXTS
