@@ -37,7 +37,7 @@ FAR = 18
 #: Shingles that come late in the order, members in a block of a key, and bytes of text to a part of the counted shingles.
 OFTEN, BLOCK, PART = 200_000, 1_000, 8 << 20
 #: Shingles of a task that are counted at once.
-HELD = 1 << 21
+HELD = 1 << 20
 ROUNDS, KNOWN = 3, 300_000
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
 
@@ -158,6 +158,28 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(common >= similarity * (F.size("ha") + F.size("hb") - common) - 1e-9).select("a", "b")
 
 
+def dealt(h: np.ndarray, parts: int) -> pa.RecordBatch:
+    """(part, once, h, n): the shingles h, which are sorted in place, by equal ranges of hashes: those met once, and the others with their counts.
+
+    One sort, and ranges in place of remainders, so that nothing is put in a second order.
+    """
+    h.sort()
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    n = np.diff(first, append=len(h))
+    h = h[first]
+    # The part of a hash is its upper half times parts, over 2^32; the least hash of each part bounds its range.
+    bounds = np.array([-((-k << 32) // parts) << 32 for k in range(1, parts)], np.uint64)
+    ends = [0, *np.searchsorted(h, bounds).tolist(), len(h)]
+    rows = [(k, slice(a, b)) for k, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if a < b]
+    once, several, counts = [], [], []
+    for _, at in rows:
+        alone = n[at] == 1
+        once.append(h[at][alone].tobytes())
+        several.append(h[at][~alone].tobytes())
+        counts.append(n[at][~alone].tobytes())
+    return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), *[pa.array(x, pa.binary()) for x in (once, several, counts)]], ["part", "once", "h", "n"])
+
+
 def often_met(documents: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the shingles that most documents hold, ascending, and in how many they are: over all of them.
 
@@ -173,15 +195,8 @@ def often_met(documents: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarra
 
         def added() -> pa.RecordBatch:
             h = np.concatenate(held)
-            h, n = summed(h, np.ones(len(h), np.int64))
-            part = (h % np.uint64(parts)).astype(np.int32)
-            order = np.argsort(part, kind="stable")
-            h, n, part = h[order], n[order], part[order]
-            first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-            rows = list(zip(first, [*first[1:], len(part)], strict=True))
-            single = [n[a:b] == 1 for a, b in rows]
-            columns = [[h[a:b][x].tobytes() for (a, b), x in zip(rows, single, strict=True)], [h[a:b][~x].tobytes() for (a, b), x in zip(rows, single, strict=True)], [n[a:b][~x].tobytes() for (a, b), x in zip(rows, single, strict=True)]]
-            return pa.RecordBatch.from_arrays([pa.array(part[first]), *[pa.array(x, pa.binary()) for x in columns]], ["part", "once", "h", "n"])
+            held.clear()
+            return dealt(h, parts)
 
         some = 0
         for batch in batches:
@@ -192,7 +207,6 @@ def often_met(documents: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarra
                     some += len(h)
                 if some > HELD:
                     yield added()
-                    held.clear()
                     some = 0
         if held:
             yield added()

@@ -730,3 +730,28 @@ def test_pipeline_on_empty_tables_and_long_texts(spark, tmp_path):
         spark.createDataFrame([], "item_id long, text string").write.parquet(str(at / "benchmark.parquet"))
         left = [r.doc_id for r in corpus_pipeline.run(spark, str(at)).collect()]
         assert len(left) == len(set(left)) and set(left) <= ({1, 2, 3} if name == "long" else set())
+
+
+def test_shingles_are_dealt_in_little_memory():
+    """Counts by ranges of hashes; at its peak it holds less than five times what it is given."""
+    import tracemalloc
+    from collections import Counter
+
+    from storyloom.llm import nearcopies
+
+    rng = np.random.default_rng(8)
+    for parts, size in ((1, 10), (7, 5000), (1000, 3000)):
+        h = rng.integers(0, 2**64, size, np.uint64, endpoint=False)
+        h = np.concatenate([h, h[: size // 3], h[: size // 9], np.array([0, 2**64 - 1], np.uint64)])
+        want, got = Counter(h.tolist()), {}
+        for r in nearcopies.dealt(h, parts).to_pylist():
+            own = {x: 1 for x in np.frombuffer(r["once"], np.uint64).tolist()} | dict(zip(np.frombuffer(r["h"], np.uint64).tolist(), np.frombuffer(r["n"], np.int64).tolist(), strict=True))
+            assert own and all((x >> 32) * parts >> 32 == r["part"] for x in own) and not own.keys() & got.keys()
+            got |= own
+        assert got == want
+    h = rng.integers(0, 2**64, 1 << 20, np.uint64, endpoint=False)
+    tracemalloc.start()
+    nearcopies.dealt(h, 50)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5 * h.nbytes
