@@ -9,6 +9,8 @@ from __future__ import annotations
 import sys
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark import cloudpickle
@@ -75,6 +77,26 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1_000, size: int = 4 << 20) -> Iterator[None]:
+    """What is executed inside ships texts to Python in batches of so many rows and bytes at most.
+
+    A task holds a batch several times: as it grows and as it is sent, and in Python that one and the next. Spark's own
+    bounds (10,000 rows, 64 MB) stand again afterwards; smaller bounds of the session stay.
+    """
+    most = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {k: spark.conf.get(k) for k in most}
+    number = lambda x: int(x.rstrip("bB"))
+    try:
+        for k, n in most.items():
+            old = number(before[k])
+            spark.conf.set(k, n if old <= 0 else min(n, old))
+        yield
+    finally:
+        for k, old in before.items():
+            spark.conf.set(k, old)
+
+
 def summed(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
     """The distinct keys, ascending, and the sums of their counts."""
     order = np.argsort(keys, kind="stable")

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, by_value, one_row_of_each_id, summed, text_of, without_ids
+from .common import Scratch, by_value, one_row_of_each_id, small_batches, summed, text_of, without_ids
 from .graph import components
 from .simhash import allot, bit_statistics, signed
 
@@ -285,7 +285,8 @@ def near_copies(documents: DataFrame, similarity: float = 0.8, shingle: int = 5,
     spark = documents.sparkSession
     scratch = Scratch(spark, "near-copies")
     documents = documents.where("doc_id IS NOT NULL").select("doc_id", "text")
-    rows = scratch.write("sketches", sketches(documents, shingle, similarity, often_met(documents, shingle)))
+    with small_batches(spark):
+        rows = scratch.write("sketches", sketches(documents, shingle, similarity, often_met(documents, shingle)))
     nodes = scratch.write("nodes", rows.groupBy("same").agg(F.min("doc_id").alias("id")))
     firsts = scratch.write("firsts", rows.select("doc_id", "same").join(nodes.withColumnRenamed("id", "first"), "same").where("first <> doc_id").select("doc_id", "first"))
     whole = without_ids(rows, firsts.select("doc_id"))
@@ -302,7 +303,8 @@ def near_copies(documents: DataFrame, similarity: float = 0.8, shingle: int = 5,
         some = False
         if pairs.limit(1).count():
             members = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-            sets = scratch.write(f"sets-{rounds}", shingle_sets(documents.join(members, "doc_id", "left_semi"), shingle))
+            with small_batches(spark):
+                sets = scratch.write(f"sets-{rounds}", shingle_sets(documents.join(members, "doc_id", "left_semi"), shingle))
             held = scratch.write(f"edges-{rounds}", verified(pairs, sets, similarity))
             scratch.drop(f"sets-{rounds}")
             if some := bool(held.limit(1).count()):

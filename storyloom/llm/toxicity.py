@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, by_value, table, text_of, without_ids
+from .common import Scratch, by_value, small_batches, table, text_of, without_ids
 
 SAMPLE, SLOTS, LEAST_EVIDENCE = 3000, 1 << 18, 25.0
 STARTS = (4, 6)
@@ -200,7 +200,8 @@ def grade_documents(documents: DataFrame, labels: DataFrame, limit: float = 0.5,
 
 def drop_toxic(documents: DataFrame, labels: DataFrame, limit: float = 0.5) -> DataFrame:
     """documents without the rejected ids; rows without an id stay, and so do all their columns."""
-    graded = Scratch(documents.sparkSession, "toxicity-drop").write("graded", grade_documents(documents, labels, limit))
+    with small_batches(documents.sparkSession):
+        graded = Scratch(documents.sparkSession, "toxicity-drop").write("graded", grade_documents(documents, labels, limit))
     return without_ids(documents, graded.where("rejected AND doc_id IS NOT NULL").select("doc_id").distinct())
 
 

@@ -755,3 +755,28 @@ def test_shingles_are_dealt_in_little_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 5 * h.nbytes
+
+
+def test_near_copies_and_toxicity_ship_small_batches(spark, docs, labels, monkeypatch):
+    """What a task holds of texts does not grow with Spark's bounds of 10,000 rows and 64 MB; these stand again afterwards."""
+    import pyarrow as pa
+
+    from storyloom.llm import common
+
+    names = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    bounds = lambda: tuple(spark.conf.get(n) for n in names)
+    before, seen, write = bounds(), {}, common.Scratch.write
+    monkeypatch.setattr(common.Scratch, "write", lambda self, name, df: (seen.update({name: bounds()}), write(self, name, df))[1])
+    nearcopies.one_of_each_group(docs)
+    toxicity.drop_toxic(docs, labels)
+    sets = [n for n in seen if n.startswith("sets-")]
+    assert sets
+    for name in ("sketches", "graded", *sets):
+        assert int(seen[name][0]) <= 1_000 and int(seen[name][1].rstrip("B")) <= 4 << 20
+    assert bounds() == before
+    sizes = lambda batches: (pa.RecordBatch.from_pydict({"rows": [b.num_rows], "bytes": [b.nbytes]}) for b in batches)
+    long = spark.range(3000, numPartitions=1).select(F.repeat(F.lit("x"), 10_000).alias("text"))
+    with common.small_batches(spark):
+        told = long.mapInArrow(sizes, "rows long, bytes long").collect()
+    assert sum(r["rows"] for r in told) == 3000 and max(r["bytes"] for r in told) < 6 << 20
+    assert bounds() == before
