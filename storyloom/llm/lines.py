@@ -106,7 +106,7 @@ def runs_around(hits: DataFrame) -> DataFrame:
 
 
 def repeated_units(documents: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
-    """identified documents, and (id, th, dropped): the unit numbers that go, ascending, of the texts that lose any."""
+    """identified documents, and (id, th, n_units, dropped) of each text: the unit numbers that go, ascending; null if none."""
     scratch = Scratch(documents.sparkSession, "lines")
     docs = identified(documents)
     told = F.transform(units_of(F.col("text")), lambda u: F.struct(F.xxhash64(F.btrim(u, F.lit(" \n\r\t"))).alias("h"), F.greatest(F.regexp_count(u, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(1)).alias("w")))
@@ -117,7 +117,9 @@ def repeated_units(documents: DataFrame, least: int = LEAST) -> tuple[DataFrame,
     # A run that ends here and is also the shortest one that begins at its first unit is looked up anyhow.
     back = F.transform("back", lambda n, i: F.when(F.get("ahead", i - n + 1) == n, 0).otherwise(n))
     units = told.select("id", "th", "hashes", "pairs", "ahead", back.alias("back"))
-    units = scratch.write("units", units.withColumn("most", F.greatest(F.array_max("ahead"), F.array_max("back"))))
+    units = scratch.write("units", units.select("*", F.greatest(F.array_max("ahead"), F.array_max("back")).alias("most"), F.size("hashes").alias("n_units")))
+    sizes = scratch.write("sizes", units.select("id", "th", "n_units").distinct())
+    units = units.drop("n_units")
     marks = fingerprints(units)
     often = scratch.write("often", marks.groupBy("key").count().where("count > 1").select("key"))  # a table, so that the join below can split a hot key
     hits = marks.join(often, "key").groupBy("id", "th").agg(F.collect_set("at").alias("hits"))
@@ -132,7 +134,7 @@ def repeated_units(documents: DataFrame, least: int = LEAST) -> tuple[DataFrame,
     dropped = F.sort_array(F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["first"], r["first"] + r["size"] - 1)))))
     gone = scratch.write("gone", spans.select("id", "th", dropped.alias("dropped")))
     scratch.drop("runs", "firsts")
-    return docs, gone
+    return docs, sizes.join(gone, ["id", "th"], "left")
 
 
 def dedup_lines(documents: DataFrame, least: int = LEAST) -> DataFrame:
@@ -144,13 +146,14 @@ def dedup_lines(documents: DataFrame, least: int = LEAST) -> DataFrame:
     one text is deleted there too. Rows of equal id and text share their result. An empty table gives an empty table.
     Extra columns are ignored.
     """
-    docs, gone = repeated_units(documents, least)
-    out = docs.join(gone, ["id", "th"], "left")
-    # The generator keeps the optimizer from cutting the text anew for every unit.
-    out = out.select("doc_id", "text", "dropped", F.explode(F.array(units_of(F.col("text")))).alias("units"))
+    docs, told = repeated_units(documents, least)
+    out = docs.join(told, ["id", "th"], "left")
+    whole, none = F.col("dropped").isNull(), F.size("dropped") == F.col("n_units")
+    # Only texts that lose a part are cut again. The generator keeps the optimizer from doing so anew for every unit.
+    out = out.select("doc_id", "text", "n_units", "dropped", F.explode(F.array(F.when(~(whole | none), units_of(F.col("text"))))).alias("units"))
     stay = F.array_except(F.sequence(F.lit(0), F.size("units") - 1), F.col("dropped"))
     left = F.array_join(F.transform(stay, lambda k: F.get("units", k)), "")
-    return out.select("doc_id", F.size("units").alias("n_units"), F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"), F.when(F.col("dropped").isNull(), F.col("text")).otherwise(left).alias("text"))
+    return out.select("doc_id", "n_units", F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"), F.when(whole, F.col("text")).when(none, F.lit("")).otherwise(left).alias("text"))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

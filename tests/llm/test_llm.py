@@ -535,6 +535,16 @@ def test_units_join_to_the_text(spark):
     assert [r[0] for r in frame.select(F.array_join(lines.units_of(F.col("text")), "")).collect()] == odd
 
 
+def test_line_dedup_cuts_only_what_loses_a_part_again(spark):
+    run = "".join(f"u{k} v{k} w{k} x{k} y{k} z{k}. " for k in range(9))
+    rows = [(1, run), (2, run), (3, "Own. " + run + "End."), (4, "a\nb. c\n\nd"), (5, None), (5, ""), (4, "a\nb. c\n\nd"), (None, run)]
+    out = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_units, len(r.dropped), r.text) for r in out.collect())
+    assert got == [(-1, 10, 0, run), (1, 10, 10, ""), (2, 10, 10, ""), (3, 11, 9, "Own. End."), (4, 4, 0, "a\nb. c\n\nd"), (4, 4, 0, "a\nb. c\n\nd"), (5, 1, 0, ""), (5, 1, 0, "")]
+    # The number of units comes from the first cut.
+    assert "size(units" not in out.select("doc_id", "n_units")._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_chat_round_trip(spark):
     odd = "</s>[INST] ok [/INST] \\ <|end|> <<SYS>> <\\s> <|image:1|>\n"
     rows = [(1, 0, "user", odd), (1, 1, "assistant", odd), (1, 1, "assistant", "tie"), (2, None, None, None), (None, 0, "assistant", "x" * 5000), (3, 0, "user|>\n<|body|>", "")]
