@@ -1,10 +1,10 @@
 """Density clustering: hierarchical clusters of mutual reachability, selected by excess of mass; exact, and no step collects the points.
 
 1. Equal vectors are one point with a weight.
-2. Core distances: blocks of points meet in pairs; each task tells the nearest distances of all the pairs it has.
-3. Minimum spanning tree: an edge of the whole tree is an edge of the tree over any two blocks that hold its ends, so each
-   pair of blocks gives the edges of its own tree (Prim), of which each task keeps their forest, and Borůvka rounds over
-   what the tasks kept give the whole one.
+2. Core distances: blocks of points meet in pairs, once; each task tells the nearest points of all the pairs it has.
+3. Minimum spanning tree: an edge is of it if it is the lightest that leaves a component. Lists of nearest points tell that
+   while it is lighter than all that they may lack. A search then finds the lightest edges of the components that are left, the
+   largest one aside, from the points whose lists may lack them only.
 4. Condensed tree: edges are merged from light to heavy in stages. A stage's components, of GROUP edges at most, are
    merged in tasks of their own, and are single nodes for the next stage.
 5. A cluster is selected if its stability is at least that of what is selected below it. The root is never selected.
@@ -24,33 +24,71 @@ from pyspark.sql import functions as F
 
 from .written import Tables
 
-BLOCK, PART, GROUP, TINY = 1024, 32, 1 << 18, 1e-10
+BLOCK, PART, GROUP, TINY = 2048, 32, 1 << 18, 1e-10
+CHUNK, NEAR, HITS = 512, 8, 1 << 15  # rows of a product; points listed beyond those of the core distance; pairs told exactly at a time
 EDGES = "a long, b long, w double"
 
 
-def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Euclidean, at nine digits."""
-    middle = x.mean(0)
+def exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Euclidean distances of rows to rows, at nine digits; the same from either side and in any block."""
+    far = np.sqrt(((x - y) ** 2).sum(1)).round(9)
+    return np.where(np.isnan(far), np.inf, far)
+
+
+def products(x: np.ndarray, y: np.ndarray, near: float) -> Iterator[tuple[int, np.ndarray, float]]:
+    """(first row, squared distances of CHUNK rows to all of y, by how much they are off at most), by matrix products.
+
+    In single precision if what that is off doesn't count beside ``near``, a squared distance that is looked for.
+    """
+    sound = x[np.isfinite(x).all(1)]
+    middle = sound.mean(0) if len(sound) else 0.0
     x, y = x - middle, y - middle
-    return np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T, 0.0)).round(9)
+    xx, yy = (x * x).sum(1), (y * y).sum(1)
+    off = 4 * (x.shape[1] + 8) * (np.max(xx, where=np.isfinite(xx), initial=0.0) + np.max(yy, where=np.isfinite(yy), initial=0.0))
+    single = off * 6e-8 < near / 1000 < np.inf
+    kind, off = (np.float32, off * 6e-8) if single else (np.float64, off * 1.2e-16)
+    left, right = np.column_stack([-2 * x, xx, np.ones(len(x))]).astype(kind), np.column_stack([y, np.ones(len(y)), yy]).astype(kind).T
+    for r in range(0, len(x), CHUNK):
+        yield r, left[r : r + CHUNK] @ right, off
+
+
+def reach(bar: np.ndarray, off: float) -> np.ndarray:
+    """Up to what product a pair may be as near as the bar."""
+    return (bar + 2e-9) ** 2 * (1 + 1e-12) + off
 
 
-def block_pairs(points: DataFrame, columns: list[str], run, schema: str, tables: Tables) -> DataFrame:
+def hits(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``np.nonzero`` of a mask that holds few: eight at a time."""
+    flat = mask.reshape(-1)
+    whole = len(flat) // 8 * 8
+    at = np.flatnonzero(flat[:whole].view(np.uint64))[:, None] * 8 + np.arange(8)
+    return np.divmod(np.concatenate([at[flat[at]], whole + np.flatnonzero(flat[whole:])]), mask.shape[1])
+
+
+def block_pairs(points: DataFrame, columns: list[str], run, schema: str, tables: Tables, others: DataFrame | None = None) -> DataFrame:
     """``run(pairs)`` of a task over its pairs of blocks of points(id, v, ...); it yields record batches of the schema.
 
     A pair is (key, vectors, *columns), the same of the other block, and whether both are one; each two blocks meet once.
-    Blocks are written once and read as often as they are needed, so that no pair is shuffled. A part holds PART blocks at
-    most, and a task the pairs of two parts, for which it tells its result once.
+    With ``others`` each block of points meets each of theirs. Blocks are written once and read as often as they are needed,
+    so that no pair is shuffled. A part holds PART blocks at most, and a task the pairs of two parts, for which it tells its
+    result once.
     """
-    count = max(1, -(-points.count() // BLOCK))
-    parts = max(min(count, PART), -(-count // PART))
-    made = [F.flatten(F.collect_list("v")).alias("v"), *[F.collect_list(c).alias(c) for c in columns]]
-    dealt = points.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(count))).repartition(parts, "block")
-    one = tables.write("blocks", dealt.groupBy("block").agg(*made))
-    two = one.select(*[F.col(c).alias(f"{c}2") for c in one.columns])
+
+    def blocks(of: DataFrame) -> DataFrame:
+        count = max(1, -(-of.count() // BLOCK))
+        parts = max(min(count, PART), -(-count // PART))
+        made = [F.flatten(F.collect_list("v")).alias("v"), *[F.collect_list(c).alias(c) for c in columns]]
+        dealt = of.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(count))).repartition(parts, "block")
+        return tables.write("blocks", dealt.groupBy("block").agg(*made))
+
+    one, alone = blocks(points), others is None
+    two = one if alone else blocks(others)
+    two = two.select(*[F.col(c).alias(f"{c}2") for c in two.columns])
     # Of two blocks either may come first: by parity, so that both halves of the square have as much to do.
     even = F.pmod(F.col("block") + F.col("block2"), F.lit(2)) == 0
-    pairs = one.join(two, (F.col("block") == F.col("block2")) | ((F.col("block") != F.col("block2")) & ((F.col("block") < F.col("block2")) == even)))
+    once = (F.col("block") == F.col("block2")) | ((F.col("block") != F.col("block2")) & ((F.col("block") < F.col("block2")) == even))
+    one = one.hint("shuffle_replicate_nl")
+    pairs = one.join(two, once) if alone else one.crossJoin(two)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         def side(batch: pa.RecordBatch, r: int, end: str) -> tuple:
@@ -60,117 +98,227 @@ def block_pairs(points: DataFrame, columns: list[str], run, schema: str, tables:
         for batch in batches:
             for r in range(batch.num_rows):
                 left, right = side(batch, r, ""), side(batch, r, "2")
-                yield *left, *right, left[0] == right[0]
+                yield *left, *right, alone and left[0] == right[0]
 
     return pairs.mapInArrow(lambda batches: run(each(batches)), schema)
 
 
-def nearest_of(far: np.ndarray, weight: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of each row the least distances and their weights, in any order."""
-    weight = np.broadcast_to(weight, far.shape)
-    if far.shape[1] <= least:
-        return far, weight
-    at = np.argpartition(far, least - 1, axis=1)[:, :least]
-    return np.take_along_axis(far, at, 1), np.take_along_axis(weight, at, 1)
+class Nearest:
+    """The nearest points of each row of a block, as far as they were met."""
+
+    def __init__(self, ids: np.ndarray, most: int):
+        self.ids, self.most = ids.copy(), most  # copies: it outlives the batch of the pair
+        self.far = np.full((len(ids), most), np.inf)
+        self.other, self.weight = np.full((len(ids), most), -1), np.ones((len(ids), most), np.int64)
+        self.bar = np.full(len(ids), np.inf)  # the farthest of them
+
+    def limit(self, rows: slice, square: np.ndarray, off: float) -> np.ndarray:
+        """Up to what product a pair counts for each row; the product's own least ones where too few points were met."""
+        limit = reach(self.bar[rows], off)
+        if square.shape[1] > self.most and np.isinf(limit).any():
+            limit = np.minimum(limit, reach(np.sqrt(np.maximum(np.partition(square, self.most - 1, axis=1)[:, self.most - 1] + off, 0.0)), off))
+        return limit.astype(square.dtype)
+
+    def add(self, rows: np.ndarray, far: np.ndarray, other: np.ndarray, weight: np.ndarray) -> None:
+        order = np.lexsort((far, rows))
+        rows, far, other, weight = (c[order] for c in (rows, far, other, weight))
+        touched, first, of = np.unique(rows, return_index=True, return_inverse=True)
+        place = np.arange(len(rows)) - first[of]
+        keep = place < self.most
+        at = of[keep], place[keep]
+        shape = (len(touched), self.most)
+        new = np.full(shape, np.inf), np.full(shape, -1), np.ones(shape, np.int64)
+        for table, c in zip(new, (far, other, weight), strict=True):
+            table[at] = c[keep]
+        both = [np.concatenate([old[touched], n], axis=1) for old, n in zip((self.far, self.other, self.weight), new, strict=True)]
+        least = np.argpartition(both[0], self.most - 1, axis=1)[:, : self.most]
+        self.far[touched], self.other[touched], self.weight[touched] = (np.take_along_axis(c, least, 1) for c in both)
+        self.bar[touched] = self.far[touched].max(1)
+
+    def told(self) -> pa.RecordBatch:
+        upto = pa.array(np.arange(len(self.ids) + 1, dtype=np.int32) * self.most)
+        return pa.RecordBatch.from_arrays([pa.array(self.ids), *[pa.ListArray.from_arrays(upto, pa.array(c.reshape(-1))) for c in (self.far, self.other, self.weight)]], ["id", "far", "other", "weight"])
 
 
 def core_distances(points: DataFrame, least: int, tables: Tables) -> DataFrame:
-    """points(id, v, n) with core: the distance to the least-th other point, counted with weights; the farthest if there are fewer."""
+    """points(id, v, n) with core, near and low.
+
+    core: the distance to the least-th other point, counted with weights; the farthest if there are fewer. near: the nearest
+    points (far, other, weight). low: no other point is nearer than that; infinite if near has all of them.
+    """
+    most = least + NEAR
 
     def run(pairs) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple] = {}  # of each block that the task met
+        held: dict[int, Nearest] = {}  # of each block that the task met
         for i, v, ids, n, j, v2, ids2, n2, same in pairs:
-            far = distances(v, v2)
-            if same:
-                np.fill_diagonal(far, np.inf)
-            for block, mine, d, weight in ((i, ids, far, n2), (j, ids2, far.T, n))[: 1 if same else 2]:
-                d, w = nearest_of(d, weight, least)
-                if block in held:
-                    d, w = (np.concatenate(x, axis=1) for x in zip(held[block][1:], (d, w), strict=True))
-                    d, w = nearest_of(d, w, least)
-                # Copies: what is held outlives the batch of the pair.
-                held[block] = held[block][0] if block in held else mine.copy(), np.array(d), np.array(w)
-        for mine, d, w in held.values():
-            upto = pa.array(np.arange(len(mine) + 1, dtype=np.int32) * d.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(mine), pa.ListArray.from_arrays(upto, pa.array(d.reshape(-1))), pa.ListArray.from_arrays(upto, pa.array(w.reshape(-1)))], ["id", "far", "weight"])
-
-    told = block_pairs(points.select("id", "v", "n"), ["id", "n"], run, "id long, far array<double>, weight array<long>", tables)
-    near = told.groupBy("id").agg(F.array_sort(F.flatten(F.collect_list(F.arrays_zip("far", "weight")))).alias("near"))
+            for block, its in ((i, ids), (j, ids2)):
+                if block not in held:
+                    held[block] = Nearest(its, most)
+            mine, theirs = held[i], held[j]
+            for r, square, off in products(v, v2, min(float(np.median(x.bar)) ** 2 for x in (mine, theirs))):
+                rows = slice(r, r + len(square))
+                if same:
+                    square[np.arange(len(square)), np.arange(r, r + len(square))] = np.inf
+                limit, limit2 = mine.limit(rows, square, off), None if same else theirs.limit(slice(None), square.T, off)
+                found = square <= limit[:, None]
+                if not same:
+                    found |= square <= limit2[None, :]
+                at, to = hits(found)
+                for k in range(0, len(at), HITS):
+                    a, b = at[k : k + HITS], to[k : k + HITS]
+                    one, its = a + r, square[a, b] <= limit[a]
+                    far = exact(v[one], v2[b])
+                    mine.add(one[its], far[its], ids2[b[its]], n2[b[its]])
+                    if not same:
+                        its = square[a, b] <= limit2[b]
+                        theirs.add(b[its], far[its], ids[one[its]], n[one[its]])
+        for block in held.values():
+            yield block.told()
+
+    told = block_pairs(points.select("id", "v", "n"), ["id", "n"], run, "id long, far array<double>, other array<long>, weight array<long>", tables)
+    met = F.filter(F.flatten(F.collect_list(F.arrays_zip("far", "other", "weight"))), lambda x: x["far"] < float("inf"))
+    near = told.groupBy("id").agg(F.slice(F.array_sort(met), 1, most).alias("near"))
     # Goes on until so many points are counted, and keeps the last finite distance.
     start = F.struct((F.lit(least).cast("long") - F.col("n") + 1).alias("need"), F.lit(0.0).alias("d"))
-    step = lambda s, x: F.when((s["need"] > 0) & (x["far"] < float("inf")), F.struct((s["need"] - x["weight"]).alias("need"), x["far"].alias("d"))).otherwise(s)
-    return points.join(near, "id").select("id", "v", "n", F.aggregate("near", start, step)["d"].alias("core"))
-
-
-def prim(far: np.ndarray, ids: np.ndarray) -> list[tuple[int, int, float]]:
-    """The minimum spanning tree (a < b, w) of a full matrix; ties: the smallest ids."""
-    n = len(ids)
-    best, end, done = np.full(n, np.inf), np.zeros(n, int), np.zeros(n, bool)
-    out, k = [], 0
-    for _ in range(n - 1):
-        done[k] = True
-        w = far[k]
-        lo, hi = np.minimum(ids, ids[k]), np.maximum(ids, ids[k])
-        lo2, hi2 = np.minimum(ids, ids[end]), np.maximum(ids, ids[end])
-        nearer = (w < best) | ((w == best) & ((lo < lo2) | ((lo == lo2) & (hi < hi2))))
-        best, end = np.where(nearer, w, best), np.where(nearer, k, end)
-        open_ = np.flatnonzero(~done)
-        ties = open_[best[open_] == best[open_].min()]
-        pairs = [(min(ids[t], ids[end[t]]), max(ids[t], ids[end[t]]), t) for t in ties.tolist()]
-        a, b, k = min(pairs)
-        out.append((int(a), int(b), float(best[k])))
-    return out
+    step = lambda s, x: F.when(s["need"] > 0, F.struct((s["need"] - x["weight"]).alias("need"), x["far"].alias("d"))).otherwise(s)
+    low = F.when(F.size("near") < most, F.lit(float("inf"))).otherwise(F.element_at("near", -1)["far"])
+    return points.join(near, "id").select("id", "v", "n", F.aggregate("near", start, step)["d"].alias("core"), "near", low.alias("low"))
 
 
-def lightest(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The minimum spanning forest of edges a < b, by weight and then both ids."""
-    order = np.lexsort((b, a, w))
-    a, b, w = a[order], b[order], w[order]
-    ids, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
-    parent, keep = list(range(len(ids))), []
-    for k, (x, y) in enumerate(zip(ends[: len(a)].tolist(), ends[len(a) :].tolist(), strict=True)):
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
-        while parent[y] != y:
-            parent[y] = y = parent[parent[y]]
-        if x != y:
-            parent[x] = y
-            keep.append(k)
-    return a[keep], b[keep], w[keep]
+def certain(edges: pa.Table, components: pa.Table) -> pa.Table:
+    """Of up to GROUP listed edges those that are lightest for a component, and what the components are then.
 
+    From light to heavy, each edge whose weight is less than the low of either side: lighter edges of that side, listed or
+    not, are within it.
+    """
+    low, parent, keep = dict(zip(components["node"].to_pylist(), components["low"].to_pylist(), strict=True)), {}, []
+    rows = sorted(zip(*(edges[c].to_pylist() for c in ("w", "a", "b", "u", "t")), strict=True))
+    for w, a, b, u, t in rows:
+        u, t = find(parent, u), find(parent, t)
+        if u != t and w < max(low[u], low[t]):
+            parent[u] = t
+            low[t] = min(low[u], low[t])
+            keep.append((a, b, w, None, None))
+    out = keep + [(None, None, None, x, find(parent, x)) for x in list(parent)]
+    return pa.Table.from_arrays([pa.array([k[c] for k in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))], ["a", "b", "w", "node", "root"])
 
-def block_trees(points: DataFrame, tables: Tables) -> DataFrame:
-    """Edges of the trees of all pairs of blocks of points(id, v, core), by mutual reachability: the whole tree is among them.
 
-    A task keeps only the edges that are in the forest of all that it met: fewer than it met points.
-    """
+LEAVING = "node long, w double, a long, b long, t long"
+
+
+def leaving(open_: DataFrame, points: DataFrame, tables: Tables) -> DataFrame:
+    """(node, w, a, b, t): for each component of open_(id, v, core, node, bar) the lightest edge from there that leaves it, if it isn't
+    heavier than the bar; by task. t is the component of points(id, v, core, node) that it leads to."""
 
     def run(pairs) -> Iterator[pa.RecordBatch]:
-        held, bar = [], GROUP
-
-        def joined() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            return lightest(*(np.concatenate(x) for x in zip(*held, strict=True)))
-
-        for _, x, ids, core, _, v2, ids2, core2, same in pairs:
-            if not same:
-                x, core, both = np.concatenate([x, v2]), np.concatenate([core, core2]), np.concatenate([ids, ids2])
-            else:
-                both = ids
-            order = np.argsort(both)
-            x, core, both = x[order], core[order], both[order]
-            edges = prim(np.maximum(distances(x, x), np.maximum(core[:, None], core[None, :])), both)
-            left = set(ids.tolist())
-            edges = edges if same else [e for e in edges if (e[0] in left) != (e[1] in left)]  # the others come from their own block
-            if edges:
-                a, b, w = zip(*edges, strict=True)
-                held.append((np.array(a, np.int64), np.array(b, np.int64), np.array(w, float)))
-            if sum(len(h[0]) for h in held) > bar:
-                held[:] = [joined()]
-                bar = max(GROUP, 2 * len(held[0][0]))
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in joined()], ["a", "b", "w"])
-
-    return block_pairs(points.select("id", "v", "core"), ["id", "core"], run, EDGES, tables)
+        best: dict[int, tuple] = {}
+
+        def tell(i, j, a, b) -> None:
+            """Pairs of rows a of the block i and b of j."""
+            (v, ids, core, node), (v2, ids2, core2, node2) = i, j
+            w = np.maximum(exact(v[a], v2[b]), np.maximum(core[a], core2[b]))
+            lo, hi = np.minimum(ids[a], ids2[b]), np.maximum(ids[a], ids2[b])
+            order = np.lexsort((hi, lo, w, node[a]))
+            names, first = np.unique(node[a][order], return_index=True)
+            for name, k in zip(names.tolist(), order[first].tolist(), strict=True):
+                edge = float(w[k]), int(lo[k]), int(hi[k]), int(node2[b[k]])
+                if edge[0] < np.inf and (name not in best or edge < best[name]):
+                    best[name] = edge
+
+        for _, v, ids, core, node, bar, _, v2, ids2, core2, node2, _, _ in pairs:
+            i, j = (v, ids, core, node), (v2, ids2, core2, node2)
+            names, of = np.unique(node, return_inverse=True)
+            bars = lambda: np.minimum(bar, np.array([best[x][0] if x in best else np.inf for x in names.tolist()])[of])  # noqa: B023, E731
+            now = bars()
+            for r, square, off in products(v, v2, float(np.median(now)) ** 2):
+                rows = slice(r, r + len(square))
+                other = node[rows, None] != node2[None, :]
+                hit = (square <= reach(now[rows], off).astype(square.dtype)[:, None]) & other
+                if np.count_nonzero(hit) > HITS:  # the bars are too high yet: each row's likely best lowers them first
+                    likely = np.where(other, np.maximum(square, core2[None, :] ** 2), np.inf).argmin(1)
+                    a = np.flatnonzero(other[np.arange(len(square)), likely])
+                    tell(i, j, a + r, likely[a])
+                    now = bars()
+                    hit &= square <= reach(now[rows], off).astype(square.dtype)[:, None]
+                at, to = hits(hit)
+                for k in range(0, len(at), HITS):
+                    tell(i, j, at[k : k + HITS] + r, to[k : k + HITS])
+                if len(at):
+                    now = bars()
+        if best:
+            cols = list(zip(*[(name, *edge) for name, edge in best.items()], strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if k == 1 else pa.int64()) for k, c in enumerate(cols)], ["node", "w", "a", "b", "t"])
+
+    return block_pairs(open_, ["id", "core", "node", "bar"], run, LEAVING, tables, points.withColumn("bar", F.lit(0.0)))
+
+
+def block_trees(points: DataFrame, tables: Tables) -> DataFrame:
+    """Edges of the minimum spanning tree of points(id, v, core, near, low), by mutual reachability."""
+    listed = points.select("id", "core", F.explode("near").alias("x")).select("id", "core", "x.far", "x.other")
+    ends = listed.join(points.select(F.col("id").alias("other"), F.col("core").alias("core2")), "other")
+    edges = ends.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"), F.greatest("core", "core2", "far").alias("w")).distinct()
+    live = tables.write("live", edges.select("a", "b", "w", F.col("a").alias("u"), F.col("b").alias("t")))
+    state = tables.write("state", points.select("id", F.col("id").alias("node"), "low"))
+    found = []
+
+    def lightest() -> DataFrame:
+        """(node, w, a, b, t): the lightest listed edge of each component that has one."""
+        both = live.select("w", "a", "b", F.col("u").alias("node"), "t").union(live.select("w", "a", "b", F.col("t").alias("node"), F.col("u").alias("t")))
+        return both.groupBy("node").agg(F.min(F.struct("w", "a", "b", "t")).alias("e")).select("node", "e.*")
+
+    def components() -> DataFrame:
+        return tables.write("components", state.groupBy("node").agg(F.min("low").alias("low"), F.count("*").alias("size")))
+
+    def searched(now: DataFrame) -> DataFrame:
+        """The lightest edge of each component but the largest."""
+        largest = now.orderBy(F.desc("size"), "node").first()["node"]
+        known = tables.write("known", lightest().where(F.col("node") != largest))
+        bars = now.where(F.col("node") != largest).join(known, "node", "left").select("node", F.coalesce("w", F.lit(float("inf"))).alias("bar"))
+        named = points.select("id", "v", "core").join(state, "id")
+        open_ = tables.write("open", named.join(bars, "node").where("low <= bar").select("id", "v", "core", "node", "bar"))
+        told = known.union(leaving(open_, named.select("id", "v", "core", "node"), tables)) if open_.limit(1).count() else known
+        chosen = tables.write("chosen", told.groupBy("node").agg(F.min(F.struct("w", "a", "b", "t")).alias("e")).select("node", "e.*"))
+        if chosen.limit(1).count():
+            return chosen
+        # No distance between them is a number.
+        lone = now.where(F.col("node") != largest).select("node", F.lit(float("inf")).alias("w"), F.lit(largest).alias("t"))
+        return tables.write("chosen", lone.select("node", "w", F.least("node", "t").alias("a"), F.greatest("node", "t").alias("b"), "t"))
+
+    def renamed(roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """State and edges with the components' new names."""
+        named = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+        moved = live.join(named("u"), "u", "left").join(named("t"), "t", "left").select("a", "b", "w", F.coalesce("u_root", "u").alias("u"), F.coalesce("t_root", "t").alias("t")).where("u <> t")
+        pair = [F.least("u", "t").alias("u"), F.greatest("u", "t").alias("t")]
+        after = tables.write("live", moved.groupBy(*pair).agg(F.min(F.struct("w", "a", "b")).alias("e")).select("e.a", "e.b", "e.w", "u", "t"))
+        return tables.write("state", state.join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("node"), "low")), after
+
+    while True:
+        now, chosen = components(), None
+        if now.limit(2).count() < 2:
+            break
+        if live.limit(GROUP + 1).count() > GROUP:
+            chosen = tables.write("chosen", lightest().join(now.select("node", "low"), "node").where("w < low").drop("low"))
+            if not chosen.limit(1).count():
+                chosen = searched(now)
+        else:
+            within = live.select(F.col("u").alias("node")).union(live.select(F.col("t").alias("node"))).distinct()
+            some = now.join(within, "node").select("node", "low", F.lit(0).alias("of_nodes"))
+            told = tables.write("certain", live.withColumn("of_edges", F.lit(0)).groupBy("of_edges").cogroup(some.groupBy("of_nodes")).applyInArrow(certain, EDGES + ", node long, root long"))
+            found.append(told.where("node IS NULL").select("a", "b", "w"))
+            state, live = renamed(told.where("node IS NOT NULL").select("node", "root"))
+            now = components()
+            if now.limit(2).count() < 2:
+                break
+            chosen = searched(now)
+        found.append(chosen.select("a", "b", "w").distinct())
+        back = chosen.select(F.col("node").alias("t"), F.col("a").alias("a2"), F.col("b").alias("b2"))
+        mutual = F.coalesce((F.col("a") == F.col("a2")) & (F.col("b") == F.col("b2")), F.lit(False)) & (F.col("node") < F.col("t"))  # of two that chose each other the smaller is the root
+        parents = now.select("node").join(chosen, "node", "left").join(back, "t", "left").select("node", F.when(mutual | F.col("t").isNull(), F.col("node")).otherwise(F.col("t")).alias("root"))
+        state, live = renamed(followed(parents, tables))
+    tree = found[0]
+    for part in found[1:]:
+        tree = tree.union(part)
+    return tables.write("tree", tree)
 
 
 def find(parent: dict, x):
@@ -180,18 +328,6 @@ def find(parent: dict, x):
     return x
 
 
-def forest(table: pa.Table) -> pa.Table:
-    """The minimum spanning forest of up to GROUP edges in one task."""
-    parent, keep = {}, []
-    rows = sorted(zip(table["w"].to_pylist(), table["a"].to_pylist(), table["b"].to_pylist(), table["u"].to_pylist(), table["t"].to_pylist(), strict=True))
-    for w, a, b, u, t in rows:
-        u, t = find(parent, u), find(parent, t)
-        if u != t:
-            parent[u] = t
-            keep.append((a, b, w))
-    return pa.Table.from_arrays([pa.array([k[c] for k in keep], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["a", "b", "w"])
-
-
 def followed(parent: DataFrame, tables: Tables) -> DataFrame:
     """(node, root) of parent(node, root) by pointer jumping; roots are their own parents."""
     now = tables.write("parents", parent)
@@ -204,29 +340,6 @@ def followed(parent: DataFrame, tables: Tables) -> DataFrame:
             return now
 
 
-def spanning_tree(edges: DataFrame, tables: Tables) -> DataFrame:
-    """The minimum spanning forest of edges(a, b, w), by Borůvka rounds while there are more than GROUP."""
-    live = tables.write("live", edges.select("a", "b", "w", F.col("a").alias("u"), F.col("b").alias("t")))
-    found = []
-    while live.limit(GROUP + 1).count() > GROUP:
-        ends = live.union(live.select("a", "b", "w", F.col("t").alias("u"), F.col("u").alias("t")))
-        least = tables.write("least", ends.groupBy("u").agg(F.min(F.struct("w", "a", "b", "t")).alias("e")).select(F.col("u").alias("node"), "e.*"))
-        found.append(tables.write("tree", least.select("a", "b", "w").distinct()))
-        back = least.select(F.col("node").alias("t"), F.col("a").alias("a2"), F.col("b").alias("b2"))
-        mutual = (F.col("a") == F.col("a2")) & (F.col("b") == F.col("b2")) & (F.col("node") < F.col("t"))  # of two that chose each other the smaller is the root
-        roots = followed(least.join(back, "t").select("node", F.when(mutual, F.col("node")).otherwise(F.col("t")).alias("root")), tables)
-        named = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-        moved = live.join(named("u"), "u").join(named("t"), "t").where("u_root <> t_root")
-        pair = [F.least("u_root", "t_root").alias("u"), F.greatest("u_root", "t_root").alias("t")]
-        after = tables.write("live", moved.groupBy(*pair).agg(F.min(F.struct("w", "a", "b")).alias("e")).select("e.a", "e.b", "e.w", "u", "t"))
-        tables.drop(live, least)
-        live = after
-    last = live.groupBy(F.lit(0).alias("all")).applyInArrow(forest, EDGES)  # GROUP edges at most
-    for part in found:
-        last = last.union(part)
-    return tables.write("tree", last)
-
-
 NODE = "node long, size long, open string, total double, below double"
 MERGED = "kind string, node long, size long, open string, total double, below double, flagged boolean"
 
@@ -323,7 +436,7 @@ def clusters(rows: DataFrame, least_size: int = 5, least_samples: int | None = N
     if twins:
         points = tables.write("numbered", points.withColumn("id", F.monotonically_increasing_id()))
     cored = tables.write("cored", core_distances(points, samples, tables))
-    tree = spanning_tree(block_trees(cored, tables), tables)
+    tree = block_trees(cored, tables)
     fresh = F.when(F.col("n") >= least_size, F.concat(F.col("id"), F.lit(":"), F.col("id")))
     nodes = tables.write("nodes", cored.select(F.col("id").alias("node"), F.col("n").alias("size"), fresh.alias("open"), F.when(fresh.isNotNull(), F.col("n") / TINY).otherwise(0.0).alias("total"), F.lit(0.0).alias("below")))
     falls = [nodes.where("open IS NOT NULL").select(F.col("node").alias("point"), F.col("open").alias("cluster"))]

@@ -148,3 +148,34 @@ def test_tasks_tell_their_pairs_once(spark, tmp_path, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert got == plain(rows, 6, 5)
+
+
+def test_points_meet_all_others_once(spark, monkeypatch):
+    """After the core distances only points whose lists may lack an edge are searched from; before, all of them met again."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").selectExpr("vec_id AS id", "CAST(embedding AS array<double>) AS v", "1L AS n").cache()
+    met, pairs = [], density.block_pairs
+    monkeypatch.setattr(density, "block_pairs", lambda points, *a: met.append(points.count()) or pairs(points, *a))
+    tables = density.Tables(spark, "density")
+    cored = tables.write("cored", density.core_distances(rows, 4, tables))
+    edges = density.block_trees(cored, tables).collect()
+    assert met[0] == 500 and sum(met[1:]) < 250
+    core, ids, x = {r.id: r.core for r in cored.collect()}, *zip(*[(r.id, r.v) for r in rows.collect()], strict=True)
+    far = np.sqrt(((np.array(x)[:, None] - np.array(x)[None]) ** 2).sum(2)).round(9)
+    parent, tree = {i: i for i in ids}, set()
+    for w, a, b in sorted((max(far[a, b], core[ids[a]], core[ids[b]]), *sorted((ids[a], ids[b]))) for a in range(500) for b in range(a)):
+        u, t = density.find(parent, a), density.find(parent, b)
+        if u != t:
+            parent[u] = t
+            tree.add((a, b, w))
+    assert {(e.a, e.b, e.w) for e in edges} == tree and len(edges) == 499
+
+
+def test_searches_of_far_clusters_with_ties(spark, monkeypatch):
+    """Lists that hold no more than the core distances need, equal weights everywhere, vectors that aren't numbers."""
+    for name, value in (("NEAR", 0), ("BLOCK", 16), ("CHUNK", 5), ("HITS", 7)):
+        monkeypatch.setattr(density, name, value)
+    grid = [(float(x + dx), float(y + dy)) for dx, dy, side in ((0, 0, 5), (40, 0, 4), (0, 90, 4), (300, 7, 3)) for x in range(side) for y in range(side)]
+    rows = [(int(i), list(v)) for i, v in zip(np.random.default_rng(3).permutation(len(grid)), grid, strict=True)]
+    odd = [(100, [float("nan"), 1.0]), (101, [float("inf"), 1.0])]
+    got = {r.id: r.label for r in density.clusters(spark.createDataFrame(rows + odd, "id long, v array<double>"), 4).collect()}
+    assert got == plain(rows, 4, 3) | {100: -1, 101: -1} and len(set(got.values())) > 4
