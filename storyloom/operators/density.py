@@ -388,17 +388,20 @@ def merged(nodes: pa.Table, edges: pa.Table, least: int) -> pa.Table:
 
 
 def components(edges: DataFrame, tables: Tables) -> DataFrame:
-    """(node, root) over edges(u, t): the smallest node of each component."""
-    both = edges.select("u", "t").union(edges.select(F.col("t").alias("u"), F.col("u").alias("t")))
-    now = tables.write("roots", both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("t"), F.col("node")).alias("root")))
+    """(node, root) over edges(u, t): the smallest node of each component.
+
+    Each node follows its smallest neighbour down to one that has none smaller; what they lead to are the nodes of the next round.
+    """
+    live, names = tables.write("pairs", edges.select("u", "t").union(edges.select(F.col("t").alias("u"), F.col("u").alias("t")))), None
     while True:
-        near = both.join(now.withColumnRenamed("node", "u"), "u").select(F.col("t").alias("node"), "root").union(now).union(now.join(now.select(F.col("node").alias("root"), F.col("root").alias("far")), "root").select("node", "far"))
-        after = tables.write("roots", near.groupBy("node").agg(F.min("root").alias("root")))
-        moved = after.join(now.withColumnRenamed("root", "before"), "node").where("root <> before").limit(1).count()
-        tables.drop(now)
-        now = after
-        if not moved:
-            return now
+        roots = followed(live.groupBy(F.col("u").alias("node")).agg(F.least(F.min("t"), F.col("node")).alias("root")), tables)
+        far = roots.select(F.col("node").alias("root"), F.col("root").alias("far"))
+        names = roots if names is None else tables.write("roots", names.join(far, "root", "left").select("node", F.coalesce("far", "root").alias("root")))
+        named = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))  # noqa: B023, E731
+        moved = live.join(named("u"), "u").join(named("t"), "t").where("u_root <> t_root")
+        live = tables.write("pairs", moved.select(F.col("u_root").alias("u"), F.col("t_root").alias("t")).distinct())
+        if not live.limit(1).count():
+            return names
 
 
 def stage(nodes: DataFrame, edges: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame | None]:
